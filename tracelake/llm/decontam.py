@@ -32,7 +32,8 @@ BLOCK_WORDS = 100_000
 
 #: Lower-cases A-Z; every other ASCII byte that is no digit or letter separates words.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: The same words in a text that is not lower-cased yet.
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 SCHEMA = "doc_id long, n_words long, n_hit long, longest long, items array<string>, spans array<struct<start:long,end:long>>, char_spans array<struct<start:long,end:long>>"
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
