@@ -6,15 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from tracelake.llm.decontam import op1_decontamination
 from tracelake.llm.langid import op4_language_id
+from tracelake.llm.mixing import op6_source_mixing
+from tracelake.llm.neardup import op10_near_duplicates
+from tracelake.llm.pii import op9_personal_data
+from tracelake.llm.quality import op7_quality
+from tracelake.llm.secrets_scan import op8_secrets
 from tracelake.llm.telephony import op3_telephony_audio
 from tracelake.llm.tokenbin import op2_token_planes
 from tracelake.llm.toxicity import op5_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_token_planes, op3_telephony_audio, op4_language_id, op5_toxicity)}
+    ops = (op1_decontamination, op2_token_planes, op3_telephony_audio, op4_language_id, op5_toxicity, op6_source_mixing, op7_quality, op8_secrets, op9_personal_data, op10_near_duplicates)
+    return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
