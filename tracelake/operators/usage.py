@@ -15,7 +15,7 @@ def _sums() -> list[Column]:
     return [F.sum(c).alias(c) for c in MEASURES[:-1]] + [F.sum("cost_usd").alias("cost_usd")]
 
 
-def rounded(df: DataFrame, places: int = 4) -> DataFrame:
+def rounded(df: DataFrame, places: int = 8) -> DataFrame:
     return df.withColumn("cost_usd", F.round("cost_usd", places))
 
 
@@ -78,7 +78,7 @@ def top_projects_weekly(events: DataFrame, top: int = 3) -> DataFrame:
     best = events.groupBy("project_id").agg(F.round(F.sum("cost_usd"), 6).alias("total")).orderBy(F.desc("total"), "project_id").limit(top).select("project_id")
     # the other side has ``top`` rows
     weeks = events.where(F.col("ts").isNotNull()).join(F.broadcast(best), "project_id").groupBy("project_id", bucket("week", F.col("ts")).alias("bucket")).agg(F.countDistinct("session_id").alias("n_sessions"), F.sum("cost_usd").alias("cost_usd"))
-    return rounded(weeks.withColumn("cost_per_session", F.round(F.try_divide("cost_usd", F.nullif("n_sessions", F.lit(0))), 4)))
+    return rounded(weeks.withColumn("cost_per_session", F.round(F.try_divide("cost_usd", F.nullif("n_sessions", F.lit(0))), 8)))
 
 
 def rolling_cost(events: DataFrame, grain: str = "day", buckets: int = 7) -> DataFrame:
@@ -86,7 +86,7 @@ def rolling_cost(events: DataFrame, grain: str = "day", buckets: int = 7) -> Dat
     per = events.where(F.col("ts").isNotNull()).groupBy(bucket(grain, F.col("ts")).alias("bucket")).agg(F.sum("cost_usd").alias("cost_usd"))
     # a row a bucket of time: few, whatever the events
     trailing = W.orderBy("bucket").rowsBetween(1 - buckets, 0)
-    return rounded(per.withColumn("rolling_cost", F.round(F.avg("cost_usd").over(trailing), 4)))
+    return rounded(per.withColumn("rolling_cost", F.round(F.avg("cost_usd").over(trailing), 8)))
 
 
 def day_hour_matrix(events: DataFrame) -> DataFrame:
@@ -94,7 +94,7 @@ def day_hour_matrix(events: DataFrame) -> DataFrame:
     cells = events.where(F.col("ts").isNotNull()).groupBy(F.to_date("ts").alias("date"), F.hour("ts").alias("hour")).agg(F.sum("cost_usd").alias("cost"))
     means = cells.where("cost > 0").groupBy(F.weekday("date").alias("weekday"), "hour").agg(F.avg("cost").alias("mean_cost"))
     grid = events.sparkSession.range(168).select(F.floor(F.col("id") / 24).cast("int").alias("weekday"), (F.col("id") % 24).cast("int").alias("hour"))
-    return grid.join(means, ["weekday", "hour"], "left").select("weekday", "hour", F.round(F.coalesce("mean_cost", F.lit(0.0)), 6).alias("mean_cost"))
+    return grid.join(means, ["weekday", "hour"], "left").select("weekday", "hour", F.round(F.coalesce("mean_cost", F.lit(0.0)), 9).alias("mean_cost"))
 
 
 def hour_heatmap(events: DataFrame) -> DataFrame:
