@@ -14,8 +14,8 @@ pair shares no bucket with probability (1 - 0.75**5)**40 = 2e-5.
 
 *Verification.* Documents with equal sets are one class. In each bucket all members are compared
 with one leader, not with each other; then components are formed, buckets within one component are
-done, and the others try new leaders. Once the pairs across components that are left are about as
-few as the members, they are all compared. A pair whose sketches agree in so few coordinates that
+done, and the others try new leaders. Once few pairs across components are left for each member,
+the sketches of all of them are compared, a tile of members with a tile at a time. A pair whose sketches agree in so few coordinates that
 it is six standard deviations below the limit is not linked; every other pair's full sets are intersected.
 
 Defined cases: null and blank texts have an empty set, are linked with nothing and kept. Repeated
@@ -42,10 +42,11 @@ ROWS = 5
 COORDINATES = BANDS * ROWS
 #: Coordinates that a pair at the limit agrees in, less six standard deviations.
 LEAST_AGREED = int(COORDINATES * PERCENT / 100 - 6 * (COORDINATES * PERCENT / 100 * (1 - PERCENT / 100)) ** 0.5)
-#: Rounds of leaders before the pairs across components that are left are all compared.
+#: Rounds of leaders, at most, before the pairs across components that are left are all compared.
 LEADER_ROUNDS = 8
-#: Pairs across components for each bucket member from which another round of leaders is worth its while.
-FEW_PAIRS = 4
+#: Bucket members whose sketches are compared in one go; with no more pairs across components than this for each
+#: member no other round of leaders is worth its while.
+TILE = 64
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -125,7 +126,7 @@ def sketch_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in passes(batch, "text", 8 << 20):
+            for part in passes(batch, "text", 2 << 20):
                 hashes, at = shingle_sets(part.column("text"))
                 n = len(at) - 1
                 table_ = sketches(hashes, at)
@@ -163,7 +164,7 @@ def _intersected(pairs: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in passes(batch, "text_b", 2 << 20):
+            for part in passes(batch, "text_b", 1 << 20):
                 a, b = part.column(0).to_pylist(), part.column(1).to_pylist()
                 texts = {**dict(zip(a, part.column(2).to_pylist(), strict=True)), **dict(zip(b, part.column(3).to_pylist(), strict=True))}
                 place = {d: k for k, d in enumerate(texts)}
@@ -209,11 +210,32 @@ def _leaders(members: DataFrame, round_: int) -> DataFrame:
     return met.select(F.least("leader", "doc_id").alias("a"), F.greatest("leader", "doc_id").alias("b")).distinct()
 
 
-def _across(members: DataFrame) -> DataFrame:
-    """(a, b) of all pairs of a bucket's members in different components."""
-    one = members.select("key", F.col("doc_id").alias("a"), F.col("component").alias("ca"))
-    two = members.select("key", F.col("doc_id").alias("b"), F.col("component").alias("cb"))
-    return one.join(two, "key").where("a < b and ca <> cb").select("a", "b").distinct()
+def _tiles(members: DataFrame) -> DataFrame:
+    """Rows of at most about two tiles of a bucket's members; every two members of a bucket meet in some row."""
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).select("key", F.ceil(F.col("n") / TILE).alias("tiles"))
+    dealt = members.join(sizes, "key").withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("tiles")))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    rows = met.groupBy("key", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high")).agg(F.collect_list(F.struct("doc_id", "component", "sketch")).alias("met"))
+    return rows.where(F.size(F.array_distinct(F.transform("met", lambda m: m["component"]))) > 1).select("met")
+
+
+def _across(tiles: DataFrame) -> DataFrame:
+    """(a, b) of the pairs of a row's members in different components whose sketches agree enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: set[tuple[int, int]] = set()
+            for row in batch.column(0):
+                met = row.values
+                ids, of = met.field("doc_id").to_numpy(), met.field("component").to_numpy()
+                marks = np.frombuffer(b"".join(met.field("sketch").to_pylist()), np.uint8).reshape(-1, COORDINATES)
+                for k in range(len(ids) - 1):
+                    near = (of[k + 1 :] != of[k]) & (np.count_nonzero(marks[k + 1 :] == marks[k], axis=1) >= LEAST_AGREED)
+                    found.update((min(x, ids[k]), max(x, ids[k])) for x in ids[k + 1 :][near])
+            pairs = sorted(found)
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], ["a", "b"])
+
+    return tiles.mapInArrow(run, "a long, b long").distinct()
 
 
 def link_components(docs: DataFrame, sketched: DataFrame, *, percent: int = PERCENT) -> DataFrame:
@@ -222,31 +244,39 @@ def link_components(docs: DataFrame, sketched: DataFrame, *, percent: int = PERC
     reps = filled.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     bands = filled.join(reps, "doc_id", "left_semi").select("doc_id", F.explode("bands").alias("key"))
     shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    buckets = written(bands.join(shared, "key", "left_semi").distinct(), "buckets")
-    candidates = written(buckets.select("doc_id").distinct(), "candidates")
-    texts = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(candidates, "doc_id", "left_semi"), "candidate-texts")
-    marks = filled.select("doc_id", "sketch").join(candidates, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    members = written(bands.join(shared, "key", "left_semi").distinct().withColumn("component", F.col("doc_id")), "buckets")
+    candidates = written(members.select("doc_id").distinct(), "candidates")
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(candidates, "doc_id", "left_semi")
+    texts = written(whole.groupBy("doc_id", F.xxhash64("text")).agg(F.first("text").alias("text")).select("doc_id", "text"), "candidate-texts")
+    marks = written(filled.join(candidates, "doc_id", "left_semi").groupBy("doc_id", "set_a", "set_b").agg(F.first("sketch").alias("sketch")).select("doc_id", "sketch"), "candidate-sketches")
     side = lambda df, k, col: df.select(F.col("doc_id").alias(k), F.col(col).alias(f"{col}_{k}"))
 
-    spark = docs.sparkSession
-    links = spark.createDataFrame([], "a long, b long")
-    tested = links
-    components = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    links = tested = None
+    components = docs.sparkSession.createDataFrame([], "node long, component long")
     for round_ in range(LEADER_ROUNDS + 1):
-        labelled = buckets.join(components.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        split = labelled.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("key")
-        members = written(labelled.join(split, "key", "left_semi"), f"members-{round_}")
-        of_component = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
-        total, across = of_component.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()
-        if not total:
-            break
-        last = round_ > 0 and (round_ == LEADER_ROUNDS or across <= FEW_PAIRS * total)
-        pairs = (_across(members) if last else _leaders(members, round_)).join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, f"pairs-{round_}")
-        tried = _agreeing(pairs.join(side(marks, "a", "sketch"), "a").join(side(marks, "b", "sketch"), "b").select("a", "b", "sketch_a", "sketch_b"))
+        total, across = 0, 0
+        if round_:
+            members = members.drop("component").join(components.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+            members = written(members, f"labelled-{round_}")
+            split = members.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("key")
+            members = written(members.join(split, "key", "left_semi"), f"members-{round_}")
+            of_component = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
+            total, across = of_component.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()
+            if not total:
+                break
+        last = round_ > 0 and (round_ == LEADER_ROUNDS or across <= TILE * total)
+        if last:
+            tried = _across(_tiles(members.join(marks, "doc_id")))
+        else:
+            pairs = _leaders(members, round_)
+            tried = _agreeing(pairs.join(side(marks, "a", "sketch"), "a").join(side(marks, "b", "sketch"), "b").select("a", "b", "sketch_a", "sketch_b"))
+        if tested is not None:
+            tried = tried.join(tested, ["a", "b"], "left_anti")
+        tried = written(tried, f"tried-{round_}")
         full = tried.join(side(texts, "b", "text"), "b").join(side(texts, "a", "text"), "a").select("a", "b", "text_a", "text_b")
         found = written(_intersected(full, percent), f"links-{round_}")
-        links, tested = links.unionByName(found), tested.unionByName(pairs)
+        links = found if links is None else links.unionByName(found)
+        tested = tried if tested is None else tested.unionByName(tried)
         if not found.isEmpty():
             components = connected_components(links)
         if last:
