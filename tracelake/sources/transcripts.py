@@ -42,8 +42,7 @@ def changed_files(found: DataFrame, known: DataFrame) -> DataFrame:
 
 def raw_lines(spark: SparkSession, root: str, paths: list[str] | None = None) -> DataFrame:
     """(file_path, project_id, file_type, session_stem, line_number, line, raw) of every JSON object line; ``raw`` is a variant."""
-    reader = spark.read.option("wholetext", True)
-    text = reader.text(paths) if paths is not None else reader.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(root)
+    text = spark.read.text(paths or root, wholetext=True, recursiveFileLookup=paths is None, pathGlobFilter="*.jsonl")
     return lines_of(text, root)
 
 
@@ -137,16 +136,16 @@ def parse_events(lines: DataFrame) -> DataFrame:
 
 def mark_responses(events: DataFrame) -> DataFrame:
     """Of the blocks of one response the last is its head: it alone keeps the usage, and the response's duration."""
-    by_file = W.partitionBy("file_path").orderBy("line_number")
-    group = W.partitionBy("file_path", "request_id").orderBy("line_number")
     is_block = (F.col("event_type") == "assistant") & F.col("request_id").isNotNull()
-    marked = events.withColumn("before", F.lag("ts").over(by_file)).withColumn("last_block", F.row_number().over(W.partitionBy("file_path", "request_id", is_block).orderBy(F.desc("line_number"))) == 1)
-    first = F.first(F.coalesce("before", "ts")).over(W.partitionBy("file_path", "request_id", is_block).orderBy("line_number").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    head = ~is_block | F.col("last_block")
-    out = marked.withColumn("is_head", head).withColumn("duration_ms", F.when(is_block & head, delta_ms(first, F.col("ts"))))
-    del group
+    before = F.lag("ts").over(W.partitionBy("file_path").orderBy("line_number"))
+    marked = events.withColumn("start", F.coalesce(before, "ts")).withColumn("response", F.when(is_block, F.col("request_id")))
+    group = W.partitionBy("file_path", "response")
+    first = F.min(F.struct("line_number", "start")).over(group)["start"]
+    marked = marked.withColumn("began", first).withColumn("last_line", F.max("line_number").over(group))
+    head = F.col("response").isNull() | (F.col("line_number") == F.col("last_line"))
+    out = marked.withColumn("is_head", head).withColumn("duration_ms", F.when(F.col("response").isNotNull() & head, delta_ms(F.col("began"), F.col("ts"))))
     kept = {c: F.when(F.col("is_head"), F.col(c)).otherwise(F.lit(0).cast(events.schema[c].dataType)) for c in USAGE}
-    return out.withColumns(kept).drop("before", "last_block")
+    return out.withColumns(kept).drop("start", "response", "began", "last_line")
 
 
 def first_of_uuid(events: DataFrame) -> DataFrame:

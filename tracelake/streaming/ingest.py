@@ -14,7 +14,7 @@ WAVE_FILES = 50
 
 def stream_files(spark: SparkSession, root: str, wave: int = WAVE_FILES) -> DataFrame:
     """Whole transcript files as they appear, ``wave`` at a time."""
-    return spark.readStream.schema("value string").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").option("maxFilesPerTrigger", wave).text(root).select("value", F.col("_metadata"))
+    return spark.readStream.option("maxFilesPerTrigger", wave).text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.jsonl").select("value", F.col("_metadata"))
 
 
 def ingest(spark: SparkSession, root: str, target: str, checkpoint: str, wave: int = WAVE_FILES) -> StreamingQuery:
