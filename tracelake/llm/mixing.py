@@ -36,6 +36,8 @@ BLOCK_WORDS = 128
 #: Blocks that a source is cut into at least, where it has the words.
 LEAST_BLOCKS = 64
 SHARD_SLOTS = 4096
+#: Runs of SHARD_SLOTS slots that one task permutes, about.
+RUNS_A_TASK = 8
 ROUNDS = 16
 SEED = 20
 
@@ -81,7 +83,9 @@ def draw_slots(targets: DataFrame) -> DataFrame:
     chunk = SHARD_SLOTS
     total = F.sum("slots").over(W.partitionBy())
     plan = targets.where(F.col("slots") > 0).select("sid", "slots", "blocks", F.greatest(F.lit(1), F.ceil(total / SHARD_SLOTS)).cast("long").alias("shards"))
-    runs = plan.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / chunk)))).repartition("sid", "run")
+    n_runs = plan.agg(F.sum(F.ceil(F.col("slots") / chunk))).first()[0] or 1
+    # a number of partitions that follows the slots: the permutations are most of the work
+    runs = plan.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / chunk)))).repartition(min(8192, -(-int(n_runs) // RUNS_A_TASK)), "sid", "run")
     slots = runs.withColumn("slot", F.explode(F.sequence(F.col("run") * chunk, F.least((F.col("run") + 1) * chunk, F.col("slots")) - 1)))
     block = permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), F.col("sid"), F.floor(F.col("slot") / F.col("blocks")))
     shard = F.pmod(F.xxhash64(F.lit(SEED + 2), "sid", "slot"), F.col("shards"))
