@@ -14,7 +14,7 @@ pair shares no bucket with probability (1 - 0.75**5)**40 = 2e-5.
 
 *Verification.* Documents with equal sets are one class. In each bucket all members are compared
 with one leader, not with each other; then components are formed, buckets within one component are
-done, and the others try new leaders. Once few pairs across components are left for each member,
+done, and the others try new leaders. Once few pairs across components that may agree are left,
 the sketches of all of them are compared, a tile of members with a tile at a time. A pair whose sketches agree in so few coordinates that
 it is six standard deviations below the limit is not linked; every other pair's full sets are intersected.
 
@@ -44,9 +44,11 @@ COORDINATES = BANDS * ROWS
 LEAST_AGREED = int(COORDINATES * PERCENT / 100 - 6 * (COORDINATES * PERCENT / 100 * (1 - PERCENT / 100)) ** 0.5)
 #: Rounds of leaders, at most, before the pairs across components that are left are all compared.
 LEADER_ROUNDS = 8
-#: Bucket members whose sketches are compared in one go; with no more pairs across components than this for each
-#: member no other round of leaders is worth its while.
+#: Bucket members whose sketches are compared in one go.
 TILE = 64
+#: With no more pairs across components that are likely to agree than this for each candidate document, no other
+#: round of leaders is worth its while.
+FEW_PAIRS = 2
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -246,12 +248,13 @@ def link_components(docs: DataFrame, sketched: DataFrame, *, percent: int = PERC
     shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     members = written(bands.join(shared, "key", "left_semi").distinct().withColumn("component", F.col("doc_id")), "buckets")
     candidates = written(members.select("doc_id").distinct(), "candidates")
-    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(candidates, "doc_id", "left_semi")
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(candidates.hint("shuffle_hash"), "doc_id", "left_semi")
     texts = written(whole.groupBy("doc_id", F.xxhash64("text")).agg(F.first("text").alias("text")).select("doc_id", "text"), "candidate-texts")
     marks = written(filled.join(candidates, "doc_id", "left_semi").groupBy("doc_id", "set_a", "set_b").agg(F.first("sketch").alias("sketch")).select("doc_id", "sketch"), "candidate-sketches")
     side = lambda df, k, col: df.select(F.col("doc_id").alias(k), F.col(col).alias(f"{col}_{k}"))
 
     links = tested = None
+    n_candidates, alike = candidates.count(), 1.0
     components = docs.sparkSession.createDataFrame([], "node long, component long")
     for round_ in range(LEADER_ROUNDS + 1):
         total, across = 0, 0
@@ -264,15 +267,18 @@ def link_components(docs: DataFrame, sketched: DataFrame, *, percent: int = PERC
             total, across = of_component.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()
             if not total:
                 break
-        last = round_ > 0 and (round_ == LEADER_ROUNDS or across <= TILE * total)
+        # of the pairs that are left as large a share is likely to agree as of those with the last leaders
+        last = round_ > 0 and (round_ == LEADER_ROUNDS or float(across) * alike <= FEW_PAIRS * n_candidates)
         if last:
             tried = _across(_tiles(members.join(marks, "doc_id")))
         else:
-            pairs = _leaders(members, round_)
+            pairs = written(_leaders(members, round_), f"pairs-{round_}")
             tried = _agreeing(pairs.join(side(marks, "a", "sketch"), "a").join(side(marks, "b", "sketch"), "b").select("a", "b", "sketch_a", "sketch_b"))
         if tested is not None:
             tried = tried.join(tested, ["a", "b"], "left_anti")
         tried = written(tried, f"tried-{round_}")
+        if not last:
+            alike = tried.count() / max(1, pairs.count())
         full = tried.join(side(texts, "b", "text"), "b").join(side(texts, "a", "text"), "a").select("a", "b", "text_a", "text_b")
         found = written(_intersected(full, percent), f"links-{round_}")
         links = found if links is None else links.unionByName(found)
@@ -299,7 +305,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def keep_first(docs: DataFrame) -> DataFrame:
     """One document of each component, whole rows: the one with the least id."""
     gone = written(near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct(), "duplicates")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
