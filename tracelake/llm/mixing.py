@@ -148,7 +148,7 @@ def mix_documents(docs: DataFrame) -> DataFrame:
         parts = F.filter("mix_parts", lambda p: p["times"] >= times)
         return F.array_join(F.flatten(F.transform(parts, lambda p: F.slice(F.col("mix_words"), (p["first"] + 1).cast("int"), p["words"].cast("int")))), " ")
 
-    joined = docs.join(parts, "doc_id").withColumn("mix_words", words)
+    joined = docs.join(parts.hint("shuffle_hash"), "doc_id").withColumn("mix_words", words)
     size = F.size("mix_words")
     first = F.when(F.col("mix_once") == size, F.col("text")).otherwise(taken(1))
     second = F.when(F.col("mix_twice") == 0, F.lit(None)).when(F.col("mix_twice") == size, F.col("text")).otherwise(taken(2))
