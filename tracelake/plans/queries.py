@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import scalars
 from tracelake.functions.filters import filtered, sort_columns
-from tracelake.operators import calls, claims, graph, incremental, schema_timeline, search, text_metrics, timing, trees, usage
+from tracelake.operators import calls, claims, graph, incremental, kg_payload, schema_timeline, search, summaries, text_metrics, timing, trees, usage
+from tracelake.sources import sinks
 from tracelake.sources import tables as T
 
 #: The moment that look-backs count from: the tables are of January 2024.
@@ -467,6 +468,60 @@ def endpoint_templates(spark, d):
     return T.table(spark, d, "pages").groupBy(scalars.endpoint_template(F.col("url")).alias("template")).agg(F.count(F.lit(1)).alias("n_pages"))
 
 
+@query("context_sizing", f"WITH {_EV} SELECT model_id, count(*) AS n, quantile_cont(output_tokens, 0.5) AS p50, quantile_cont(output_tokens, 0.9) AS p90, quantile_cont(output_tokens, 0.99) AS p99, round(avg(CASE WHEN output_tokens <= 500 THEN 1.0 ELSE 0.0 END) * 100, 2) AS fits_500, round(avg(CASE WHEN output_tokens <= 2000 THEN 1.0 ELSE 0.0 END) * 100, 2) AS fits_2000 FROM ev GROUP BY 1")
+def context_sizing(spark, d):
+    return sinks.fitting_share(T.session_events(spark, d), "model_id", "output_tokens", [500, 2000])
+
+
+@query("session_models", f"WITH {_EV} SELECT session_id, model_id FROM ev WHERE call_type = 'skill' UNION SELECT session_id, model_id FROM ev WHERE msg_kind = 'assistant_text'")
+def session_models(spark, d):
+    e = T.session_events(spark, d)
+    return e.where("msg_kind = 'human'").select("session_id", "model_id").unionByName(e.where("msg_kind = 'assistant_text'").select("session_id", "model_id")).distinct()
+
+
+@query("scopes_touched", f"WITH {_EV}, {_SCOPES} SELECT DISTINCT project_id FROM up WHERE scope IN ('clients/g0', 'play')")
+def scopes_touched(spark, d):
+    chain = T.project_scopes(spark, d).withColumn("chain", scalars.ancestors(F.col("scope")))
+    return chain.where(F.arrays_overlap("chain", F.array(F.lit("clients/g0"), F.lit("play")))).select("project_id").distinct()
+
+
+@query("session_totals", f"WITH {_EV} SELECT project_id, count(*) FILTER (WHERE NOT is_sidechain) AS n_main, count(*) FILTER (WHERE is_sidechain) AS n_side, count(DISTINCT agent_id) AS n_agents, count(DISTINCT session_id) AS n_sessions, round(sum(cost_usd), 8) AS cost_usd, round(sum(output_tokens) * 1.0 / count(DISTINCT session_id), 4) AS tokens_per_session FROM ev GROUP BY 1")
+def session_totals(spark, d):
+    e = T.session_events(spark, d)
+    side = F.col("is_sidechain")
+    grouped = e.groupBy("project_id").agg(F.count_if(~side).alias("n_main"), F.count_if(side).alias("n_side"), F.countDistinct("agent_id").alias("n_agents"), F.countDistinct("session_id").alias("n_sessions"), F.round(F.sum("cost_usd"), 8).alias("cost_usd"), F.sum("output_tokens").alias("tokens"))
+    return grouped.withColumn("tokens_per_session", F.round(F.col("tokens") / F.col("n_sessions"), 4)).drop("tokens")
+
+
+@query("dominant_types", f"WITH {_EV}, c AS (SELECT call_name AS name, call_type AS type, count(*) AS n FROM ev GROUP BY 1, 2) SELECT name, type, mentions FROM (SELECT *, CAST(sum(n) OVER (PARTITION BY name) AS BIGINT) AS mentions, row_number() OVER (PARTITION BY name ORDER BY n DESC, type) AS rn FROM c) WHERE rn = 1")
+def dominant_types(spark, d):
+    return kg_payload.dominant_types(T.session_calls(spark, d).select(F.col("call_name").alias("name"), F.col("call_type").alias("type")))
+
+
+@query("scope_summaries")
+def scope_summaries(spark, d):
+    made = claims.summarise(claims.session_texts(_conversation_events(spark, d)), claims.lead_engine, "lead")
+    scopes = T.project_scopes(spark, d)
+    rows = made.join(F.broadcast(scopes), "project_id").select("session_id", "content_hash", "scope", F.lit("all").alias("bucket"), "summary")
+    return summaries.roll_up(rows, "strict", claims.lead_engine).select("scope", "bucket", "child_count", "source_hash")
+
+
+def _conversation_events(spark, d):
+    c = T.table(spark, d, "conversations")
+    return c.select(F.concat(F.lit("p"), (F.col("conv_id") % 10).cast("string")).alias("project_id"), F.col("conv_id").cast("string").alias("session_id"), F.timestamp_seconds("turn").alias("ts"), F.col("turn").alias("event_key"), F.when(F.col("role") == "user", "human").otherwise("other").alias("msg_kind"), F.col("text").alias("message_content"))
+
+
+@query("graph_selection")
+def graph_selection(spark, d):
+    return kg_payload.selection(_graph(spark, d), top=10, max_depth=1, min_degree=3).select("node", "degree", F.round("node_betweenness", 4).alias("node_betweenness"), F.round("edge_betweenness", 4).alias("edge_betweenness"))
+
+
+@query("entity_mentions")
+def entity_mentions(spark, d):
+    pieces = search.chunks(T.table(spark, d, "pages"), "page_id", "html").withColumn("chunk_id", F.concat_ws("-", "page_id", "nth"))
+    return kg_payload.dominant_types(kg_payload.entities(pieces))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
