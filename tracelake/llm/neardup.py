@@ -13,7 +13,7 @@ with a probability equal to the similarity, concentrated like independent draws.
 pair shares no bucket with probability (1 - 0.75**5)**40 = 2e-5.
 
 *Verification.* Documents with equal sets are one class. In each bucket all members are compared
-with one leader, not with each other; then components are formed, buckets within one component are
+with two leaders, not with each other; then components are formed, buckets within one component are
 done, and the others try new leaders. Once few pairs across components that may agree are left,
 the sketches of all of them are compared, a tile of members with a tile at a time. A pair whose sketches agree in so few coordinates that
 it is six standard deviations below the limit is not linked; every other pair's full sets are intersected.
@@ -48,7 +48,7 @@ LEADER_ROUNDS = 8
 TILE = 64
 #: With no more pairs across components that are likely to agree than this for each candidate document, no other
 #: round of leaders is worth its while.
-FEW_PAIRS = 2
+FEW_PAIRS = 8
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -188,12 +188,12 @@ def _intersected(pairs: DataFrame, percent: int) -> DataFrame:
 
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, component) of every node with a link; the component is its least node. Stars are moved to smaller hubs until none moves."""
-    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v"), "edges")
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         hubs = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("hub"))
-        large = both.where("v > u").join(hubs, "u").select(F.col("v").alias("u"), F.col("hub").alias("v")).distinct()
+        large = both.where("v > u").join(hubs, "u").select(F.col("v").alias("u"), F.col("hub").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("hub"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("hub").alias("v")), F.struct(F.col("v").alias("u"), F.col("hub").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         edges = written(small, "edges")
@@ -205,11 +205,12 @@ def connected_components(links: DataFrame) -> DataFrame:
 
 
 def _leaders(members: DataFrame, round_: int) -> DataFrame:
-    """(a, b) of every bucket member and its bucket's leader, those of one component left out."""
-    rank = F.col("doc_id") if round_ == 0 else F.xxhash64(F.lit(round_), "key", "doc_id")
-    lead = members.groupBy("key").agg(F.min(F.struct(rank.alias("rank"), "doc_id", "component")).alias("lead")).select("key", F.col("lead.doc_id").alias("leader"), F.col("lead.component").alias("lead_component"))
-    met = members.join(lead, "key").where("component <> lead_component")
-    return met.select(F.least("leader", "doc_id").alias("a"), F.greatest("leader", "doc_id").alias("b")).distinct()
+    """(a, b) of every bucket member with two leaders of its bucket, the least and a pseudorandom one, those of one component left out."""
+    rank = F.xxhash64(F.lit(round_), "key", "doc_id")
+    lead = members.groupBy("key").agg(F.min(F.struct("doc_id", "component")).alias("one"), F.min(F.struct(rank.alias("rank"), "doc_id", "component")).alias("two"))
+    both = lead.select("key", F.array(F.col("one"), F.struct(F.col("two.doc_id").alias("doc_id"), F.col("two.component").alias("component"))).alias("leads"))
+    met = members.join(both, "key").select("doc_id", "component", F.explode("leads").alias("lead")).where("component <> lead.component")
+    return met.select(F.least("lead.doc_id", "doc_id").alias("a"), F.greatest("lead.doc_id", "doc_id").alias("b")).distinct()
 
 
 def _tiles(members: DataFrame) -> DataFrame:
@@ -253,20 +254,21 @@ def link_components(docs: DataFrame, sketched: DataFrame, *, percent: int = PERC
     marks = written(filled.join(candidates, "doc_id", "left_semi").groupBy("doc_id", "set_a", "set_b").agg(F.first("sketch").alias("sketch")).select("doc_id", "sketch"), "candidate-sketches")
     side = lambda df, k, col: df.select(F.col("doc_id").alias(k), F.col(col).alias(f"{col}_{k}"))
 
-    links = tested = None
+    tested = None
     n_candidates, alike = candidates.count(), 1.0
     components = docs.sparkSession.createDataFrame([], "node long, component long")
     for round_ in range(LEADER_ROUNDS + 1):
-        total, across = 0, 0
+        across = 0
         if round_:
             members = members.drop("component").join(components.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
             members = written(members, f"labelled-{round_}")
-            split = members.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("key")
-            members = written(members.join(split, "key", "left_semi"), f"members-{round_}")
-            of_component = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
-            total, across = of_component.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()
-            if not total:
+            # of a bucket: members n, the pairs of them across components, from the sizes of its components
+            sizes = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
+            split = written(sizes.withColumn("across", (F.col("n") * F.col("n") - F.col("same")) / 2).where("across > 0").select("key", "across"), f"split-{round_}")
+            across = split.agg(F.sum("across")).first()[0] or 0
+            if not across:
                 break
+            members = members.join(split.select("key"), "key", "left_semi")
         # of the pairs that are left as large a share is likely to agree as of those with the last leaders
         last = round_ > 0 and (round_ == LEADER_ROUNDS or float(across) * alike <= FEW_PAIRS * n_candidates)
         if last:
@@ -281,10 +283,9 @@ def link_components(docs: DataFrame, sketched: DataFrame, *, percent: int = PERC
             alike = tried.count() / max(1, pairs.count())
         full = tried.join(side(texts, "b", "text"), "b").join(side(texts, "a", "text"), "a").select("a", "b", "text_a", "text_b")
         found = written(_intersected(full, percent), f"links-{round_}")
-        links = found if links is None else links.unionByName(found)
         tested = tried if tested is None else tested.unionByName(tried)
         if not found.isEmpty():
-            components = connected_components(links)
+            components = connected_components(found.unionByName(components.select(F.col("node").alias("a"), F.col("component").alias("b"))))
         if last:
             break
     return components.select(F.col("node").alias("rep"), "component")
