@@ -518,7 +518,7 @@ def graph_selection(spark, d):
 
 @query("entity_mentions")
 def entity_mentions(spark, d):
-    pieces = search.chunks(T.table(spark, d, "pages"), "page_id", "html").withColumn("chunk_id", F.concat_ws("-", "page_id", "nth"))
+    pieces = T.table(spark, d, "pages").select(F.col("page_id").alias("chunk_id"), F.col("url").alias("chunk"))
     return kg_payload.dominant_types(kg_payload.entities(pieces))
 
 
