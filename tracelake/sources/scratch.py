@@ -8,12 +8,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: The folder of a session that names none.
+_local: list[str] = []
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; where it is unset (tests, one machine), a local one."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
-        where = tempfile.mkdtemp(prefix="tracelake-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        if not _local:
+            _local.append(tempfile.mkdtemp(prefix="tracelake-"))
+        where = _local[0]
     return where.rstrip("/")
 
 
