@@ -254,7 +254,7 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int =
 
 def digest(found: DataFrame) -> DataFrame:
     """The contract's columns of op1, from ``find_contamination``."""
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), is_contaminated().alias("contaminated"), "longest")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), is_contaminated().alias("contaminated"))
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,10 +87,10 @@ def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     is_short[at[shorts]] = True
     out[~is_short] = hashes[whole]
     for d in shorts.tolist():
-        h = np.uint64(counts[d]) * _TURN[0]
-        for w in words[first[d] : first[d + 1]]:
-            h = mix64(np.array([h * _TURN[1] + w + np.uint64(1)], np.uint64))[0]
-        out[at[d]] = h
+        h = np.array([counts[d]], np.uint64) * _TURN[0]
+        for k in range(first[d], first[d + 1]):
+            h = mix64(h * _TURN[1] + words[k : k + 1] + np.uint64(1))
+        out[at[d]] = h[0]
     for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
         if b - a > 1:
             out[a:b].sort()
@@ -110,7 +110,7 @@ def sketches(hashes: np.ndarray, at: np.ndarray, size: int = COORDINATES) -> np.
     for i in range(2 * size):
         if not len(hashes):
             break
-        v = mix64(hashes + np.uint64(i + 1) * _TURN[2])
+        v = mix64(hashes + np.uint64((i + 1) * int(_TURN[2]) % (1 << 64)))
         place = owner * size + ((v >> np.uint64(48)) * np.uint64(size) >> np.uint64(16)).astype(np.int64) if i < size else owner * size + (i - size)
         np.minimum.at(out, place, np.uint64(i << 48) | (v & low))
         open_ = (out.reshape(n, size) == empty).any(axis=1)
