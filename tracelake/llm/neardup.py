@@ -13,7 +13,7 @@ with a probability equal to the similarity, concentrated like independent draws.
 pair shares no bucket with probability (1 - 0.75**5)**40 = 2e-5.
 
 *Verification.* Documents with equal sets are one class. In each bucket all members are compared
-with two leaders, not with each other; then components are formed, buckets within one component are
+with two leaders, not with each other; then linked members take their leaders' labels, buckets of one label are
 done, and the others try new leaders. Once few pairs across components that may agree are left,
 the sketches of all of them are compared, a tile of members with a tile at a time. A pair whose sketches agree in so few coordinates that
 it is six standard deviations below the limit is not linked; every other pair's full sets are intersected.
@@ -204,6 +204,13 @@ def connected_components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def _nearby(links: DataFrame) -> DataFrame:
+    """(node, component): the least of a linked node's neighbours' least neighbours. A part of a component, all of it where a leader links with most."""
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "nearby")
+    return least.join(least.select(F.col("node").alias("component"), F.col("component").alias("above")), "component", "left").select("node", F.coalesce("above", "component").alias("component"))
+
+
 def _leaders(members: DataFrame, round_: int) -> DataFrame:
     """(a, b) of every bucket member with two leaders of its bucket, the least and a pseudorandom one, those of one component left out."""
     rank = F.xxhash64(F.lit(round_), "key", "doc_id")
@@ -246,15 +253,15 @@ def link_components(docs: DataFrame, sketched: DataFrame, *, percent: int = PERC
     filled = sketched.where("n_shingles > 0")
     reps = filled.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     bands = filled.join(reps, "doc_id", "left_semi").select("doc_id", F.explode("bands").alias("key"))
-    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    members = written(bands.join(shared, "key", "left_semi").distinct().withColumn("component", F.col("doc_id")), "buckets")
+    shared = bands.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("key")
+    members = written(bands.join(shared, "key", "left_semi").withColumn("component", F.col("doc_id")), "buckets")
     candidates = written(members.select("doc_id").distinct(), "candidates")
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(candidates.hint("shuffle_hash"), "doc_id", "left_semi")
     texts = written(whole.groupBy("doc_id", F.xxhash64("text")).agg(F.first("text").alias("text")).select("doc_id", "text"), "candidate-texts")
     marks = written(filled.join(candidates, "doc_id", "left_semi").groupBy("doc_id", "set_a", "set_b").agg(F.first("sketch").alias("sketch")).select("doc_id", "sketch"), "candidate-sketches")
     side = lambda df, k, col: df.select(F.col("doc_id").alias(k), F.col(col).alias(f"{col}_{k}"))
 
-    tested = None
+    links = tested = None
     n_candidates, alike = candidates.count(), 1.0
     components = docs.sparkSession.createDataFrame([], "node long, component long")
     for round_ in range(LEADER_ROUNDS + 1):
@@ -284,10 +291,11 @@ def link_components(docs: DataFrame, sketched: DataFrame, *, percent: int = PERC
         full = tried.join(side(texts, "b", "text"), "b").join(side(texts, "a", "text"), "a").select("a", "b", "text_a", "text_b")
         found = written(_intersected(full, percent), f"links-{round_}")
         tested = tried if tested is None else tested.unionByName(tried)
-        if not found.isEmpty():
-            components = connected_components(found.unionByName(components.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+        links = found if links is None else links.unionByName(found)
         if last:
             break
+        components = _nearby(links)
+    components = connected_components(links)
     return components.select(F.col("node").alias("rep"), "component")
 
 
