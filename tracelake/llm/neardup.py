@@ -13,7 +13,7 @@ with a probability equal to the similarity, concentrated like independent draws.
 pair shares no bucket with probability (1 - 0.75**5)**40 = 2e-5.
 
 *Verification.* Documents with equal sets are one class. In each bucket all members are compared
-with two leaders, not with each other; then linked members take their leaders' labels, buckets of one label are
+with a few leaders, not with each other; then linked members take their leaders' labels, buckets of one label are
 done, and the others try new leaders. Once few pairs across components that may agree are left,
 the sketches of all of them are compared, a tile of members with a tile at a time. A pair whose sketches agree in so few coordinates that
 it is six standard deviations below the limit is not linked; every other pair's full sets are intersected.
@@ -42,6 +42,8 @@ ROWS = 5
 COORDINATES = BANDS * ROWS
 #: Coordinates that a pair at the limit agrees in, less six standard deviations.
 LEAST_AGREED = int(COORDINATES * PERCENT / 100 - 6 * (COORDINATES * PERCENT / 100 * (1 - PERCENT / 100)) ** 0.5)
+#: Leaders that a bucket's members are compared with in one round.
+LEADERS = 3
 #: Rounds of leaders, at most, before the pairs across components that are left are all compared.
 LEADER_ROUNDS = 8
 #: Bucket members whose sketches are compared in one go.
@@ -212,11 +214,13 @@ def _nearby(links: DataFrame) -> DataFrame:
 
 
 def _leaders(members: DataFrame, round_: int) -> DataFrame:
-    """(a, b) of every bucket member with two leaders of its bucket, the least and a pseudorandom one, those of one component left out."""
-    rank = F.xxhash64(F.lit(round_), "key", "doc_id")
-    lead = members.groupBy("key").agg(F.min(F.struct("doc_id", "component")).alias("one"), F.min(F.struct(rank.alias("rank"), "doc_id", "component")).alias("two"))
-    both = lead.select("key", F.array(F.col("one"), F.struct(F.col("two.doc_id").alias("doc_id"), F.col("two.component").alias("component"))).alias("leads"))
-    met = members.join(both, "key").select("doc_id", "component", F.explode("leads").alias("lead")).where("component <> lead.component")
+    """(a, b) of every bucket member with the leaders of its bucket, those of one component left out.
+
+    Leaders are first by the round's rankings of all documents, so buckets of one group share most of theirs.
+    """
+    firsts = [F.min(F.struct(F.xxhash64(F.lit(LEADERS * round_ + k), "doc_id").alias("rank"), "doc_id", "component")) for k in range(LEADERS)]
+    lead = members.groupBy("key").agg(F.array(*firsts).alias("leads"))
+    met = members.join(lead, "key").select("doc_id", "component", F.explode("leads").alias("lead")).where("component <> lead.component")
     return met.select(F.least("lead.doc_id", "doc_id").alias("a"), F.greatest("lead.doc_id", "doc_id").alias("b")).distinct()
 
 
