@@ -12,11 +12,11 @@ with a probability equal to the similarity, concentrated like independent draws.
 *Banding.* ``BANDS`` bands of ``ROWS`` coordinates are hashed to bucket keys; at similarity 0.75 a
 pair shares no bucket with probability (1 - 0.75**5)**40 = 2e-5.
 
-*Verification.* Documents with equal sets are one class. In each bucket all members are compared
-with two leaders, not with each other; then linked members take their leaders' labels, buckets of one label are
+*Verification.* Documents with equal sets are one class. In a share of the buckets, then in all, members are
+compared with two leaders, not with each other; links make components, buckets of one component are
 done, and the others try new leaders. Once few pairs across components that may agree are left,
 the sketches of all of them are compared, a tile of members with a tile at a time. A pair whose sketches agree in so few coordinates that
-it is six standard deviations below the limit is not linked; every other pair's full sets are intersected.
+it is five standard deviations below the limit, or whose sizes are too far apart, is not linked; every other pair's full sets are intersected.
 
 Defined cases: null and blank texts have an empty set, are linked with nothing and kept. Repeated
 rows get a result row each; rows that repeat a ``doc_id`` with other texts are one node with the
@@ -40,13 +40,15 @@ PERCENT = 75
 BANDS = 40
 ROWS = 5
 COORDINATES = BANDS * ROWS
-#: Coordinates that a pair at the limit agrees in, less six standard deviations.
-LEAST_AGREED = int(COORDINATES * PERCENT / 100 - 6 * (COORDINATES * PERCENT / 100 * (1 - PERCENT / 100)) ** 0.5)
+#: Coordinates that a pair at the limit agrees in, less five standard deviations (a linked pair has fewer with a probability of 3e-7).
+LEAST_AGREED = int(COORDINATES * PERCENT / 100 - 5 * (COORDINATES * PERCENT / 100 * (1 - PERCENT / 100)) ** 0.5)
+#: The first round takes one bucket in so many; what it joins leaves later rounds little to compare.
+FIRST_SHARE = 5
 #: Rounds of leaders, at most, before the pairs across components that are left are all compared.
 LEADER_ROUNDS = 8
 #: Bucket members whose sketches are compared in one go.
 TILE = 64
-#: With no more pairs across components that are likely to agree than this for each candidate document, no other
+#: With no more pairs across components that are likely to be linked than this for each candidate document, no other
 #: round of leaders is worth its while.
 FEW_PAIRS = 8
 
@@ -148,14 +150,19 @@ def sketch_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SKETCH_SCHEMA)
 
 
-def _agreeing(pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b, sketch_a, sketch_b) that agree in enough coordinates to be tried."""
+def _sizes_near(one, two, percent: int):
+    """Whether sets of these sizes can be similar enough: an intersection is no larger than the smaller set, a union no smaller than the larger."""
+    return 100 * np.minimum(one, two) >= percent * np.maximum(one, two)
+
+
+def _agreeing(pairs: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, sketch_a, sketch_b, n_shingles_a, n_shingles_b) that agree in enough coordinates to be tried."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, COORDINATES) for k in (2, 3))
-                near = np.count_nonzero(one == two, axis=1) >= LEAST_AGREED
+                near = (np.count_nonzero(one == two, axis=1) >= LEAST_AGREED) & _sizes_near(batch.column(4).to_numpy(), batch.column(5).to_numpy(), percent)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(near))
 
     return pairs.mapInArrow(run, "a long, b long")
@@ -204,13 +211,6 @@ def connected_components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def _nearby(links: DataFrame) -> DataFrame:
-    """(node, component): the least of a linked node's neighbours' least neighbours. A part of a component, all of it where a leader links with most."""
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "nearby")
-    return least.join(least.select(F.col("node").alias("component"), F.col("component").alias("above")), "component", "left").select("node", F.coalesce("above", "component").alias("component"))
-
-
 def _leaders(members: DataFrame, round_: int) -> DataFrame:
     """(a, b) of every bucket member with two leaders of its bucket, the least and a pseudorandom one, those of one component left out."""
     rank = F.xxhash64(F.lit(round_), "key", "doc_id")
@@ -225,11 +225,11 @@ def _tiles(members: DataFrame) -> DataFrame:
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).select("key", F.ceil(F.col("n") / TILE).alias("tiles"))
     dealt = members.join(sizes, "key").withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("tiles")))
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-    rows = met.groupBy("key", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high")).agg(F.collect_list(F.struct("doc_id", "component", "sketch")).alias("met"))
+    rows = met.groupBy("key", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high")).agg(F.collect_list(F.struct("doc_id", "component", "n_shingles", "sketch")).alias("met"))
     return rows.where(F.size(F.array_distinct(F.transform("met", lambda m: m["component"]))) > 1).select("met")
 
 
-def _across(tiles: DataFrame) -> DataFrame:
+def _across(tiles: DataFrame, percent: int) -> DataFrame:
     """(a, b) of the pairs of a row's members in different components whose sketches agree enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,10 +237,10 @@ def _across(tiles: DataFrame) -> DataFrame:
             found: set[tuple[int, int]] = set()
             for row in batch.column(0):
                 met = row.values
-                ids, of = met.field("doc_id").to_numpy(), met.field("component").to_numpy()
+                ids, of, n = (met.field(k).to_numpy() for k in ("doc_id", "component", "n_shingles"))
                 marks = np.frombuffer(b"".join(met.field("sketch").to_pylist()), np.uint8).reshape(-1, COORDINATES)
                 for k in range(len(ids) - 1):
-                    near = (of[k + 1 :] != of[k]) & (np.count_nonzero(marks[k + 1 :] == marks[k], axis=1) >= LEAST_AGREED)
+                    near = (of[k + 1 :] != of[k]) & _sizes_near(n[k + 1 :], n[k], percent) & (np.count_nonzero(marks[k + 1 :] == marks[k], axis=1) >= LEAST_AGREED)
                     found.update((min(x, ids[k]), max(x, ids[k])) for x in ids[k + 1 :][near])
             pairs = sorted(found)
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], ["a", "b"])
@@ -258,10 +258,10 @@ def link_components(docs: DataFrame, sketched: DataFrame, *, percent: int = PERC
     candidates = written(members.select("doc_id").distinct(), "candidates")
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(candidates.hint("shuffle_hash"), "doc_id", "left_semi")
     texts = written(whole.groupBy("doc_id", F.xxhash64("text")).agg(F.first("text").alias("text")).select("doc_id", "text"), "candidate-texts")
-    marks = written(filled.join(candidates, "doc_id", "left_semi").groupBy("doc_id", "set_a", "set_b").agg(F.first("sketch").alias("sketch")).select("doc_id", "sketch"), "candidate-sketches")
-    side = lambda df, k, col: df.select(F.col("doc_id").alias(k), F.col(col).alias(f"{col}_{k}"))
+    marks = written(filled.join(candidates, "doc_id", "left_semi").groupBy("doc_id", "set_a", "set_b").agg(F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles")).select("doc_id", "sketch", "n_shingles"), "candidate-sketches")
+    side = lambda df, k, *cols: df.select(F.col("doc_id").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in cols))
 
-    links = tested = None
+    tested = None
     n_candidates, alike = candidates.count(), 1.0
     components = docs.sparkSession.createDataFrame([], "node long, component long")
     for round_ in range(LEADER_ROUNDS + 1):
@@ -276,26 +276,26 @@ def link_components(docs: DataFrame, sketched: DataFrame, *, percent: int = PERC
             if not across:
                 break
             members = members.join(split.select("key"), "key", "left_semi")
-        # of the pairs that are left as large a share is likely to agree as of those with the last leaders
+        # of the pairs that are left about as large a share is linked as of those with the last leaders
         last = round_ > 0 and (round_ == LEADER_ROUNDS or float(across) * alike <= FEW_PAIRS * n_candidates)
         if last:
-            tried = _across(_tiles(members.join(marks, "doc_id")))
+            tried = _across(_tiles(members.join(marks, "doc_id")), percent)
         else:
-            pairs = written(_leaders(members, round_), f"pairs-{round_}")
-            tried = _agreeing(pairs.join(side(marks, "a", "sketch"), "a").join(side(marks, "b", "sketch"), "b").select("a", "b", "sketch_a", "sketch_b"))
+            chosen = members if round_ else members.where(F.pmod("key", F.lit(FIRST_SHARE)) == 0)
+            pairs = written(_leaders(chosen, round_), f"pairs-{round_}")
+            met = pairs.join(side(marks, "a", "sketch", "n_shingles"), "a").join(side(marks, "b", "sketch", "n_shingles"), "b")
+            tried = _agreeing(met.select("a", "b", "sketch_a", "sketch_b", "n_shingles_a", "n_shingles_b"), percent)
         if tested is not None:
             tried = tried.join(tested, ["a", "b"], "left_anti")
         tried = written(tried, f"tried-{round_}")
-        if not last:
-            alike = tried.count() / max(1, pairs.count())
         full = tried.join(side(texts, "b", "text"), "b").join(side(texts, "a", "text"), "a").select("a", "b", "text_a", "text_b")
         found = written(_intersected(full, percent), f"links-{round_}")
+        if not last:
+            alike = found.count() / max(1, pairs.count())
         tested = tried if tested is None else tested.unionByName(tried)
-        links = found if links is None else links.unionByName(found)
+        components = connected_components(found.unionByName(components.select(F.col("node").alias("a"), F.col("component").alias("b"))))
         if last:
             break
-        components = _nearby(links)
-    components = connected_components(links)
     return components.select(F.col("node").alias("rep"), "component")
 
 
