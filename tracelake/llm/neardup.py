@@ -46,7 +46,7 @@ LEAST_AGREED = int(COORDINATES * PERCENT / 100 - 5 * (COORDINATES * PERCENT / 10
 FIRST_SHARE = 5
 #: Rounds of leaders, at most, before the pairs across components that are left are all compared.
 LEADER_ROUNDS = 8
-#: Bucket members whose sketches are compared in one go.
+#: Bucket members whose sketches are compared in one go, and documents whose texts are.
 TILE = 64
 #: With no more pairs across components that are likely to be linked than this for each candidate document, no other
 #: round of leaders is worth its while.
@@ -168,26 +168,27 @@ def _agreeing(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
+def _similar(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets are linked; empty ones are not."""
+    small, large = (one, two) if len(one) <= len(two) else (two, one)
+    if 100 * len(small) < percent * len(large) or not len(small):
+        return False
+    found = np.searchsorted(large, small)
+    both = int(np.count_nonzero(large[np.minimum(found, len(large) - 1)] == small))
+    return 100 * both >= percent * (len(one) + len(two) - both)
+
+
 def _intersected(pairs: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b, text_a, text_b) whose full sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in passes(batch, "text_b", 1 << 20):
-                a, b = part.column(0).to_pylist(), part.column(1).to_pylist()
-                texts = {**dict(zip(a, part.column(2).to_pylist(), strict=True)), **dict(zip(b, part.column(3).to_pylist(), strict=True))}
-                place = {d: k for k, d in enumerate(texts)}
-                hashes, at = shingle_sets(pa.array(list(texts.values()), pa.string()))
-                keep = []
-                for x, y in zip(a, b, strict=True):
-                    one, two = hashes[at[place[x]] : at[place[x] + 1]], hashes[at[place[y]] : at[place[y] + 1]]
-                    small, large = (one, two) if len(one) <= len(two) else (two, one)
-                    if 100 * len(small) < percent * len(large) or not len(small):
-                        keep.append(False)
-                        continue
-                    found = np.searchsorted(large, small)
-                    both = int(np.count_nonzero(large[np.minimum(found, len(large) - 1)] == small))
-                    keep.append(100 * both >= percent * (len(one) + len(two) - both))
+                one, two = part.column(2).to_pylist(), part.column(3).to_pylist()
+                place = {t: k for k, t in enumerate(dict.fromkeys(one + two))}
+                hashes, at = shingle_sets(pa.array(list(place), pa.string()))
+                sets = {t: hashes[at[k] : at[k + 1]] for t, k in place.items()}
+                keep = [_similar(sets[x], sets[y], percent) for x, y in zip(one, two, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.mapInArrow(run, "a long, b long")
@@ -225,27 +226,59 @@ def _tiles(members: DataFrame) -> DataFrame:
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).select("key", F.ceil(F.col("n") / TILE).alias("tiles"))
     dealt = members.join(sizes, "key").withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("tiles")))
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-    rows = met.groupBy("key", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high")).agg(F.collect_list(F.struct("doc_id", "component", "n_shingles", "sketch")).alias("met"))
+    rows = met.groupBy("key", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high")).agg(F.collect_list(F.struct("doc_id", "component", "n_shingles", "sketch", "block")).alias("met"))
     return rows.where(F.size(F.array_distinct(F.transform("met", lambda m: m["component"]))) > 1).select("met")
 
 
+def _blocks(members: DataFrame) -> DataFrame:
+    """(doc_id, block) of bucket members (doc_id, top): about a tile of documents a block, those by the same large component together."""
+    home = members.groupBy("doc_id").agg(F.max("top").getField("component").alias("home"))
+    sizes = home.groupBy("home").agg(F.count(F.lit(1)).alias("n"))
+    return home.join(sizes, "home").select("doc_id", F.xxhash64("home", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / TILE))).alias("block"))
+
+
 def _across(tiles: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of the pairs of a row's members in different components whose sketches agree enough."""
+    """(a, b, block_a, block_b) of the pairs of a row's members in different components whose sketches agree enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: set[tuple[int, int]] = set()
+            found: dict[tuple[int, int], tuple[int, int]] = {}
             for row in batch.column(0):
                 met = row.values
-                ids, of, n = (met.field(k).to_numpy() for k in ("doc_id", "component", "n_shingles"))
+                ids, of, n, block = (met.field(k).to_numpy() for k in ("doc_id", "component", "n_shingles", "block"))
                 marks = np.frombuffer(b"".join(met.field("sketch").to_pylist()), np.uint8).reshape(-1, COORDINATES)
                 for k in range(len(ids) - 1):
                     near = (of[k + 1 :] != of[k]) & _sizes_near(n[k + 1 :], n[k], percent) & (np.count_nonzero(marks[k + 1 :] == marks[k], axis=1) >= LEAST_AGREED)
-                    found.update((min(x, ids[k]), max(x, ids[k])) for x in ids[k + 1 :][near])
+                    for j in (np.flatnonzero(near) + k + 1).tolist():
+                        one, two = (k, j) if ids[k] <= ids[j] else (j, k)
+                        found[(ids[one], ids[two])] = (block[one], block[two])
             pairs = sorted(found)
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], ["a", "b"])
+            columns = ([x for x, _ in pairs], [y for _, y in pairs], [found[p][0] for p in pairs], [found[p][1] for p in pairs])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "block_a", "block_b"])
+
+    return tiles.mapInArrow(run, "a long, b long, block_a long, block_b long").distinct()
+
+
+def _intersected_by_block(tried: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, block_a, block_b) whose full sets are similar enough; a text goes to each two blocks with pairs of it once, not to each pair."""
+    keys = ("block_a", "block_b")
+    pairs = tried.groupBy(*keys).agg(F.collect_list(F.struct("a", "b")).alias("pairs"))
+    who = tried.select(*keys, F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    what = who.join(texts, "doc_id").groupBy(*keys).agg(F.collect_list(F.struct("doc_id", "text")).alias("texts"))
 
-    return tiles.mapInArrow(run, "a long, b long").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                met, two = batch.column(1)[k].values, batch.column(0)[k].values
+                ids = met.field("doc_id").to_pylist()
+                hashes, at = shingle_sets(met.field("text"))
+                places: dict[int, list[int]] = {}
+                for place, d in enumerate(ids):
+                    places.setdefault(d, []).append(place)
+                kept = [(x, y) for x, y in zip(two.field("a").to_pylist(), two.field("b").to_pylist(), strict=True) if any(_similar(hashes[at[p] : at[p + 1]], hashes[at[q] : at[q + 1]], percent) for p in places[x] for q in places[y])]
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in kept], pa.int64()), pa.array([y for _, y in kept], pa.int64())], ["a", "b"])
+
+    return pairs.join(what, list(keys)).select("pairs", "texts").mapInArrow(run, "a long, b long")
 
 
 def link_components(docs: DataFrame, sketched: DataFrame, *, percent: int = PERCENT) -> DataFrame:
@@ -267,19 +300,19 @@ def link_components(docs: DataFrame, sketched: DataFrame, *, percent: int = PERC
     for round_ in range(LEADER_ROUNDS + 1):
         across = 0
         if round_:
-            members = members.drop("component").join(components.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+            members = members.select("key", "doc_id").join(components.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
             members = written(members, f"labelled-{round_}")
             # of a bucket: members n, the pairs of them across components, from the sizes of its components
-            sizes = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
-            split = written(sizes.withColumn("across", (F.col("n") * F.col("n") - F.col("same")) / 2).where("across > 0").select("key", "across"), f"split-{round_}")
+            sizes = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"), F.max(F.struct("n", "component")).alias("top"))
+            split = written(sizes.withColumn("across", (F.col("n") * F.col("n") - F.col("same")) / 2).where("across > 0").select("key", "across", "top"), f"split-{round_}")
             across = split.agg(F.sum("across")).first()[0] or 0
             if not across:
                 break
-            members = members.join(split.select("key"), "key", "left_semi")
+            members = members.join(split.select("key", "top"), "key")
         # of the pairs that are left about as large a share is linked as of those with the last leaders
         last = round_ > 0 and (round_ == LEADER_ROUNDS or float(across) * alike <= FEW_PAIRS * n_candidates)
         if last:
-            tried = _across(_tiles(members.join(marks, "doc_id")), percent)
+            tried = _across(_tiles(members.join(marks, "doc_id").join(_blocks(members), "doc_id")), percent)
         else:
             chosen = members if round_ else members.where(F.pmod("key", F.lit(FIRST_SHARE)) == 0)
             pairs = written(_leaders(chosen, round_), f"pairs-{round_}")
@@ -288,14 +321,17 @@ def link_components(docs: DataFrame, sketched: DataFrame, *, percent: int = PERC
         if tested is not None:
             tried = tried.join(tested, ["a", "b"], "left_anti")
         tried = written(tried, f"tried-{round_}")
-        full = tried.join(side(texts, "b", "text"), "b").join(side(texts, "a", "text"), "a").select("a", "b", "text_a", "text_b")
-        found = written(_intersected(full, percent), f"links-{round_}")
-        if not last:
-            alike = found.count() / max(1, pairs.count())
-        tested = tried if tested is None else tested.unionByName(tried)
+        if last:
+            found = _intersected_by_block(tried, texts, percent)
+        else:
+            full = tried.join(side(texts, "b", "text"), "b").join(side(texts, "a", "text"), "a").select("a", "b", "text_a", "text_b")
+            found = _intersected(full, percent)
+        found = written(found, f"links-{round_}")
         components = connected_components(found.unionByName(components.select(F.col("node").alias("a"), F.col("component").alias("b"))))
         if last:
             break
+        alike = found.count() / max(1, pairs.count())
+        tested = tried if tested is None else tested.unionByName(tried)
     return components.select(F.col("node").alias("rep"), "component")
 
 
