@@ -237,12 +237,15 @@ def _blocks(members: DataFrame) -> DataFrame:
     return home.join(sizes, "home").select("doc_id", F.xxhash64("home", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / TILE))).alias("block"))
 
 
+_BLOCK_PAIRS = pa.schema([("block_a", pa.int64()), ("block_b", pa.int64()), ("pairs", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))])
+
+
 def _across(tiles: DataFrame, percent: int) -> DataFrame:
-    """(a, b, block_a, block_b) of the pairs of a row's members in different components whose sketches agree enough."""
+    """(block_a, block_b, pairs) of the pairs (a, b) of a row's members in different components whose sketches agree enough, by their blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: dict[tuple[int, int], tuple[int, int]] = {}
+            found: dict[tuple[int, int], set[tuple[int, int]]] = {}
             for row in batch.column(0):
                 met = row.values
                 ids, of, n, block = (met.field(k).to_numpy() for k in ("doc_id", "component", "n_shingles", "block"))
@@ -251,19 +254,17 @@ def _across(tiles: DataFrame, percent: int) -> DataFrame:
                     near = (of[k + 1 :] != of[k]) & _sizes_near(n[k + 1 :], n[k], percent) & (np.count_nonzero(marks[k + 1 :] == marks[k], axis=1) >= LEAST_AGREED)
                     for j in (np.flatnonzero(near) + k + 1).tolist():
                         one, two = (k, j) if ids[k] <= ids[j] else (j, k)
-                        found[(ids[one], ids[two])] = (block[one], block[two])
-            pairs = sorted(found)
-            columns = ([x for x, _ in pairs], [y for _, y in pairs], [found[p][0] for p in pairs], [found[p][1] for p in pairs])
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "block_a", "block_b"])
+                        found.setdefault((block[one], block[two]), set()).add((ids[one], ids[two]))
+            yield pa.RecordBatch.from_pylist([{"block_a": x, "block_b": y, "pairs": [{"a": a, "b": b} for a, b in sorted(p)]} for (x, y), p in found.items()], _BLOCK_PAIRS)
 
-    return tiles.mapInArrow(run, "a long, b long, block_a long, block_b long").distinct()
+    return tiles.mapInArrow(run, "block_a long, block_b long, pairs array<struct<a: long, b: long>>")
 
 
 def _intersected_by_block(tried: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, block_a, block_b) whose full sets are similar enough; a text goes to each two blocks with pairs of it once, not to each pair."""
+    """Of (block_a, block_b, pairs) the pairs whose full sets are similar enough; a text goes to each two blocks with pairs of it once, not to each pair."""
     keys = ("block_a", "block_b")
-    pairs = tried.groupBy(*keys).agg(F.collect_list(F.struct("a", "b")).alias("pairs"))
-    who = tried.select(*keys, F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    pairs = tried.groupBy(*keys).agg(F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
+    who = tried.select(*keys, F.explode(F.array_union(F.col("pairs.a"), F.col("pairs.b"))).alias("doc_id")).distinct()
     what = who.join(texts, "doc_id").groupBy(*keys).agg(F.collect_list(F.struct("doc_id", "text")).alias("texts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,7 +319,7 @@ def link_components(docs: DataFrame, sketched: DataFrame, *, percent: int = PERC
             pairs = written(_leaders(chosen, round_), f"pairs-{round_}")
             met = pairs.join(side(marks, "a", "sketch", "n_shingles"), "a").join(side(marks, "b", "sketch", "n_shingles"), "b")
             tried = _agreeing(met.select("a", "b", "sketch_a", "sketch_b", "n_shingles_a", "n_shingles_b"), percent)
-        if tested is not None:
+        if tested is not None and not last:
             tried = tried.join(tested, ["a", "b"], "left_anti")
         tried = written(tried, f"tried-{round_}")
         if last:
