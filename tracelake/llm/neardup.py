@@ -46,8 +46,10 @@ LEAST_AGREED = int(COORDINATES * PERCENT / 100 - 5 * (COORDINATES * PERCENT / 10
 FIRST_SHARE = 5
 #: Rounds of leaders, at most, before the pairs across components that are left are all compared.
 LEADER_ROUNDS = 8
-#: Bucket members whose sketches are compared in one go, and documents whose texts are.
-TILE = 64
+#: Bucket members whose sketches are compared in one go; a member of a larger bucket goes to a row for each tile of it.
+TILE = 256
+#: Documents whose texts are compared in one go.
+BLOCK = 64
 #: With no more pairs across components that are likely to be linked than this for each candidate document, no other
 #: round of leaders is worth its while.
 FEW_PAIRS = 8
@@ -231,10 +233,10 @@ def _tiles(members: DataFrame) -> DataFrame:
 
 
 def _blocks(members: DataFrame) -> DataFrame:
-    """(doc_id, block) of bucket members (doc_id, top): about a tile of documents a block, those by the same large component together."""
+    """(doc_id, block) of bucket members (doc_id, top): about ``BLOCK`` documents a block, those by the same large component together."""
     home = members.groupBy("doc_id").agg(F.max("top").getField("component").alias("home"))
     sizes = home.groupBy("home").agg(F.count(F.lit(1)).alias("n"))
-    return home.join(sizes, "home").select("doc_id", F.xxhash64("home", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / TILE))).alias("block"))
+    return home.join(sizes, "home").select("doc_id", F.xxhash64("home", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / BLOCK))).alias("block"))
 
 
 _BLOCK_PAIRS = pa.schema([("block_a", pa.int64()), ("block_b", pa.int64()), ("pairs", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))])
