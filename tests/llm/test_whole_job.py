@@ -1,0 +1,66 @@
+"""Cases that operators once left out."""
+
+from __future__ import annotations
+
+import random
+
+import pytest
+
+from tests.llm.conftest import build
+from tracelake.llm import quality
+
+
+def test_quality_of_text_in_another_script(spark, tmp_path):
+    rng = random.Random(10)
+    letters = "абвгдежзиклмнопрстуфхцчшыэюя"
+    words = ["".join(rng.choice(letters) for _ in range(rng.randrange(3, 8))) for _ in range(16)]
+    sizes = [len(w) for w in words]
+
+    def good() -> str:
+        return ". ".join(" ".join(rng.choice(words) for _ in range(12)) for _ in range(6))
+
+    def junk() -> str:  # the same lengths of words, so the same text once letters are folded to one symbol
+        return ". ".join(" ".join("".join(rng.choice(letters) for _ in range(rng.choice(sizes))) for _ in range(12)) for _ in range(6))
+
+    docs = [(i, good(), "ru", "s") for i in range(200)] + [(300 + i, junk(), "ru", "s") for i in range(10)]
+    folder = build(spark, tmp_path / "t", docs, [(i, 1, 0) for i in range(0, 200, 2)])
+    got = {r.doc_id: r.kept for r in quality.op7_quality(spark, folder).collect()}
+    assert all(got[i] for i in range(200)) and not any(got[300 + i] for i in range(10))
+
+
+def test_kneser_ney_over_code_points(spark):
+    text = "the cat sat on the mat. Кот сидел на 猫の上に 😀😀! " * 2 + "Banana bandana."
+    grams = quality.count_point_grams(spark.createDataFrame([(text,), ("",), (None,)], "text string"))
+    key = lambda g: (ord(g[0]) << 21 | ord(g[1]), ord(g[2]) << 21 | ord(g[3]))
+    levels = {4: {}}
+    padded = "   " + text
+    for k in range(len(text)):
+        levels[4][padded[k : k + 4]] = levels[4].get(padded[k : k + 4], 0) + 1
+    assert {(r["head"], r["tail"]): r.n for r in grams.collect()} == {key(g): n for g, n in levels[4].items()}
+    for n in (3, 2, 1):
+        levels[n] = {}
+        for g in levels[n + 1]:
+            levels[n][g[1:]] = levels[n].get(g[1:], 0) + 1
+
+    def off(n, c):
+        k = [sum(v == j for v in levels[n].values()) for j in (1, 2, 3, 4)]
+        if not all(k):
+            return (0.5, 1.0, 1.5)[min(c, 3) - 1]
+        j = min(c, 3)
+        return min(j, max(0.05, j - (j + 1) * k[0] / (k[0] + 2 * k[1]) * k[j] / k[j - 1]))
+
+    def p(g):
+        if not g:
+            return 1 / 0x110000
+        here = {x: c for x, c in levels[len(g)].items() if x[:-1] == g[:-1]}
+        if not here:
+            return p(g[1:])
+        freed = sum(off(len(g), c) for c in here.values())
+        return ((here[g] - off(len(g), here[g]) if g in here else 0) + freed * p(g[1:])) / sum(here.values())
+
+    asked = [*levels[4], "zzzz", "the猫", "Ж猫の上", "qthe"]
+    wanted = spark.createDataFrame([key(g) for g in asked], "head long, tail long")
+    got = {(r["head"], r["tail"]): r.p for r in quality.point_probabilities(grams, wanted).collect()}
+    assert len(got) == len(set(asked))
+    for g in asked:
+        assert got[key(g)] == pytest.approx(p(g))

@@ -1,17 +1,24 @@
 """Quality classifier: an interpolated modified Kneser-Ney n-gram model of trusted text.
 
-Texts become streams of 32 symbols (letters without accents, capitals, digits, space, common and
-other punctuation). All trusted documents, those whose label says quality 1 and never 0, are counted:
-each task sums its 4-grams, and the sums are shuffled by gram. From these counts the lower orders'
-continuation counts, the context totals and the discounts are grouped, and joined order by order,
-all sharded by gram or context, into one log probability for each of the 32**4 possible 4-grams.
-That table has a million entries whatever the corpus, so it is sent to every task, which sums up each
-document's bits per symbol (the binary logarithm of its perplexity).
+Texts are streams of whole code points, three spaces before each. All trusted documents, those whose
+label says quality 1 and never 0, are counted: their 4-grams are summed by pass of text, and the sums
+are shuffled by gram. From these counts the lower orders' continuation counts, the context totals and
+the discounts are grouped. Below the single code points lies the uniform distribution over all of Unicode.
+
+Documents are scored without sending the model anywhere. Each pass of about ``PASS_BYTES`` of text, whole
+documents, asks for its distinct 4-grams; the distinct grams of all passes are joined to counts and
+contexts order by order, sharded by gram, and the answers go back to the pass they are for, where each
+document's bits per symbol (the binary logarithm of its perplexity) are summed up. Model and questions
+grow with the text's variety. ``docs`` is read twice and must give the same passes, as a table does;
+a pass whose answers are not those it asked for fails.
 
 A document is rejected if its bits pass its language's bar: a high quantile of the bits of that
 language's trusted documents plus ``SPREADS`` times the distance from their median to it. A short text's
 bits vary more, so the bar is raised by ``SHORT`` / sqrt(symbols).
 
+``symbol_table``, ``gram_stream``, ``count_grams`` and ``kneser_ney`` are the dense form of the model over 32 folded
+symbols; no query uses it.
+
 Defined cases: null and empty texts have no symbols, 0 bits, and are kept. Languages with no trusted
 document, null among them, use the bar of all trusted documents; with no trusted text at all,
 everything is kept. Repeated rows count each time. An empty table gives an empty result. Extra
@@ -26,7 +33,8 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.llm.common import passes, table, written
@@ -34,8 +42,11 @@ from tracelake.llm.common import passes, table, written
 ORDER = 4
 BITS = 5
 SYMBOLS = 1 << BITS
-#: Grams whose bits travel to the driver as one row; SYMBOLS ** ORDER / CHUNK rows in all, 4 MB.
-CHUNK = 1 << 13
+#: Bits of a code point in a gram's key; a 4-gram is a head and a tail of two code points each.
+POINT = 21
+POINTS = 0x110000
+#: Values up to which a pass numbers its pairs and grams by a table instead of by sorting.
+TABLE = 1 << 24
 QUANTILE = 0.95
 SPREADS = 3.0
 SHORT = 6.0
@@ -123,45 +134,118 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("least")).where("least = 1").select("doc_id")
 
 
-def train(docs: DataFrame, labels: DataFrame) -> np.ndarray | None:
-    """Bits of each possible 4-gram under the model of all trusted documents; None without any."""
-    trusted = docs.select("doc_id", "text").where(F.col("text") != "").join(trusted_ids(labels).hint("shuffle_hash"), "doc_id", "left_semi")
-    grams = written(count_grams(trusted), "trusted-grams")
-    if grams.isEmpty():
-        return None
-    bits = np.full(SYMBOLS**ORDER, np.log2(SYMBOLS), np.float32)
-    for r in packed(kneser_ney(grams)).toLocalIterator():
-        bits[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.bits, np.float32)
-    return bits
-
-
-def packed(model: DataFrame) -> DataFrame:
-    """(chunk, bits): the model's grams in runs of ``CHUNK``, their bits as float32 bytes."""
+def numbered(values: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in order, and the place of each value among them; all are below ``limit``."""
+    if limit > max(TABLE, 4 * len(values)):
+        return np.unique(values, return_inverse=True)
+    seen = np.zeros(limit, bool)
+    seen[values] = True
+    return np.flatnonzero(seen), (np.cumsum(seen) - 1)[values]
 
-    def pack(rows: pa.Table) -> pa.Table:
-        gram, p = rows.column("gram").to_numpy(), rows.column("p").to_numpy()
-        bits = np.full(CHUNK, np.log2(SYMBOLS), np.float32)
-        bits[gram % CHUNK] = -np.log2(np.maximum(p, 1e-9))
-        return pa.table({"chunk": pa.array([int(gram[0]) // CHUNK], pa.int64()), "bits": pa.array([bits.tobytes()], pa.binary())})
 
-    return model.select(F.floor(F.col("gram") / CHUNK).alias("chunk"), "gram", "p").groupBy("chunk").applyInArrow(pack, "chunk long, bits binary")
+def point_grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Heads and tails of the distinct 4-grams of all texts, ascending, which of them ends at each code point, and how many code points each text has."""
+    whole = [t or "" for t in texts]
+    sizes = np.fromiter(map(len, whole), np.int64, len(whole))
+    alphabet, at = numbered(np.frombuffer("   ".join(["", *whole]).encode("utf-32-le", "surrogatepass"), "<u4"), POINTS)
+    pairs, at = numbered(at[:-1] * len(alphabet) + at[1:], len(alphabet) ** 2)
+    inside = np.ones(max(0, len(at) - 2), bool)
+    inside[((np.cumsum(sizes + 3)[:-1] - 3)[:, None] + np.arange(3)).ravel()] = False
+    grams, at = numbered((at[:-2] * len(pairs) + at[2:])[inside], len(pairs) ** 2)
+    keys = alphabet[pairs // len(alphabet)].astype(np.int64) << POINT | alphabet[pairs % len(alphabet)].astype(np.int64)
+    return keys[grams // len(pairs)], keys[grams % len(pairs)], at, sizes
 
 
-def score_quality(docs: DataFrame, bits: np.ndarray | None) -> DataFrame:
-    """(doc_id, lang, n_symbols, bits): mean bits per symbol of every whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+def count_point_grams(texts: DataFrame) -> DataFrame:
+    """(head, tail, n) over all rows of a one-column table of texts."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = shared.value
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in passes(batch, "text"):
-                grams, sizes = gram_stream(part.column("text").to_pylist())
-                each = of[grams].astype(np.float64) if of is not None else np.zeros(len(grams))
-                sums = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=each, minlength=len(sizes))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), pa.array(sizes), pa.array(sums / np.maximum(1, sizes))], ["doc_id", "lang", "n_symbols", "bits"])
+                heads, tails, at, _ = point_grams(part.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array(heads), pa.array(tails), pa.array(np.bincount(at, minlength=len(heads)), pa.int64())], ["head", "tail", "n"])
+
+    return texts.select("text").mapInArrow(count, "head long, tail long, n long").groupBy("head", "tail").agg(F.sum("n").alias("n"))
+
+
+def _suffix(n: int) -> tuple[Column, Column]:
+    """Head and tail of a gram's last ``n`` code points, of one of ``n`` + 1."""
+    low = (1 << POINT) - 1
+    head = F.col("head").bitwiseAND(low) if n == 3 else F.lit(0).cast("long")
+    return head, F.col("tail").bitwiseAND(low) if n == 1 else F.col("tail")
+
 
+def point_probabilities(grams: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(head, tail, p): the interpolated probability of the last code point after the others, for every wanted 4-gram, from (head, tail, n)."""
+    counts, need = {ORDER: grams}, {ORDER: wanted.select("head", "tail").distinct()}
+    for n in range(ORDER - 1, 0, -1):
+        head, tail = _suffix(n)
+        counts[n] = written(counts[n + 1].groupBy(head.alias("head"), tail.alias("tail")).agg(F.count(F.lit(1)).alias("n")), f"continuations-{n}")
+        need[n] = written(need[n + 1].select(head.alias("head"), tail.alias("tail")).distinct(), f"wanted-{n}")
+    lower = None
+    context = F.shiftright("tail", POINT)
+    for n in range(1, ORDER + 1):
+        d1, d2, d3 = discounts(counts[n])
+        off = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
+        own = counts[n].select("head", "tail", (F.col("n") - off).alias("rest"))
+        contexts = counts[n].groupBy("head", context.alias("context")).agg(F.sum("n").alias("total"), F.sum(off).alias("freed"))
+        every = need[n].withColumn("context", context).join(own, ["head", "tail"], "left").join(contexts, ["head", "context"], "left")
+        if lower is None:
+            every = every.withColumn("p_short", F.lit(1 / POINTS))
+        else:
+            head, tail = _suffix(n - 1)
+            every = every.withColumn("s_head", head).withColumn("s_tail", tail).join(lower.select(F.col("head").alias("s_head"), F.col("tail").alias("s_tail"), F.col("p").alias("p_short")), ["s_head", "s_tail"])
+        p = F.when(F.col("total").isNull(), F.col("p_short")).otherwise((F.coalesce("rest", F.lit(0.0)) + F.col("freed") * F.col("p_short")) / F.col("total"))
+        lower = every.select("head", "tail", p.alias("p"))
+        if n < ORDER:
+            lower = written(lower, f"point-kneser-ney-{n}")
+    return lower
+
+
+def train(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(head, tail, n): the 4-grams of all trusted documents."""
+    trusted = docs.select("doc_id", "text").where(F.col("text") != "").join(trusted_ids(labels).hint("shuffle_hash"), "doc_id", "left_semi")
+    return written(count_point_grams(trusted), "trusted-grams")
+
+
+def _numbered_passes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Every pass of a task's text with a number of its own."""
+    number = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        for part in passes(batch, "text"):
+            yield number, part
+            number += 1
+
+
+def score_quality(docs: DataFrame, grams: DataFrame) -> DataFrame:
+    """(doc_id, lang, n_symbols, bits): mean bits per symbol of every whole text; 0 bits where nothing is trusted."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
-    return rows.mapInArrow(run, "doc_id long, lang string, n_symbols long, bits double")
+    if grams.isEmpty():
+        return rows.select("doc_id", "lang", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_symbols"), F.lit(0.0).alias("bits"))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, part in _numbered_passes(batches):
+            heads, tails, _, _ = point_grams(part.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(heads), number)), pa.array(heads), pa.array(tails)], ["pass", "head", "tail"])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, part in _numbered_passes(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), number)), *part.columns], ["pass", *part.schema.names])
+
+    def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        heads, tails, at, sizes = point_grams(texts.column("text").to_pylist())
+        head, tail, p = (answers.column(c).to_numpy() for c in ("head", "tail", "p"))
+        order = np.lexsort((tail, head))
+        if not (np.array_equal(head[order], heads) and np.array_equal(tail[order], tails)):
+            raise RuntimeError("documents were not read the same way twice")
+        each = -np.log2(p[order])[at]
+        sums = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=each, minlength=len(sizes))
+        return pa.table({"doc_id": texts.column("doc_id"), "lang": texts.column("lang"), "n_symbols": pa.array(sizes), "bits": pa.array(sums / np.maximum(1, sizes))})
+
+    asked = written(rows.mapInArrow(ask, "pass long, head long, tail long"), "asked-grams")
+    answers = asked.join(point_probabilities(grams, asked), ["head", "tail"]).select("pass", "head", "tail", "p")
+    placed = rows.mapInArrow(place, "pass long, doc_id long, lang string, text string")
+    return placed.groupBy("pass").cogroup(answers.groupBy("pass")).applyInArrow(score, "doc_id long, lang string, n_symbols long, bits double")
 
 
 def bars(scores: DataFrame, labels: DataFrame) -> DataFrame:
