@@ -1,29 +1,27 @@
-"""Parent links between events: descendants and bounded neighbourhoods, breadth first."""
+"""Parent links between events: descendants, breadth first, however deep."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.sources.scratch import settled
 
-def descendants(links: DataFrame, roots: DataFrame, max_depth: int = 64) -> DataFrame:
+
+def descendants(links: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, node, depth) of all nodes below the roots in (parent, child) links; a node met before is not walked again, so cycles end."""
-    seen = roots.select(F.col("node").alias("root"), "node", F.lit(0).alias("depth"))
-    front = seen
-    for depth in range(1, max_depth + 1):
+    seen = front = roots.select(F.col("node").alias("root"), "node", F.lit(0).alias("depth"))
+    depth = 0
+    while True:
+        depth += 1
         step = front.join(links.select(F.col("parent").alias("node"), "child"), "node").select("root", F.col("child").alias("node"), F.lit(depth).alias("depth")).distinct()
-        front = step.join(seen.select("root", "node"), ["root", "node"], "left_anti").persist()
+        front = settled(step.join(seen.select("root", "node"), ["root", "node"], "left_anti"), "descendants")
         if front.isEmpty():
-            break
+            return seen
         seen = seen.unionByName(front)
-    return seen
 
 
-def tree_below(spark, links_view: str, root: int, max_depth: int = 20) -> DataFrame:
-    """The same for one root of an acyclic link view as a recursive query."""
-    return spark.sql(f"""
-        WITH RECURSIVE walk(node, depth) AS (
-          SELECT CAST({int(root)} AS BIGINT), 0
-          UNION ALL
-          SELECT l.child, w.depth + 1 FROM walk w JOIN {links_view} l ON l.parent = w.node WHERE w.depth < {int(max_depth)})
-        SELECT node, depth FROM walk""")
+def tree_below(spark, links_view: str, root: int) -> DataFrame:
+    """(node, depth) of the same for one root of a link view."""
+    roots = spark.range(1).select(F.lit(int(root)).cast("long").alias("node"))
+    return descendants(spark.table(links_view), roots).select("node", "depth")
