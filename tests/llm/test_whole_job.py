@@ -7,7 +7,7 @@ import random
 import pytest
 
 from tests.llm.conftest import build
-from tracelake.llm import quality
+from tracelake.llm import pii, quality
 
 
 def test_quality_of_text_in_another_script(spark, tmp_path):
@@ -64,3 +64,10 @@ def test_kneser_ney_over_code_points(spark):
     assert len(got) == len(set(asked))
     for g in asked:
         assert got[key(g)] == pytest.approx(p(g))
+
+
+def test_revealing_terms_of_a_frequent_entity(spark):
+    docs = [(i, f"hello {'zorblax' if i < 10 else 'agent'} wrote from x@corp.example today") for i in range(40)] + [(100 + i, "hello from today wrote agent") for i in range(80)]
+    found = {r.doc_id: r.spans for r in pii.digest(pii.find_personal_data(spark.createDataFrame(docs, "doc_id long, text string"))).collect()}
+    assert all(found[i] == "term:6:13,email:25:39" for i in range(10))
+    assert all(found[i] == "email:23:37" for i in range(10, 40)) and not any(found[100 + i] for i in range(80))

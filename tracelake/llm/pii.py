@@ -6,9 +6,11 @@ whose documents are mostly documents of one entity reveals that entity though th
 masked. For a word t near an entity e
 
     disclosure = documents with t near e / documents with t
-    information = log2(documents with t near e * documents / (documents with e * documents with t))
+    share = documents with e / documents
+    information = documents with t * (d * log2(d / share) + (1 - d) * log2((1 - d) / (1 - share)))
 
-and a word over both thresholds, seen near e in at least ``LEAST_DOCS`` documents, becomes a ``term`` span at
+with d the disclosure: the evidence in bits, over all documents of t, that they hold e more often than
+documents do, however frequent e is. A word whose disclosure is above the share and over both thresholds, seen near e in at least ``LEAST_DOCS`` documents, becomes a ``term`` span at
 the places where it stands near e. ``sanitised`` replaces spans: entities and words that surely
 reveal one are removed (a mask stays), the others are generalised to their kind of word.
 
@@ -131,6 +133,12 @@ def document_frequency(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     return docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("term_docs"))
 
 
+def evidence(disclosure: Column, share: Column, term_docs: Column) -> Column:
+    """Bits by which a term's documents speak for its disclosure instead of the entity's share of all documents; 0 where it is not above that share."""
+    rest = F.when(disclosure < 1, (1 - disclosure) * F.log2((1 - disclosure) / (1 - share))).otherwise(0.0)
+    return F.when(disclosure > share, term_docs * (disclosure * F.log2(disclosure / share) + rest)).otherwise(0.0)
+
+
 def revealing_terms(docs: DataFrame, entities: DataFrame, *, text_col: str = "text", least_docs: int = LEAST_DOCS, disclosure: float = DISCLOSURE, information: float = INFORMATION) -> DataFrame:
     """(doc_id, text_key, term spans) of the words that reveal an entity near them."""
     total = docs.count()
@@ -139,7 +147,7 @@ def revealing_terms(docs: DataFrame, entities: DataFrame, *, text_col: str = "te
     placed = mentions.join(known, "entity").select("doc_id", "text_key", "entity", "entity_docs", F.explode("words").alias("w")).select("doc_id", "text_key", "entity", "entity_docs", "w.term", "w.start", "w.stop")
     pairs = placed.select("doc_id", "text_key", "entity", "entity_docs", "term").distinct().groupBy("entity", "term").agg(F.first("entity_docs").alias("entity_docs"), F.count(F.lit(1)).alias("together")).where(F.col("together") >= least_docs)
     pairs = written(pairs, "pii-pairs")
-    scored = pairs.join(document_frequency(docs, text_col=text_col), "term").withColumn("disclosure", F.least(F.lit(1.0), F.col("together") / F.col("term_docs"))).withColumn("information", F.log2(F.col("together") * F.lit(float(total)) / (F.col("entity_docs") * F.col("term_docs"))))
+    scored = pairs.join(document_frequency(docs, text_col=text_col), "term").withColumn("disclosure", F.least(F.lit(1.0), F.col("together") / F.col("term_docs"))).withColumn("information", evidence(F.col("disclosure"), F.col("entity_docs") / F.lit(float(total)), F.col("term_docs")))
     bad = scored.where((F.col("disclosure") >= disclosure) & (F.col("information") >= information)).select("entity", "term", "disclosure")
     span = F.struct(F.lit("term").alias("kind"), F.col("start"), F.col("stop"), F.when(F.col("disclosure") >= SURE, "removed").otherwise("generalised").alias("value"))
     return placed.join(bad, ["entity", "term"]).groupBy("doc_id", "text_key").agg(F.collect_set(span).alias("terms"))
