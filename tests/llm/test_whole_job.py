@@ -7,7 +7,7 @@ import random
 import pytest
 
 from tests.llm.conftest import build
-from tracelake.llm import pii, quality
+from tracelake.llm import neardup, pii, quality
 
 
 def test_quality_of_text_in_another_script(spark, tmp_path):
@@ -71,3 +71,42 @@ def test_revealing_terms_of_a_frequent_entity(spark):
     found = {r.doc_id: r.spans for r in pii.digest(pii.find_personal_data(spark.createDataFrame(docs, "doc_id long, text string"))).collect()}
     assert all(found[i] == "term:6:13,email:25:39" for i in range(10))
     assert all(found[i] == "email:23:37" for i in range(10, 40)) and not any(found[100 + i] for i in range(80))
+
+
+def test_near_duplicates_of_repeated_and_missing_ids(spark):
+    one, two = "a b c d e f g h", "n o p q r s t u"
+    rows = [(3, one), (5, one), (5, two), (4, two), (5, None), (None, one), (None, ""), (9, "x y z")]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    want = [(3, 4, 3, True), (5, 4, 3, False), (5, 4, 3, False), (4, 4, 3, False), (5, 0, 5, True), (None, 4, None, True), (None, 0, None, True), (9, 1, 9, True)]
+    assert got == sorted(want, key=repr)
+
+
+def test_near_duplicates_beside_a_large_group(spark):
+    """A large group of near copies and texts that are just above or below the limit to some of its members only."""
+    rng = random.Random(12)
+    base = [f"w{k}" for k in range(60)]
+    texts = []
+    for i in range(300):
+        words = list(base)
+        words[rng.randrange(60)] = f"x{i}"
+        texts.append(words)
+    for i in range(30):
+        words = list(base)
+        for k in rng.sample(range(60), rng.randrange(1, 5)):
+            words[k] = f"y{i}-{k}"
+        texts.append(words)
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in texts]
+    parent = list(range(len(sets)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(docs).collect()} == {i: find(i) for i in range(len(sets))}

@@ -12,15 +12,18 @@ with a probability equal to the similarity, concentrated like independent draws.
 *Banding.* ``BANDS`` bands of ``ROWS`` coordinates are hashed to bucket keys; at similarity 0.75 a
 pair shares no bucket with probability (1 - 0.75**5)**40 = 2e-5.
 
-*Verification.* Documents with equal sets are one class. In a share of the buckets, then in all, members are
-compared with two leaders, not with each other; links make components, buckets of one component are
-done, and the others try new leaders. Once few pairs across components that may agree are left,
-the sketches of all of them are compared, a tile of members with a tile at a time. A pair whose sketches agree in so few coordinates that
-it is five standard deviations below the limit, or whose sizes are too far apart, is not linked; every other pair's full sets are intersected.
+*Verification.* Documents with equal sets are one class. Components grow in rounds: every bucket has a leader, a
+member of its largest component, and every component is compared with one leader, of another component that it shares
+many buckets with; a link joins the two. The first round takes a share of the buckets, later ones those that hold more
+than one component, one member of each. Once few pairs across components are left that may be linked, the sketches of all of
+them are compared, a tile of a bucket's members with a tile at a time; members of its largest component stay in their own tile.
+A pair whose sketches agree in so few coordinates that it is five standard deviations below the limit, or whose sizes are
+too far apart, is not linked; every other pair's full sets are intersected.
 
 Defined cases: null and blank texts have an empty set, are linked with nothing and kept. Repeated
 rows get a result row each; rows that repeat a ``doc_id`` with other texts are one node with the
-links of all. Ties do not arise: the component's name is its least id. An empty table gives an
+links of all. Rows without a ``doc_id`` are linked with nothing, have no component and are kept. Ties do not
+arise: the component's name is its least id. An empty table gives an
 empty result. Extra columns are ignored by ``near_duplicates`` and kept by ``keep_first``.
 """
 
@@ -215,19 +218,26 @@ def connected_components(links: DataFrame) -> DataFrame:
 
 
 def _leaders(members: DataFrame, round_: int) -> DataFrame:
-    """(a, b) of every bucket member with two leaders of its bucket, the least and a pseudorandom one, those of one component left out."""
-    rank = F.xxhash64(F.lit(round_), "key", "doc_id")
-    lead = members.groupBy("key").agg(F.min(F.struct("doc_id", "component")).alias("one"), F.min(F.struct(rank.alias("rank"), "doc_id", "component")).alias("two"))
-    both = lead.select("key", F.array(F.col("one"), F.struct(F.col("two.doc_id").alias("doc_id"), F.col("two.component").alias("component"))).alias("leads"))
-    met = members.join(both, "key").select("doc_id", "component", F.explode("leads").alias("lead")).where("component <> lead.component")
-    return met.select(F.least("lead.doc_id", "doc_id").alias("a"), F.greatest("lead.doc_id", "doc_id").alias("b")).distinct()
+    """(a, b): for each component of bucket members (key, doc_id, component) one member and one of another component, which
+    leads buckets that both are in. The more buckets they share, the likelier is that pair; no component has two pairs."""
+    luck = F.xxhash64(F.lit(round_), "doc_id")
+    one = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(luck.alias("luck"), "doc_id")).getField("doc_id").alias("doc_id")) if round_ else members.withColumn("n", F.lit(1).cast("long"))
+    heads = one.groupBy("key").agg(F.max(F.struct("n", F.xxhash64(F.lit(round_), "component").alias("luck"), "component", "doc_id")).alias("head"))
+    met = one.join(heads, "key").where("component <> head.component")
+    shared = met.groupBy("component", F.col("head.component").alias("other")).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", F.col("head.doc_id").alias("lead"))).alias("pair"))
+    weight = F.col("n") * (F.pmod(F.xxhash64(F.lit(round_), "component", "other"), F.lit(1 << 20)) + 1)
+    return shared.groupBy("component").agg(F.max(F.struct(weight.alias("weight"), "pair")).alias("best")).select(F.col("best.pair.doc_id").alias("a"), F.col("best.pair.lead").alias("b"))
 
 
 def _tiles(members: DataFrame) -> DataFrame:
-    """Rows of at most about two tiles of a bucket's members; every two members of a bucket meet in some row."""
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).select("key", F.ceil(F.col("n") / TILE).alias("tiles"))
-    dealt = members.join(sizes, "key").withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("tiles")))
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    """Rows of at most about two tiles of a bucket's members; every two members of a bucket that are not both of its largest component meet in some row.
+
+    A member of the largest component goes to a row for each tile of the rest, one as a rule; a member of the rest to a row for each tile."""
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.first("top.n").alias("n_top")).select("key", F.ceil(F.col("n_top") / TILE).alias("tops"), F.ceil((F.col("n") - F.col("n_top")) / TILE).alias("rests"))
+    of_top = F.col("component") == F.col("top.component")
+    draw = F.xxhash64("doc_id")
+    dealt = members.join(sizes, "key").withColumn("tile", F.when(of_top, F.pmod(draw, F.col("tops"))).otherwise(F.col("tops") + F.pmod(draw, F.col("rests"))))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.when(of_top, F.col("tops")).otherwise(F.lit(0).cast("long")), F.col("tops") + F.col("rests") - 1)))
     rows = met.groupBy("key", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high")).agg(F.collect_list(F.struct("doc_id", "component", "n_shingles", "sketch", "block")).alias("met"))
     return rows.where(F.size(F.array_distinct(F.transform("met", lambda m: m["component"]))) > 1).select("met")
 
@@ -284,11 +294,18 @@ def _intersected_by_block(tried: DataFrame, texts: DataFrame, percent: int) -> D
     return pairs.join(what, list(keys)).select("pairs", "texts").mapInArrow(run, "a long, b long")
 
 
+def _torn(filled: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): links of ids whose rows have different sets with the representatives of those sets."""
+    digest = F.struct("set_a", "set_b")
+    torn = filled.groupBy("doc_id").agg(F.min(digest).alias("one"), F.max(digest).alias("two")).where("one <> two").select("doc_id")
+    return filled.join(torn, "doc_id", "left_semi").select("doc_id", "set_a", "set_b").distinct().join(classes, ["set_a", "set_b"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+
+
 def link_components(docs: DataFrame, sketched: DataFrame, *, percent: int = PERCENT) -> DataFrame:
     """(rep, component) of every class representative that links with another class."""
-    filled = sketched.where("n_shingles > 0")
-    reps = filled.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    bands = filled.join(reps, "doc_id", "left_semi").select("doc_id", F.explode("bands").alias("key"))
+    filled = sketched.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    classes = filled.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"))
+    bands = filled.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", F.explode("bands").alias("key"))
     shared = bands.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("key")
     members = written(bands.join(shared, "key", "left_semi").withColumn("component", F.col("doc_id")), "buckets")
     candidates = written(members.select("doc_id").distinct(), "candidates")
@@ -297,9 +314,8 @@ def link_components(docs: DataFrame, sketched: DataFrame, *, percent: int = PERC
     marks = written(filled.join(candidates, "doc_id", "left_semi").groupBy("doc_id", "set_a", "set_b").agg(F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles")).select("doc_id", "sketch", "n_shingles"), "candidate-sketches")
     side = lambda df, k, *cols: df.select(F.col("doc_id").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in cols))
 
-    tested = None
     n_candidates, alike = candidates.count(), 1.0
-    components = docs.sparkSession.createDataFrame([], "node long, component long")
+    components = connected_components(_torn(filled, classes))
     for round_ in range(LEADER_ROUNDS + 1):
         across = 0
         if round_:
@@ -315,26 +331,19 @@ def link_components(docs: DataFrame, sketched: DataFrame, *, percent: int = PERC
         # of the pairs that are left about as large a share is linked as of those with the last leaders
         last = round_ > 0 and (round_ == LEADER_ROUNDS or float(across) * alike <= FEW_PAIRS * n_candidates)
         if last:
-            tried = _across(_tiles(members.join(marks, "doc_id").join(_blocks(members), "doc_id")), percent)
+            tried = written(_across(_tiles(members.join(marks, "doc_id").join(_blocks(members), "doc_id")), percent), "tried-last")
+            found = _intersected_by_block(tried, texts, percent)
         else:
-            chosen = members if round_ else members.where(F.pmod("key", F.lit(FIRST_SHARE)) == 0)
-            pairs = written(_leaders(chosen, round_), f"pairs-{round_}")
+            pairs = written(_leaders(members if round_ else members.where(F.pmod("key", F.lit(FIRST_SHARE)) == 0), round_), f"pairs-{round_}")
             met = pairs.join(side(marks, "a", "sketch", "n_shingles"), "a").join(side(marks, "b", "sketch", "n_shingles"), "b")
             tried = _agreeing(met.select("a", "b", "sketch_a", "sketch_b", "n_shingles_a", "n_shingles_b"), percent)
-        if tested is not None and not last:
-            tried = tried.join(tested, ["a", "b"], "left_anti")
-        tried = written(tried, f"tried-{round_}")
-        if last:
-            found = _intersected_by_block(tried, texts, percent)
-        else:
-            full = tried.join(side(texts, "b", "text"), "b").join(side(texts, "a", "text"), "a").select("a", "b", "text_a", "text_b")
+            full = tried.join(side(texts, "a", "text"), "a").join(side(texts, "b", "text"), "b").select("a", "b", "text_a", "text_b")
             found = _intersected(full, percent)
         found = written(found, f"links-{round_}")
         components = connected_components(found.unionByName(components.select(F.col("node").alias("a"), F.col("component").alias("b"))))
         if last:
             break
         alike = found.count() / max(1, pairs.count())
-        tested = tried if tested is None else tested.unionByName(tried)
     return components.select(F.col("node").alias("rep"), "component")
 
 
@@ -343,11 +352,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     sketched = written(sketch_documents(docs), "sketches")
     components = link_components(docs, sketched, percent=percent)
-    classes = sketched.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"))
+    linkable = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    classes = sketched.where(linkable).groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"))
     named = classes.join(components, "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("named"))
     rows = sketched.select("doc_id", "n_shingles", "set_a", "set_b")
-    out = rows.where("n_shingles > 0").join(named, ["set_a", "set_b"]).select("doc_id", "n_shingles", F.col("named").alias("component_id")).unionByName(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    out = rows.where(linkable).join(named, ["set_a", "set_b"]).select("doc_id", "n_shingles", F.col("named").alias("component_id")).unionByName(rows.where(~linkable).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
