@@ -201,19 +201,17 @@ def _intersected(pairs: DataFrame, percent: int) -> DataFrame:
 
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, component) of every node with a link; the component is its least node. Stars are moved to smaller hubs until none moves."""
-    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v"), "edges")
-    before = None
-    while True:
+    summed = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    now, before = summed(edges), None
+    while now[0] and now != before:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         hubs = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("hub"))
         large = both.where("v > u").join(hubs, "u").select(F.col("v").alias("u"), F.col("hub").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("hub"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("hub").alias("v")), F.struct(F.col("v").alias("u"), F.col("hub").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         edges = written(small, "edges")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
+        before, now = now, summed(edges)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
