@@ -15,7 +15,7 @@ pair shares no bucket with probability (1 - 0.75**5)**40 = 2e-5.
 *Verification.* Documents with equal sets are one class. Components grow in rounds: every bucket has a leader, a
 member of its largest component, and every component is compared with one leader, of another component that it shares
 many buckets with; a link joins the two. The first round takes a share of the buckets, later ones those that hold more
-than one component, one member of each. Once few pairs across components are left that may be linked, the sketches of all of
+than one component, one member of each. Once few pairs across components are left that may be linked, or leaders find few links, the sketches of all of
 them are compared, a tile of a bucket's members with a tile at a time; members of its largest component stay in their own tile.
 A pair whose sketches agree in so few coordinates that it is five standard deviations below the limit, or whose sizes are
 too far apart, is not linked; every other pair's full sets are intersected.
@@ -50,12 +50,15 @@ FIRST_SHARE = 5
 #: Rounds of leaders, at most, before the pairs across components that are left are all compared.
 LEADER_ROUNDS = 8
 #: Bucket members whose sketches are compared in one go; a member of a larger bucket goes to a row for each tile of it.
-TILE = 256
-#: Documents whose texts are compared in one go.
-BLOCK = 64
-#: With no more pairs across components that are likely to be linked than this for each candidate document, no other
-#: round of leaders is worth its while.
+TILE = 512
+#: Shingles of the documents whose full sets are compared in one go, about; a longer document is a block of its own.
+BLOCK_SHINGLES = 1 << 16
+#: Pairs that a task gathers before it hands them on.
+GATHERED = 1 << 16
+#: With no more pairs across components that are likely to be linked than this for each candidate document, or a smaller
+#: share of links among the last leaders' pairs than this, no other round of leaders is worth its while.
 FEW_PAIRS = 8
+LEAST_YIELD = 1 / 16
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -127,11 +130,11 @@ def sketches(hashes: np.ndarray, at: np.ndarray, size: int = COORDINATES) -> np.
     return out.reshape(n, size)
 
 
-SKETCH_SCHEMA = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch binary"
+SKETCH_SCHEMA = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, band_marks binary, sketch binary"
 
 
 def sketch_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, set_a, set_b, bands, sketch): a set's size, its 128-bit digest, bucket keys and one byte a coordinate."""
+    """(doc_id, n_shingles, set_a, set_b, bands, band_marks, sketch): a set's size, its 128-bit digest, bucket keys, the low 32 bits of each, and one byte a coordinate."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,7 +153,7 @@ def sketch_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 digest = mix64((sums[at[1:]] - sums[at[:-1]]).ravel()).reshape(n, 2).view(np.int64)
                 marks = np.ascontiguousarray(mix64(table_.ravel()).reshape(table_.shape).astype(np.uint8))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * BANDS, BANDS), pa.int32()), pa.array(keys.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes.astype(np.int64)), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), lists, pa.array([m.tobytes() for m in marks], pa.binary())], ["doc_id", "n_shingles", "set_a", "set_b", "bands", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes.astype(np.int64)), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), lists, pa.array([m.tobytes() for m in keys.astype(np.uint32)], pa.binary()), pa.array([m.tobytes() for m in marks], pa.binary())], ["doc_id", "n_shingles", "set_a", "set_b", "bands", "band_marks", "sketch"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SKETCH_SCHEMA)
 
@@ -236,57 +239,115 @@ def _tiles(members: DataFrame) -> DataFrame:
     draw = F.xxhash64("doc_id")
     dealt = members.join(sizes, "key").withColumn("tile", F.when(of_top, F.pmod(draw, F.col("tops"))).otherwise(F.col("tops") + F.pmod(draw, F.col("rests"))))
     met = dealt.withColumn("other", F.explode(F.sequence(F.when(of_top, F.col("tops")).otherwise(F.lit(0).cast("long")), F.col("tops") + F.col("rests") - 1)))
-    rows = met.groupBy("key", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high")).agg(F.collect_list(F.struct("doc_id", "component", "n_shingles", "sketch", "block")).alias("met"))
-    return rows.where(F.size(F.array_distinct(F.transform("met", lambda m: m["component"]))) > 1).select("met")
+    rows = met.groupBy("key", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high")).agg(F.collect_list(F.struct("doc_id", "component", "n_shingles", "sketch", "bands", "block")).alias("met"))
+    return rows.where(F.size(F.array_distinct(F.transform("met", lambda m: m["component"]))) > 1).select("key", "met")
 
 
 def _blocks(members: DataFrame) -> DataFrame:
-    """(doc_id, block) of bucket members (doc_id, top): about ``BLOCK`` documents a block, those by the same large component together."""
-    home = members.groupBy("doc_id").agg(F.max("top").getField("component").alias("home"))
-    sizes = home.groupBy("home").agg(F.count(F.lit(1)).alias("n"))
-    return home.join(sizes, "home").select("doc_id", F.xxhash64("home", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / BLOCK))).alias("block"))
+    """(doc_id, block) of bucket members (doc_id, key, top, n_shingles): documents by the largest bucket that they are in, in parts of about ``BLOCK_SHINGLES``."""
+    home = members.groupBy("doc_id").agg(F.max(F.struct("n_members", "key")).getField("key").alias("home"), F.max("n_shingles").alias("n"))
+    sizes = home.groupBy("home").agg(F.sum("n").alias("total"))
+    return home.join(sizes, "home").select("doc_id", F.xxhash64("home", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("total") / BLOCK_SHINGLES))).alias("block"))
 
 
-_BLOCK_PAIRS = pa.schema([("block_a", pa.int64()), ("block_b", pa.int64()), ("pairs", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))])
+def _by_blocks(found: list[np.ndarray]) -> pa.RecordBatch:
+    """(block_a, block_b, pairs) from rows of pairs (block_a, block_b, a, b)."""
+    rows = np.concatenate(found)
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    cuts = np.flatnonzero((np.diff(rows[:, :2], axis=0) != 0).any(axis=1)) + 1
+    starts = np.concatenate(([0], cuts))
+    pairs = pa.StructArray.from_arrays([pa.array(rows[:, 2].copy()), pa.array(rows[:, 3].copy())], ["a", "b"])
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate((starts, [len(rows)])), pa.int32()), pairs)
+    return pa.RecordBatch.from_arrays([pa.array(rows[starts, 0]), pa.array(rows[starts, 1]), lists], ["block_a", "block_b", "pairs"])
 
 
 def _across(tiles: DataFrame, percent: int) -> DataFrame:
-    """(block_a, block_b, pairs) of the pairs (a, b) of a row's members in different components whose sketches agree enough, by their blocks."""
+    """(block_a, block_b, pairs) of the pairs (a, b) of a row's members in different components whose sketches agree enough, by their blocks.
+
+    A pair that shares several buckets is taken from the first band that it shares one in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[np.ndarray] = []
+        held = 0
         for batch in batches:
-            found: dict[tuple[int, int], set[tuple[int, int]]] = {}
-            for row in batch.column(0):
+            for key, row in zip(batch.column(0).to_numpy(), batch.column(1), strict=True):
                 met = row.values
                 ids, of, n, block = (met.field(k).to_numpy() for k in ("doc_id", "component", "n_shingles", "block"))
                 marks = np.frombuffer(b"".join(met.field("sketch").to_pylist()), np.uint8).reshape(-1, COORDINATES)
+                bands = np.frombuffer(b"".join(met.field("bands").to_pylist()), np.int32).reshape(-1, BANDS)
+                band = int(np.argmax(bands[0] == np.int64(key).astype(np.int32)))
                 for k in range(len(ids) - 1):
-                    near = (of[k + 1 :] != of[k]) & _sizes_near(n[k + 1 :], n[k], percent) & (np.count_nonzero(marks[k + 1 :] == marks[k], axis=1) >= LEAST_AGREED)
-                    for j in (np.flatnonzero(near) + k + 1).tolist():
-                        one, two = (k, j) if ids[k] <= ids[j] else (j, k)
-                        found.setdefault((block[one], block[two]), set()).add((ids[one], ids[two]))
-            yield pa.RecordBatch.from_pylist([{"block_a": x, "block_b": y, "pairs": [{"a": a, "b": b} for a, b in sorted(p)]} for (x, y), p in found.items()], _BLOCK_PAIRS)
+                    rest = np.flatnonzero((of[k + 1 :] != of[k]) & _sizes_near(n[k + 1 :], n[k], percent)) + k + 1
+                    rest = rest[~(bands[rest, :band] == bands[k, :band]).any(axis=1)]
+                    rest = rest[np.count_nonzero(marks[rest] == marks[k], axis=1) >= LEAST_AGREED]
+                    if len(rest):
+                        pairs = np.stack([np.full(len(rest), block[k]), block[rest], np.full(len(rest), ids[k]), ids[rest]], axis=1)
+                        turned = pairs[:, 0] > pairs[:, 1]
+                        pairs[turned] = pairs[turned][:, [1, 0, 3, 2]]
+                        found.append(pairs)
+                        held += len(pairs)
+                if held >= GATHERED:
+                    yield _by_blocks(found)
+                    found, held = [], 0
+        if held:
+            yield _by_blocks(found)
 
     return tiles.mapInArrow(run, "block_a long, block_b long, pairs array<struct<a: long, b: long>>")
 
 
+def _linked(ids: np.ndarray, hashes: np.ndarray, at: np.ndarray, pairs: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs (id, id) whose sets are similar enough. An id may stand for several sets."""
+    order = np.argsort(ids, kind="stable")
+    low, high = (np.searchsorted(ids[order], pairs, side=x) for x in ("left", "right"))
+    if (high - low > 1).any():
+        places = np.array([(order[p], order[q]) for (x, y), (u, v) in zip(low.tolist(), high.tolist(), strict=True) for p in range(x, u) for q in range(y, v)])
+    else:
+        places = order[low]
+    sizes = np.diff(at)
+    owner = np.repeat(np.arange(len(ids)), sizes)
+    _, which, times = np.unique(hashes, return_inverse=True, return_counts=True)
+    # only shingles of two sets or more can be in an intersection; a row of bits for each set says which it has
+    number = np.cumsum(times > 1) - 1
+    shared = times[which] > 1
+    width = int(number[-1]) + 1 if len(number) else 0
+    bits = np.zeros((len(ids), -(-width // 64) * 8), np.uint8)
+    np.bitwise_or.at(bits, (owner[shared], number[which[shared]] >> 3), np.left_shift(1, number[which[shared]] & 7).astype(np.uint8))
+    words = bits.view(np.uint64)
+    parent = {int(d): int(d) for d in ids}
+
+    def root(d: int) -> int:
+        while parent[d] != d:
+            parent[d] = d = parent[parent[d]]
+        return d
+
+    out = []
+    step = max(1, (4 << 20) // max(1, bits.shape[1]))
+    for k in range(0, len(places), step):
+        one, two = places[k : k + step, 0], places[k : k + step, 1]
+        both = np.bitwise_count(words[one] & words[two]).sum(axis=1, dtype=np.int64)
+        near = np.flatnonzero((100 * both >= percent * (sizes[one] + sizes[two] - both)) & (both > 0))
+        for x, y in zip(ids[one[near]].tolist(), ids[two[near]].tolist(), strict=True):
+            p, q = root(x), root(y)
+            if p != q:
+                parent[p] = q
+                out.append((x, y))
+    return out
+
+
 def _intersected_by_block(tried: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Of (block_a, block_b, pairs) the pairs whose full sets are similar enough; a text goes to each two blocks with pairs of it once, not to each pair."""
+    """Of (block_a, block_b, pairs) links that connect what the pairs with similar full sets do; a text goes to each two blocks with pairs of it once, not to each pair."""
     keys = ("block_a", "block_b")
-    pairs = tried.groupBy(*keys).agg(F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
-    who = tried.select(*keys, F.explode(F.array_union(F.col("pairs.a"), F.col("pairs.b"))).alias("doc_id")).distinct()
+    pairs = written(tried.groupBy(*keys).agg(F.flatten(F.collect_list("pairs")).alias("pairs")), "block-pairs")
+    who = pairs.select(*keys, F.explode(F.array_union(F.col("pairs.a"), F.col("pairs.b"))).alias("doc_id"))
     what = who.join(texts, "doc_id").groupBy(*keys).agg(F.collect_list(F.struct("doc_id", "text")).alias("texts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                met, two = batch.column(1)[k].values, batch.column(0)[k].values
-                ids = met.field("doc_id").to_pylist()
+            for two, what in zip(batch.column(0), batch.column(1), strict=True):
+                met = what.values
                 hashes, at = shingle_sets(met.field("text"))
-                places: dict[int, list[int]] = {}
-                for place, d in enumerate(ids):
-                    places.setdefault(d, []).append(place)
-                kept = [(x, y) for x, y in zip(two.field("a").to_pylist(), two.field("b").to_pylist(), strict=True) if any(_similar(hashes[at[p] : at[p + 1]], hashes[at[q] : at[q + 1]], percent) for p in places[x] for q in places[y])]
+                asked = np.stack([two.values.field(k).to_numpy() for k in ("a", "b")], axis=1)
+                kept = _linked(met.field("doc_id").to_numpy(), hashes, at, asked, percent)
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in kept], pa.int64()), pa.array([y for _, y in kept], pa.int64())], ["a", "b"])
 
     return pairs.join(what, list(keys)).select("pairs", "texts").mapInArrow(run, "a long, b long")
@@ -309,7 +370,7 @@ def link_components(docs: DataFrame, sketched: DataFrame, *, percent: int = PERC
     candidates = written(members.select("doc_id").distinct(), "candidates")
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(candidates.hint("shuffle_hash"), "doc_id", "left_semi")
     texts = written(whole.groupBy("doc_id", F.xxhash64("text")).agg(F.first("text").alias("text")).select("doc_id", "text"), "candidate-texts")
-    marks = written(filled.join(candidates, "doc_id", "left_semi").groupBy("doc_id", "set_a", "set_b").agg(F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles")).select("doc_id", "sketch", "n_shingles"), "candidate-sketches")
+    marks = written(filled.join(candidates, "doc_id", "left_semi").groupBy("doc_id", "set_a", "set_b").agg(F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles"), F.first("band_marks").alias("bands")).select("doc_id", "sketch", "n_shingles", "bands"), "candidate-sketches")
     side = lambda df, k, *cols: df.select(F.col("doc_id").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in cols))
 
     n_candidates, alike = candidates.count(), 1.0
@@ -321,15 +382,16 @@ def link_components(docs: DataFrame, sketched: DataFrame, *, percent: int = PERC
             members = written(members, f"labelled-{round_}")
             # of a bucket: members n, the pairs of them across components, from the sizes of its components
             sizes = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"), F.max(F.struct("n", "component")).alias("top"))
-            split = written(sizes.withColumn("across", (F.col("n") * F.col("n") - F.col("same")) / 2).where("across > 0").select("key", "across", "top"), f"split-{round_}")
+            split = written(sizes.withColumn("across", (F.col("n") * F.col("n") - F.col("same")) / 2).where("across > 0").select("key", "across", "top", F.col("n").alias("n_members")), f"split-{round_}")
             across = split.agg(F.sum("across")).first()[0] or 0
             if not across:
                 break
-            members = members.join(split.select("key", "top"), "key")
+            members = members.join(split.select("key", "top", "n_members"), "key")
         # of the pairs that are left about as large a share is linked as of those with the last leaders
-        last = round_ > 0 and (round_ == LEADER_ROUNDS or float(across) * alike <= FEW_PAIRS * n_candidates)
+        last = round_ > 0 and (round_ == LEADER_ROUNDS or alike < LEAST_YIELD or float(across) * alike <= FEW_PAIRS * n_candidates)
         if last:
-            tried = written(_across(_tiles(members.join(marks, "doc_id").join(_blocks(members), "doc_id")), percent), "tried-last")
+            marked = members.join(marks, "doc_id")
+            tried = _across(_tiles(marked.join(_blocks(marked.select("doc_id", "key", "n_members", "n_shingles")), "doc_id")), percent)
             found = _intersected_by_block(tried, texts, percent)
         else:
             pairs = written(_leaders(members if round_ else members.where(F.pmod("key", F.lit(FIRST_SHARE)) == 0), round_), f"pairs-{round_}")
