@@ -202,6 +202,64 @@ def test_mixing(spark, tmp_path):
     assert not any(by_id.values())
 
 
+def test_mix_shards(spark, tmp_path, monkeypatch):
+    """Shards of equal size, source counts like multinomial draws, exact sums, the blocks' words, and what documents lose to them."""
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 100)
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 4)
+    monkeypatch.setattr(mixing, "GROUP", 3)
+    rng = random.Random(13)
+    docs = [(i, " ".join(f"{i}.{k}" for k in range(rng.randrange(1, 60))), "en", rng.choice("aaabc")) for i in range(400)]
+    folder = build(spark, tmp_path / "t", docs)
+    df = spark.read.parquet(f"{folder}/documents.parquet")
+    targets = mixing.source_targets(df.select("source", mixing.F.size(mixing.word_array(mixing.F.col("text"))).cast("long").alias("size"))).collect()
+    slots = mixing.mix_shards(df).collect()
+    n = {r.source: r.slots for r in targets}
+    total = sum(n.values())
+    by_shard = {}
+    for r in slots:
+        by_shard.setdefault(r.shard, []).append(r.source)
+    assert sorted(by_shard) == list(range(-(-total // 100)))
+    assert all(len(v) == min(100, total - 100 * k) for k, v in by_shard.items())
+    assert {s: sum(v.count(s) for v in by_shard.values()) for s in n} == n
+    full = [v for v in by_shard.values() if len(v) == 100]
+    chi = sum((v.count(s) - 100 * n[s] / total) ** 2 / (100 * n[s] / total) for v in full for s in n)
+    freedom = len(full) * (len(n) - 1)
+    assert 0.5 * freedom < chi < 1.6 * freedom
+    source = {d[0]: d[3] for d in docs}
+    taken = {}
+    for r in slots:
+        words = r.text.split()
+        assert 0 < len(words) <= 4
+        for w in words:
+            assert source[int(w.split(".")[0])] == r.source
+            taken[w] = taken.get(w, 0) + 1
+    assert max(taken.values()) <= 2
+    per_doc = {d[0]: 0 for d in docs}
+    for w, k in taken.items():
+        per_doc[int(w.split(".")[0])] += k
+    assert {r.doc_id: r.taken for r in mixing.mix_counts(df).collect()} == per_doc
+
+
+def test_mix_of_repeated_and_missing_ids(spark):
+    rows = [(1, "a b c", "s"), (1, "a b c", "s"), (1, "d e", "s"), (None, "f g h i", "s"), (None, None, None), (2, "", "t")] + [(10 + i, "u v w x y z", "t") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    counts = sorted((r.doc_id or 0, r["size"], r.taken) for r in mixing.mix_counts(df).collect())
+    assert [(d, n) for d, n, _ in counts] == sorted((i or 0, len((t or "").split())) for i, t, _ in rows)
+    mixed = sorted((r.doc_id or 0, len(r.text.split())) for r in mixing.mix_documents(df).collect())
+    assert mixed == sorted((d, k) for d, _, k in counts if k)
+
+
+def test_sieve_of_ids(spark):
+    from tracelake.llm.common import sifted, with_id_in, without_id_in
+
+    rows = spark.range(5000).selectExpr("if(id % 50 = 0, null, id) AS doc_id", "id AS x")
+    ids = spark.range(0, 5000, 7).selectExpr("id AS doc_id")
+    inside = {r.x for r in with_id_in(rows, ids).collect()}
+    assert inside == {x for x in range(0, 5000, 7) if x % 50}
+    assert {r.x for r in without_id_in(rows, ids).collect()} == set(range(5000)) - inside
+    assert sifted(rows, ids).where("maybe").count() < 1.1 * len(inside)
+
+
 def test_permutation_is_one(spark):
     from pyspark.sql import functions as F
 

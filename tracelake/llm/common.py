@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass inside a task works on; a longer document is one pass of its own.
 PASS_BYTES = 4 << 20
@@ -25,9 +26,11 @@ _local: list[str] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; where it is unset (tests, one machine), a local one."""
+    """The shared folder named by ``spark.checkpoint.dir``; where it is unset (tests, one machine), a local one. On a cluster it must be set."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         if not _local:
             _local.append(tempfile.mkdtemp(prefix="tracelake-"))
         where = _local[0]
@@ -42,6 +45,34 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Parts of a sieve, of 32768 bits each: 1 MB in all, whatever the number of ids.
+SIEVE_PARTS = 256
+
+
+def sifted(rows: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``rows`` with ``maybe``: false for rows whose id is surely not among ``ids``. The ids are a bit map of fixed size, which alone goes to every task."""
+    place = lambda c: F.pmod(F.shiftright(F.xxhash64(c), 8), F.lit(32768))
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(SIEVE_PARTS))
+    bits = ids.where(F.col(id_col).isNotNull()).groupBy(part(F.col(id_col)).alias("sieve_part")).agg(F.bitmap_construct_agg(place(F.col(id_col))).alias("sieve_bits"))
+    at = place(F.col(id_col))
+    octet = F.conv(F.hex(F.substring("sieve_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.bit_get(octet, (at % 8).cast("int")) == 1
+    joined = rows.withColumn("sieve_part", part(F.col(id_col))).join(F.broadcast(bits), "sieve_part", "left")
+    return joined.withColumn("maybe", F.coalesce(hit & F.col(id_col).isNotNull(), F.lit(False))).drop("sieve_part", "sieve_bits")
+
+
+def with_id_in(rows: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows whose id is among ``ids``; only rows that may be are shuffled."""
+    return sifted(rows, ids, id_col).where("maybe").drop("maybe").join(ids.select(id_col).hint("shuffle_hash"), id_col, "left_semi").select(*rows.columns)
+
+
+def without_id_in(rows: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows whose id is not among ``ids``, rows without an id too; only rows that may be among them are shuffled."""
+    both = sifted(rows, ids, id_col)
+    rest = both.where("maybe").drop("maybe").join(ids.select(id_col).hint("shuffle_hash"), id_col, "left_anti").select(*rows.columns)
+    return both.where("not maybe").select(*rows.columns).unionByName(rest)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a text column and its row offsets (n + 1); null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

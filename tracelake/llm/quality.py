@@ -7,7 +7,7 @@ the discounts are grouped. Below the single code points lies the uniform distrib
 
 Documents are scored without sending the model anywhere. Each pass of about ``PASS_BYTES`` of text, whole
 documents, asks for its distinct 4-grams; the distinct grams of all passes are joined to counts and
-contexts order by order, sharded by gram, and the answers go back to the pass they are for, where each
+contexts order by order, sharded by gram, and the answers meet the pass they are for, its texts packed by zstandard, where each
 document's bits per symbol (the binary logarithm of its perplexity) are summed up. Model and questions
 grow with the text's variety. ``docs`` is read twice and must give the same passes, as a table does;
 a pass whose answers are not those it asked for fails.
@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import passes, table, written
+from tracelake.llm.common import passes, table, text_bytes, with_id_in, without_id_in, written
 
 ORDER = 4
 BITS = 5
@@ -140,7 +140,9 @@ def numbered(values: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
         return np.unique(values, return_inverse=True)
     seen = np.zeros(limit, bool)
     seen[values] = True
-    return np.flatnonzero(seen), (np.cumsum(seen) - 1)[values]
+    place = np.cumsum(seen, dtype=np.int32)
+    place -= 1
+    return np.flatnonzero(seen), place[values].astype(np.int64)
 
 
 def point_grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -204,7 +206,7 @@ def point_probabilities(grams: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(head, tail, n): the 4-grams of all trusted documents."""
-    trusted = docs.select("doc_id", "text").where(F.col("text") != "").join(trusted_ids(labels).hint("shuffle_hash"), "doc_id", "left_semi")
+    trusted = with_id_in(docs.select("doc_id", "text").where(F.col("text") != ""), written(trusted_ids(labels), "trusted-ids"))
     return written(count_point_grams(trusted), "trusted-grams")
 
 
@@ -229,22 +231,30 @@ def score_quality(docs: DataFrame, grams: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(heads), number)), pa.array(heads), pa.array(tails)], ["pass", "head", "tail"])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
         for number, part in _numbered_passes(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), number)), *part.columns], ["pass", *part.schema.names])
+            raw, ends = text_bytes(part.column("text"))
+            row = {"pass": [number], "doc_ids": [part.column("doc_id")], "langs": [part.column("lang")], "ends": [ends[1:]], "packed": [zstandard.compress(raw.tobytes())]}
+            yield pa.RecordBatch.from_pydict(row, pa.schema([("pass", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("langs", pa.list_(pa.string())), ("ends", pa.list_(pa.int64())), ("packed", pa.binary())]))
+
+    def score(placed: pa.Table, answers: pa.Table) -> pa.Table:
+        import zstandard
 
-    def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        heads, tails, at, sizes = point_grams(texts.column("text").to_pylist())
+        part = placed.slice(0, 1).to_pylist()[0]
+        raw = zstandard.decompress(part["packed"])
+        heads, tails, at, sizes = point_grams([raw[a:b].decode() for a, b in zip([0, *part["ends"][:-1]], part["ends"], strict=True)])
         head, tail, p = (answers.column(c).to_numpy() for c in ("head", "tail", "p"))
         order = np.lexsort((tail, head))
         if not (np.array_equal(head[order], heads) and np.array_equal(tail[order], tails)):
             raise RuntimeError("documents were not read the same way twice")
         each = -np.log2(p[order])[at]
         sums = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=each, minlength=len(sizes))
-        return pa.table({"doc_id": texts.column("doc_id"), "lang": texts.column("lang"), "n_symbols": pa.array(sizes), "bits": pa.array(sums / np.maximum(1, sizes))})
+        return pa.table({"doc_id": pa.array(part["doc_ids"], pa.int64()), "lang": pa.array(part["langs"], pa.string()), "n_symbols": pa.array(sizes), "bits": pa.array(sums / np.maximum(1, sizes))})
 
     asked = written(rows.mapInArrow(ask, "pass long, head long, tail long"), "asked-grams")
     answers = asked.join(point_probabilities(grams, asked), ["head", "tail"]).select("pass", "head", "tail", "p")
-    placed = rows.mapInArrow(place, "pass long, doc_id long, lang string, text string")
+    placed = rows.mapInArrow(place, "pass long, doc_ids array<long>, langs array<string>, ends array<long>, packed binary")
     return placed.groupBy("pass").cogroup(answers.groupBy("pass")).applyInArrow(score, "doc_id long, lang string, n_symbols long, bits double")
 
 
@@ -270,7 +280,7 @@ def keep_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier keeps, whole rows."""
     judged = judge(written(score_quality(docs, train(docs, labels)), "quality-scores"), labels)
     rejected = judged.where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(rejected.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    return without_id_in(docs, written(rejected, "rejected"))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
