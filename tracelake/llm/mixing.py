@@ -1,9 +1,11 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
 Each source's documents are laid end to end in a pseudorandom order and cut into blocks of a fixed
-number of words. A source's target says how many block slots it gets in the mix. Every slot is
-thrown to an output shard by a hash of its number, so the source counts within a shard are a
-multinomial draw given the shard's size, while each source's total is exact. Slot j of a source
+number of words. The mix is a row of output shards of ``SHARD_SLOTS`` block slots each. For every shard the
+counts of its sources are a multinomial draw: each slot draws a source by the targets' shares. Over all
+shards the draws miss the targets by about the root of the slots; what a source was drawn too often is taken
+from its draws at even distances and goes, in the same shards, to the sources drawn too rarely, so every
+source gets its number of slots exactly. Running sums over the shards then number a source's slots. Slot j of a source
 takes the block that a pseudorandom permutation of the source's block numbers (one permutation for
 each pass over the source) maps it to; slots and blocks then join by block number. As no slot count
 exceeds two passes, no word is taken more than twice.
@@ -13,12 +15,12 @@ the number of blocks) if a hash of the larger of the two says so; every round is
 the whole is a permutation for any number of blocks.
 
 Places in a source come from running sums within hashed buckets and running sums over the buckets,
-about the square root of the rows in number, so no task holds a whole source.
+about the square root of the rows in number, so no task holds a whole source; those of slots from running sums within and over groups of ``GROUP`` shards.
 
 Defined cases: null and empty texts have size 0 and are taken 0 times. A null source is a source of
-its own, last in order. Repeated rows are rows like others in ``mix_counts``; ``mix_documents``
-takes ``doc_id`` as a key and keeps one row of each. An empty table gives an empty result. Extra
-columns are ignored by ``mix_counts`` and kept by ``mix_documents``.
+its own, last in order. Rows are told apart by a hash of id, text and source and, where these are equal, by a
+running number, so repeated rows and null or repeated ids are rows like others. An empty table gives an empty result. Extra
+columns are ignored by ``mix_counts`` and kept by ``mix_documents``. Ties of any kind are broken by hashes; reruns agree.
 """
 
 from __future__ import annotations
@@ -36,8 +38,12 @@ BLOCK_WORDS = 128
 #: Blocks that a source is cut into at least, where it has the words.
 LEAST_BLOCKS = 64
 SHARD_SLOTS = 4096
-#: Runs of SHARD_SLOTS slots that one task permutes, about.
-RUNS_A_TASK = 8
+#: Shards that one task draws and permutes, about.
+SHARDS_A_TASK = 8
+#: Shards whose counts are summed up in one go.
+GROUP = 1024
+#: Parts of the unit interval by which a drawn number finds its source.
+BINS = 1024
 ROUNDS = 16
 SEED = 20
 
@@ -78,52 +84,91 @@ def permuted(x: Column, n: Column, *key: Column, rounds: int = ROUNDS, seed: int
     return F.aggregate(F.array(*(F.lit(r) for r in range(rounds))), x, swap)
 
 
-def draw_slots(targets: DataFrame) -> DataFrame:
-    """All slots of the mix: (sid, slot, block, shard)."""
-    chunk = SHARD_SLOTS
-    total = F.sum("slots").over(W.partitionBy())
-    plan = targets.where(F.col("slots") > 0).select("sid", "slots", "blocks", F.greatest(F.lit(1), F.ceil(total / SHARD_SLOTS)).cast("long").alias("shards"))
-    n_runs = plan.agg(F.sum(F.ceil(F.col("slots") / chunk))).first()[0] or 1
-    # a number of partitions that follows the slots: the permutations are most of the work
-    runs = plan.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / chunk)))).repartition(min(8192, -(-int(n_runs) // RUNS_A_TASK)), "sid", "run")
-    slots = runs.withColumn("slot", F.explode(F.sequence(F.col("run") * chunk, F.least((F.col("run") + 1) * chunk, F.col("slots")) - 1)))
-    block = permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), F.col("sid"), F.floor(F.col("slot") / F.col("blocks")))
-    shard = F.pmod(F.xxhash64(F.lit(SEED + 2), "sid", "slot"), F.col("shards"))
-    return slots.select("sid", "slot", block.alias("block"), shard.alias("shard"))
+def draw_counts(targets: DataFrame) -> DataFrame:
+    """(shard, sid, n): a multinomial draw of source counts for each output shard."""
+    spark = targets.sparkSession
+    total = targets.agg(F.sum("slots")).first()[0] or 0
+    shards = -(-total // SHARD_SLOTS)
+    before = F.coalesce(F.sum("slots").over(W.orderBy("sid").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    # the slots of all sources in a row are the interval that is drawn from; a source lies in some of its bins
+    ranges = targets.where(F.col("slots") > 0).select("sid", before.alias("low"), (before + F.col("slots")).alias("high"))
+    part = lambda x: F.floor(x * BINS / max(1, total)).cast("long")
+    bins = ranges.withColumn("bin", F.explode(F.sequence(part(F.col("low")), part(F.col("high") - 1))))
+    runs = spark.range(0, shards, 1, max(1, min(8192, -(-shards // SHARDS_A_TASK)))).withColumnRenamed("id", "shard")
+    slots = runs.withColumn("slot", F.explode(F.sequence(F.col("shard") * SHARD_SLOTS, F.least((F.col("shard") + 1) * SHARD_SLOTS, F.lit(total)) - 1)))
+    drawn = slots.select("shard", F.pmod(F.xxhash64(F.lit(SEED + 2), "slot"), F.lit(max(1, total))).alias("at"))
+    met = drawn.withColumn("bin", part(F.col("at"))).join(bins, "bin").where("at >= low and at < high")
+    return met.groupBy("shard", "sid").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _numbered(counts: DataFrame) -> DataFrame:
+    """Counts (shard, sid, n) with ``start``, the sum of the source's counts in all shards before."""
+    group = F.floor(F.col("shard") / GROUP)
+    sums = counts.groupBy("sid", group.alias("group")).agg(F.sum("n").alias("n"))
+    offsets = sums.select("sid", "group", F.coalesce(F.sum("n").over(W.partitionBy("sid").orderBy("group").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
+    within = W.partitionBy("sid", "group").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
+    local = counts.withColumn("group", group).withColumn("start", F.coalesce(F.sum("n").over(within), F.lit(0)))
+    return local.join(offsets, ["sid", "group"]).select("shard", "sid", "n", (F.col("start") + F.col("offset")).alias("start"))
+
+
+def shard_counts(targets: DataFrame) -> DataFrame:
+    """(shard, sid, n, start): the source counts of each output shard, each source's sum being its slots; ``start`` numbers them over the shards."""
+    drawn = written(draw_counts(targets), "mix-drawn")
+    sums = targets.join(drawn.groupBy("sid").agg(F.sum("n").alias("drawn")), "sid", "left").select("sid", "slots", F.coalesce("drawn", F.lit(0)).alias("drawn"))
+    order = W.orderBy("sid").rowsBetween(W.unboundedPreceding, -1)
+    over, under = F.greatest(F.lit(0), F.col("drawn") - F.col("slots")), F.greatest(F.lit(0), F.col("slots") - F.col("drawn"))
+    plan = sums.withColumn("over", over).withColumn("under", under).withColumn("over_at", F.coalesce(F.sum("over").over(order), F.lit(0))).withColumn("under_at", F.coalesce(F.sum("under").over(order), F.lit(0)))
+    plan = written(plan, "mix-fit")  # one row a source
+    fitted = _numbered(drawn).join(plan.select("sid", "drawn", "over", "over_at"), "sid")
+    gone = lambda x: F.floor(x * F.col("over") / F.col("drawn")).cast("long")
+    cut = fitted.withColumn("from", gone(F.col("start").cast("decimal(38,0)"))).withColumn("to", gone((F.col("start") + F.col("n")).cast("decimal(38,0)")))
+    freed = cut.where(F.col("to") > F.col("from")).select("shard", F.explode(F.sequence(F.col("over_at") + F.col("from"), F.col("over_at") + F.col("to") - 1)).alias("unit"))
+    wanted = plan.where("under > 0").select("sid", F.explode(F.sequence(F.col("under_at"), F.col("under_at") + F.col("under") - 1)).alias("unit"))
+    moved = freed.join(wanted, "unit").select("shard", "sid", F.lit(1).cast("long").alias("n"))
+    kept = cut.select("shard", "sid", (F.col("n") - (F.col("to") - F.col("from"))).alias("n"))
+    final = kept.unionByName(moved).groupBy("shard", "sid").agg(F.sum("n").alias("n")).where("n > 0")
+    return _numbered(written(final, "mix-counts"))
 
 
-def shard_counts(slots: DataFrame) -> DataFrame:
-    """The source counts of each output shard."""
-    return slots.groupBy("shard", "sid").count()
+def draw_slots(targets: DataFrame) -> DataFrame:
+    """All slots of the mix: (shard, sid, slot, block)."""
+    counts = shard_counts(targets).join(targets.select("sid", "blocks"), "sid")
+    slots = counts.withColumn("slot", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)))
+    block = permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), F.col("sid"), F.floor(F.col("slot") / F.col("blocks")))
+    return slots.select("shard", "sid", "slot", block.alias("block"))
 
 
 def _placed(rows: DataFrame, targets: DataFrame) -> DataFrame:
-    """Rows (doc_id, source, size) with their source's numbers and their first word's place in it."""
+    """Rows (row_key, source, size) with their source's numbers and their first word's place in it."""
     n_rows = rows.count()
     buckets = max(1, int(n_rows**0.5))
-    keyed = rows.join(F.broadcast(targets), F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source").withColumn("bucket", F.pmod(F.xxhash64(F.lit(SEED + 3), "doc_id"), F.lit(buckets)))
+    keyed = rows.join(targets.withColumnRenamed("source", "t_source"), F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source").withColumn("bucket", F.pmod(F.xxhash64(F.lit(SEED + 3), "row_key"), F.lit(buckets)))
     sums = keyed.groupBy("sid", "bucket").agg(F.sum("size").alias("n"))
     offsets = sums.select("sid", "bucket", F.coalesce(F.sum("n").over(W.partitionBy("sid").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
-    within = W.partitionBy("sid", "bucket").orderBy("doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    within = W.partitionBy("sid", "bucket").orderBy("row_key", "size").rowsBetween(W.unboundedPreceding, -1)
     local = keyed.withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    return local.join(offsets, ["sid", "bucket"]).withColumn("start", F.col("offset") + F.col("before")).drop("offset", "before", "bucket")
+    return local.join(offsets.hint("merge"), ["sid", "bucket"]).withColumn("start", F.col("offset") + F.col("before")).drop("offset", "before", "bucket")
 
 
 def _pieces(placed: DataFrame, targets: DataFrame) -> DataFrame:
-    """One row for each block that a row's words lie in, with the words there and how often the mix takes the block."""
+    """One row for each block that a row's words lie in, with the words there and how often the mix's shards take the block."""
     times = draw_slots(targets).groupBy("sid", "block").agg(F.count(F.lit(1)).alias("times"))
     b = F.col("block_words")
     spread = placed.where(F.col("size") > 0).withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / b), F.floor((F.col("start") + F.col("size") - 1) / b))))
     begin, end = F.greatest(F.col("start"), F.col("block") * b), F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * b)
     cut = spread.withColumn("first", begin - F.col("start")).withColumn("words", end - begin)
-    return cut.join(times, ["sid", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
+    return cut.join(times.hint("merge"), ["sid", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
+
+
+def _row_key(id_col: str, text_col: str, source_col: str) -> Column:
+    return F.xxhash64(F.col(id_col), F.col(text_col), F.col(source_col))
 
 
 def _plan(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, DataFrame]:
-    rows = written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.size(word_array(F.col(text_col))).cast("long").alias("size")), "mix-sizes")
+    rows = written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), _row_key(id_col, text_col, source_col).alias("row_key"), F.size(word_array(F.col(text_col))).cast("long").alias("size")), "mix-sizes")
     # one row a source, written once as many branches read it
     targets = written(source_targets(rows), "mix-targets")
-    return _placed(rows, targets.withColumnRenamed("source", "t_source")), targets
+    return _placed(rows, targets), targets
 
 
 def mix_counts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -139,16 +184,23 @@ def mix_counts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
 def mix_documents(docs: DataFrame) -> DataFrame:
     """The mix as documents: each document's text is what the mix takes of it, one pass after the other; documents that it takes nothing of go."""
-    docs = docs.dropDuplicates(["doc_id"])
     placed, targets = _plan(docs, "doc_id", "text", "source")
-    parts = _pieces(placed, targets).where(F.col("times") > 0).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("first", "words", "times"))).alias("mix_parts"), F.sum(F.col("words")).alias("mix_once"), F.sum(F.when(F.col("times") > 1, F.col("words")).otherwise(0)).alias("mix_twice"))
+    docs = docs.withColumn("mix_key", _row_key("doc_id", "text", "source"))
+    keys = ["mix_key"]
+    placed = placed.withColumnRenamed("row_key", "mix_key")
+    if not placed.groupBy("mix_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        # rows that are equal in id, text and source: any numbering of them will do
+        copy = F.row_number().over(W.partitionBy("mix_key").orderBy("mix_key"))
+        docs, keys = docs.withColumn("mix_copy", copy), [*keys, "mix_copy"]
+        placed = placed.withColumn("mix_copy", F.row_number().over(W.partitionBy("mix_key").orderBy("start")))
+    parts = _pieces(placed, targets).where(F.col("times") > 0).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("first", "words", "times"))).alias("mix_parts"), F.sum(F.col("words")).alias("mix_once"), F.sum(F.when(F.col("times") > 1, F.col("words")).otherwise(0)).alias("mix_twice"))
     words = word_array(F.col("text"))
 
     def taken(times: int) -> Column:
         parts = F.filter("mix_parts", lambda p: p["times"] >= times)
         return F.array_join(F.flatten(F.transform(parts, lambda p: F.slice(F.col("mix_words"), (p["first"] + 1).cast("int"), p["words"].cast("int")))), " ")
 
-    joined = docs.join(parts.hint("shuffle_hash"), "doc_id").withColumn("mix_words", words)
+    joined = docs.join(parts.hint("shuffle_hash"), keys).withColumn("mix_words", words)
     size = F.size("mix_words")
     first = F.when(F.col("mix_once") == size, F.col("text")).otherwise(taken(1))
     second = F.when(F.col("mix_twice") == 0, F.lit(None)).when(F.col("mix_twice") == size, F.col("text")).otherwise(taken(2))
@@ -156,7 +208,19 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     out = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*(c for c in docs.columns if not c.startswith("mix_")))
+
+
+def mix_shards(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(shard, source, slot, block, text): the mix as its shards' slots, each with the words of the block that it takes, joined by block index."""
+    placed, targets = _plan(docs, id_col, text_col, source_col)
+    b = F.col("block_words")
+    texts = docs.select(_row_key(id_col, text_col, source_col).alias("row_key"), word_array(F.col(text_col)).alias("all_words")).dropDuplicates(["row_key"])
+    spread = placed.where(F.col("size") > 0).join(texts, "row_key").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / b), F.floor((F.col("start") + F.col("size") - 1) / b))))
+    begin, end = F.greatest(F.col("start"), F.col("block") * b), F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * b)
+    cut = spread.select("sid", "block", begin.alias("begin"), F.slice("all_words", (begin - F.col("start") + 1).cast("int"), (end - begin).cast("int")).alias("words"))
+    blocks = cut.groupBy("sid", "block").agg(F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("begin", "words"))), lambda x: x["words"])), " ").alias("text"))
+    return draw_slots(targets).join(blocks, ["sid", "block"]).join(targets.select("sid", "source"), "sid").select("shard", "source", "slot", "block", "text")
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

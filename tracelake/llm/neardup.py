@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import mix64, passes, range_hashes, table, text_bytes, written
+from tracelake.llm.common import mix64, passes, range_hashes, table, text_bytes, without_id_in, written
 
 SHINGLE = 5
 PERCENT = 75
@@ -423,7 +423,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def keep_first(docs: DataFrame) -> DataFrame:
     """One document of each component, whole rows: the one with the least id."""
     gone = written(near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct(), "duplicates")
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    return without_id_in(docs, gone)
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
