@@ -7,7 +7,7 @@ import random
 import pytest
 
 from tests.llm.conftest import build
-from tracelake.llm import neardup, pii, quality
+from tracelake.llm import neardup, pii, quality, secrets_scan
 
 
 def test_quality_of_text_in_another_script(spark, tmp_path):
@@ -110,3 +110,45 @@ def test_near_duplicates_beside_a_large_group(spark):
                 parent[y] = x
     docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in neardup.near_duplicates(docs).collect()} == {i: find(i) for i in range(len(sets))}
+
+
+def test_base_secrets_by_the_plain_patterns():
+    import re
+
+    rng = random.Random(14)
+    bits = ["password", "PassWd", "secret", "token", "api_key", "APIKEY", '"', "'", " ", "  ", ":", "=", "abcdefgh", "A1+/_.=-", "AKIA", "AKIAABCDEFGHIJKL", "0123456789abcdef", "deadbeef" * 4, "é", "ſecret", "toKen", "\n", "x", "Ab9"]
+    assign = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    for _ in range(3000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randrange(1, 14)))
+        want = [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m[2]) >= 8]
+        want += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+        want += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+        assert secrets_scan.secrets(text) == sorted(want), text
+        base, every, _ = secrets_scan.scan(text)
+        assert base == sorted(want) and set(base) <= set(every)
+
+
+def test_secrets_that_layers_once_lost(monkeypatch):
+    import base64
+    import bz2
+    import gzip
+    import zlib
+
+    pack = lambda b: base64.b64encode(b).decode()
+    spans = lambda t: set(secrets_scan.scan(t)[1]) - set(secrets_scan.scan(t)[0])
+    assert spans("pass\\u0077ord = hunter2hunter2") == {(0, 0, 30)}
+    assert spans("password = %68unter2hunter") == {(0, 0, 26)}
+    assert spans(f"x {pack(b'some password')} = hunter2hunter2 y") == {(2, 0, 2 + len(pack(b'some password')) + 17)}
+    inner = b"token: abcdefgh1"
+    for _ in range(12):  # compressed many times over
+        inner = gzip.compress(inner)
+    assert spans(f"see {pack(inner)} .") == {(4, 0, 4 + len(pack(inner)))}
+    for text in ("a\xa0b\u200b secret=abcdefgh", "a\x00 secret=abcdefgh\x00"):
+        assert spans(f"path/{pack(text.encode())}")
+    large = zlib.compress(b"a b " * 300_000 + "é".encode() * 300_000 + b" password=abcdefgh " + b"c d " * 300_000)
+    monkeypatch.setattr(secrets_scan, "WINDOW", 1 << 16)
+    text = f"{pack(large)} and {pack(b'token = abcdefgh99')} {pack(bz2.compress(b'api_key = 1234567890'))}"
+    assert len(spans(text)) == 3
+    assert secrets_scan.scan(f"{pack(large[:-20])}")[2] > 1  # broken off
+    a, b = "\\u0025\\u0034\\u0031" * 3, "%25%34%31" * 3
+    assert secrets_scan.scan(a)[2] < 10 and secrets_scan.scan(b)[2] < 10

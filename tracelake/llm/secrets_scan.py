@@ -1,14 +1,18 @@
 """Secret scans through nested encodings by a worklist of decoded layers.
 
-A text is the first layer. Each layer is scanned for secrets; every percent-encoded, Unicode-escaped,
-base64 or compressed stretch in it decodes to a new layer, which goes on the worklist, until none is
-left. A layer that was seen before in the document is not worked on again, so cycles end. Each
-character of a layer knows the stretch of the original text that it comes from, so a secret in any
-layer maps to a span of the document.
-
-Defined cases: null and empty texts have no spans. Repeated rows give repeated results. A stretch
-that does not decode to printable text is left alone. What compressed stretches of one document
-expand to is read up to ``EXPANDED`` characters, a guard against bombs. An empty table gives an
+A text is the first layer. Each layer is scanned for secrets and decoded in place, in one way at a time: all its
+percent-encoded stretches, all its Unicode escapes and character references, or all its base64 stretches are
+replaced by what they stand for, and what is not encoded stays around them, so secrets may lie partly in a stretch.
+Base64 that holds gzip, zlib or bzip2 data is expanded, again while the result is compressed. Each decoded layer goes on the
+worklist until none is left; a layer whose text was seen before in the document is not worked on again, so cycles end.
+A layer knows by runs of characters where it comes from, so a secret in any layer maps to a span of the document.
+
+What a stretch expands to beyond ``WINDOW`` characters becomes layers of its own, one for each window; windows end at white
+space and repeat the ``OVERLAP`` characters before, and all of a stretch maps to the same span, so nothing is lost between them.
+
+Defined cases: null and empty texts have no spans. Repeated rows give repeated results. A base64 stretch that decodes to
+neither UTF-8 nor compressed data is tried from each of its separators and alignments on and else left alone; compressed
+data that breaks off gives what came before. Nothing else bounds the layers of a document. An empty table gives an
 empty result. Extra columns are ignored. Places are code points, ends exclusive.
 """
 
@@ -17,9 +21,11 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import codecs
 import hashlib
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from urllib.parse import unquote_to_bytes
 
@@ -30,16 +36,19 @@ from pyspark.sql import functions as F
 from tracelake.llm.common import table
 
 KINDS = ("assign", "access", "hex")
-EXPANDED = 16 << 20
+#: Characters of expanded data in one layer, about, and those that the next window repeats.
+WINDOW = 4 << 20
+OVERLAP = 4096
 
 _ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"[0-9a-f]{32,}")
-_PERCENT = re.compile(r"%[0-9A-Fa-f]{2}")
-_ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
+_PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
+_ESCAPE = re.compile(r"\\u([dD][89abAB][0-9A-Fa-f]{2})\\u([dD][c-fC-F][0-9A-Fa-f]{2})|\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-_TOKEN = re.compile(r"\S+")
+_STANDARD = str.maketrans("-_", "+/")
+_SPACES = re.compile(r"\x20{65,}")
 
 
 def secrets(text: str) -> list[tuple[int, int, int]]:
@@ -55,137 +64,215 @@ def secrets(text: str) -> list[tuple[int, int, int]]:
 
 
 class Layer:
-    """A text and, for each of its characters, where it begins and ends in the document (None: where it stands)."""
+    """A text and the runs by which its characters come from the layer above: (first place, begin above, step, width)."""
 
-    def __init__(self, text: str, begin: list[int] | None = None, end: list[int] | None = None):
-        self.text, self.begin, self.end = text, begin, end
+    def __init__(self, text: str, above: Layer | None = None, runs: list[tuple[int, int, int, int]] | None = None):
+        self.text, self.above, self.runs = text, above, runs or []
+        self.starts = [r[0] for r in self.runs]
 
     def span(self, start: int, stop: int) -> tuple[int, int]:
-        return (start, stop) if self.begin is None else (self.begin[start], self.end[stop - 1])
-
-    def part(self, text: str, spans: list[tuple[int, int]]) -> Layer:
-        """A decoded layer whose characters come from these spans of this one."""
-        mapped = [self.span(a, b) for a, b in spans]
-        return Layer(text, [a for a, _ in mapped], [b for _, b in mapped])
+        """The stretch of the document that characters come from."""
+        layer = self
+        while layer.above is not None:
+            place, begin, step, _ = layer.runs[bisect_right(layer.starts, start) - 1]
+            last, end, step_, width = layer.runs[bisect_right(layer.starts, stop - 1) - 1]
+            start, stop = begin + step * (start - place), end + step_ * (stop - 1 - last) + width
+            layer = layer.above
+        return start, stop
+
+    def replaced(self, found: list[tuple[int, int, str, int]]) -> Layer:
+        """This layer with stretches (start, end, text, width) replaced, ``width`` characters making one of the new ones; 0: all of them."""
+        out, runs, at, size = [], [], 0, 0
+        for start, end, text, width in found:
+            if start > at:
+                runs.append((size, at, 1, 1))
+                out.append(self.text[at:start])
+                size += start - at
+            if text:
+                runs.append((size, start, width, width or end - start))
+                out.append(text)
+                size += len(text)
+            at = end
+        if at < len(self.text):
+            runs.append((size, at, 1, 1))
+            out.append(self.text[at:])
+        return Layer("".join(out), self, runs)
+
+
+def _percent(text: str) -> list[tuple[int, int, str, int]]:
+    found = []
+    for m in _PERCENT.finditer(text):
+        raw = unquote_to_bytes(m[0])
+        try:
+            plain = raw.decode("utf-8")
+        except UnicodeDecodeError:
+            plain = raw.decode("latin-1")
+        if len(plain) == len(raw):
+            found.append((m.start(), m.end(), plain, 3))
+            continue
+        at = m.start()
+        for c in plain:
+            n = 3 * len(c.encode("utf-8"))
+            found.append((at, at + n, c, n))
+            at += n
+    return found
+
+
+def _escapes(text: str) -> list[tuple[int, int, str, int]]:
+    found = []
+    for m in _ESCAPE.finditer(text):
+        if m[1]:
+            point = 0x10000 + ((int(m[1], 16) & 0x3FF) << 10) + (int(m[2], 16) & 0x3FF)
+        else:
+            point = int(m[6]) if m[6] else int(m[3] or m[4] or m[5] or m[7], 16)
+        if point <= 0x10FFFF:
+            found.append((m.start(), m.end(), chr(point), 0))
+    return found
 
 
-def _printable(raw: bytes) -> str | None:
+def _unbase64(token: str) -> bytes | None:
+    body = token.rstrip("=").translate(_STANDARD)
+    body = body[: len(body) - 1] if len(body) % 4 == 1 else body
     try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError:
+        return base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
+    except (binascii.Error, ValueError):
         return None
-    plain = sum(c.isprintable() or c in "\n\r\t" for c in text)
-    return text if len(text) >= 4 and plain == len(text) else None
 
 
-def _inflated(raw: bytes, room: int) -> bytes | None:
-    """What gzip, zlib or bzip2 bytes expand to, up to ``room`` bytes."""
+def _is_packed(head: bytes) -> bool:
+    return head[:2] == b"\x1f\x8b" or head[:3] == b"BZh" or (len(head) > 2 and head[0] == 0x78 and (head[0] << 8 | head[1]) % 31 == 0)
+
+
+def _expanded(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """What compressed pieces expand to, a bounded piece at a time, as far as they are whole."""
+    engine, rest, bzip = None, b"", False
+    for piece in pieces:
+        rest += piece
+        try:
+            while rest:
+                if engine is None:
+                    if not _is_packed(rest):
+                        return
+                    bzip = rest[:3] == b"BZh"
+                    engine = bz2.BZ2Decompressor() if bzip else zlib.decompressobj(47)
+                given, rest = rest, b""
+                while True:
+                    out = engine.decompress(given, WINDOW)
+                    if out:
+                        yield out
+                    if engine.eof:
+                        rest, engine = engine.unused_data, None
+                        break
+                    given = b"" if bzip else engine.unconsumed_tail
+                    if (engine.needs_input if bzip else not given) and len(out) < WINDOW:
+                        break
+        except (zlib.error, OSError, ValueError):
+            return
+
+
+def _unpacked(raw: bytes) -> Iterator[str]:
+    """Texts of about ``WINDOW`` characters that bytes expand to, being decompressed as long as they are compressed; none if they aren't."""
+    pieces: Iterator[bytes] = iter([raw])
+    head, seen, packed = raw, set(), False
+    while _is_packed(head):
+        key = hashlib.blake2b(head, digest_size=16).digest()
+        if key in seen:
+            return
+        seen.add(key)
+        pieces = _expanded(pieces)
+        head = b""
+        for piece in pieces:
+            head += piece
+            if len(head) >= WINDOW:
+                break
+        if not head:
+            return
+        packed = True
+        pieces = _chained(head, pieces)
+    if not packed:
+        return
+    decoder, held = codecs.getincrementaldecoder("utf-8")("replace"), ""
+    for piece in pieces:
+        held += decoder.decode(piece)
+        if len(held) >= WINDOW:
+            end = max(held.rfind(c) for c in " \n\t")
+            if end > OVERLAP:
+                yield held[: end + 1]
+                held = _SPACES.sub(" " * 64, held[:end])[-OVERLAP:] + held[end:]
+    held += decoder.decode(b"", True)
+    if held:
+        yield held
+
+
+def _chained(head: bytes, rest: Iterator[bytes]) -> Iterator[bytes]:
+    yield head
+    yield from rest
+
+
+def _meaning(token: str) -> list[str]:
+    """The texts that a base64 token stands for, none if it stands for nothing readable."""
+    head = _unbase64(token[:64])
+    if head is None:
+        return []
+    if _is_packed(head):
+        return list(_unpacked(_unbase64(token) or b""))
     try:
-        if raw[:2] == b"\x1f\x8b" or (len(raw) > 2 and raw[0] == 0x78 and (raw[0] << 8 | raw[1]) % 31 == 0):
-            return zlib.decompressobj(47).decompress(raw, room)
-        if raw[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(raw, room)
-    except (zlib.error, OSError, ValueError):
-        pass
-    return None
+        codecs.getincrementaldecoder("utf-8")().decode(head if len(token) <= 64 else head[:48])
+        text = (_unbase64(token) or b"").decode("utf-8")
+    except UnicodeDecodeError:
+        return []
+    return [text] if len(text) >= 4 else []
 
 
-def _unbase64(token: str) -> bytes | None:
-    body = token.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:
-        return None
-    try:
-        return base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-    except (binascii.Error, ValueError):
-        return None
+def _base64(text: str) -> tuple[list[tuple[int, int, str, int]], list[tuple[int, int, str]]]:
+    """Stretches to replace, and (start, end, window) of what is too large for that."""
+    found, windows = [], []
+    for m in _BASE64.finditer(text):
+        starts = [m.start() + k for k in range(4)] + [m.start() + k + 1 for k, c in enumerate(m[0]) if c in "/-_+"]
+        for start in dict.fromkeys(starts):
+            token = text[start : m.end()] if start else text[: m.end()]
+            texts = _meaning(token) if len(token) >= 12 else []
+            if texts:
+                if len(texts) == 1:
+                    found.append((start, m.end(), texts[0], 0))
+                else:
+                    windows += [(start, m.end(), t) for t in texts]
+                break
+    return found, windows
 
 
-def _percent_layer(layer: Layer, start: int, token: str) -> Layer | None:
-    raw, at, k = bytearray(), [], 0
-    while k < len(token):
-        if _PERCENT.match(token, k):
-            raw += unquote_to_bytes(token[k : k + 3])
-            at.append((start + k, start + k + 3))
-            k += 3
-        else:
-            more = token[k].encode("utf-8", "surrogatepass")
-            raw += more
-            at += [(start + k, start + k + 1)] * len(more)
-            k += 1
-    text = _printable(bytes(raw))
-    if text is None:
-        return None
-    spans, b = [], 0
-    for c in text:
-        n = len(c.encode("utf-8"))
-        spans.append((at[b][0], at[b + n - 1][1]))
-        b += n
-    return layer.part(text, spans)
-
-
-def _escape_layer(layer: Layer, start: int, token: str) -> Layer | None:
-    out, spans, k = [], [], 0
-    for m in _ESCAPE.finditer(token):
-        out += token[k : m.start()]
-        spans += [(start + i, start + i + 1) for i in range(k, m.start())]
-        point = int(m[4]) if m[4] else int(m[1] or m[2] or m[3] or m[5], 16)
-        if point > 0x10FFFF:
-            return None
-        out.append(chr(point))
-        spans.append((start + m.start(), start + m.end()))
-        k = m.end()
-    out += token[k:]
-    spans += [(start + i, start + i + 1) for i in range(k, len(token))]
-    return layer.part("".join(out), spans)
-
-
-def decoded(layer: Layer, room: int = EXPANDED) -> Iterator[Layer]:
-    """The layers that the encoded stretches of a layer decode to."""
+def decoded(layer: Layer) -> Iterator[Layer]:
+    """The layers that a layer decodes to."""
     text = layer.text
-    percent, escape = bool(_PERCENT.search(text)), ("\\" in text or "&#" in text) and bool(_ESCAPE.search(text))
-    if percent or escape:
-        for m in _TOKEN.finditer(text):
-            if percent and _PERCENT.search(m[0]):
-                found = _percent_layer(layer, m.start(), m[0])
-                if found:
-                    yield found
-            if escape and _ESCAPE.search(m[0]):
-                found = _escape_layer(layer, m.start(), m[0])
-                if found:
-                    yield found
-    for m in _BASE64.finditer(text):
-        raw = _unbase64(m[0])
-        if raw is None:
-            continue
-        for _ in range(8):  # compressed more than once
-            inner = _inflated(raw, room)
-            if inner is None or inner == raw:
-                break
-            raw = inner
-        plain = _printable(raw)
-        if plain:
-            yield layer.part(plain, [m.span()] * len(plain))
+    if "%" in text and (found := _percent(text)):
+        yield layer.replaced(found)
+    if ("\\" in text or "&#" in text) and (found := _escapes(text)):
+        yield layer.replaced(found)
+    found, windows = _base64(text)
+    if found:
+        yield layer.replaced(found)
+    for start, end, window in windows:
+        yield Layer(window, layer, [(0, start, 0, end - start)])
 
 
 def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int]:
     """Base spans, all spans, and the number of layers of one document."""
     if not text:
         return [], [], 0
+    digest = lambda t: hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest()
     base = secrets(text)
-    found, seen, work, room, layers = set(base), {hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()}, [Layer(text)], EXPANDED, 0
+    found, seen, work, layers = set(base), {digest(text)}, [Layer(text)], 0
     while work:
         layer = work.pop()
         layers += 1
-        if layer.begin is not None:
+        if layer.above is not None:
             for a, kind, b in secrets(layer.text):
                 start, stop = layer.span(a, b)
                 found.add((start, kind, stop))
-        for inner in decoded(layer, max(1, room)):
-            # the same text from another place is another finding; from the same place it is a cycle
-            key = hashlib.blake2b(inner.text.encode("utf-8", "surrogatepass"), digest_size=16, key=str(inner.span(0, len(inner.text))).encode()[:64]).digest()
-            if key not in seen and room > 0:
+        for inner in decoded(layer):
+            key = digest(inner.text)
+            if key not in seen:
                 seen.add(key)
-                room -= len(inner.text)
                 work.append(inner)
     return base, sorted(found), layers
 
