@@ -152,3 +152,43 @@ def test_secrets_that_layers_once_lost(monkeypatch):
     assert secrets_scan.scan(f"{pack(large[:-20])}")[2] > 1  # broken off
     a, b = "\\u0025\\u0034\\u0031" * 3, "%25%34%31" * 3
     assert secrets_scan.scan(a)[2] < 10 and secrets_scan.scan(b)[2] < 10
+
+
+def test_revealing_terms_stand_anywhere(spark):
+    docs = [(i, "hello zorblax wrote from x@corp.example today") for i in range(6)] + [(50, "no address " * 20 + "but Zorblax again, and ZORBLAX"), (None, "zorblax"), (50, None)]
+    docs += [(100 + i, "hello from today wrote") for i in range(200)]
+    found = {(r.doc_id, r.n_email): r.spans for r in pii.digest(pii.find_personal_data(spark.createDataFrame(docs, "doc_id long, text string"))).collect() if r.spans}
+    assert found == {**{(i, 1): "term:6:13,email:25:39" for i in range(6)}, (50, 0): "term:224:231,term:243:250", (None, 0): "term:0:7"}
+
+
+def test_revealing_terms_by_counting(spark):
+    """Terms by a plain count of documents with word and entity, with the formula of the evidence."""
+    import math
+    import re
+
+    rng = random.Random(15)
+    words = [f"word{k}" for k in range(30)]
+    docs = []
+    for i in range(300):
+        picked = [rng.choice(words) for _ in range(12)]
+        if i % 5 == 0:
+            picked[4:5] = [rng.choice(["rare" + str(i % 3), picked[4]]), f"a{i % 3}@corp.example"]
+        docs.append((i, " ".join(picked)))
+    near, having, with_entity = {}, {}, {}
+    for i, text in docs:
+        found = list(re.finditer(r"[\w.]+@[\w.]+", text))
+        for w in set(re.findall(r"\w{3,}", text)):
+            having[w] = having.get(w, 0) + 1
+        for m in found:
+            with_entity[m[0]] = with_entity.get(m[0], 0) + 1
+            left = max(0, m.start() - 64)
+            for w in set(re.findall(r"\w{3,}", text[left : m.start()]) + re.findall(r"\w{3,}", text[m.end() : m.end() + 64])):
+                near[m[0], w] = near.get((m[0], w), 0) + 1
+    want = set()
+    for (e, w), n in near.items():
+        d, share = n / having.get(w, 10**9), with_entity[e] / 300
+        bits = having.get(w, 0) * (d * math.log2(d / share) + ((1 - d) * math.log2((1 - d) / (1 - share)) if d < 1 else 0)) if d > share else 0
+        if n >= 2 and d >= 0.5 and bits >= 6:
+            want.add(w)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert want and {r.term for r in pii.revealing_terms(df, pii.find_entities(df)).collect()} == want

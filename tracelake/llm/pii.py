@@ -10,8 +10,8 @@ masked. For a word t near an entity e
     information = documents with t * (d * log2(d / share) + (1 - d) * log2((1 - d) / (1 - share)))
 
 with d the disclosure: the evidence in bits, over all documents of t, that they hold e more often than
-documents do, however frequent e is. A word whose disclosure is above the share and over both thresholds, seen near e in at least ``LEAST_DOCS`` documents, becomes a ``term`` span at
-the places where it stands near e. ``sanitised`` replaces spans: entities and words that surely
+documents do, however frequent e is. A word whose disclosure is above the share and over both thresholds, seen near e in at least ``LEAST_DOCS`` documents,
+becomes a ``term`` span wherever it stands, in all documents, beside the entity or not. ``sanitised`` replaces spans: entities and words that surely
 reveal one are removed (a mask stays), the others are generalised to their kind of word.
 
 All of it is DataFrame functions. A pattern is located by putting marks around its matches and
@@ -20,15 +20,16 @@ start at the start of a run keep matching linear, and matches equal those of the
 
 Defined cases: null or empty texts have no spans. Repeated rows count as documents each and give
 equal results. An empty table gives an empty result. Extra columns are ignored. Places are code
-points, ends exclusive.
+points, ends exclusive. Rows are told apart by their texts alone: a null or repeated ``doc_id`` is no special case.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import table, written
+from tracelake.llm.common import table, with_id_in, written
 
 #: Code points on either side of an entity that count as near.
 NEAR = 64
@@ -127,10 +128,14 @@ def find_entities(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     return written(rows.select("doc_id", "text_key", "spans", near.alias("near")), "pii-entities")
 
 
-def document_frequency(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """(term, term_docs) over all words of all documents."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(_WORD), F.lit(0)))
-    return docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("term_docs"))
+def _words_of(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0)))
+
+
+def document_frequency(docs: DataFrame, terms: DataFrame, *, text_col: str = "text") -> DataFrame:
+    """(term, term_docs) of these terms over all documents; other words are not shuffled where the terms are few."""
+    words = docs.select(F.explode(_words_of(F.col(text_col))).alias("term")).join(terms, "term", "left_semi")
+    return words.groupBy("term").agg(F.count(F.lit(1)).alias("term_docs"))
 
 
 def evidence(disclosure: Column, share: Column, term_docs: Column) -> Column:
@@ -140,34 +145,49 @@ def evidence(disclosure: Column, share: Column, term_docs: Column) -> Column:
 
 
 def revealing_terms(docs: DataFrame, entities: DataFrame, *, text_col: str = "text", least_docs: int = LEAST_DOCS, disclosure: float = DISCLOSURE, information: float = INFORMATION) -> DataFrame:
-    """(doc_id, text_key, term spans) of the words that reveal an entity near them."""
+    """(term, disclosure) of the words that reveal an entity, by the entity that each reveals most."""
     total = docs.count()
-    mentions = entities.where(F.col("near").isNotNull()).select("doc_id", "text_key", F.explode("near").alias("m")).select("doc_id", "text_key", F.col("m.entity").alias("entity"), F.col("m.words").alias("words"))
-    known = mentions.select("doc_id", "text_key", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("entity_docs")).where(F.col("entity_docs") >= least_docs)
-    placed = mentions.join(known, "entity").select("doc_id", "text_key", "entity", "entity_docs", F.explode("words").alias("w")).select("doc_id", "text_key", "entity", "entity_docs", "w.term", "w.start", "w.stop")
-    pairs = placed.select("doc_id", "text_key", "entity", "entity_docs", "term").distinct().groupBy("entity", "term").agg(F.first("entity_docs").alias("entity_docs"), F.count(F.lit(1)).alias("together")).where(F.col("together") >= least_docs)
+    # a document is a row of entities; its mentions of one entity count once
+    own = entities.where(F.col("near").isNotNull()).select(F.monotonically_increasing_id().alias("row"), F.explode("near").alias("m")).select("row", F.col("m.entity").alias("entity"), F.col("m.words").alias("words"))
+    mentions = written(own, "pii-mentions")
+    known = mentions.select("row", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("entity_docs")).where(F.col("entity_docs") >= least_docs)
+    placed = mentions.join(known, "entity").select("row", "entity", "entity_docs", F.explode("words.term").alias("term")).distinct()
+    pairs = placed.groupBy("entity", "term").agg(F.first("entity_docs").alias("entity_docs"), F.count(F.lit(1)).alias("together")).where(F.col("together") >= least_docs)
     pairs = written(pairs, "pii-pairs")
-    scored = pairs.join(document_frequency(docs, text_col=text_col), "term").withColumn("disclosure", F.least(F.lit(1.0), F.col("together") / F.col("term_docs"))).withColumn("information", evidence(F.col("disclosure"), F.col("entity_docs") / F.lit(float(total)), F.col("term_docs")))
-    bad = scored.where((F.col("disclosure") >= disclosure) & (F.col("information") >= information)).select("entity", "term", "disclosure")
-    span = F.struct(F.lit("term").alias("kind"), F.col("start"), F.col("stop"), F.when(F.col("disclosure") >= SURE, "removed").otherwise("generalised").alias("value"))
-    return placed.join(bad, ["entity", "term"]).groupBy("doc_id", "text_key").agg(F.collect_set(span).alias("terms"))
+    frequent = document_frequency(docs, written(pairs.select("term").distinct(), "pii-candidates"), text_col=text_col)
+    scored = pairs.join(frequent, "term").withColumn("disclosure", F.least(F.lit(1.0), F.col("together") / F.col("term_docs"))).withColumn("information", evidence(F.col("disclosure"), F.col("entity_docs") / F.lit(float(total)), F.col("term_docs")))
+    return scored.where((F.col("disclosure") >= disclosure) & (F.col("information") >= information)).groupBy("term").agg(F.max("disclosure").alias("disclosure"))
+
+
+def term_places(docs: DataFrame, terms: DataFrame, *, text_col: str = "text") -> DataFrame:
+    """(text_key, terms): the spans of the terms (term, disclosure) in every text that holds one, a row for each such text."""
+    keyed = docs.select(F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
+    hits = written(keyed.select("text_key", F.explode(_words_of(F.col("text"))).alias("term")).join(terms, "term").groupBy("text_key", "term").agg(F.first("disclosure").alias("disclosure")), "pii-hits")
+    texts = with_id_in(keyed, hits.select("text_key").distinct(), "text_key").groupBy("text_key").agg(F.first("text").alias("text"))
+    pieces = F.split(F.regexp_replace(F.translate("text", _MARK, _OTHER), F.lit(_WORD), F.lit(f"{_MARK}$0{_MARK}")), _MARK, -1)
+    # every other piece is a word; its place is the length of what stands before it
+    cut = texts.select("text_key", F.posexplode(pieces).alias("nth", "piece"))
+    before = F.coalesce(F.sum(F.length("piece")).over(W.partitionBy("text_key").orderBy("nth").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("long")
+    words = cut.withColumn("start", before).where(F.col("nth") % 2 == 1).withColumn("term", F.lower("piece"))
+    span = F.struct(F.lit("term").alias("kind"), F.col("start"), (F.col("start") + F.length("piece")).alias("stop"), F.when(F.col("disclosure") >= SURE, "removed").otherwise("generalised").alias("value"))
+    return words.join(hits, ["text_key", "term"]).groupBy("text_key").agg(F.collect_list(span).alias("terms"))
 
 
 def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_key, spans, terms): base spans and term spans, those apart from any base span, of every text."""
     entities = find_entities(docs, id_col=id_col, text_col=text_col)
-    terms = revealing_terms(docs, entities, text_col=text_col).select(F.col("doc_id").alias("t_id"), F.col("text_key").alias("t_key"), "terms")
-    same = F.col("doc_id").eqNullSafe(F.col("t_id")) & (F.col("text_key") == F.col("t_key"))
-    joined = entities.select("doc_id", "text_key", "spans").join(terms, same, "left").drop("t_id", "t_key")
+    found = written(revealing_terms(docs, entities, text_col=text_col), "pii-terms")
+    terms = term_places(docs, found, text_col=text_col)
+    joined = entities.select("doc_id", "text_key", "spans").join(terms, "text_key", "left")
     apart = F.filter("terms", lambda t: ~F.exists("spans", lambda s: (s["start"] < t["stop"]) & (t["start"] < s["stop"])))
-    return joined.withColumn("terms", F.coalesce(F.array_sort(apart), F.array().cast(f"array<{_SPAN}>")))
+    return joined.select("doc_id", "text_key", "spans", F.coalesce(F.array_sort(apart), F.array().cast(f"array<{_SPAN}>")).alias("terms"))
 
 
 def sanitised(docs: DataFrame) -> DataFrame:
     """(doc_id, text) with entities and surely revealing words masked and other revealing words generalised."""
-    found = find_personal_data(docs).select(F.col("doc_id").alias("p_id"), F.col("text_key").alias("p_key"), F.array_sort(F.transform(F.concat("spans", "terms"), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"), s["value"].alias("value")))).alias("all")).dropDuplicates(["p_id", "p_key"])
+    found = find_personal_data(docs).select(F.col("text_key").alias("p_key"), F.array_sort(F.transform(F.concat("spans", "terms"), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"), s["value"].alias("value")))).alias("all")).dropDuplicates(["p_key"])
     rows = docs.select("doc_id", "text").withColumn("text_key", F.xxhash64("text"))
-    joined = rows.join(found, F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("text_key") == F.col("p_key")), "left")
+    joined = rows.join(found, F.col("text_key") == F.col("p_key"), "left")
 
     def step(state: Column, s: Column) -> Column:
         mask = F.when(s["kind"] != "term", F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).when(s["value"] == "removed", F.lit("[...]")).otherwise(F.lit("[WORD]"))
