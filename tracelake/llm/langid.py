@@ -7,7 +7,8 @@ with the fewest phrases per character, in bits of a pointer into its sample, win
 
 Texts are normalised to lower-case letters and single spaces and cut into segments of ``SEGMENT``
 symbols, each parsed on its own, so a text of any length takes a bounded number of numpy steps:
-one step moves every segment of many texts through all automata at once. Whole texts are parsed.
+one step moves every segment of many texts through all automata at once. Whole texts are parsed. The letters of all samples are
+symbols: the most frequent ones one symbol each, the others a lead symbol and two or three more, so scripts of any size are told apart.
 
 Defined cases: null texts and texts without a letter give ``und`` and score 0. Ties go to the first
 language in code-point order. Rows without a language teach nothing; without any labelled text every
@@ -29,8 +30,10 @@ from tracelake.llm.common import passes, table
 SAMPLE_SYMBOLS = 40_000
 SAMPLE_DOCS = 150
 SEGMENT = 512
-#: Symbols told apart: the most frequent letters of the samples; 0 is any other letter, 1 the space.
+#: Symbols: 0 is a letter that no sample has, 1 the space, 2 to 61 the most frequent letters of the samples or, after a
+#: lead symbol, digits; 62 leads two digits, 63 three.
 ALPHABET = 64
+DIGITS = ALPHABET - 4
 UNKNOWN = "und"
 
 
@@ -88,17 +91,20 @@ class LanguageModel:
             for c in text:
                 if c.isalpha():
                     counts[lowered(c)] = counts.get(lowered(c), 0) + 1
-        letters = {c: k for k, c in enumerate(sorted(counts, key=lambda c: (-counts[c], c))[: ALPHABET - 2], 2)}
+        letters = {c: k for k, c in enumerate(sorted(counts, key=lambda c: (-counts[c], c)))}
         self.code = np.ones(0x110000, np.uint8)
+        self.rank = np.zeros(0x110000, np.int32)
         for point in range(0x110000):
             c = chr(point)
             if c.isalpha():
-                self.code[point] = letters.get(lowered(c), 0)
-        self.width = len(letters) + 2
+                k = letters.get(lowered(c), -1)
+                self.code[point] = k + 2 if k < DIGITS else ALPHABET - 2 if k < DIGITS + DIGITS**2 else ALPHABET - 1
+                self.rank[point] = max(0, k - DIGITS)
+        self.width = len(letters) + 2 if len(letters) <= DIGITS else ALPHABET
         sizes, self.moves, self.roots = [], np.zeros(0, np.int32), []
         for lang in self.languages:
-            symbols = self.symbols([samples[lang]])[0].tolist()
-            moves = Automaton(symbols[:SAMPLE_SYMBOLS], self.width).moves
+            symbols = self.symbols([samples[lang]])[0].tolist()[:SAMPLE_SYMBOLS]
+            moves = Automaton(symbols, self.width).moves
             self.roots.append(len(self.moves) // self.width)
             self.moves = np.concatenate([self.moves, np.where(moves >= 0, moves + self.roots[-1], -1).astype(np.int32).ravel()])
             sizes.append(max(2, len(symbols)))
@@ -106,7 +112,8 @@ class LanguageModel:
 
     def symbols(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of all texts in a row, and how many each has: letters, one space wherever anything else stands between letters."""
-        codes = self.code[np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")]
+        points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+        codes = self.code[points]
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         owner = np.repeat(np.arange(len(texts)), sizes)
         letter = np.flatnonzero(codes != 1)
@@ -117,7 +124,21 @@ class LanguageModel:
         place = np.arange(len(letter)) + np.cumsum(gap)
         out = np.ones(len(letter) + int(gap.sum()), np.uint8)
         out[place] = codes[letter]
-        return out, np.bincount(owner[letter], minlength=len(texts)) + np.bincount(owner[letter[gap]], minlength=len(texts))
+        many = np.flatnonzero(out >= ALPHABET - 2)
+        sizes = np.bincount(owner[letter], minlength=len(texts)) + np.bincount(owner[letter[gap]], minlength=len(texts))
+        if len(many):
+            width = np.ones(len(out), np.int64)
+            width[many] = out[many] - (ALPHABET - 2) + 3
+            which = letter[np.searchsorted(place, many)]
+            rest = self.rank[points[which]] - np.where(width[many] == 4, DIGITS**2, 0)
+            sizes += np.bincount(owner[which], weights=width[many] - 1, minlength=len(texts)).astype(sizes.dtype)
+            at = (np.cumsum(width) - width)[many]
+            out = np.repeat(out, width)
+            for k in (3, 2, 1):
+                has = width[many] > k
+                out[at[has] + k] = rest[has] % DIGITS + 2
+                rest = np.where(has, rest // DIGITS, rest)
+        return out, sizes
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Phrase counts [text, language] and the number of symbols of each text."""
@@ -151,30 +172,26 @@ class LanguageModel:
 
 
 def sample(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, str]:
-    """Sample text by language, from documents that are not held out. At most ``SAMPLE_DOCS`` documents of a language reach the driver, those with the smallest id hashes."""
+    """Sample text by language, from documents that are not held out: a window of each of about ``SAMPLE_DOCS`` documents a language, those with the
+    smallest id hashes, at a place of the whole text that a hash chooses. An id counts once."""
     labelled = docs.where(~is_held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rank = F.xxhash64(F.col(id_col).cast("string")).bitwiseAND(F.lit((1 << 62) - 1))
-    counts = labelled.groupBy(F.col(lang_col).alias("lang")).count()
-    # of n evenly spread hashes about SAMPLE_DOCS lie below this share of their range
-    limits = {r["lang"]: min(1.0, SAMPLE_DOCS / r["count"]) for r in counts.collect()}
-    if not limits:
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy(F.col(lang_col).alias("lang")).count().collect()}  # one row a language
+    if not counts:
         return {}
-    chosen = F.lit(False)
-    for lang, share in sorted(limits.items()):
-        chosen = chosen | ((F.col(lang_col) == lang) & (rank <= int(share * ((1 << 62) - 1))))
-    rows = labelled.where(chosen).select(F.col(lang_col).alias("lang"), rank.alias("rank"), F.substring(text_col, 1, SAMPLE_SYMBOLS).alias("text")).toPandas()
+    # of n evenly spread hashes about SAMPLE_DOCS lie below this share of their range
+    chosen, size = F.lit(False), F.lit(0)
+    for lang, n in sorted(counts.items()):
+        chosen = chosen | ((F.col(lang_col) == lang) & (rank <= int(min(1.0, SAMPLE_DOCS / n) * ((1 << 62) - 1))))
+        size = F.when(F.col(lang_col) == lang, 2 * SAMPLE_SYMBOLS // min(n, SAMPLE_DOCS)).otherwise(size)
+    at = F.pmod(F.xxhash64(F.lit(1), "rank"), F.greatest(F.lit(1), F.length("text") - F.col("size") + 1))
+    rows = labelled.where(chosen).select(F.col(lang_col).alias("lang"), rank.alias("rank"), size.alias("size"), F.col(text_col).alias("text"))
+    windows = rows.select("lang", "rank", F.substring("text", (at + 1).cast("int"), F.col("size")).alias("text")).groupBy("lang", "rank").agg(F.min("text").alias("text")).toPandas()
     out = {}
-    for lang, part in rows.groupby("lang"):
-        texts = list(part.sort_values(["rank", "text"]).text[: 2 * SAMPLE_DOCS])
-        share = 2 * SAMPLE_SYMBOLS // max(1, len(texts))
-        spare = 2 * SAMPLE_SYMBOLS - sum(min(share, len(t)) for t in texts)
-        pieces = []
-        for t in texts:
-            take = min(len(t), share + spare)
-            spare -= max(0, take - share)
-            pieces.append(t[:take])
-        if any(c.isalpha() for p in pieces for c in p):
-            out[str(lang)] = " ".join(pieces)
+    for lang, part in windows.groupby("lang"):
+        text = " ".join(part.sort_values("rank").text)
+        if any(c.isalpha() for c in text):
+            out[str(lang)] = text
     return out
 
 
