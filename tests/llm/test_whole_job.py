@@ -7,7 +7,7 @@ import random
 import pytest
 
 from tests.llm.conftest import build
-from tracelake.llm import neardup, pii, quality, secrets_scan
+from tracelake.llm import langid, neardup, pii, quality, secrets_scan
 
 
 def test_quality_of_text_in_another_script(spark, tmp_path):
@@ -192,3 +192,36 @@ def test_revealing_terms_by_counting(spark):
             want.add(w)
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert want and {r.term for r in pii.revealing_terms(df, pii.find_entities(df)).collect()} == want
+
+
+def test_languages_of_many_scripts(spark, tmp_path):
+    rng = random.Random(16)
+    letters = {"la": "abcdefghijklmnopqrstuvwxyz", "ru": "абвгдежзийклмнопрстуфхцчшщъыьэюя", "uk": "абвгґдеєжзиіїйклмнопрстуфхцчшщьюя", "zh": "".join(map(chr, range(0x4E00, 0x4E00 + 1500))), "ja": "".join(map(chr, range(0x5400, 0x5400 + 1500)))}
+    words = {lang: ["".join(rng.choice(c) for _ in range(rng.randrange(2, 6))) for _ in range(300)] for lang, c in letters.items()}
+    docs = [(i, " ".join(rng.choice(words[lang]) for _ in range(60)), lang, "s") for i in range(400) for lang in [sorted(words)[i % 5]]]
+    folder = build(spark, tmp_path / "t", docs)
+    got = {r.doc_id: r for r in langid.op4_language_id(spark, folder).collect()}
+    assert all(got[i].lang_pred == lang for i, _, lang, _ in docs)
+    model = langid.LanguageModel({"zh": " ".join(words["zh"])})
+    for text in ("".join(letters["zh"][:400]), "a 12 b", words["zh"][0] + "!" + words["zh"][1]):
+        flat, sizes = model.symbols([text, "", text])
+        assert sizes.sum() == len(flat) and sizes[0] == sizes[2] and flat[: sizes[0]].tolist() == flat[sizes[0] :].tolist()
+
+
+def test_label_model_finds_accuracies():
+    """Rates of sparse voters whose single silence says nothing, and the same posteriors when a voter is there five times over."""
+    import numpy as np
+
+    from tracelake.llm import toxicity
+
+    rng = np.random.default_rng(17)
+    label = rng.random(20000) < 0.1
+    hit, miss = rng.uniform(0.03, 0.12, 40), np.full(40, 0.0002)
+    votes = rng.random((20000, 40)) < np.where(label[:, None], hit, miss)
+    none = np.zeros((20000, len(toxicity.PATTERNS)), bool)
+    post, rates, _ = toxicity.label_model(np.concatenate([votes, none], axis=1), 0.1)
+    assert np.abs(rates[:40, 1] - hit).max() < 0.03 and rates[:40, 0].max() < 0.002
+    assert ((post > 0.5) == label).mean() > 0.98
+    many = np.concatenate([votes, np.repeat(votes[:, :1], 4, axis=1), none], axis=1)
+    again, _, corr = toxicity.label_model(many, 0.1)
+    assert corr[0, 40] > 0.9 and ((again > 0.5) == label).mean() > 0.98

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import table
+from tracelake.llm.common import table, written
 from tracelake.llm.langid import is_held_out
 
 #: Labelled rows that voters and label model are fitted on, at most (about).
@@ -96,29 +96,28 @@ class ToxicityModel:
 
 
 def label_model(votes: np.ndarray, prior: float, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """EM over the hidden label of the 0/1 votes [row, voter]: posteriors, firing rates [voter, class] and correlations given the label."""
-    rows, voters = votes.shape
-    fired = votes.astype(np.float64)
-    lexicon = fired[:, : voters - len(PATTERNS)].sum(axis=1)
-    post = np.where(lexicon > 0, 0.9, 0.02 * prior)
-    rates = np.zeros((voters, 2))
-    corr = np.eye(voters)
-    for round_ in range(rounds):
+    """EM over the hidden label of the 0/1 votes [row, voter]: posteriors, firing rates [voter, class] and correlations given the label.
+
+    A single voter's silence is an abstention. That no lexicon voter speaks at all is a vote of its own, whose rates are learnt like
+    the others'. The first posteriors are the shares of rows by whether a lexicon voter speaks, so that the label with more votes is the toxic one."""
+    voters = votes.shape[1]
+    silent = ~votes[:, : voters - len(PATTERNS)].any(axis=1)
+    fired = np.concatenate([votes, silent[:, None]], axis=1).astype(np.float64)
+    post = np.where(silent, 0.1 * prior, 1 - 0.5 * prior)
+    rates, corr = np.zeros((voters + 1, 2)), np.eye(voters + 1)
+    for _ in range(rounds):
         mass = np.array([(1 - post).sum(), post.sum()])
-        rates[:, 1] = (post @ fired + 0.5) / (mass[1] + 5)
-        rates[:, 0] = ((1 - post) @ fired + 0.05) / (mass[0] + 5)
-        if round_ in (5, 15):
-            mean = post[:, None] * rates[:, 1] + (1 - post)[:, None] * rates[:, 0]
-            rest = fired - mean
-            scale = np.sqrt(np.maximum(1e-12, (rest**2).sum(axis=0)))
-            corr = (rest.T @ rest) / np.outer(scale, scale)
+        # what is added keeps the rates off 0
+        rates = np.stack([((1 - post) @ fired + 0.05) / (mass[0] + 5), (post @ fired + 0.5) / (mass[1] + 5)], axis=1)
+        rest = fired - (post[:, None] * (post @ fired / mass[1]) + (1 - post)[:, None] * ((1 - post) @ fired / mass[0]))
+        scale = np.sqrt(np.maximum(1e-12, (rest**2).sum(axis=0)))
+        corr = (rest.T @ rest) / np.outer(scale, scale)
         # a voter that agrees with others beyond the label's doing shares its evidence with them
         share = 1 / np.maximum(1.0, np.where(corr > SAME_VOICE, corr, 0).sum(axis=1))
-        # silence is an abstention, no vote for the other class; a row where no lexicon voter speaks keeps the share the prior leaves
-        yes = np.log(rates[:, 1] / rates[:, 0]) * share
-        z = math.log(prior / (1 - prior)) + fired @ yes - 2 * (lexicon == 0)
-        post = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
-    return post, rates, corr
+        before, post = post, 1 / (1 + np.exp(-np.clip(math.log(prior / (1 - prior)) + fired @ (np.log(rates[:, 1] / rates[:, 0]) * share), -50, 50)))
+        if np.abs(post - before).max() < 1e-4:
+            break
+    return post, rates[:-1], corr[:-1, :-1]
 
 
 def linear_classifier(votes: np.ndarray, target: np.ndarray, rounds: int = 12, ridge: float = 0.3) -> tuple[np.ndarray, float]:
@@ -159,7 +158,7 @@ def _labelled_sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame
 
 def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -> ToxicityModel:
     """Mine voters, fit the label model and train the classifier."""
-    train = _labelled_sample(docs, labels, sample_rows)
+    train = written(_labelled_sample(docs, labels, sample_rows), "toxic-sample")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
