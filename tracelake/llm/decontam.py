@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelake.llm.common import freeing, table
+
 WINDOW = 13
 #: Share of a document's words, as one over this number, from which the whole document goes.
 COVERAGE = 20
@@ -201,7 +203,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = W
                 rows.append({"doc_id": doc_id, "n_words": len(words), "n_hit": sum(b - a for a, b in spans), "longest": longest, "items": sorted(items), "spans": [{"start": a, "end": b} for a, b in spans], "char_spans": [{"start": a, "end": b} for a, b in chars]})
             yield pa.RecordBatch.from_pylist(rows, _ARROW)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(scan, SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(freeing(scan), SCHEMA)
 
 
 def is_contaminated(coverage: int = COVERAGE):
@@ -249,7 +251,7 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int =
                 batch = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
             yield batch.take(pa.array(keep, pa.int32()))
 
-    return docs.mapInArrow(cut, docs.schema)
+    return docs.mapInArrow(freeing(cut), docs.schema)
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -258,6 +260,4 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tracelake.llm.common import table
-
     return digest(find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))

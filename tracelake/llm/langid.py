@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import passes, table
+from tracelake.llm.common import freeing, passes, table
 
 #: Symbols of labelled text that a language learns from, and the documents they come from, at most.
 SAMPLE_SYMBOLS = 40_000
@@ -216,7 +216,7 @@ def predict(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", te
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), is_held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(freeing(run), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import mix64, passes, range_hashes, table, text_bytes, without_id_in, written
+from tracelake.llm.common import freeing, mix64, passes, range_hashes, table, text_bytes, without_id_in, written
 
 SHINGLE = 5
 PERCENT = 75
@@ -155,7 +155,7 @@ def sketch_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * BANDS, BANDS), pa.int32()), pa.array(keys.view(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes.astype(np.int64)), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), lists, pa.array([m.tobytes() for m in keys.astype(np.uint32)], pa.binary()), pa.array([m.tobytes() for m in marks], pa.binary())], ["doc_id", "n_shingles", "set_a", "set_b", "bands", "band_marks", "sketch"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SKETCH_SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(freeing(run), SKETCH_SCHEMA)
 
 
 def _sizes_near(one, two, percent: int):
@@ -173,7 +173,7 @@ def _agreeing(pairs: DataFrame, percent: int) -> DataFrame:
                 near = (np.count_nonzero(one == two, axis=1) >= LEAST_AGREED) & _sizes_near(batch.column(4).to_numpy(), batch.column(5).to_numpy(), percent)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(near))
 
-    return pairs.mapInArrow(run, "a long, b long")
+    return pairs.mapInArrow(freeing(run), "a long, b long")
 
 
 def _similar(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
@@ -199,7 +199,7 @@ def _intersected(pairs: DataFrame, percent: int) -> DataFrame:
                 keep = [_similar(sets[x], sets[y], percent) for x, y in zip(one, two, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.mapInArrow(run, "a long, b long")
+    return pairs.mapInArrow(freeing(run), "a long, b long")
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -292,7 +292,7 @@ def _across(tiles: DataFrame, percent: int) -> DataFrame:
         if held:
             yield _by_blocks(found)
 
-    return tiles.mapInArrow(run, "block_a long, block_b long, pairs array<struct<a: long, b: long>>")
+    return tiles.mapInArrow(freeing(run), "block_a long, block_b long, pairs array<struct<a: long, b: long>>")
 
 
 def _linked(ids: np.ndarray, hashes: np.ndarray, at: np.ndarray, pairs: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -350,7 +350,7 @@ def _intersected_by_block(tried: DataFrame, texts: DataFrame, percent: int) -> D
                 kept = _linked(met.field("doc_id").to_numpy(), hashes, at, asked, percent)
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in kept], pa.int64()), pa.array([y for _, y in kept], pa.int64())], ["a", "b"])
 
-    return pairs.join(what, list(keys)).select("pairs", "texts").mapInArrow(run, "a long, b long")
+    return pairs.join(what, list(keys)).select("pairs", "texts").mapInArrow(freeing(run), "a long, b long")
 
 
 def _torn(filled: DataFrame, classes: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import passes, table, text_bytes, with_id_in, without_id_in, written
+from tracelake.llm.common import freeing, passes, release, table, text_bytes, with_id_in, without_id_in, written
 
 ORDER = 4
 BITS = 5
@@ -96,7 +96,7 @@ def count_grams(texts: DataFrame) -> DataFrame:
             some = seen[k : k + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], ["gram", "n"])
 
-    return texts.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return texts.select("text").mapInArrow(freeing(count), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def discounts(counts: DataFrame) -> tuple[float, float, float]:
@@ -167,7 +167,7 @@ def count_point_grams(texts: DataFrame) -> DataFrame:
                 heads, tails, at, _ = point_grams(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([pa.array(heads), pa.array(tails), pa.array(np.bincount(at, minlength=len(heads)), pa.int64())], ["head", "tail", "n"])
 
-    return texts.select("text").mapInArrow(count, "head long, tail long, n long").groupBy("head", "tail").agg(F.sum("n").alias("n"))
+    return texts.select("text").mapInArrow(freeing(count), "head long, tail long, n long").groupBy("head", "tail").agg(F.sum("n").alias("n"))
 
 
 def _suffix(n: int) -> tuple[Column, Column]:
@@ -250,11 +250,12 @@ def score_quality(docs: DataFrame, grams: DataFrame) -> DataFrame:
             raise RuntimeError("documents were not read the same way twice")
         each = -np.log2(p[order])[at]
         sums = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=each, minlength=len(sizes))
+        release()
         return pa.table({"doc_id": pa.array(part["doc_ids"], pa.int64()), "lang": pa.array(part["langs"], pa.string()), "n_symbols": pa.array(sizes), "bits": pa.array(sums / np.maximum(1, sizes))})
 
-    asked = written(rows.mapInArrow(ask, "pass long, head long, tail long"), "asked-grams")
+    asked = written(rows.mapInArrow(freeing(ask), "pass long, head long, tail long"), "asked-grams")
     answers = asked.join(point_probabilities(grams, asked), ["head", "tail"]).select("pass", "head", "tail", "p")
-    placed = rows.mapInArrow(place, "pass long, doc_ids array<long>, langs array<string>, ends array<long>, packed binary")
+    placed = rows.mapInArrow(freeing(place), "pass long, doc_ids array<long>, langs array<string>, ends array<long>, packed binary")
     return placed.groupBy("pass").cogroup(answers.groupBy("pass")).applyInArrow(score, "doc_id long, lang string, n_symbols long, bits double")
 
 

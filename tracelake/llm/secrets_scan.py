@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import table
+from tracelake.llm.common import freeing, table
 
 KINDS = ("assign", "access", "hex")
 #: Characters of expanded data in one layer, about, and those that the next window repeats.
@@ -298,7 +298,7 @@ def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc_id", *out])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_layers long")
+    return rows.mapInArrow(freeing(run), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_layers long")
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import passes, table, written
+from tracelake.llm.common import freeing, passes, table, written
 
 RATE = 8000
 BLOCK = 576
@@ -131,7 +131,7 @@ def encode_media(docs: DataFrame, *, codec: str | None = None, id_col: str = "do
                     media.append(wave_header(kind, len(padded)) + padded)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n_bytes, pa.int64()), pa.array(codecs), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "codec", "media"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(encode, "doc_id long, n_bytes long, codec string, media binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(freeing(encode), "doc_id long, n_bytes long, codec string, media binary")
 
 
 def _expanded(files: list[tuple[str, bytes]]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -176,7 +176,7 @@ def decode_media(media: DataFrame, *, with_pcm: bool = False) -> DataFrame:
                     rows.append(row)
                 yield pa.RecordBatch.from_pylist(rows, pa.schema(fields))
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(decode, schema)
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(freeing(decode), schema)
 
 
 def store_pcm(media: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import passes, table, written
+from tracelake.llm.common import freeing, passes, table, written
 
 END_ID = 2
 BLOCK_IDS = 65_536
@@ -195,7 +195,7 @@ def write_token_frames(docs: DataFrame, *, tokenizer: str | None = None, end_id:
             yield closed()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    frames = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(encode, FRAME_SCHEMA)
+    frames = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(freeing(encode), FRAME_SCHEMA)
     return written(frames, "token-frames")
 
 
@@ -213,7 +213,7 @@ def read_documents(frames: DataFrame, *, with_ids: bool = False) -> DataFrame:
                     out["ids"] = [ids[a:b].astype(np.int64) for a, b in zip(starts, ends, strict=True)]
                 yield pa.RecordBatch.from_pydict(out, pa.schema([("doc_id", pa.int64()), ("shard", pa.int32()), ("shard_start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), *([("ids", pa.list_(pa.int64()))] if with_ids else [])]))
 
-    return frames.mapInArrow(decode, "doc_id long, shard int, shard_start long, n_tokens long, ids_crc32 long" + (", ids array<long>" if with_ids else ""))
+    return frames.mapInArrow(freeing(decode), "doc_id long, shard int, shard_start long, n_tokens long, ids_crc32 long" + (", ids array<long>" if with_ids else ""))
 
 
 def document_stream(frames: DataFrame, *, with_ids: bool = False) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import table, written
+from tracelake.llm.common import freeing, table, written
 from tracelake.llm.langid import is_held_out
 
 #: Labelled rows that voters and label model are fitted on, at most (about).
@@ -171,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -
     n1, n0 = per_class.get(1, 0), per_class.get(0, 0)
     if not n1 or not n0:
         return ToxicityModel()
-    terms = train.select(F.col("toxic").cast("long").alias("toxic"), "text").mapInArrow(extract, "toxic long, terms array<string>")
+    terms = train.select(F.col("toxic").cast("long").alias("toxic"), "text").mapInArrow(freeing(extract), "toxic long, terms array<string>")
     counts = terms.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").alias("pos"), F.count(F.lit(1)).alias("n"))
     expected = F.col("n") * n1 / (n1 + n0)
     other = F.col("n") - F.col("pos")
@@ -187,7 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([model.voters(t) for t in batch.column(1).to_pylist()], pa.list_(pa.int32()))], ["doc_id", "voters"])
 
-    fired = sorted((r["doc_id"], r["voters"]) for r in train.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(vote, "doc_id long, voters array<int>").collect())
+    fired = sorted((r["doc_id"], r["voters"]) for r in train.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(freeing(vote), "doc_id long, voters array<int>").collect())
     votes = np.zeros((len(fired), len(model.names)), np.float32)
     for k, (_, places) in enumerate(fired):
         votes[k, places] = 1
@@ -208,7 +208,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), is_held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(freeing(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
