@@ -120,3 +120,25 @@ def nearest_rank(values: Column, p: float) -> Column:
     """The value at place floor(n p), capped, of a sorted array."""
     n = F.size(values)
     return F.element_at(F.array_sort(values), F.least(n, F.floor(n * p).cast("int") + 1))
+
+
+def local_iso(ts: Column, zone: str) -> Column:
+    """A UTC time as ISO text in a named zone."""
+    return F.date_format(F.from_utc_timestamp(ts, zone), "yyyy-MM-dd'T'HH:mm:ss.SSS")
+
+
+def without_signatures(line: Column) -> Column:
+    """A JSON line whose thinking blocks have lost their signatures; other lines stay as they are."""
+    member = r'"signature"\s*:\s*"(?:[^"\\]|\\.)*+"'
+    bare = F.regexp_replace(F.regexp_replace(line, rf",\s*{member}", ""), rf"{member}\s*,?\s*", "")
+    return F.when(F.rlike(line, F.lit(r'"type"\s*:\s*"thinking"')), bare).otherwise(line)
+
+
+def ordered_union(*arrays: Column) -> Column:
+    """The values of arrays in order, each where it comes first."""
+    return F.array_distinct(F.concat(*arrays))
+
+
+def encoded_path(path: Column) -> Column:
+    """A folder path as project ids spell it: every character but ASCII letters and digits a dash."""
+    return F.regexp_replace(path, "[^A-Za-z0-9]", "-")

@@ -54,17 +54,17 @@ def postings(texts: DataFrame, key: str, text: str) -> DataFrame:
     return words.select(key, F.size("words").alias("length"), F.explode("words").alias("term")).groupBy("term", key, "length").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25(texts: DataFrame, query: str, key: str, text: str, *, limit: int = 20) -> DataFrame:
+def bm25(texts: DataFrame, query: str, key: str, text: str, *, limit: int = 20, where: Column | None = None) -> DataFrame:
     """The texts that have every word of the query, best first; as in full-text indexes a lower rank is better.
 
-    Only terms of the query leave the scan: each text is one row of its length and its counts of those terms.
+    ``where`` picks among all texts before the limit; lengths and frequencies are those of all. Only terms of the query leave the scan: each text is one row of its length and its counts of those terms.
     """
     terms = sorted(set(query.lower().split()))
     schema = f"{key} {dict(texts.dtypes)[key]}, rank double"
     if not terms:
         return texts.sparkSession.createDataFrame([], schema)
-    words = texts.select(key, tokens(F.col(text)).alias("words"))
-    counts = words.select(key, F.size("words").alias("length"), *(_occurrences(t).alias(f"tf{i}") for i, t in enumerate(terms)))
+    words = texts.select(key, tokens(F.col(text)).alias("words"), (F.lit(True) if where is None else F.coalesce(where, F.lit(False))).alias("wanted"))
+    counts = words.select(key, "wanted", F.size("words").alias("length"), *(_occurrences(t).alias(f"tf{i}") for i, t in enumerate(terms)))
     stats = counts.agg(F.count(F.lit(1)).alias("n_texts"), F.avg("length").alias("mean_length"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms)))).first()
     score = F.lit(0.0)
     for i in range(len(terms)):
@@ -72,7 +72,7 @@ def bm25(texts: DataFrame, query: str, key: str, text: str, *, limit: int = 20)
         idf = max(1e-6, float(np.log((n - df + 0.5) / (df + 0.5))))
         tf = F.col(f"tf{i}")
         score = score - idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / (stats["mean_length"] or 1.0)))
-    every = counts.where(" AND ".join(f"tf{i} > 0" for i in range(len(terms))))
+    every = counts.where("wanted AND " + " AND ".join(f"tf{i} > 0" for i in range(len(terms))))
     return every.select(key, F.round(score, 6).alias("rank")).orderBy("rank", key).limit(clamp_limit(limit))
 
 
@@ -100,6 +100,30 @@ def nearest(vectors: DataFrame, query: list[float], key: str, vector: str, *, li
     return rows.select(key, distance.alias("distance")).orderBy("distance", key).limit(clamp_limit(limit))
 
 
+def search_events(events: DataFrame, query: str, key: str, text: str, *, mode: str = "keyword", where: Column | None = None, limit: int = 20, embedder=None) -> DataFrame:
+    """The events that a search finds, best first: all their columns with ``rank`` and a marked ``snippet``, or for mode ``semantic`` with
+    the ``distance`` of their nearest chunk and that ``chunk``. Any other mode is keyword search; filters come before the limit."""
+    if mode != "semantic":
+        # at most ``limit`` hits
+        hits = bm25(events, query, key, text, limit=limit, where=where)
+        return events.join(F.broadcast(hits), key).withColumn("snippet", snippet(F.col(text), query)).orderBy("rank", key)
+    embedder = embedder or hashing_embedder
+    rows = events if where is None else events.where(where)
+    pieces = chunks(rows, key, text).withColumn("piece", F.concat_ws("#", F.col(key).cast("string"), "nth"))
+    vectors = embed(pieces, "piece", "chunk", embedder).join(pieces, "piece")
+    distance = F.round(cosine_distance(F.col("embedding"), F.lit([float(x) for x in embedder([query])[0]])), 6)
+    best = vectors.withColumn("distance", distance).where(~F.isnan("distance")).groupBy(key).agg(F.min(F.struct("distance", "nth", "chunk")).alias("best"))
+    hits = best.select(key, "best.distance", "best.chunk").orderBy("distance", key).limit(clamp_limit(limit))
+    return events.join(F.broadcast(hits), key).orderBy("distance", key)
+
+
+def mean_pooled(vectors: Column) -> Column:
+    """The mean of an array of vectors, scaled to length 1; null for none."""
+    total = F.aggregate(F.slice(vectors, 2, F.greatest(F.size(vectors), F.lit(1))), F.element_at(vectors, 1), lambda s, v: F.zip_with(s, v, lambda a, b: a + b))
+    norm = F.sqrt(F.aggregate(total, F.lit(0.0), lambda s, x: s + x.cast("double") * x))
+    return F.when(F.size(vectors) > 0, F.transform(total, lambda x: F.try_divide(x.cast("double"), norm)))
+
+
 def hashing_embedder(texts: list[str | None], size: int = EMBED_SIZE) -> list[np.ndarray]:
     """The offline stand-in for an embedding model: signed hashed words and word pairs, normalised."""
     import zlib

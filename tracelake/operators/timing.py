@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracelake.functions.scalars import delta_ms, tokens_per_second
+from tracelake.operators.usage import money
 
 #: A reply sooner than its tokens can be read at this rate is too fast, if it has this many.
 READ_TOKENS_PER_SECOND = 8
@@ -29,6 +30,14 @@ def session_timing(turn_rows: DataFrame) -> DataFrame:
     return turn_rows.groupBy("project_id", "session_id").agg(F.count(F.lit(1)).alias("n_turns"), F.coalesce(F.sum("idle_ms"), F.lit(0)).alias("idle_ms"), F.coalesce(F.sum("active_ms"), F.lit(0)).alias("active_ms"), F.count_if("too_fast").alias("n_too_fast"))
 
 
+def session_metrics(events: DataFrame) -> DataFrame:
+    """Cost, peak context use, mean rate (sum over sum, four places) and turn figures of each session."""
+    timed = (F.col("event_type") == "assistant") & F.col("is_head") & (F.col("duration_ms") > 0)
+    rate = F.round(F.try_divide(F.sum(F.when(timed, F.col("output_tokens"))) * 1000.0, F.sum(F.when(timed, F.col("duration_ms")))), 4)
+    whole = events.groupBy("project_id", "session_id").agg(money().alias("cost_usd"), F.max("context_ratio").alias("peak_context_ratio"), rate.alias("avg_tps"))
+    return whole.join(session_timing(turns(events)), ["project_id", "session_id"], "left").fillna(0, ["n_turns", "idle_ms", "active_ms", "n_too_fast"])
+
+
 def performance_by_model(events: DataFrame) -> DataFrame:
     """Responses, mean rate (sum over sum), exact median rate, idle and active time of each model."""
     heads = events.where((F.col("event_type") == "assistant") & F.col("is_head") & F.col("model_id").isNotNull())

@@ -11,8 +11,24 @@ from tracelake.functions.scalars import BUCKET_FORMATS, bucket
 MEASURES = ("input_tokens", "output_tokens", "cache_read_tokens", "cache_creation_tokens", "cost_usd")
 
 
+def units(cost: Column) -> Column:
+    """A cost as a whole number of 1e-8 USD, the places that costs have; sums of these don't depend on the order of rows."""
+    return F.round(cost * 1e8).cast("long")
+
+
+def money(column: str = "cost_usd") -> Column:
+    """The exact sum of costs."""
+    return F.sum(units(F.col(column))) / 1e8
+
+
+def mean_money(total: Column, n: Column, places: int = 8) -> Column:
+    """A sum of units over a count, rounded half up to a number of places of USD; null for a count of 0."""
+    scaled = total * 10 ** (places - 8)
+    return F.floor(F.try_divide(2 * scaled + n, F.nullif(2 * n, F.lit(0)))) / 10.0**places
+
+
 def _sums() -> list[Column]:
-    return [F.sum(c).alias(c) for c in MEASURES[:-1]] + [F.sum("cost_usd").alias("cost_usd")]
+    return [F.sum(c).alias(c) for c in MEASURES[:-1]] + [money().alias("cost_usd")]
 
 
 def rounded(df: DataFrame, places: int = 8) -> DataFrame:
@@ -63,38 +79,45 @@ def session_usage(events: DataFrame) -> DataFrame:
 
 def projects(sessions: DataFrame) -> DataFrame:
     """Sums of sessions for each project."""
-    return rounded(sessions.groupBy("project_id").agg(F.count(F.lit(1)).alias("n_sessions"), F.sum("n_events").alias("n_events"), F.sum("cost_usd").alias("cost_usd")))
+    return rounded(sessions.groupBy("project_id").agg(F.count(F.lit(1)).alias("n_sessions"), F.sum("n_events").alias("n_events"), money().alias("cost_usd")))
 
 
 def sessions(events: DataFrame) -> DataFrame:
     """One row for each session: events, subagents (agents less the main one, not below 0), first and last time, cost."""
     text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
-    grouped = events.groupBy("project_id", "session_id").agg(F.count(F.lit(1)).alias("n_events"), F.greatest(F.lit(0), F.countDistinct("agent_id") - 1).alias("n_subagents"), text(F.min("ts")).alias("first_ts"), text(F.max("ts")).alias("last_ts"), F.sum("cost_usd").alias("cost_usd"))
+    grouped = events.groupBy("project_id", "session_id").agg(F.count(F.lit(1)).alias("n_events"), F.greatest(F.lit(0), F.countDistinct("agent_id") - 1).alias("n_subagents"), text(F.min("ts")).alias("first_ts"), text(F.max("ts")).alias("last_ts"), money().alias("cost_usd"))
     return rounded(grouped)
 
 
 def top_projects_weekly(events: DataFrame, top: int = 3) -> DataFrame:
     """The dearest projects by week, with the cost for each session."""
-    best = events.groupBy("project_id").agg(F.round(F.sum("cost_usd"), 6).alias("total")).orderBy(F.desc("total"), "project_id").limit(top).select("project_id")
+    best = events.groupBy("project_id").agg(money().alias("total")).orderBy(F.desc("total"), "project_id").limit(top).select("project_id")
     # the other side has ``top`` rows
-    weeks = events.where(F.col("ts").isNotNull()).join(F.broadcast(best), "project_id").groupBy("project_id", bucket("week", F.col("ts")).alias("bucket")).agg(F.countDistinct("session_id").alias("n_sessions"), F.sum("cost_usd").alias("cost_usd"))
-    return rounded(weeks.withColumn("cost_per_session", F.round(F.try_divide("cost_usd", F.nullif("n_sessions", F.lit(0))), 8)))
+    weeks = events.where(F.col("ts").isNotNull()).join(F.broadcast(best), "project_id").groupBy("project_id", bucket("week", F.col("ts")).alias("bucket")).agg(F.countDistinct("session_id").alias("n_sessions"), F.sum(units(F.col("cost_usd"))).alias("units"))
+    return weeks.withColumn("cost_usd", F.col("units") / 1e8).withColumn("cost_per_session", mean_money(F.col("units"), F.col("n_sessions"))).drop("units")
+
+
+def sessions_a_day(events: DataFrame) -> DataFrame:
+    """Sessions of each project and their number a day, over seven days for each week that has any."""
+    per = events.where(F.col("ts").isNotNull()).groupBy("project_id").agg(F.countDistinct("session_id").alias("n_sessions"), F.countDistinct(bucket("week", F.col("ts"))).alias("n_weeks"))
+    return per.withColumn("per_day", F.round(F.col("n_sessions") * 1.0 / (F.col("n_weeks") * 7), 4))
 
 
 def rolling_cost(events: DataFrame, grain: str = "day", buckets: int = 7) -> DataFrame:
     """Cost of each bucket and its mean over the last ``buckets`` buckets that are present."""
-    per = events.where(F.col("ts").isNotNull()).groupBy(bucket(grain, F.col("ts")).alias("bucket")).agg(F.sum("cost_usd").alias("cost_usd"))
+    per = events.where(F.col("ts").isNotNull()).groupBy(bucket(grain, F.col("ts")).alias("bucket")).agg(F.sum(units(F.col("cost_usd"))).alias("units"))
     # a row a bucket of time: few, whatever the events
     trailing = W.orderBy("bucket").rowsBetween(1 - buckets, 0)
-    return rounded(per.withColumn("rolling_cost", F.round(F.avg("cost_usd").over(trailing), 8)))
+    rolling = mean_money(F.sum("units").over(trailing), F.count(F.lit(1)).over(trailing))
+    return per.select("bucket", (F.col("units") / 1e8).alias("cost_usd"), rolling.alias("rolling_cost"))
 
 
 def day_hour_matrix(events: DataFrame) -> DataFrame:
     """Mean cost by weekday (Monday 0) and hour over the days that have any; all 168 cells."""
-    cells = events.where(F.col("ts").isNotNull()).groupBy(F.to_date("ts").alias("date"), F.hour("ts").alias("hour")).agg(F.sum("cost_usd").alias("cost"))
-    means = cells.where("cost > 0").groupBy(F.weekday("date").alias("weekday"), "hour").agg(F.avg("cost").alias("mean_cost"))
+    cells = events.where(F.col("ts").isNotNull()).groupBy(F.to_date("ts").alias("date"), F.hour("ts").alias("hour")).agg(F.sum(units(F.col("cost_usd"))).alias("cost"))
+    means = cells.where("cost > 0").groupBy(F.weekday("date").alias("weekday"), "hour").agg(mean_money(F.sum("cost"), F.count(F.lit(1)), 9).alias("mean_cost"))
     grid = events.sparkSession.range(168).select(F.floor(F.col("id") / 24).cast("int").alias("weekday"), (F.col("id") % 24).cast("int").alias("hour"))
-    return grid.join(means, ["weekday", "hour"], "left").select("weekday", "hour", F.round(F.coalesce("mean_cost", F.lit(0.0)), 9).alias("mean_cost"))
+    return grid.join(means, ["weekday", "hour"], "left").select("weekday", "hour", F.coalesce("mean_cost", F.lit(0.0)).alias("mean_cost"))
 
 
 def hour_heatmap(events: DataFrame) -> DataFrame:

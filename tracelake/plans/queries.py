@@ -52,7 +52,8 @@ ev AS (
     event_key % 2 = 0 AS ended, event_key % 5 * 500 AS duration_ms, k / 99.0 AS context_ratio, 'n' || CAST(k % 20 AS VARCHAR) AS call_name,
     round((k + output_tokens * 5.0 + k * 10 * 0.1 + k * 2 * 1.25) * CASE WHEN model_id LIKE '%opus%' THEN 5.0 WHEN model_id LIKE '%sonnet%' THEN 3.0 WHEN model_id LIKE '%haiku%' THEN 1.0 ELSE 0.0 END / 1000000, 8) AS cost_usd
   FROM base)"""
-_SUMS = "CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, CAST(sum(cache_read_tokens) AS BIGINT) AS cache_read_tokens, CAST(sum(cache_creation_tokens) AS BIGINT) AS cache_creation_tokens, round(sum(cost_usd), 8) AS cost_usd"
+_UNITS = "CAST(sum(CAST(round(cost_usd * 1e8) AS BIGINT)) AS BIGINT)"
+_SUMS = f"CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, CAST(sum(cache_read_tokens) AS BIGINT) AS cache_read_tokens, CAST(sum(cache_creation_tokens) AS BIGINT) AS cache_creation_tokens, {_UNITS} / 1e8 AS cost_usd"
 
 
 @query("usage_summary", f"WITH {_EV} SELECT count(DISTINCT project_id) AS n_projects, count(DISTINCT session_id) AS n_sessions, count(*) AS n_events, {_SUMS} FROM ev")
@@ -85,7 +86,7 @@ def session_usage(spark, d):
     return usage.session_usage(T.session_events(spark, d))
 
 
-_SESSIONS = "SELECT project_id, session_id, count(*) AS n_events, greatest(0, count(DISTINCT agent_id) - 1) AS n_subagents, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_ts, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_ts, round(sum(cost_usd), 8) AS cost_usd FROM ev GROUP BY 1, 2"
+_SESSIONS = f"SELECT project_id, session_id, count(*) AS n_events, greatest(0, count(DISTINCT agent_id) - 1) AS n_subagents, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_ts, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_ts, {_UNITS} / 1e8 AS cost_usd FROM ev GROUP BY 1, 2"
 
 
 @query("sessions", f"WITH {_EV} {_SESSIONS}")
@@ -99,22 +100,22 @@ def sessions_by_cost(spark, d):
     return usage.sessions(T.session_events(spark, d)).orderBy(*sort_columns("cost", "desc", keys, ["session_id"])).limit(50)
 
 
-@query("projects", f"WITH {_EV}, s AS ({_SESSIONS}) SELECT project_id, count(*) AS n_sessions, CAST(sum(n_events) AS BIGINT) AS n_events, round(sum(cost_usd), 8) AS cost_usd FROM s GROUP BY 1")
+@query("projects", f"WITH {_EV}, s AS ({_SESSIONS}) SELECT project_id, count(*) AS n_sessions, CAST(sum(n_events) AS BIGINT) AS n_events, {_UNITS} / 1e8 AS cost_usd FROM s GROUP BY 1")
 def projects(spark, d):
     return usage.projects(usage.sessions(T.session_events(spark, d)))
 
 
-@query("top_projects_weekly", f"WITH {_EV}, best AS (SELECT project_id, round(sum(cost_usd), 6) AS total FROM ev GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3) SELECT project_id, {_BUCKET['week']} AS bucket, count(DISTINCT session_id) AS n_sessions, round(sum(cost_usd), 8) AS cost_usd, round(sum(cost_usd) / count(DISTINCT session_id), 8) AS cost_per_session FROM ev WHERE project_id IN (SELECT project_id FROM best) GROUP BY 1, 2")
+@query("top_projects_weekly", f"WITH {_EV}, best AS (SELECT project_id, {_UNITS} / 1e8 AS total FROM ev GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3) SELECT project_id, {_BUCKET['week']} AS bucket, count(DISTINCT session_id) AS n_sessions, {_UNITS} / 1e8 AS cost_usd, (2 * {_UNITS} + count(DISTINCT session_id)) // (2 * count(DISTINCT session_id)) / 1e8 AS cost_per_session FROM ev WHERE project_id IN (SELECT project_id FROM best) GROUP BY 1, 2")
 def top_projects_weekly(spark, d):
     return usage.top_projects_weekly(T.session_events(spark, d))
 
 
-@query("rolling_cost_7", f"WITH {_EV}, per AS (SELECT {_BUCKET['day']} AS bucket, sum(cost_usd) AS cost FROM ev GROUP BY 1) SELECT bucket, round(cost, 8) AS cost_usd, round(avg(cost) OVER (ORDER BY bucket ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 8) AS rolling_cost FROM per")
+@query("rolling_cost_7", f"WITH {_EV}, per AS (SELECT {_BUCKET['day']} AS bucket, {_UNITS} AS cost FROM ev GROUP BY 1) SELECT bucket, cost / 1e8 AS cost_usd, CAST((2 * sum(cost) OVER w + count(*) OVER w) AS BIGINT) // (2 * count(*) OVER w) / 1e8 AS rolling_cost FROM per WINDOW w AS (ORDER BY bucket ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)")
 def rolling_cost_7(spark, d):
     return usage.rolling_cost(T.session_events(spark, d))
 
 
-@query("day_hour_matrix", f"WITH {_EV}, cells AS (SELECT CAST(ts AS DATE) AS date, hour(ts) AS hour, sum(cost_usd) AS cost FROM ev GROUP BY 1, 2), means AS (SELECT (CAST(dayofweek(date) AS INTEGER) + 6) % 7 AS weekday, hour, avg(cost) AS m FROM cells WHERE cost > 0 GROUP BY 1, 2), grid AS (SELECT CAST(g // 24 AS INTEGER) AS weekday, CAST(g % 24 AS INTEGER) AS hour FROM (SELECT unnest(range(168)) AS g)) SELECT grid.weekday, grid.hour, round(coalesce(m, 0), 9) AS mean_cost FROM grid LEFT JOIN means ON grid.weekday = means.weekday AND grid.hour = means.hour")
+@query("day_hour_matrix", f"WITH {_EV}, cells AS (SELECT CAST(ts AS DATE) AS date, hour(ts) AS hour, {_UNITS} AS cost FROM ev GROUP BY 1, 2), means AS (SELECT (CAST(dayofweek(date) AS INTEGER) + 6) % 7 AS weekday, hour, CAST(20 * sum(cost) + count(*) AS BIGINT) // (2 * count(*)) / 1e9 AS m FROM cells WHERE cost > 0 GROUP BY 1, 2), grid AS (SELECT CAST(g // 24 AS INTEGER) AS weekday, CAST(g % 24 AS INTEGER) AS hour FROM (SELECT unnest(range(168)) AS g)) SELECT grid.weekday, grid.hour, coalesce(m, 0) AS mean_cost FROM grid LEFT JOIN means ON grid.weekday = means.weekday AND grid.hour = means.hour")
 def day_hour_matrix(spark, d):
     return usage.day_hour_matrix(T.session_events(spark, d))
 
@@ -201,6 +202,31 @@ def session_timing(spark, d):
     return timing.session_timing(timing.turns(T.session_events(spark, d)))
 
 
+_METRICS = f"""WITH {_EV}, {_TURNS},
+tt AS (SELECT project_id, session_id, count(*) AS n_turns, CAST(coalesce(sum(idle_ms), 0) AS BIGINT) AS idle_ms,
+    CAST(coalesce(sum(active_ms), 0) AS BIGINT) AS active_ms, count(*) FILTER (WHERE too_fast) AS n_too_fast FROM t GROUP BY 1, 2),
+ss AS (SELECT project_id, session_id, {_UNITS} / 1e8 AS cost_usd, max(context_ratio) AS peak_context_ratio,
+    round(sum(output_tokens) FILTER (WHERE msg_kind = 'assistant_text' AND duration_ms > 0) * 1000.0
+      / sum(duration_ms) FILTER (WHERE msg_kind = 'assistant_text' AND duration_ms > 0), 4) AS avg_tps FROM ev GROUP BY 1, 2)
+SELECT ss.*, coalesce(n_turns, 0) AS n_turns, coalesce(idle_ms, 0) AS idle_ms, coalesce(active_ms, 0) AS active_ms, coalesce(n_too_fast, 0) AS n_too_fast
+FROM ss LEFT JOIN tt ON ss.project_id = tt.project_id AND ss.session_id = tt.session_id"""
+
+
+@query("session_metrics", _METRICS)
+def session_metrics(spark, d):
+    return timing.session_metrics(T.session_events(spark, d))
+
+
+@query("session_events_meta", f"WITH {_EV} SELECT session_id, event_key, is_sidechain AS is_meta FROM ev WHERE project_id = 'p7'")
+def session_events_meta(spark, d):
+    return filtered(T.session_events(spark, d), project="p7").select("session_id", "event_key", F.when(F.col("is_sidechain"), True).otherwise(False).alias("is_meta"))
+
+
+@query("sessions_a_day", f"WITH {_EV}, w AS (SELECT project_id, count(DISTINCT session_id) AS n_sessions, count(DISTINCT {_BUCKET['week']}) AS n_weeks FROM ev GROUP BY 1) SELECT *, round(n_sessions * 1.0 / (n_weeks * 7), 4) AS per_day FROM w")
+def sessions_a_day(spark, d):
+    return usage.sessions_a_day(T.session_events(spark, d))
+
+
 @query("performance_by_model", f"WITH {_EV}, {_TURNS}, sp AS (SELECT model_id, CAST(sum(idle_ms) AS BIGINT) AS idle_ms, CAST(sum(active_ms) AS BIGINT) AS active_ms FROM t GROUP BY 1), h AS (SELECT model_id, count(*) AS n_responses, round(sum(output_tokens) FILTER (WHERE duration_ms > 0) * 1000.0 / sum(duration_ms) FILTER (WHERE duration_ms > 0), 2) AS avg_tps, round(median(CASE WHEN duration_ms > 0 THEN output_tokens * 1000.0 / duration_ms END), 2) AS median_tps FROM ev WHERE msg_kind = 'assistant_text' GROUP BY 1) SELECT h.*, coalesce(sp.idle_ms, 0) AS idle_ms, coalesce(sp.active_ms, 0) AS active_ms FROM h LEFT JOIN sp ON h.model_id = sp.model_id")
 def performance_by_model(spark, d):
     return timing.performance_by_model(T.session_events(spark, d))
@@ -219,9 +245,9 @@ def sessionized(spark, d):
 _LINKS = "links AS (SELECT event_id - event_id % 16 + (event_id % 16 - 1) // 2 AS parent, event_id AS child FROM events WHERE event_id % 16 > 0)"
 
 
-@query("event_descendants", f"WITH RECURSIVE {_LINKS}, walk AS (SELECT event_id AS root, event_id AS node, 0 AS depth FROM events WHERE event_id % 64 = 1 UNION ALL SELECT w.root, l.child, w.depth + 1 FROM walk w JOIN links l ON l.parent = w.node) SELECT root, node, CAST(depth AS INTEGER) AS depth FROM walk")
+@query("event_descendants", f"WITH RECURSIVE {_LINKS}, walk AS (SELECT event_id AS root, event_id AS node, 0 AS depth FROM events UNION ALL SELECT w.root, l.child, w.depth + 1 FROM walk w JOIN links l ON l.parent = w.node) SELECT root, node, CAST(depth AS INTEGER) AS depth FROM walk")
 def event_descendants(spark, d):
-    roots = T.table(spark, d, "events").where("event_id % 64 = 1").select(F.col("event_id").alias("node"))
+    roots = T.table(spark, d, "events").select(F.col("event_id").alias("node"))
     return trees.descendants(T.event_links(spark, d), roots)
 
 
@@ -277,13 +303,13 @@ def latency_regressions(spark, d):
 
 _SCOPES = "scopes AS (SELECT 'p' || CAST(g AS VARCHAR) AS project_id, CASE WHEN g % 2 = 0 THEN 'clients' ELSE 'play' END AS s1, 'g' || CAST(g % 3 AS VARCHAR) AS s2 FROM (SELECT unnest(range(10)) AS g)), up AS (SELECT project_id, '' AS scope FROM scopes UNION ALL SELECT project_id, s1 FROM scopes UNION ALL SELECT project_id, s1 || '/' || s2 FROM scopes UNION ALL SELECT project_id, s1 || '/' || s2 || '/' || project_id FROM scopes)"
 _SB = f"sb AS (SELECT project_id, session_id, strftime(date_trunc('week', min(ts)), '%Y-%m-%d') AS bucket FROM ev GROUP BY 1, 2)"
-_CL = "cl AS (SELECT DISTINCT project_id, session_id, call_type AS lens, 'uses ' || call_name AS claim FROM ev WHERE event_key % 3 = 0)"
+_CL = "cl AS (SELECT DISTINCT project_id, session_id, call_type AS lens, 'uses ' || call_name AS claim FROM ev)"
 
 
-@query("scope_rollup", f"WITH {_EV}, {_SCOPES} SELECT scope, count(*) AS n_events, count(DISTINCT session_id) AS n_sessions, round(sum(cost_usd), 8) AS cost_usd FROM ev JOIN up ON ev.project_id = up.project_id GROUP BY 1")
+@query("scope_rollup", f"WITH {_EV}, {_SCOPES} SELECT scope, count(*) AS n_events, count(DISTINCT session_id) AS n_sessions, {_UNITS} / 1e8 AS cost_usd FROM ev JOIN up ON ev.project_id = up.project_id GROUP BY 1")
 def scope_rollup(spark, d):
     rows = T.session_events(spark, d).join(F.broadcast(T.project_scopes(spark, d)), "project_id")
-    return claims.scope_rollup(rows, {"n_events": F.count(F.lit(1)), "n_sessions": F.countDistinct("session_id"), "cost_usd": F.round(F.sum("cost_usd"), 8)})
+    return claims.scope_rollup(rows, {"n_events": F.count(F.lit(1)), "n_sessions": F.countDistinct("session_id"), "cost_usd": usage.money()})
 
 
 def _rollup(spark, d):
@@ -370,11 +396,11 @@ def session_texts(spark, d):
     return claims.session_texts(rows).select("session_id", "content_hash", F.size("texts").cast("long").alias("n_texts"))
 
 
-def _bm25_sql() -> str:
+def _bm25_sql(where: str = "true", more: str = "", limit: int = 20) -> str:
     terms = sorted(set(QUERY.split()))
     score = " - ".join(["0"] + [f"greatest(0.000001, ln((n - df{i} + 0.5) / (df{i} + 0.5))) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * length / m))" for i in range(len(terms))])
     words = "list_filter(string_split_regex(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
-    return f"WITH w AS (SELECT doc_id, {words} AS words FROM documents), c AS (SELECT doc_id, len(words) AS length, " + ", ".join(f"len(list_filter(words, lambda x: x = '{t}')) AS tf{i}" for i, t in enumerate(terms)) + " FROM w), s AS (SELECT count(*) AS n, avg(length) AS m, " + ", ".join(f"count(*) FILTER (WHERE tf{i} > 0) AS df{i}" for i in range(len(terms))) + f" FROM c) SELECT doc_id, round({score}, 6) AS rank FROM c, s WHERE " + " AND ".join(f"tf{i} > 0" for i in range(len(terms))) + " ORDER BY 2, 1 LIMIT 20"
+    return f"WITH w AS (SELECT doc_id, lang, source, n_chars, {words} AS words FROM documents), c AS (SELECT doc_id, lang, source, n_chars, len(words) AS length, " + ", ".join(f"len(list_filter(words, lambda x: x = '{t}')) AS tf{i}" for i, t in enumerate(terms)) + " FROM w), s AS (SELECT count(*) AS n, avg(length) AS m, " + ", ".join(f"count(*) FILTER (WHERE tf{i} > 0) AS df{i}" for i in range(len(terms))) + f" FROM c) SELECT doc_id, round({score}, 6) AS rank{more} FROM c, s WHERE {where} AND " + " AND ".join(f"tf{i} > 0" for i in range(len(terms))) + f" ORDER BY 2, 1 LIMIT {limit}"
 
 
 @query("keyword_bm25", _bm25_sql())
@@ -382,6 +408,19 @@ def keyword_bm25(spark, d):
     return search.bm25(T.table(spark, d, "documents"), QUERY, "doc_id", "text")
 
 
+@query("search_events", _bm25_sql("lang = 'en'", ", source, n_chars", 30))
+def search_events(spark, d):
+    docs = T.table(spark, d, "documents")
+    found = search.search_events(docs, QUERY, "doc_id", "text", where=F.col("lang") == "en", limit=30)
+    return found.select("doc_id", "rank", "source", "n_chars")
+
+
+@query("search_events_semantic")
+def search_events_semantic(spark, d):
+    c = T.table(spark, d, "conversations").withColumn("event_key", F.concat_ws("-", "conv_id", "turn"))
+    return search.search_events(c, "a question about the text", "event_key", "text", mode="semantic", where=F.col("role") == "user").select("event_key", "distance", "conv_id", "turn")
+
+
 @query("semantic_knn", "WITH q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 7), dd AS (SELECT vec_id, round(1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(v AS DOUBLE[])), 6) AS distance FROM embeddings, q WHERE label <> 3) SELECT vec_id, distance FROM dd ORDER BY 2, 1 LIMIT 20")
 def semantic_knn(spark, d):
     v = T.table(spark, d, "embeddings")
@@ -408,13 +447,17 @@ def text_metrics_(spark, d):
     return text_metrics.scored(a.join(b, ["conv_id", "turn"]).withColumn("key", F.concat_ws("-", "conv_id", "turn")), "key", "answer", "reference")
 
 
-_GRAPH = "g AS (SELECT 'c' || CAST(o_custkey % 400 AS VARCHAR) AS src, 'c' || CAST((o_custkey * 7 + o_orderkey % 5) % 400 AS VARCHAR) AS dst FROM orders WHERE o_custkey % 3 = 0), u AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM g WHERE src <> dst UNION ALL SELECT dst, src FROM g WHERE src <> dst))"
+#: Customers by the orders of each: every order links its customer with another one that its numbers name.
+_GRAPH = """g AS (SELECT 'c' || CAST(o_custkey AS VARCHAR) AS src,
+    'c' || CAST((o_custkey * 7 + o_orderkey % 5) % (SELECT max(o_custkey) FROM orders) + 1 AS VARCHAR) AS dst FROM orders),
+u AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM g WHERE src <> dst UNION ALL SELECT dst, src FROM g WHERE src <> dst))"""
 
 
 def _graph(spark, d):
-    o = T.table(spark, d, "orders").where("o_custkey % 3 = 0")
-    node = lambda n: F.concat(F.lit("c"), (n % 400).cast("string"))
-    return o.select(node(F.col("o_custkey")).alias("src"), node(F.col("o_custkey") * 7 + F.col("o_orderkey") % 5).alias("dst"), F.lit(1.0).alias("weight"))
+    o = T.table(spark, d, "orders")
+    last = o.agg(F.max("o_custkey")).first()[0] or 1
+    node = lambda n: F.concat(F.lit("c"), n.cast("string"))
+    return o.select(node(F.col("o_custkey")).alias("src"), node((F.col("o_custkey") * 7 + F.col("o_orderkey") % 5) % last + 1).alias("dst"), F.lit(1.0).alias("weight"))
 
 
 @query("degrees", f"WITH {_GRAPH} SELECT src AS node, count(*) AS degree FROM u GROUP BY 1")
@@ -485,11 +528,11 @@ def scopes_touched(spark, d):
     return chain.where(F.arrays_overlap("chain", F.array(F.lit("clients/g0"), F.lit("play")))).select("project_id").distinct()
 
 
-@query("session_totals", f"WITH {_EV} SELECT project_id, count(*) FILTER (WHERE NOT is_sidechain) AS n_main, count(*) FILTER (WHERE is_sidechain) AS n_side, count(DISTINCT agent_id) AS n_agents, count(DISTINCT session_id) AS n_sessions, round(sum(cost_usd), 8) AS cost_usd, round(sum(output_tokens) * 1.0 / count(DISTINCT session_id), 4) AS tokens_per_session FROM ev GROUP BY 1")
+@query("session_totals", f"WITH {_EV} SELECT project_id, count(*) FILTER (WHERE NOT is_sidechain) AS n_main, count(*) FILTER (WHERE is_sidechain) AS n_side, count(DISTINCT agent_id) AS n_agents, count(DISTINCT session_id) AS n_sessions, {_UNITS} / 1e8 AS cost_usd, round(sum(output_tokens) * 1.0 / count(DISTINCT session_id), 4) AS tokens_per_session FROM ev GROUP BY 1")
 def session_totals(spark, d):
     e = T.session_events(spark, d)
     side = F.col("is_sidechain")
-    grouped = e.groupBy("project_id").agg(F.count_if(~side).alias("n_main"), F.count_if(side).alias("n_side"), F.countDistinct("agent_id").alias("n_agents"), F.countDistinct("session_id").alias("n_sessions"), F.round(F.sum("cost_usd"), 8).alias("cost_usd"), F.sum("output_tokens").alias("tokens"))
+    grouped = e.groupBy("project_id").agg(F.count_if(~side).alias("n_main"), F.count_if(side).alias("n_side"), F.countDistinct("agent_id").alias("n_agents"), F.countDistinct("session_id").alias("n_sessions"), usage.money().alias("cost_usd"), F.sum("output_tokens").alias("tokens"))
     return grouped.withColumn("tokens_per_session", F.round(F.col("tokens") / F.col("n_sessions"), 4)).drop("tokens")
 
 
@@ -516,10 +559,21 @@ def graph_selection(spark, d):
     return kg_payload.selection(_graph(spark, d), top=10, max_depth=1, min_degree=3).select("node", "degree", F.round("node_betweenness", 4).alias("node_betweenness"), F.round("edge_betweenness", 4).alias("edge_betweenness"))
 
 
-@query("entity_mentions")
+def _mentions_sql() -> str:
+    found = " UNION ALL ".join(f"SELECT unnest(regexp_extract_all(chunk, '{p}')) AS name, '{kind}' AS type FROM pieces" for kind, p in kg_payload.ENTITY_PATTERNS.items())
+    hidden = ", ".join(f"'{n}'" for n in kg_payload.FORBIDDEN)
+    return f"""WITH pieces AS (SELECT url AS chunk FROM pages UNION ALL SELECT html FROM pages), m AS ({found}),
+c AS (SELECT name, type, count(*) AS n FROM m WHERE name NOT IN ({hidden}) GROUP BY 1, 2)
+SELECT name, type, mentions FROM (
+  SELECT name, type, CAST(sum(n) OVER (PARTITION BY name) AS BIGINT) AS mentions, row_number() OVER (PARTITION BY name ORDER BY n DESC, type) AS rn FROM c)
+WHERE rn = 1"""
+
+
+@query("entity_mentions", _mentions_sql())
 def entity_mentions(spark, d):
-    pieces = T.table(spark, d, "pages").select(F.col("page_id").alias("chunk_id"), F.col("url").alias("chunk"))
-    return kg_payload.dominant_types(kg_payload.entities(pieces))
+    pages = T.table(spark, d, "pages")
+    pieces = pages.select(F.col("page_id").alias("chunk_id"), F.col("url").alias("chunk")).unionByName(pages.select(F.col("page_id").alias("chunk_id"), F.col("html").alias("chunk")))
+    return kg_payload.dominant_types(kg_payload.entities(pieces, most=1 << 30))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

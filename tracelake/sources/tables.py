@@ -71,9 +71,8 @@ def project_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def session_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ``events`` table as claims of its sessions, every third event one."""
-    calls = session_calls(spark, sf_dir)
-    return calls.where(F.col("event_key") % 3 == 0).select("project_id", "session_id", F.col("call_type").alias("lens"), F.concat(F.lit(" Uses  "), F.upper("call_name")).alias("claim"))
+    """The ``events`` table as claims of its sessions, one for each call."""
+    return session_calls(spark, sf_dir).select("project_id", "session_id", F.col("call_type").alias("lens"), F.concat(F.lit(" Uses  "), F.upper("call_name")).alias("claim"))
 
 
 def claim_failures(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracelake.functions.pricing import billable_tokens, context_ratio, context_window, cost_usd, token_rate
-from tracelake.functions.scalars import delta_ms, message_kind
+from tracelake.functions.scalars import delta_ms, encoded_path, message_kind
 
 USAGE = ("input_tokens", "output_tokens", "cache_read_tokens", "cache_creation_tokens", "cache_5m_tokens", "billable_tokens", "cost_usd")
 
@@ -168,3 +168,19 @@ def project_paths(spark: SparkSession, root: str) -> DataFrame:
     """(project_id, project_path) from the index files that name one."""
     index = spark.read.option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "sessions-index.json").schema("entries array<struct<projectPath:string>>").json(root)
     return index.select(_path_columns(F.col("_metadata.file_path"), root)[0], F.col("entries")[0]["projectPath"].alias("project_path")).where(F.col("project_path").isNotNull())
+
+
+def raw_event(lines: DataFrame, events: DataFrame, project_id: str, session_id: str, event_uuid: str) -> DataFrame:
+    """The raw line of one event, found by the file and line that the event comes from."""
+    one = events.where((F.col("project_id") == project_id) & (F.col("session_id") == session_id) & (F.col("event_uuid") == event_uuid)).select("file_path", "line_number").orderBy("file_path", "line_number").limit(1)
+    return lines.select("file_path", "line_number", "line").join(F.broadcast(one), ["file_path", "line_number"]).select("line")
+
+
+def decoded_projects(project_ids: DataFrame, folders: DataFrame) -> DataFrame:
+    """(project_id, path): project ids (dashes for what is no letter or digit) by a table of folder paths that exist; the longest known folder that the id begins with, and the rest of the id below it."""
+    known = folders.select("path", encoded_path(F.col("path")).alias("code")).groupBy("code").agg(F.min("path").alias("path"))
+    ends = F.filter(F.sequence(F.lit(1), F.length("project_id")), lambda k: (k == F.length("project_id")) | (F.substring("project_id", k + 1, F.lit(1)) == "-"))
+    begins = project_ids.select("project_id", F.explode(F.transform(ends, lambda k: F.substring("project_id", F.lit(1), k))).alias("code"))
+    best = begins.join(known, "code", "left").groupBy("project_id").agg(F.max(F.struct(F.when(F.col("path").isNotNull(), F.length("code")).otherwise(0).alias("n"), "path")).alias("best"))
+    rest = F.expr("substring(project_id, best.n + 2)")
+    return best.select("project_id", F.when(F.col("best.n") == 0, F.replace("project_id", F.lit("-"), F.lit("/"))).when(rest == "", F.col("best.path")).otherwise(F.concat_ws("/", F.col("best.path"), rest)).alias("path"))
