@@ -19,7 +19,7 @@ USAGE = ("input_tokens", "output_tokens", "cache_read_tokens", "cache_creation_t
 
 def discover(spark: SparkSession, root: str) -> DataFrame:
     """(file_path, project_id, file_type, session_stem, mtime, size) of every transcript under a root."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").load(root).select(F.col("path").alias("file_path"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").load(root).select("_metadata.file_path", F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
     return files.select("*", *_path_columns(F.col("file_path"), root))
 
 

@@ -1,13 +1,21 @@
-"""Transcripts as a stream of files: waves of a bounded number of files, each written exactly once."""
+"""Transcripts as files that come and change: waves of a bounded number of files.
+
+``ingest`` streams files that appear and never change. ``drain`` reads what is new or has changed, appended, shrunk or
+replaced, wave after wave until nothing is left: each wave writes the events of its files to a folder of its own and then its
+files to a log, which commits it; a wave that was cut off is written again. The events of a file are those of its last wave.
+"""
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tracelake.operators.incremental import null_safe_missing
-from tracelake.sources.transcripts import first_of_uuid, lines_of, mark_responses, parse_events
+from tracelake.sources.transcripts import changed_files, discover, first_of_uuid, lines_of, mark_responses, parse_events, raw_lines
 
 WAVE_FILES = 50
 
@@ -34,6 +42,52 @@ def ingest(spark: SparkSession, root: str, target: str, checkpoint: str, wave: i
     return stream_files(spark, root, wave).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+_LOG = "file_path string, mtime timestamp, size long, wave int"
+
+
+def file_log(spark: SparkSession, target: str) -> DataFrame:
+    """(file_path, mtime, size, wave) of every file as each wave read it."""
+    try:
+        return spark.read.parquet(f"{target}/files").select("file_path", "mtime", "size", F.col("wave").cast("int"))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], _LOG)
+
+
+def last_read(log: DataFrame) -> DataFrame:
+    """The log's last row of each file."""
+    return log.groupBy("file_path").agg(F.max(F.struct("wave", "mtime", "size")).alias("last")).select("file_path", "last.mtime", "last.size", "last.wave")
+
+
+def drain(spark: SparkSession, root: str, target: str, wave: int = WAVE_FILES) -> list[int]:
+    """Read new and changed files until none is left; the numbers of the waves that it took. A wave reads its own files and the log, no earlier events."""
+    done: list[int] = []
+    while True:
+        log = file_log(spark, target)
+        todo = changed_files(discover(spark, root), last_read(log)).select("file_path", "mtime", "size").orderBy("file_path").limit(wave).collect()  # at most ``wave`` rows
+        if not todo:
+            return done
+        number = (log.agg(F.max("wave")).first()[0] if not done else done[-1]) if done or not log.isEmpty() else -1
+        number += 1
+        events = mark_responses(parse_events(raw_lines(spark, root, [unquote(r.file_path) for r in todo]))).drop("blocks")
+        events.write.mode("overwrite").parquet(f"{target}/events/wave={number}")
+        spark.createDataFrame([tuple(r) for r in todo], "file_path string, mtime timestamp, size long").coalesce(1).write.mode("overwrite").parquet(f"{target}/files/wave={number}")
+        done.append(number)
+
+
+def current_events(spark: SparkSession, target: str) -> DataFrame:
+    """The events of all files as they were last read, one for each (session, uuid)."""
+    last = last_read(file_log(spark, target)).select("file_path", "wave")
+    return first_of_uuid(spark.read.parquet(f"{target}/events").join(last, ["file_path", "wave"], "left_semi").drop("wave"))
+
+
+def changed_events(spark: SparkSession, target: str, waves: list[int]) -> DataFrame:
+    """The events, old and new, of the files that some waves read: what a roll-up has to be refreshed for."""
+    files = file_log(spark, target).where(F.col("wave").isin(waves)).select("file_path").distinct()
+    return spark.read.parquet(f"{target}/events").join(files, "file_path", "left_semi").drop("wave")
+
+
 def windowed_counts(events: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """An extra: tumbling-window counts and costs of a stream of events, late rows dropped by a watermark."""
     timed = events.withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "project_id")
