@@ -28,8 +28,8 @@ def with_scopes(rows: DataFrame, scope: str = "scope") -> DataFrame:
 
 
 def claim_rollup(claims: DataFrame, buckets: DataFrame, scopes: DataFrame) -> DataFrame:
-    """(scope, bucket, lens, claim, n_sessions, session_ids, place): distinct sessions of each claim in each scope and bucket, ranked."""
-    placed = claims.withColumn("claim", normal_claim(F.col("claim"))).select("project_id", "session_id", "lens", "claim").distinct().join(buckets, ["project_id", "session_id"]).join(scopes, "project_id")
+    """(scope, bucket, lens, claim, n_sessions, session_ids, place): distinct sessions of each claim in each scope and bucket, ranked; empty claims are none."""
+    placed = claims.withColumn("claim", normal_claim(F.col("claim"))).where("lens IS NOT NULL AND claim <> ''").select("project_id", "session_id", "lens", "claim").distinct().join(buckets, ["project_id", "session_id"]).join(scopes, "project_id")
     grouped = with_scopes(placed).groupBy("scope", "bucket", "lens", "claim").agg(F.countDistinct("session_id").alias("n_sessions"), F.to_json(F.array_sort(F.collect_set("session_id"))).alias("session_ids"))
     rank = W.partitionBy("scope", "bucket", "lens").orderBy(F.desc("n_sessions"), "claim")
     return grouped.withColumn("place", F.row_number().over(rank) - 1)

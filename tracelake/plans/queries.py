@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import scalars
 from tracelake.functions.filters import filtered, sort_columns
-from tracelake.operators import calls, claims, graph, incremental, kg_payload, schema_timeline, search, summaries, text_metrics, timing, trees, usage
+from tracelake.operators import calls, claim_clusters, claims, graph, incremental, kg_payload, readers, schema_timeline, search, summaries, text_metrics, timing, trees, usage
 from tracelake.sources import sinks
 from tracelake.sources import tables as T
 
@@ -576,6 +576,84 @@ def entity_mentions(spark, d):
     return kg_payload.dominant_types(kg_payload.entities(pieces, most=1 << 30))
 
 
+@query(
+    "claim_buckets",
+    f"""WITH {_ROLLUP}
+SELECT bucket, count(*) AS n_claims, CAST(sum(n_sessions) AS BIGINT) AS total FROM ru WHERE scope = 'clients' GROUP BY 1""",
+)
+def claim_buckets(spark, d):
+    return readers.claim_buckets(_rollup(spark, d), "clients")
+
+
+@query(
+    "scope_children",
+    f"""WITH {_SCOPES}
+SELECT DISTINCT scope, CAST(2 AS INTEGER) AS depth FROM up WHERE scope LIKE 'clients/%' AND scope NOT LIKE 'clients/%/%'""",
+)
+def scope_children(spark, d):
+    return readers.scope_children(T.project_scopes(spark, d), "clients")
+
+
+@query(
+    "session_claims",
+    f"""WITH {_EV},
+one AS (SELECT min(session_id) AS session_id FROM ev),
+tags AS (SELECT DISTINCT call_type AS lens, call_name, CAST(substr(call_name, 2) AS INTEGER) // 4 AS cluster_id FROM ev WHERE call_type <> 'rule')
+SELECT ev.call_type AS lens, ' Uses  ' || upper(ev.call_name) AS claim, CAST(cluster_id AS INTEGER) AS cluster_id,
+  CASE WHEN cluster_id < 3 THEN 'group ' || CAST(cluster_id AS VARCHAR) END AS cluster_name
+FROM ev JOIN one ON ev.session_id = one.session_id LEFT JOIN tags ON ev.call_type = tags.lens AND ev.call_name = tags.call_name""",
+)
+def session_claims(spark, d):
+    found = T.session_claims(spark, d)
+    one = found.orderBy("session_id").select("project_id", "session_id").first()
+    calls_ = T.session_calls(spark, d).where("call_type <> 'rule'")
+    tags = calls_.select(F.col("call_type").alias("lens"), F.concat(F.lit("uses "), "call_name").alias("claim"), F.floor(F.substring("call_name", 2, 9).cast("int") / 4).cast("int").alias("cluster_id")).distinct()
+    names = tags.select("lens", "cluster_id", F.concat(F.lit("group "), F.col("cluster_id").cast("string")).alias("name")).distinct().where("cluster_id < 3")
+    return readers.session_claims(found, tags, names, one.project_id, one.session_id)
+
+
+@query("claim_taxonomy")
+def claim_taxonomy(spark, d):
+    return claim_clusters.cluster_claims(T.session_claims(spark, d)).clusters
+
+
+@query(
+    "pipeline_stages",
+    f"""WITH {_EV},
+h AS (SELECT text FROM conversations WHERE role = 'user' AND text <> ''),
+names AS (SELECT count(DISTINCT call_name) AS n, count(DISTINCT call_name) FILTER (WHERE call_type = 'tool') AS embedded,
+  count(DISTINCT call_name) FILTER (WHERE call_type = 'cli') AS resolved FROM ev),
+s AS (
+  SELECT 0 AS nth, 'ingest' AS stage, (SELECT count(*) FROM documents) AS eligible, (SELECT count(*) FROM labels) AS d
+  UNION ALL SELECT 1, 'chunk', (SELECT count(*) FROM h), (SELECT count(*) FROM h WHERE length(text) >= 40)
+  UNION ALL SELECT 2, 'embed', (SELECT count(*) FROM h WHERE length(text) >= 40), (SELECT count(*) FROM h WHERE length(text) >= 60)
+  UNION ALL SELECT 3, 'ner', (SELECT count(*) FROM h WHERE length(text) >= 40), (SELECT count(*) FROM h WHERE length(text) >= 80)
+  UNION ALL SELECT 4, 're', (SELECT count(*) FROM h WHERE length(text) >= 40), (SELECT count(*) FROM h)
+  UNION ALL SELECT 5, 'entity_embed', n, embedded FROM names
+  UNION ALL SELECT 6, 'resolve', embedded, resolved FROM names
+  UNION ALL SELECT 7, 'communities', (SELECT count(DISTINCT vec_id) FROM embeddings), (SELECT count(DISTINCT vec_id) FROM embeddings)
+  UNION ALL SELECT 8, 'naming', (SELECT count(DISTINCT label) FROM embeddings), (SELECT count(DISTINCT label) FROM embeddings WHERE label > 1)),
+c AS (SELECT nth, stage, eligible, least(d, eligible) AS done FROM s)
+SELECT CAST(nth AS INTEGER) AS nth, stage, eligible, done, eligible - done AS pending,
+  CASE WHEN eligible > 0 THEN round(done * 100.0 / eligible, 1) ELSE 0.0 END AS pct FROM c""",
+)
+def pipeline_stages(spark, d):
+    events = T.table(spark, d, "conversations").select(
+        F.concat_ws("-", "conv_id", "turn").alias("event_id"), F.when(F.col("role") == "user", "human").otherwise("other").alias("msg_kind"), F.col("text").alias("message_content")
+    )
+    human = events.where("msg_kind = 'human' AND message_content <> ''")
+    longer = lambda n: human.where(F.length("message_content") >= n).select("event_id")
+    names = lambda *kinds: T.session_calls(spark, d).where(F.col("call_type").isin(*kinds)).select(F.col("call_name").alias("name"))
+    vectors = T.table(spark, d, "embeddings")
+    groups = lambda r, by: vectors.select(F.lit(r).alias("resolution"), F.col("vec_id").alias("node"), F.floor(F.col("label") / by).alias("community"))
+    tables = {
+        "files": T.table(spark, d, "documents"), "source_files": T.table(spark, d, "labels"), "events": events, "chunks": longer(40), "vectors": longer(60), "ner_log": longer(80), "re_log": longer(0),
+        "entities": names(*CALL_TYPES), "entity_vectors": names("tool").distinct(), "entity_clusters": names("cli").distinct(), "communities": groups(0.25, 2).unionByName(groups(1.0, 1)),
+        "labels": vectors.where("label > 1").select(F.lit(1.0).alias("resolution"), "label").distinct(),
+    }
+    return readers.pipeline_stages(tables)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
