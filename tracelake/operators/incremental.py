@@ -47,11 +47,11 @@ def stage_stats(eligible: DataFrame, done: DataFrame, keys: list[str], stage: st
 
 
 def latency_table(calls: DataFrame, endpoint: str, ms: str) -> DataFrame:
-    """p50, p95, p99 and maximum of each endpoint, nearest rank."""
-    place = W.partitionBy(endpoint).orderBy(ms)
-    n = F.count(F.lit(1)).over(W.partitionBy(endpoint))
-    ranked = calls.withColumn("nth", F.row_number().over(place)).withColumn("n", n)
-    at = lambda p: F.max(F.when(F.col("nth") == F.least(F.col("n"), F.floor(F.col("n") * p) + 1), F.col(ms)))
+    """p50, p95, p99 and maximum of each endpoint, nearest rank. Equal times are counted before they meet, so a busy endpoint brings one row for each different time."""
+    times = calls.groupBy(endpoint, ms).agg(F.count(F.lit(1)).alias("same"))
+    upto = F.sum("same").over(W.partitionBy(endpoint).orderBy(ms).rowsBetween(W.unboundedPreceding, W.currentRow))
+    ranked = times.withColumn("upto", upto).withColumn("n", F.sum("same").over(W.partitionBy(endpoint)))
+    at = lambda p: F.min_by(ms, F.when(F.col("upto") >= F.least(F.col("n"), F.floor(F.col("n") * p) + 1), F.col("upto")))
     return ranked.groupBy(endpoint).agg(F.max("n").alias("n_calls"), at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"), F.max(ms).alias("max_ms"))
 
 

@@ -13,9 +13,11 @@ _local: list[str] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where it is unset (tests, one machine), a local one."""
+    """The folder named by ``spark.checkpoint.dir``; where it is unset (tests, one machine), a local one. On a cluster it must be set."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         if not _local:
             _local.append(tempfile.mkdtemp(prefix="tracelake-"))
         where = _local[0]
