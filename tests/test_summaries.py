@@ -80,3 +80,24 @@ def test_records(spark, tmp_path):
     assert [r.permutation_id for r in sinks.ranked_records(spark, str(tmp_path / "r")).collect()] == ["p0", "p1", "p2"]
     sizes = spark.createDataFrame([("m", n) for n in range(1, 101)], "model string, tokens long")
     assert sinks.fitting_share(sizes, "model", "tokens", [50]).first().fits_50 == 50.0
+
+
+def test_claims_of_one_long_text_and_of_unreadable_replies(spark):
+    import json
+
+    def engine(prompt):
+        if len(prompt) > 3000:
+            return '{"tasks": ["cut off'
+        return json.dumps({"tasks": sorted(set(prompt.split())), "patterns": [], "decisions_values": [], "learnings": []})
+
+    words = [f"w{n:05d}" for n in range(2000)]
+    texts = spark.createDataFrame([("lines", ["\n".join(words)]), ("spaces", [" ".join(words)]), ("several", [" ".join(words[:600]), " ".join(words[600:])])], "session_id string, texts array<string>")
+    for room in (24_000, 5_000):
+        rows = summaries.extract_claims(texts, engine, most_chars=room).collect()
+        assert not [r for r in rows if r.reason]
+        for session in ("lines", "spaces", "several"):
+            found = sorted((r.claim_index, r.claim) for r in rows if r.session_id == session)
+            assert [c for _, c in found] == words
+    assert summaries.split_texts(["short"]) == summaries.split_texts([]) == []
+    left, right = summaries.split_texts(["x" * 5000])
+    assert left[0] + right[0] == "x" * 5000

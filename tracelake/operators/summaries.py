@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from tracelake.functions.model_output import claim_lists
 from tracelake.functions.scalars import ancestors, content_hash, parent_scope, scope_depth
 
+#: Fixed value: characters that a text must have to be split.
+LEAST_SPLIT = 400
 #: A summary engine: a prompt to a text.
 Engine = Callable[[str], str]
 
@@ -96,19 +98,44 @@ def roll_up(sessions: DataFrame, strategy: str, engine: Engine, *, excerpts: Dat
     return done
 
 
+def split_texts(parts: list[str]) -> list[list[str]]:
+    """The two halves of several texts, or of one text at the line end, else the space, nearest its middle; nothing for a text too short to split."""
+    if len(parts) > 1:
+        return [parts[: len(parts) // 2], parts[len(parts) // 2 :]]
+    text = parts[0].strip() if parts else ""
+    if len(text) < LEAST_SPLIT:
+        return []
+    middle = len(text) // 2
+    places = [at for mark in ("\n", " ") for at in sorted((p for p in (text.find(mark, middle), text.rfind(mark, 0, middle)) if p > 0), key=lambda p: abs(p - middle))]
+    cut = places[0] if places else middle
+    return [[text[:cut].rstrip()], [text[cut:].lstrip()]]
+
+
 def extract_claims(texts: DataFrame, engine: Engine, *, most_chars: int = 24_000) -> DataFrame:
     """(session_id, lens, claim_index, claim, reason, raw_excerpt): claims of each session's texts, failures as rows with a reason.
 
-    Texts beyond the engine's room are split in halves until they fit, and the halves' claims united in order.
+    Texts beyond the engine's room, and those whose reply can't be read, are split in halves until it works, and the parts' claims
+    united in order; a text of under ``LEAST_SPLIT`` characters is not split, its failure is the session's.
     """
 
     def claims_of(parts: list[str]) -> dict[str, list[str]]:
-        whole = "\n\n".join(parts)
-        if len(whole) > most_chars and len(parts) > 1:
-            half = len(parts) // 2
-            both = [claims_of(parts[:half]), claims_of(parts[half:])]
-            return {k: list(dict.fromkeys(both[0][k] + both[1][k])) for k in both[0]}
-        return claim_lists(engine(whole))
+        made: dict[str, list[str]] = {}
+        left = [parts]
+        while left:
+            here = left.pop()
+            whole, halves = "\n\n".join(here), split_texts(here)
+            if halves and len(whole) > most_chars:
+                left += reversed(halves)
+                continue
+            try:
+                found = claim_lists(engine(whole))
+            except (ValueError, KeyError):
+                if not halves:
+                    raise
+                left += reversed(halves)
+                continue
+            made = {k: list(dict.fromkeys(made.get(k, []) + c)) for k, c in found.items()}
+        return made
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
