@@ -46,11 +46,12 @@ def test_decontamination(spark, mixed, block_words):
         assert r.contaminated == (bool(hit) and 20 * len(hit) >= len(w))
 
 
-def test_decontamination_cuts_and_drops(spark, tmp_path):
+@pytest.mark.parametrize("block_words", [100_000, 10])
+def test_decontamination_cuts_and_drops(spark, tmp_path, block_words):
     rng = random.Random(1)
     long_text = sentence(rng, 500)
     folder = build(spark, tmp_path / "t", [(1, f"{long_text} {BENCH.upper()}! tail", "en", "s"), (2, BENCH, "en", "s"), (3, long_text, "en", "s")], bench=[(1, BENCH)])
-    out = {r.doc_id: r for r in decontam.remove_contamination(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/benchmark.parquet")).collect()}
+    out = {r.doc_id: r for r in decontam.remove_contamination(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/benchmark.parquet"), block_words=block_words).collect()}
     assert sorted(out) == [1, 3]
     assert out[1].text == f"{long_text} ! tail" and out[1].n_chars == len(out[1].text)
     assert out[3].text == long_text

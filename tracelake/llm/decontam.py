@@ -21,15 +21,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import freeing, table
+from tracelake.llm.common import freeing, sifted, table, written
 
 WINDOW = 13
 #: Share of a document's words, as one over this number, from which the whole document goes.
 COVERAGE = 20
-#: Words of items in one automaton. More items make more automata, one pass over the documents each.
+#: Words of items in one automaton, about 60 MB in a worker. More items make more automata, one pass over the documents each.
 BLOCK_WORDS = 100_000
 
 #: Lower-cases A-Z; every other ASCII byte that is no digit or letter separates words.
@@ -37,9 +38,9 @@ _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122
 #: The same words in a text that is not lower-cased yet.
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
-SCHEMA = "doc_id long, n_words long, n_hit long, longest long, items array<string>, spans array<struct<start:long,end:long>>, char_spans array<struct<start:long,end:long>>"
-_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-_ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("longest", pa.int64()), ("items", pa.list_(pa.string())), ("spans", _SPANS), ("char_spans", _SPANS)])
+#: A hit: words [start, end) of a document, at its characters [first, last).
+_HIT = "struct<start:long,end:long,first:long,last:long>"
+_FOUND = (pa.field("n_words", pa.int64()), pa.field("longest", pa.int64()), pa.field("items", pa.list_(pa.string())), pa.field("hits", pa.list_(pa.struct([(n, pa.int64()) for n in ("start", "end", "first", "last")]))))
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -154,56 +155,79 @@ class ItemAutomaton:
         return [(a, b) for a, b in hits], items, longest
 
 
-def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
-
-
-def automata(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, *, id_col: str = "item_id", text_col: str = "text") -> Iterator[ItemAutomaton]:
-    """Automata over blocks of items; each block, and so what the driver holds at once, has about ``block_words`` words or one item."""
+def blocks_of(benchmark: DataFrame, block_words: int = BLOCK_WORDS, *, id_col: str = "item_id", text_col: str = "text") -> list[DataFrame]:
+    """The items with an id and a text, in blocks of about ``block_words`` words or one item, by a hash of each item."""
     items = benchmark.select(F.col(id_col).cast("string").alias("item_id"), F.col(text_col).alias("text")).where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-int(total) // (4 * block_words)))
-    for k in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield ItemAutomaton([(r.item_id, words_of(r.text)) for r in part.toLocalIterator()], window)
+    return [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)] if n > 1 else [items]
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: word and hit counts, items found, hit spans in words and in characters."""
-    spark = docs.sparkSession
-    shared = [spark.sparkContext.broadcast(a) for a in automata(benchmark, window, block_words)]
+def _sent(block: DataFrame, window: int) -> Broadcast:
+    """The automaton of one block, sent to the tasks; its size is bounded by the block's."""
+    return block.sparkSession.sparkContext.broadcast(ItemAutomaton([(r.item_id, words_of(r.text)) for r in block.toLocalIterator()], window))
+
+
+def _matched(automaton: ItemAutomaton, text: str | None) -> dict:
+    """What one document has of one block: hit spans in words with their places in characters, items, longest match."""
+    words = words_of(text)
+    lookup = automaton.vocabulary.get
+    hits, items, longest = automaton.scan(np.fromiter((lookup(w, -1) for w in words), np.int32, len(words)))
+    at = [m.span() for m in _WORD.finditer(text)] if hits else []
+    spans = [{"start": a, "end": b, "first": at[a][0], "last": at[b - 1][1]} for a, b in hits]
+    return {"n_words": len(words), "longest": longest, "items": sorted(items), "hits": spans}
+
+
+def _scanned(texts: DataFrame, shared: Broadcast, key: str, every: bool) -> DataFrame:
+    """(key, n_words, longest, items, hits) of (key, text) rows against one automaton; with ``every`` false, only of rows that share a word with it."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [b.value for b in shared]
+        automaton = shared.value
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = words_of(text)
-                spans: list[tuple[int, int]] = []
-                items: set[str] = set()
-                longest = 0
-                for a in found:
-                    lookup = a.vocabulary.get
-                    codes = np.fromiter((lookup(w, -1) for w in words), np.int32, len(words))
-                    more, also, length = a.scan(codes)
-                    spans += more
-                    items |= also
-                    longest = max(longest, length)
-                spans = _merged(spans)
-                chars: list[tuple[int, int]] = []
-                if spans:
-                    at = [m.span() for m in _WORD.finditer(text)]
-                    chars = [(at[a][0], at[b - 1][1]) for a, b in spans]
-                rows.append({"doc_id": doc_id, "n_words": len(words), "n_hit": sum(b - a for a, b in spans), "longest": longest, "items": sorted(items), "spans": [{"start": a, "end": b} for a, b in spans], "char_spans": [{"start": a, "end": b} for a, b in chars]})
-            yield pa.RecordBatch.from_pylist(rows, _ARROW)
+            rows = [{"key": k, **_matched(automaton, text)} for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_pylist([r for r in rows if every or r["longest"]], pa.schema([pa.field("key", batch.schema.field(0).type), *_FOUND]))
+
+    return texts.mapInArrow(freeing(scan), f"key {key}, n_words long, longest long, items array<string>, hits array<{_HIT}>")
+
+
+def _merged_hits(hits: Column) -> Column:
+    """Sorted hits with those that meet or overlap made one."""
+    last = lambda done: F.element_at(done, -1)
+    joined = lambda one, h: F.struct(one["start"].alias("start"), F.greatest(one["end"], h["end"]).alias("end"), one["first"].alias("first"), F.greatest(one["last"], h["last"]).alias("last"))
+    step = lambda done, h: F.when((F.size(done) > 0) & (h["start"] <= F.get(done, F.size(done) - 1)["end"]), F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(joined(last(done), h)))).otherwise(F.concat(done, F.array(h)))
+    return F.aggregate(F.array_sort(hits), F.array().cast(f"array<{_HIT}>"), step)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(freeing(scan), SCHEMA)
+
+def text_key(text: str) -> Column:
+    """Equal for equal texts; null counts as empty."""
+    return F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+
+
+def _scanned_texts(docs: DataFrame, blocks: list[DataFrame], window: int, text_col: str) -> DataFrame:
+    """One row for each distinct text: one pass over the documents a block, each with only its own automaton, written before the next; a pass keeps small rows, no texts."""
+    texts = docs.select(text_key(text_col).alias("key"), F.col(text_col).alias("text"))
+    found = None
+    for k, block in enumerate(blocks):
+        shared = _sent(block, window)
+        one = written(_scanned(texts, shared, "string", k == 0), "scan")
+        shared.destroy()
+        found = one if found is None else found.unionByName(one)
+    flat = lambda c: F.flatten(F.collect_set(c))
+    return found.groupBy("key").agg(F.max("n_words").alias("n_words"), F.max("longest").alias("longest"), F.array_sort(F.array_distinct(flat("items"))).alias("items"), _merged_hits(flat("hits")).alias("hits"))
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: word and hit counts, items found, hit spans in words and in characters."""
+    blocks = blocks_of(benchmark, block_words)
+    ids = F.col(id_col).cast("long")
+    if len(blocks) == 1:
+        found = _scanned(docs.select(ids.alias("doc_id"), F.col(text_col).alias("text")), _sent(blocks[0], window), "long", True).withColumnRenamed("key", "doc_id")
+    else:
+        keyed = docs.select(ids.alias("doc_id"), text_key(text_col).alias("key"))
+        found = keyed.join(_scanned_texts(docs, blocks, window, text_col), "key")
+    n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, h: n + h["end"] - h["start"])
+    pairs = lambda a, b: F.transform("hits", lambda h: F.struct(h[a].alias("start"), h[b].alias("end")))
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), "longest", "items", pairs("start", "end").alias("spans"), pairs("first", "last").alias("char_spans"))
 
 
 def is_contaminated(coverage: int = COVERAGE):
@@ -211,31 +235,50 @@ def is_contaminated(coverage: int = COVERAGE):
     return (F.col("n_hit") > 0) & (F.col("n_hit") * coverage >= F.col("n_words"))
 
 
+def _without(text: Column, hits: Column) -> Column:
+    """``text`` without the characters of its sorted, merged hits."""
+    starts = F.concat(F.array(F.lit(0).cast("long")), F.transform(hits, lambda h: h["last"]))
+    ends = F.concat(F.transform(hits, lambda h: h["first"]), F.array(F.length(text).cast("long")))
+    kept = F.zip_with(starts, ends, lambda a, b: F.substring(text, (a + 1).cast("int"), (b - a).cast("int")))
+    return F.array_join(kept, "")
+
+
+def _removed_in_passes(docs: DataFrame, blocks: list[DataFrame], window: int, coverage: int) -> DataFrame:
+    """The same for a benchmark of several blocks; only documents that may have hits are shuffled."""
+    n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, h: n + h["end"] - h["start"])
+    hit = written(_scanned_texts(docs, blocks, window, "text").where("size(hits) > 0").select("key", "n_words", "hits"), "hits")
+    both = sifted(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), text_key("text").alias("key")), hit, "key")
+    maybe = both.where("maybe").join(hit, "key", "left").where(F.col("hits").isNull() | (n_hit * coverage < F.col("n_words")))
+    cut = F.when(F.col("hits").isNull(), F.col("doc.text")).otherwise(_without(F.col("doc.text"), F.col("hits")))
+    new = {"text": cut}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("hits").isNull(), F.col("doc.n_chars")).otherwise(F.length(cut).cast(docs.schema["n_chars"].dataType))
+    whole = lambda changes: [changes.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns]
+    return both.where("not maybe").select(*whole({})).unionByName(maybe.select(*whole(new)))
+
+
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, coverage: int = COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The documents without contaminated ones; what remains has its hit spans cut. Keeps all columns; ``n_chars`` follows the text."""
-    spark = docs.sparkSession
-    shared = [spark.sparkContext.broadcast(a) for a in automata(benchmark, window, block_words)]
+    blocks = blocks_of(benchmark, block_words)
+    if len(blocks) > 1:
+        return _removed_in_passes(docs, blocks, window, coverage)
+    shared = _sent(blocks[0], window)
     text_at = docs.columns.index("text")
     count_at = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [b.value for b in shared]
+        automaton = shared.value
         for batch in batches:
             keep, changed = [], {}
             for i, text in enumerate(batch.column(text_at).to_pylist()):
-                words = words_of(text)
-                spans: list[tuple[int, int]] = []
-                for a in found:
-                    lookup = a.vocabulary.get
-                    spans += a.scan(np.fromiter((lookup(w, -1) for w in words), np.int32, len(words)))[0]
-                spans = _merged(spans)
-                n_hit = sum(b - a for a, b in spans)
-                if n_hit and coverage * n_hit >= len(words):
+                found = _matched(automaton, text)
+                spans = found["hits"]
+                n_hit = sum(h["end"] - h["start"] for h in spans)
+                if n_hit and coverage * n_hit >= found["n_words"]:
                     continue
                 keep.append(i)
                 if spans:
-                    at = [m.span() for m in _WORD.finditer(text)]
-                    edges = [0, *(x for a, b in spans for x in (at[a][0], at[b - 1][1])), len(text)]
+                    edges = [0, *(x for h in spans for x in (h["first"], h["last"])), len(text)]
                     changed[i] = "".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
             if changed:
                 columns = list(batch.columns)
