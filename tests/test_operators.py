@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tracelake.operators import claims, graph, incremental, search, text_metrics, trees
+from tracelake.operators import claims, graph, incremental, schema_timeline, search, text_metrics, timing, trees
 
 
 def edges(spark, pairs):
@@ -45,6 +45,65 @@ def test_resolution(spark):
     assert [tuple(r) for r in graph.rolled_edges(relations, canonical).collect()] == [("PostgreSQL", "Redis", "uses", 3.0)]
 
 
+def test_similar_names_finds_all_pairs_of_a_block(spark):
+    rng = random.Random(5)
+    names = sorted({f"cluster {rng.choice('abcd')}{rng.randrange(40):02d} {rng.choice(['node', 'nodes', 'gateway'])}" for _ in range(60)} | {"Cluster a01 node", "x", "", "clu"})
+    pairs = lambda t: {t[i : i + 2] for i in range(max(1, len(t) - 1))}
+
+    def edit(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, left = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(left[j] + 1, row[-1] + 1, left[j - 1] + (x != y)))
+        return row[-1]
+
+    def alike(a, b):
+        a, b = a.lower(), b.lower()
+        blocks = lambda t: {t[:3], *(w for w in t.split() if len(w) > 3)}
+        if not blocks(a) & blocks(b):
+            return False
+        shared = len(pairs(a) & pairs(b)) / len(pairs(a) | pairs(b))
+        return 1 - round(0.3 * (1 - edit(a, b) / max(len(a), len(b))) + 0.7 * shared, 6) <= 0.2
+
+    want = {(a, b) for a, b in itertools.combinations(names, 2) if alike(a, b)}
+    got = [(r.a, r.b) for r in graph.similar_names(spark.createDataFrame([(n,) for n in [*names, *names[:5], None]], "name string"), most=0.2).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 50
+
+
+def test_community_levels(spark):
+    rows = graph.community_levels(edges(spark, TWO_CLIQUES), (0.25, 1.0)).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.resolution, {})[r.node] = (r.community, r.modularity)
+    assert {len({c for c, _ in level.values()}) for level in by.values()} == {2} or len({c for c, _ in by[0.25].values()}) == 1
+    for resolution, level in by.items():
+        adjacent = {frozenset(e) for e in TWO_CLIQUES}
+        degree = {n: sum(n in e for e in adjacent) for n in level}
+        inside = sum(2 for e in adjacent if len({level[n][0] for n in e}) == 1) / (2 * len(adjacent))
+        totals = [sum(degree[n] for n in level if level[n][0] == c) for c in {c for c, _ in level.values()}]
+        quality = inside - resolution * sum(t * t for t in totals) / (2 * len(adjacent)) ** 2
+        assert all(abs(q - quality) < 1e-6 for _, q in level.values())
+    empty = spark.createDataFrame([], "src string, dst string, weight double")
+    assert graph.communities(empty).count() == 0
+
+
+def test_key_paths_at_any_depth(spark):
+    deep = '{"a":' * 12 + "[1, {\"z\": null}]" + "}" * 12
+    raws = spark.createDataFrame([("1", deep), ("2", "[]"), ("3", "7")], "record string, text string").select("record", F.parse_json("text").alias("raw"))
+    got = {(r.record, r.path) for r in schema_timeline.key_paths(raws).collect()}
+    chain = ["$" + ".a" * n for n in range(1, 13)]
+    assert got == {("1", p) for p in [*chain, chain[-1] + "[]", chain[-1] + "[].z"]}
+
+
+def test_session_order_over_ranges(spark):
+    rows = [(f"s{i:02d}", f"2026-01-{1 + i % 7:02d} 00:00:00", i) for i in range(40)]
+    got = timing.session_order(spark.createDataFrame([*rows, *rows[:3]], "session_id string, session_start string, running_output long")).collect()
+    want = sorted((start, session) for session, start, _ in rows)
+    assert {(r.session_start, r.session_id): r.place for r in got} == {k: n for n, k in enumerate(want, 1)}
+    assert timing.session_order(spark.createDataFrame([], "session_id string, session_start string, running_output long")).count() == 0
+
+
 def test_descendants_survive_cycles(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4)], "parent long, child long")
     got = trees.descendants(links, spark.createDataFrame([(1,)], "node long"))

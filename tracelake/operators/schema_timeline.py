@@ -6,19 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracelake.sources.scratch import settled
 
-def key_paths(records: DataFrame, raw: str = "raw", depth: int = 6) -> DataFrame:
-    """(…, path) of every object key of a variant column, down to ``depth`` levels; array elements share their array's path with ``[]``."""
+
+def key_paths(records: DataFrame, raw: str = "raw") -> DataFrame:
+    """(…, path) of every object key of a variant column, however deep; array elements share their array's path with ``[]``."""
     rest = [c for c in records.columns if c != raw]
     level = records.select(*rest, F.lit("$").alias("path"), F.col(raw).alias("node"))
     found = None
-    for _ in range(depth):
+    while True:
         level.createOrReplaceTempView("__level")
         step = level.sparkSession.sql(f"SELECT {', '.join(f't.{c}' for c in rest)}{',' if rest else ''} t.path AS above, e.key AS key, e.value AS node FROM __level t, LATERAL variant_explode(t.node) AS e")
-        level = step.select(*rest, F.when(F.col("key").isNull(), F.concat("above", F.lit("[]"))).otherwise(F.concat_ws(".", "above", "key")).alias("path"), "node")
+        level = settled(step.select(*rest, F.when(F.col("key").isNull(), F.concat("above", F.lit("[]"))).otherwise(F.concat_ws(".", "above", "key")).alias("path"), "node"), "paths")
         keys = level.select(*rest, "path")
         found = keys if found is None else found.unionByName(keys)
-    return found.distinct() if "record" in rest else found
+        if level.isEmpty():
+            return found.distinct() if "record" in rest else found
 
 
 def schema_timeline(paths: DataFrame) -> DataFrame:

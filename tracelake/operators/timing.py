@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions.scalars import delta_ms, tokens_per_second
 from tracelake.operators.usage import money
+from tracelake.sources.scratch import settled
 
 #: A reply sooner than its tokens can be read at this rate is too fast, if it has this many.
 READ_TOKENS_PER_SECOND = 8
@@ -65,9 +66,13 @@ def timeline(events: DataFrame) -> DataFrame:
 
 
 def session_order(timeline_rows: DataFrame) -> DataFrame:
-    """Sessions by start, with their largest running sum for scaling."""
+    """Sessions by start, with their largest running sum for scaling: ranges of starts are numbered apart, then moved on by the sessions of the ranges before."""
     per = timeline_rows.groupBy("session_id", "session_start").agg(F.max("running_output").alias("peak_output"))
-    return per.withColumn("place", F.dense_rank().over(W.orderBy("session_start", "session_id")))
+    ranges = settled(per.repartitionByRange("session_start", "session_id").withColumn("range", F.spark_partition_id()), "ranges")
+    sizes = ranges.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("range", F.coalesce(F.sum("n").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    nth = F.row_number().over(W.partitionBy("range").orderBy("session_start", "session_id"))
+    return ranges.join(before, "range").select("session_id", "session_start", "peak_output", (nth + F.col("before")).cast("int").alias("place"))
 
 
 def sessionized(events: DataFrame, gap_minutes: int = 30) -> DataFrame:

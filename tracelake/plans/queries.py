@@ -436,7 +436,7 @@ def chunk_text(spark, d):
 @query("schema_timeline", "WITH r AS (SELECT strftime(ts, '%Y-%m-%d') AS event_date, '$.k' AS json_path FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL), p AS (SELECT json_path, event_date, count(*) AS n_events FROM r GROUP BY 1, 2) SELECT *, min(event_date) OVER (PARTITION BY json_path) AS first_seen FROM p")
 def schema_timeline_(spark, d):
     e = T.table(spark, d, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("date"), F.parse_json("props").alias("raw"))
-    return schema_timeline.schema_timeline(schema_timeline.key_paths(e, depth=2))
+    return schema_timeline.schema_timeline(schema_timeline.key_paths(e))
 
 
 @query("text_metrics")
@@ -486,6 +486,11 @@ def communities(spark, d):
     return graph.communities(_graph(spark, d))
 
 
+@query("community_levels")
+def community_levels(spark, d):
+    return graph.community_levels(_graph(spark, d))
+
+
 @query("betweenness")
 def betweenness(spark, d):
     return graph.betweenness(_graph(spark, d)).withColumn("score", F.round("score", 4))
@@ -500,7 +505,20 @@ def edge_rollup(spark, d):
     return graph.rolled_edges(relations, canonical)
 
 
-@query("entity_resolution")
+@query(
+    "entity_resolution",
+    r"""WITH RECURSIVE n AS (SELECT lower(p_name) AS name, count(*) AS mentions FROM part WHERE p_name IS NOT NULL GROUP BY 1),
+g AS (SELECT name, list_distinct(list_transform(range(1, greatest(length(name), 2)), lambda i: substr(name, i, 2))) AS pairs FROM n),
+b AS (SELECT DISTINCT name, unnest(list_concat([substr(name, 1, 3)], list_filter(string_split_regex(name, '\W+'), lambda w: length(w) > 3))) AS block FROM n),
+met AS (SELECT DISTINCT x.name AS a, y.name AS b FROM b x JOIN b y ON x.block = y.block AND x.name < y.name),
+alike AS (SELECT a, b FROM met JOIN g ga ON ga.name = a JOIN g gb ON gb.name = b
+  WHERE 1 - round(0.3 * (1 - levenshtein(a, b) / greatest(length(a), length(b)))
+    + 0.7 * len(list_intersect(ga.pairs, gb.pairs)) / len(list_distinct(list_concat(ga.pairs, gb.pairs))), 6) <= 0.4),
+u AS (SELECT a AS src, b AS dst FROM alike UNION ALL SELECT b, a FROM alike),
+w AS (SELECT name AS node, name AS root FROM n UNION SELECT u.dst, w.root FROM w JOIN u ON u.src = w.node),
+c AS (SELECT node AS name, min(root) AS component FROM w GROUP BY 1)
+SELECT name, first_value(name) OVER (PARTITION BY component ORDER BY mentions DESC, name) AS canonical FROM c JOIN n USING (name)""",
+)
 def entity_resolution(spark, d):
     names = T.table(spark, d, "part").select(F.lower("p_name").alias("name"), F.lit(1).alias("mentions"))
     return graph.resolve(names, graph.similar_names(names.select("name").distinct(), most=0.4))
