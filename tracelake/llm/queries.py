@@ -16,11 +16,12 @@ from tracelake.llm.quality import op7_quality
 from tracelake.llm.secrets_scan import op8_secrets
 from tracelake.llm.telephony import op3_telephony_audio
 from tracelake.llm.tokenbin import op2_token_planes
+from tracelake.llm.tokencount import op11_token_counts
 from tracelake.llm.toxicity import op5_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_decontamination, op2_token_planes, op3_telephony_audio, op4_language_id, op5_toxicity, op6_source_mixing, op7_quality, op8_secrets, op9_personal_data, op10_near_duplicates)
+    ops = (op1_decontamination, op2_token_planes, op3_telephony_audio, op4_language_id, op5_toxicity, op6_source_mixing, op7_quality, op8_secrets, op9_personal_data, op10_near_duplicates, op11_token_counts)
     return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
 
