@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
+from tracelake.llm.centroids import op12_centroid_clusters
 from tracelake.llm.decontam import op1_decontamination
 from tracelake.llm.langid import op4_language_id
 from tracelake.llm.mixing import op6_source_mixing
@@ -18,10 +19,11 @@ from tracelake.llm.telephony import op3_telephony_audio
 from tracelake.llm.tokenbin import op2_token_planes
 from tracelake.llm.tokencount import op11_token_counts
 from tracelake.llm.toxicity import op5_toxicity
+from tracelake.llm.vectorcodes import op13_vector_codes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_decontamination, op2_token_planes, op3_telephony_audio, op4_language_id, op5_toxicity, op6_source_mixing, op7_quality, op8_secrets, op9_personal_data, op10_near_duplicates, op11_token_counts)
+    ops = (op1_decontamination, op2_token_planes, op3_telephony_audio, op4_language_id, op5_toxicity, op6_source_mixing, op7_quality, op8_secrets, op9_personal_data, op10_near_duplicates, op11_token_counts, op12_centroid_clusters, op13_vector_codes)
     return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
 
@@ -64,6 +66,48 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = compon
 FROM d JOIN c ON d.doc_id = c.node LEFT JOIN n ON d.doc_id = n.doc_id"""
 
 
+_SQUARED = "CAST(coalesce(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 0) AS BIGINT)"
+
+
+def _finite(scale: int) -> str:
+    return f"""SELECT row_number() OVER () AS r, *, list_transform(embedding, lambda e: CAST(floor({scale} * CAST(e AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings WHERE len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = len(embedding)"""
+
+
+def _lloyd(rounds: int, per: str = "") -> str:
+    """Rounds over points (r, [p,] x) from entries c0 ([p,] j, c), fewer than 1024; a{rounds} has each point's entry and distance."""
+    out = []
+    for k in range(rounds + 1):
+        out.append(f"""m{k} AS MATERIALIZED (SELECT r, {per} x, min(1024 * {_SQUARED} + j) AS best FROM points JOIN c{k} {"USING (p)" if per else "ON true"} GROUP BY ALL),
+a{k} AS MATERIALIZED (SELECT r, {per} x, best % 1024 AS j, best // 1024 AS d FROM m{k})""")
+        if k < rounds:
+            out.append(f"""u{k} AS (SELECT {per} j, i, CAST(sum(v) AS BIGINT) AS s, count(*) AS n FROM (SELECT {per} j, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM a{k}) GROUP BY ALL),
+n{k} AS (SELECT {per} j, list((s - ((s % n) + n) % n) // n ORDER BY i) AS e FROM u{k} GROUP BY ALL),
+c{k + 1} AS MATERIALIZED (SELECT {per} j, coalesce(e, c) AS c FROM c{k} LEFT JOIN n{k} USING ({per} j))""")
+    return ",\n".join(out)
+
+
+OP12_SQL = f"""
+WITH kept AS MATERIALIZED (SELECT * FROM ({_finite(256)}) WHERE len(q) = 64),
+points AS (SELECT r, q AS x FROM kept),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), q) - 1 AS j, q AS c FROM kept QUALIFY j < 40),
+{_lloyd(5)},
+s AS (SELECT j, CAST(sum(d) AS BIGINT) AS cluster_inertia FROM a5 GROUP BY j)
+SELECT vec_id, CAST(j AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, cluster_inertia, (SELECT CAST(sum(d) AS BIGINT) FROM a5) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a5 JOIN kept USING (r) JOIN c5 USING (j) JOIN s USING (j)"""
+
+OP13_SQL = f"""
+WITH kept AS MATERIALIZED ({_finite(1024)}),
+points AS MATERIALIZED (SELECT r, p, list_slice(q, p * (len(q) // 4) + 1, (p + 1) * (len(q) // 4)) AS x FROM kept, (SELECT unnest(range(4)) AS p)),
+f AS (SELECT r, row_number() OVER (ORDER BY vec_id, q) - 1 AS j FROM kept QUALIFY j < 256),
+c0 AS MATERIALIZED (SELECT p, j, x AS c FROM f JOIN points USING (r)),
+{_lloyd(4, "p,")},
+v AS (SELECT r, string_agg(printf('%02x', j), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a4 GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, j)) FROM c4) AS codebooks_sha256
+FROM v JOIN kept USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL of the operators that SQL can express; the others use hashes, models or codecs and are tested against brute force."""
-    return {"op1_decontamination": OP1_SQL, "op10_near_duplicates": OP10_SQL}
+    return {"op1_decontamination": OP1_SQL, "op10_near_duplicates": OP10_SQL, "op12_centroid_clusters": OP12_SQL, "op13_vector_codes": OP13_SQL}
