@@ -14,7 +14,7 @@ from tracelake.llm import centroids, vectorcodes
 from tracelake.llm.queries import oracle_sql, queries
 
 DATA = os.environ.get("TRACELAKE_TEST_DATA", "/root/testdata/sf0.001")
-BIG = 3.0e38
+BIG = float(np.float32(3.0e38))
 
 
 def floors(vector, scale):
@@ -44,7 +44,7 @@ def vector_rows(size, seed=0):
     rows = [(i, [float(x) for x in rng.normal(size=size).astype(np.float32)], int(i % 3) if i % 5 else None) for i in range(70)]
     rows += [(100 + i, rows[3][1], 1) for i in range(40)]
     rows += [(200, None, 1), (201, [], 1), (202, [1.0] * (size - 1) + [float("nan")], 1), (203, [1.0] * (size - 1) + [None], 1), (204, [float("inf")] * size, 0)]
-    rows += [rows[5], rows[5], (None, rows[7][1], 2), (None, rows[8][1], None), (300, [0.0] * size, 1), (301, [-1e-30] * size, 1)]
+    rows += [rows[5], rows[5], (None, rows[7][1], 2), (None, rows[8][1], None), (300, [0.0] * size, 1), (301, [float(np.float32(-1e-30))] * size, 1)]
     return rows
 
 

@@ -161,7 +161,7 @@ def moved(centres: list[list[int]], sums: dict[int, tuple[int, list[int]]]) -> l
 
 def as_matrix(centres: list[list[int]]) -> np.ndarray:
     fits = all(abs(x) < 1 << 62 for c in centres for x in c)
-    return np.array(centres, np.int64 if fits else object).reshape(len(centres), -1)
+    return np.array(centres, np.int64 if fits else object).reshape(len(centres), len(centres[0]) if centres else 0)
 
 
 def digest(centre: list[int]) -> str:
