@@ -152,7 +152,7 @@ def test_text_scores():
 
 
 def test_layers_and_parents(spark):
-    assert [claims.select_layers(n, p) for n, p in ((1, [0.0]), (3, [0.2, 0.9, 0.1]), (3, [0.2, 0.1, 0.9]), (2, [0.9, 0.1]))] == [(0, 0), (1, 0), (2, 1), (1, 0)]
+    assert [claims.select_layers(n, p) for n, p in ((1, [0.0]), (3, [0.2, 0.9, 0.1]), (3, [0.2, 0.1, 0.9]), (2, [0.9, 0.1]))] == [(0, 0), (2, 1), (2, 1), (1, 0)]
     members = spark.createDataFrame([(0, 5), (0, 4), (0, 4), (1, 3), (1, 2), (2, -1), (-1, 2)], "fine int, coarse int")
     assert {r.fine: r.coarse for r in claims.plurality_parents(members).collect()} == {0: 4, 1: 2, 2: None}
 

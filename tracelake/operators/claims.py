@@ -95,11 +95,12 @@ def plurality_parents(members: DataFrame) -> DataFrame:
 
 
 def select_layers(n_layers: int, persistence: list[float]) -> tuple[int, int]:
-    """(coarse, fine) layers: the most persistent one is coarse, a step down from it fine; the coarsest layer leaves its finer neighbour."""
+    """(coarse, fine) layers, counted from the finest one: the most persistent layer is fine and the next coarser one coarse; the coarsest itself can't be fine, so its finer neighbour is. Ties go to the finer layer."""
     if n_layers <= 1:
         return 0, 0
     best = max(range(n_layers), key=lambda k: (persistence[k], -k))
-    return (best, best - 1) if best else (1, 0)
+    fine = min(best, n_layers - 2)
+    return fine + 1, fine
 
 
 def cluster_tree(leaves: DataFrame) -> DataFrame:

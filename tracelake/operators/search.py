@@ -66,14 +66,19 @@ def bm25(texts: DataFrame, query: str, key: str, text: str, *, limit: int = 20,
     words = texts.select(key, tokens(F.col(text)).alias("words"), (F.lit(True) if where is None else F.coalesce(where, F.lit(False))).alias("wanted"))
     counts = words.select(key, "wanted", F.size("words").alias("length"), *(_occurrences(t).alias(f"tf{i}") for i, t in enumerate(terms)))
     stats = counts.agg(F.count(F.lit(1)).alias("n_texts"), F.avg("length").alias("mean_length"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms)))).first()
+    score = bm25_score(stats["n_texts"], stats["mean_length"], [stats[f"df{i}"] for i in range(len(terms))])
+    every = counts.where("wanted AND " + " AND ".join(f"tf{i} > 0" for i in range(len(terms))))
+    return every.select(key, F.round(score, 6).alias("rank")).orderBy("rank", key).limit(clamp_limit(limit))
+
+
+def bm25_score(n: int, mean_length: float | None, document_frequencies: list[int]) -> Column:
+    """The rank of a row with its ``length`` and its counts ``tf0``, ``tf1``, ... of the query's terms."""
     score = F.lit(0.0)
-    for i in range(len(terms)):
-        n, df = stats["n_texts"], stats[f"df{i}"]
+    for i, df in enumerate(document_frequencies):
         idf = max(1e-6, float(np.log((n - df + 0.5) / (df + 0.5))))
         tf = F.col(f"tf{i}")
-        score = score - idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / (stats["mean_length"] or 1.0)))
-    every = counts.where("wanted AND " + " AND ".join(f"tf{i} > 0" for i in range(len(terms))))
-    return every.select(key, F.round(score, 6).alias("rank")).orderBy("rank", key).limit(clamp_limit(limit))
+        score = score - idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / (mean_length or 1.0)))
+    return score
 
 
 def _occurrences(term: str) -> Column:
@@ -139,6 +144,20 @@ def hashing_embedder(texts: list[str | None], size: int = EMBED_SIZE) -> list[np
     return out
 
 
+def letter_embedder(texts: list[str | None], size: int = 256) -> list[np.ndarray]:
+    """The offline stand-in for an embedding of short names: hashed runs of three letters, the ends marked, normalised."""
+    import zlib
+
+    out = []
+    for t in texts:
+        v, padded = np.zeros(size, np.float32), f"  {t or ''} "
+        for k in range(len(padded) - 2):
+            h = zlib.crc32(padded[k : k + 3].encode())
+            v[h % size] += 1 if h >> 31 else -1
+        out.append(v / (np.linalg.norm(v) or 1))
+    return out
+
+
 def embed(texts: DataFrame, key: str, text: str, embedder=hashing_embedder) -> DataFrame:
     """(key, embedding) by a pluggable embedder, Arrow batch by batch."""
     kind = texts.schema[key].dataType.simpleString()
