@@ -7,10 +7,11 @@ files to a log, which commits it; a wave that was cut off is written again. The
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -45,6 +46,11 @@ def ingest(spark: SparkSession, root: str, target: str, checkpoint: str, wave: i
 _LOG = "file_path string, mtime timestamp, size long, wave int"
 
 
+def month(ts: Column) -> Column:
+    """The partition of a time, such as ``m2025-11``, which no reader takes for a date."""
+    return F.date_format(ts, "'m'yyyy-MM")
+
+
 def file_log(spark: SparkSession, target: str) -> DataFrame:
     """(file_path, mtime, size, wave) of every file as each wave read it."""
     try:
@@ -60,8 +66,8 @@ def last_read(log: DataFrame) -> DataFrame:
     return log.groupBy("file_path").agg(F.max(F.struct("wave", "mtime", "size")).alias("last")).select("file_path", "last.mtime", "last.size", "last.wave")
 
 
-def drain(spark: SparkSession, root: str, target: str, wave: int = WAVE_FILES) -> list[int]:
-    """Read new and changed files until none is left; the numbers of the waves that it took. A wave reads its own files and the log, no earlier events."""
+def drain(spark: SparkSession, root: str, target: str, wave: int = WAVE_FILES, after: Callable[[int], None] | None = None) -> list[int]:
+    """Read new and changed files until none is left; the numbers of the waves that it took. A wave reads its own files and the log, no earlier events; ``after`` is called with each wave that is committed."""
     done: list[int] = []
     while True:
         log = file_log(spark, target)
@@ -71,21 +77,29 @@ def drain(spark: SparkSession, root: str, target: str, wave: int = WAVE_FILES) -
         number = (log.agg(F.max("wave")).first()[0] if not done else done[-1]) if done or not log.isEmpty() else -1
         number += 1
         events = mark_responses(parse_events(raw_lines(spark, root, [unquote(r.file_path) for r in todo]))).drop("blocks")
-        events.write.mode("overwrite").parquet(f"{target}/events/wave={number}")
+        # by month, so that a roll-up of some months reads no others
+        events.withColumn("month", month(F.col("ts"))).write.mode("overwrite").partitionBy("month").parquet(f"{target}/events/wave={number}")
         spark.createDataFrame([tuple(r) for r in todo], "file_path string, mtime timestamp, size long").coalesce(1).write.mode("overwrite").parquet(f"{target}/files/wave={number}")
         done.append(number)
+        if after:
+            after(number)
 
 
-def current_events(spark: SparkSession, target: str) -> DataFrame:
-    """The events of all files as they were last read, one for each (session, uuid)."""
+def current_events(spark: SparkSession, target: str, where: Column | None = None) -> DataFrame:
+    """The events of all files as they were last read, one for each (session, uuid); ``where`` picks among the partitions (wave, month) that are read."""
     last = last_read(file_log(spark, target)).select("file_path", "wave")
-    return first_of_uuid(spark.read.parquet(f"{target}/events").join(last, ["file_path", "wave"], "left_semi").drop("wave"))
+    rows = spark.read.parquet(f"{target}/events")
+    rows = rows if where is None else rows.where(where)
+    return first_of_uuid(rows.join(last, ["file_path", "wave"], "left_semi").drop("wave", "month"))
 
 
 def changed_events(spark: SparkSession, target: str, waves: list[int]) -> DataFrame:
     """The events, old and new, of the files that some waves read: what a roll-up has to be refreshed for."""
-    files = file_log(spark, target).where(F.col("wave").isin(waves)).select("file_path").distinct()
-    return spark.read.parquet(f"{target}/events").join(files, "file_path", "left_semi").drop("wave")
+    log = file_log(spark, target)
+    files = log.where(F.col("wave").isin(waves)).select("file_path").distinct()
+    # the waves in which these files were read
+    held = sorted(r.wave for r in log.join(files, "file_path", "left_semi").select("wave").distinct().collect())
+    return spark.read.parquet(f"{target}/events").where(F.col("wave").isin(held)).join(files, "file_path", "left_semi").drop("wave", "month")
 
 
 def windowed_counts(events: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
