@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.functions import scalars
-from tracelake.functions.filters import filtered, sort_columns
-from tracelake.operators import calls, claim_clusters, claims, graph, incremental, kg_payload, readers, schema_timeline, search, summaries, text_metrics, timing, trees, usage
+from tracelake.functions.filters import filtered, of_project, since, sort_columns
+from tracelake.operators import calls, claim_clusters, claims, graph, incremental, kg_payload, neighbours, readers, schema_timeline, search, summaries, text_metrics, timing, trees, usage
+from tracelake.operators.kept_index import KeptIndex
 from tracelake.sources import sinks
 from tracelake.sources import tables as T
+from tracelake.sources.scratch import scratch_path
+from tracelake.streaming import stages
 
 #: The moment that look-backs count from: the tables are of January 2024.
 NOW = datetime(2024, 1, 28, 12)
@@ -408,6 +411,16 @@ def keyword_bm25(spark, d):
     return search.bm25(T.table(spark, d, "documents"), QUERY, "doc_id", "text")
 
 
+@query("kept_index_bm25", _bm25_sql())
+def kept_index_bm25(spark, d):
+    """All documents go in, the long ones as drafts first; these are replaced, and the search reads two term buckets."""
+    docs = T.table(spark, d, "documents").select("doc_id", "text", (F.length("text") > 2000).alias("long"))
+    index = KeptIndex(spark, scratch_path(spark, "index"), "doc_id")
+    index.put(docs.withColumn("text", F.when(F.col("long"), F.concat_ws(" ", "text", F.lit("the draft and the rest"))).otherwise(F.col("text"))), "text")
+    index.put(docs.where("long"), "text")
+    return index.bm25(QUERY)
+
+
 @query("search_events", _bm25_sql("lang = 'en'", ", source, n_chars", 30))
 def search_events(spark, d):
     docs = T.table(spark, d, "documents")
@@ -476,11 +489,26 @@ def connected_components(spark, d):
     return graph.components(_graph(spark, d))
 
 
-@query("k_core")
+def _core_sql(k: int, edges: str = "u", rounds: int = 60) -> str:
+    """Edges peeled again and again, more often than any of these graphs needs; what the last round has is the core."""
+    return f"""e AS (SELECT 0 AS it, src, dst FROM {edges} UNION ALL SELECT it + 1, src, dst FROM (SELECT *, count(*) OVER (PARTITION BY src) AS s, count(*) OVER (PARTITION BY dst) AS t FROM e) WHERE s >= {k} AND t >= {k} AND it < {rounds})
+SELECT src, dst FROM e WHERE it = {rounds} AND src < dst"""
+
+
+@query("k_core", f"WITH RECURSIVE {_GRAPH}, {_core_sql(7)}")
 def k_core(spark, d):
     return graph.k_core(_graph(spark, d), 7)
 
 
+_HEAVY = "h AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b FROM g WHERE src <> dst GROUP BY 1, 2 HAVING count(*) >= 2), uh AS (SELECT a AS src, b AS dst FROM h UNION ALL SELECT b, a FROM h)"
+
+
+@query("k_core_heavy", f"WITH RECURSIVE {_GRAPH}, {_HEAVY}, {_core_sql(2, 'uh')}")
+def k_core_heavy(spark, d):
+    """The edges of two orders or more, and of those the part in which everyone has two neighbours."""
+    return graph.k_core(_graph(spark, d), 2, least_weight=2)
+
+
 @query("communities")
 def communities(spark, d):
     return graph.communities(_graph(spark, d))
@@ -554,6 +582,38 @@ def session_totals(spark, d):
     return grouped.withColumn("tokens_per_session", F.round(F.col("tokens") / F.col("n_sessions"), 4)).drop("tokens")
 
 
+#: Spending on each day of the week, less its mean: whose orders fall on the same days.
+_WEEKDAYS = """w AS (SELECT o_custkey, dayofweek(o_orderdate) AS d, CAST(sum(CAST(round(o_totalprice) AS BIGINT)) AS BIGINT) AS s FROM orders GROUP BY 1, 2),
+x AS (SELECT o_custkey, list_transform(range(7), lambda k: coalesce(list_sum(list_filter(l, lambda p: p.d = k).list_transform(lambda p: p.s)), 0)) AS v FROM (SELECT o_custkey, list({'d': d, 's': s}) AS l FROM w GROUP BY 1)),
+y AS (SELECT o_custkey, list_transform(v, lambda e: CAST(7 * e - list_sum(v) AS DOUBLE)) AS v FROM x)"""
+
+
+def _weekday_vectors(spark, d):
+    o = T.table(spark, d, "orders").groupBy("o_custkey").agg(*(F.coalesce(F.sum(F.when(F.dayofweek("o_orderdate") == k + 1, F.round("o_totalprice").cast("long"))), F.lit(0)).alias(f"d{k}") for k in range(7)))
+    total = sum((F.col(f"d{k}") for k in range(7)), F.lit(0))
+    return o.select("o_custkey", F.array(*((7 * F.col(f"d{k}") - total).cast("double") for k in range(7))).alias("v"))
+
+
+@query("vector_neighbours", f"""WITH {_WEEKDAYS}, z AS (SELECT * FROM y WHERE list_max(v) > 0),
+p AS (SELECT a.o_custkey AS a, b.o_custkey AS b, round(1 - list_cosine_similarity(a.v, b.v), 6) AS distance FROM z a JOIN z b ON a.o_custkey <> b.o_custkey)
+SELECT a, b, distance, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY distance, b) AS rank FROM p WHERE distance <= 0.05) WHERE rank <= 10""")
+def vector_neighbours(spark, d):
+    """So many tables that a pair is missed with a probability of 1e-9: as good as exact."""
+    return neighbours.vector_neighbours(_weekday_vectors(spark, d), "o_custkey", "v", most=0.05, miss=1e-9)
+
+
+@query("allowed_canonicals", f"""WITH {_EV}, k AS (SELECT call_name AS name, CASE WHEN CAST(substr(call_name, 2) AS INTEGER) < 15 THEN 'n' || (CAST(substr(call_name, 2) AS INTEGER) % 4) END AS canonical FROM ev)
+SELECT DISTINCT coalesce(canonical, name) AS node FROM ev JOIN (SELECT DISTINCT * FROM k) ON name = call_name WHERE project_id = 'p3' AND ts >= TIMESTAMP '2024-01-26 12:00:00'""")
+def allowed_canonicals(spark, d):
+    """What the calls of two days of one project name, by canonical names; the names from n15 on were never resolved."""
+    made = T.session_calls(spark, d)
+    number = F.substring("call_name", 2, 9).cast("int")
+    canonical = made.where(number < 15).select(F.col("call_name").alias("name"), F.concat(F.lit("n"), (number % 4).cast("string")).alias("canonical")).distinct()
+    chunks = made.select(F.col("event_key").alias("chunk_key"), "event_key")
+    mentions = made.select(F.col("event_key").alias("chunk_key"), F.col("call_name").alias("name"))
+    return graph.allowed_canonicals(made, chunks, mentions, canonical, of_project("p3", F.col("project_id")) & since(2, F.col("ts"), NOW))
+
+
 @query("dominant_types", f"WITH {_EV}, c AS (SELECT call_name AS name, call_type AS type, count(*) AS n FROM ev GROUP BY 1, 2) SELECT name, type, mentions FROM (SELECT *, CAST(sum(n) OVER (PARTITION BY name) AS BIGINT) AS mentions, row_number() OVER (PARTITION BY name ORDER BY n DESC, type) AS rn FROM c) WHERE rn = 1")
 def dominant_types(spark, d):
     return kg_payload.dominant_types(T.session_calls(spark, d).select(F.col("call_name").alias("name"), F.col("call_type").alias("type")))
@@ -594,6 +654,32 @@ def entity_mentions(spark, d):
     return kg_payload.dominant_types(kg_payload.entities(pieces, most=1 << 30))
 
 
+def _staged_sql() -> str:
+    found = " UNION ALL ".join(f"SELECT unnest(regexp_extract_all(substr(text, 1, 1500), '{p}')) AS name FROM t" for p in kg_payload.ENTITY_PATTERNS.values())
+    hidden = ", ".join(f"'{n}'" for n in kg_payload.FORBIDDEN)
+    return f"""WITH t AS (SELECT url AS text FROM pages WHERE trim(url) <> '' UNION ALL SELECT text FROM conversations WHERE trim(text) <> ''),
+m AS (SELECT name FROM ({found}) WHERE name NOT IN ({hidden})), n AS (SELECT count(*) AS n FROM t), d AS (SELECT count(DISTINCT name) AS n FROM m)
+SELECT 'chunk' AS stage, n AS n_eligible, n AS n_done, n AS n_rows FROM n UNION ALL SELECT 'vector', n, n, n FROM n
+UNION ALL SELECT 'entity', n, n, (SELECT count(*) FROM m) FROM n UNION ALL SELECT 'name', n, n, n FROM d"""
+
+
+@query("staged_progress", _staged_sql())
+def staged_progress(spark, d):
+    """Addresses of pages and turns of conversations, which come in one after the other, through all four stages."""
+    pages = T.table(spark, d, "pages").select(F.xxhash64(F.lit("page"), "page_id").alias("event_key"), F.col("url").alias("text"))
+    turns = T.table(spark, d, "conversations").select(F.xxhash64(F.lit("turn"), "conv_id", "turn").alias("event_key"), "text")
+    there = [pages]
+    store = stages.Store(spark, scratch_path(spark, "stages"), stages.text_stages(lambda: there[-1]))
+    store.drain()
+    there.append(pages.unionByName(turns))
+    store.drain()
+    rows = None
+    for stage, output in (("chunk", "chunks"), ("vector", "vectors"), ("entity", "entities"), ("name", "name_vectors")):
+        one = store.current(stage, output).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(stage).alias("stage"), "n_rows")
+        rows = one if rows is None else rows.unionByName(one)
+    return store.progress().join(rows, "stage")
+
+
 @query(
     "claim_buckets",
     f"""WITH {_ROLLUP}

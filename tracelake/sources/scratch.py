@@ -24,8 +24,13 @@ def scratch_root(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder."""
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def settled(df: DataFrame, name: str = "step") -> DataFrame:
     """``df`` written once and read back: its lineage and its size estimates start anew."""
-    path = f"{scratch_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
