@@ -68,7 +68,7 @@ class KeptIndex:
 
     def _write(self, words: DataFrame, segment: int) -> None:
         dealt = words.withColumn("bucket", _bucket(F.col("term"))).repartition("bucket", F.pmod(F.xxhash64(self.key), F.lit(PARTS)))
-        dealt.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/postings/segment={segment}")
+        dealt.sortWithinPartitions("bucket", "term").write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{self.root}/postings/segment={segment}")
 
     def _commit(self, segment: int, docs: DataFrame, dead: DataFrame, before, since: int) -> int:
         docs.select(self.key, "length").write.mode("overwrite").parquet(f"{self.root}/docs/segment={segment}")
@@ -87,10 +87,15 @@ class KeptIndex:
         last = self.last()
         segment = last.segment + 1 if last else 0
         rows = texts.select(F.col(self.key).cast(self.key_type).alias(self.key), F.col(text).alias("text"))
-        rows = rows.where(F.col(self.key).isNull()).unionByName(rows.where(F.col(self.key).isNotNull()).groupBy(self.key).agg(F.min("text").alias("text")))
+        # rows without a key are told apart; the counts below go by the same keys, so that texts are dealt once and words are not
+        own = F.when(F.col(self.key).isNull(), F.monotonically_increasing_id()).alias("own")
+        rows = rows.withColumn("own", own).groupBy(self.key, "own").agg(F.min("text").alias("text"))
         touched = rows.select(self.key) if removed is None else rows.select(self.key).unionByName(removed.select(F.col(self.key).cast(self.key_type).alias(self.key)))
         dead = self.docs().join(touched.distinct(), self.key, "left_semi")
-        self._write(search.postings(rows, self.key, "text"), segment)
+        words = rows.select(self.key, "own", search.tokens(F.col("text")).alias("words"))
+        places = words.select(self.key, "own", F.size("words").alias("length"), F.explode("words").alias("term"))
+        counts = places.groupBy(self.key, "own", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+        self._write(counts.select("term", self.key, "tf", "length"), segment)
         lengths = rows.select(self.key, F.size(search.tokens(F.col("text"))).alias("length"))
         return self._commit(segment, lengths, dead, last, last.since if last else 0)
 

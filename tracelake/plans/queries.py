@@ -413,11 +413,11 @@ def keyword_bm25(spark, d):
 
 @query("kept_index_bm25", _bm25_sql())
 def kept_index_bm25(spark, d):
-    """All documents go in, the long ones as drafts first; these are replaced, and the search reads two term buckets."""
-    docs = T.table(spark, d, "documents").select("doc_id", "text", (F.length("text") > 2000).alias("long"))
+    """All documents go in, the short ones as drafts first; these are replaced, and the search reads two term buckets."""
+    docs = T.table(spark, d, "documents").select("doc_id", "text", (F.length("text") < 1000).alias("short"))
     index = KeptIndex(spark, scratch_path(spark, "index"), "doc_id")
-    index.put(docs.withColumn("text", F.when(F.col("long"), F.concat_ws(" ", "text", F.lit("the draft and the rest"))).otherwise(F.col("text"))), "text")
-    index.put(docs.where("long"), "text")
+    index.put(docs.withColumn("text", F.when(F.col("short"), F.concat_ws(" ", "text", F.lit("the draft and the rest"))).otherwise(F.col("text"))), "text")
+    index.put(docs.where("short"), "text")
     return index.bm25(QUERY)
 
 
