@@ -10,8 +10,9 @@ A layer knows by runs of characters where it comes from, so a secret in any laye
 What a stretch expands to beyond ``WINDOW`` characters becomes layers of its own, one for each window; windows end at white
 space and repeat the ``OVERLAP`` characters before, and all of a stretch maps to the same span, so nothing is lost between them.
 
-Defined cases: null and empty texts have no spans. Repeated rows give repeated results. A base64 stretch that decodes to
-neither UTF-8 nor compressed data is tried from each of its separators and alignments on and else left alone; compressed
+Defined cases: null and empty texts have no spans; null ids are ids like others. Repeated rows give repeated results. A run of base64
+signs is read from each of its alignments and separators on as far as it is UTF-8, or compressed data; of stretches that overlap the
+longest counts, the first of equal ones, and reading goes on behind it. Lines of one length are also read as one stretch. Compressed
 data that breaks off gives what came before. Nothing else bounds the layers of a document. An empty table gives an
 empty result. Extra columns are ignored. Places are code points, ends exclusive.
 """
@@ -26,7 +27,8 @@ import hashlib
 import re
 import zlib
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain, islice
 from urllib.parse import unquote_to_bytes
 
 import pyarrow as pa
@@ -47,6 +49,12 @@ _HEX = re.compile(r"[0-9a-f]{32,}")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u([dD][89abAB][0-9A-Fa-f]{2})\\u([dD][c-fC-F][0-9A-Fa-f]{2})|\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_LINES = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[A-Za-z0-9+/_-]{2,})+={0,2}")
+#: Signs of the shortest base64 stretch that is decoded: fewer are words as often as not.
+LEAST = 12
+#: Of a run that isn't readable to its end: signs of the shortest readable part, and bytes from which on it need not be plain ASCII.
+LEAST_PART, SURE = 16, 24
+_PLAIN = re.compile(rb"[\x20-\x7e\t\r\n]*")
 _STANDARD = str.maketrans("-_", "+/")
 _SPACES = re.compile(r"\x20{65,}")
 
@@ -209,71 +217,139 @@ def _chained(head: bytes, rest: Iterator[bytes]) -> Iterator[bytes]:
     yield from rest
 
 
-def _meaning(token: str) -> list[str]:
-    """The texts that a base64 token stands for, none if it stands for nothing readable."""
-    head = _unbase64(token[:64])
+def _readable(raw: bytes) -> int:
+    """How many bytes from the start on are UTF-8."""
+    try:
+        raw.decode("utf-8")
+    except UnicodeDecodeError as e:
+        return e.start
+    return len(raw)
+
+
+def _stretch(text: str, start: int, stop: int) -> tuple[int, Callable[[], Iterator[str]]] | None:
+    """Where a base64 stretch from ``start`` on ends, as far as it is readable, and what it stands for; None if that is nothing."""
+    if stop - start < LEAST:
+        return None
+    head = _unbase64(text[start : min(stop, start + 64)])
     if head is None:
-        return []
+        return None
     if _is_packed(head):
-        return list(_unpacked(_unbase64(token) or b""))
-    try:
-        codecs.getincrementaldecoder("utf-8")().decode(head if len(token) <= 64 else head[:48])
-        text = (_unbase64(token) or b"").decode("utf-8")
-    except UnicodeDecodeError:
-        return []
-    return [text] if len(text) >= 4 else []
-
-
-def _base64(text: str) -> tuple[list[tuple[int, int, str, int]], list[tuple[int, int, str]]]:
-    """Stretches to replace, and (start, end, window) of what is too large for that."""
-    found, windows = [], []
-    for m in _BASE64.finditer(text):
-        starts = [m.start() + k for k in range(4)] + [m.start() + k + 1 for k, c in enumerate(m[0]) if c in "/-_+"]
-        for start in dict.fromkeys(starts):
-            token = text[start : m.end()] if start else text[: m.end()]
-            texts = _meaning(token) if len(token) >= 12 else []
-            if texts:
-                if len(texts) == 1:
-                    found.append((start, m.end(), texts[0], 0))
-                else:
-                    windows += [(start, m.end(), t) for t in texts]
+        raw = _unbase64(text[start:stop]) or b""
+        return (stop, lambda: _unpacked(raw)) if next(_unpacked(raw), None) else None
+    raw, good = head, _readable(head)
+    if stop - start > 64 and good > 44:
+        # at most a character that the head cuts off is missing: the rest is read too
+        raw = _unbase64(text[start:stop]) or b""
+        good = _readable(raw)
+        whole = good == len(raw)
+    else:
+        whole = good == len(raw) and stop - start <= 64
+    if not whole and good < SURE:
+        # random signs are UTF-8 that far now and then, but hardly ever plain text
+        good = len(_PLAIN.match(raw)[0])
+    end = stop if whole else start + good // 3 * 4
+    plain = (raw if whole else raw[: good // 3 * 3]).decode("utf-8", "ignore")
+    return (end, lambda: iter([plain])) if end - start >= (LEAST if whole else LEAST_PART) and len(plain) >= 4 else None
+
+
+def _run(text: str, start: int, stop: int) -> Iterator[tuple[int, int, Callable[[], Iterator[str]]]]:
+    """The stretches of one run of base64 signs: at each alignment and after each separator, the longest of those that overlap."""
+    cuts = [k + 1 for k in range(start, stop) if text[k] in "/-_+"]
+    at, next_cut = start, 0
+    while at < stop:
+        while next_cut < len(cuts) and cuts[next_cut] <= at:
+            next_cut += 1
+        best = None
+        for first in chain(range(at, min(at + 4, stop)), islice(cuts, next_cut, None)):
+            if best and first >= best[1]:
                 break
-    return found, windows
+            found = _stretch(text, first, stop)
+            if found and (best is None or found[0] - first > best[1] - best[0]):
+                best = (first, *found)
+                if found[0] == stop:
+                    break
+        if best is None:
+            return
+        yield best
+        at = best[1]
+
+
+def _wrapped(text: str) -> Iterator[tuple[int, int, Callable[[], Iterator[str]]]]:
+    """Base64 that is broken into lines of one length, whose last may be shorter, as mail and key files hold it."""
+    if "\n" not in text:
+        return
+    for m in _LINES.finditer(text):
+        lines = list(re.finditer(r"[^\r\n]+", m[0]))
+        size = len(lines[0][0])
+        full = next((k for k, x in enumerate(lines) if len(x[0]) != size), len(lines))
+        # a shorter line behind the full ones may be the last one or other text
+        for n in (full + 1, full):
+            if 1 < n <= len(lines) and len(lines[n - 1][0].rstrip("=")) <= size:
+                whole = "".join(x[0] for x in lines[:n])
+                found = _stretch(whole, 0, len(whole))
+                if found and found[0] == len(whole):
+                    yield m.start(), m.start() + lines[n - 1].end(), found[1]
+                    break
+
+
+def _base64(text: str) -> Iterator[tuple[int, int, Callable[[], Iterator[str]]]]:
+    """(start, end, texts) of all base64 stretches, in order."""
+    lines = list(_wrapped(text))
+    at = 0
+    for start, stop, texts in [*lines, (len(text), len(text), None)]:
+        for m in _BASE64.finditer(text, at, start):
+            yield from _run(text, m.start(), m.end())
+        if texts:
+            yield start, stop, texts
+        at = stop
 
 
 def decoded(layer: Layer) -> Iterator[Layer]:
-    """The layers that a layer decodes to."""
+    """The layers that a layer decodes to, one after the other."""
     text = layer.text
     if "%" in text and (found := _percent(text)):
         yield layer.replaced(found)
     if ("\\" in text or "&#" in text) and (found := _escapes(text)):
         yield layer.replaced(found)
-    found, windows = _base64(text)
+    found, large, room = [], [], WINDOW
+    for start, end, texts in _base64(text):
+        some = list(islice(texts(), 2))
+        if len(some) == 1 and len(some[0]) <= max(room, end - start):
+            found.append((start, end, some[0], 0))
+            room -= len(some[0])
+        elif some:
+            large.append((start, end, texts))
     if found:
         yield layer.replaced(found)
-    for start, end, window in windows:
-        yield Layer(window, layer, [(0, start, 0, end - start)])
+    del found
+    for start, end, texts in large:
+        for window in texts():
+            yield Layer(window, layer, [(0, start, 0, end - start)])
 
 
 def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int]:
-    """Base spans, all spans, and the number of layers of one document."""
+    """Base spans, all spans, and the number of layers of one document. The worklist goes in depth, so of a layer's windows one is held at a time."""
     if not text:
         return [], [], 0
     digest = lambda t: hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest()
     base = secrets(text)
-    found, seen, work, layers = set(base), {digest(text)}, [Layer(text)], 0
+    found, seen, layers = set(base), {digest(text)}, 1
+    work = [decoded(Layer(text))]
     while work:
-        layer = work.pop()
+        inner = next(work[-1], None)
+        if inner is None:
+            work.pop()
+            continue
+        # a window counts once for each place that it stands for
+        key = digest(inner.text) + (b"" if inner.runs[0][2] else b"%d" % inner.runs[0][1]) if len(inner.runs) == 1 else digest(inner.text)
+        if key in seen:
+            continue
+        seen.add(key)
         layers += 1
-        if layer.above is not None:
-            for a, kind, b in secrets(layer.text):
-                start, stop = layer.span(a, b)
-                found.add((start, kind, stop))
-        for inner in decoded(layer):
-            key = digest(inner.text)
-            if key not in seen:
-                seen.add(key)
-                work.append(inner)
+        for a, kind, b in secrets(inner.text):
+            start, stop = inner.span(a, b)
+            found.add((start, kind, stop))
+        work.append(decoded(inner))
     return base, sorted(found), layers
 
 
