@@ -67,7 +67,9 @@ class KeptIndex:
         return self._live("postings", f"term string, {self.key} {self.key_type}, tf long, length int, bucket int")
 
     def _write(self, words: DataFrame, segment: int) -> None:
-        dealt = words.withColumn("bucket", _bucket(F.col("term"))).repartition("bucket", F.pmod(F.xxhash64(self.key), F.lit(PARTS)))
+        # what is the same in all rows of a text stands together, so that the shuffle packs it well
+        rows = words.select(self.key, "length", "tf", "term").repartition(_bucket(F.col("term")), F.pmod(F.xxhash64(self.key), F.lit(PARTS)))
+        dealt = rows.withColumn("bucket", _bucket(F.col("term")))
         dealt.sortWithinPartitions("bucket", "term").write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{self.root}/postings/segment={segment}")
 
     def _commit(self, segment: int, docs: DataFrame, dead: DataFrame, before, since: int) -> int:
