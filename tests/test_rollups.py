@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracelake.operators import usage
+from tracelake.sources import transcripts
 from tracelake.streaming import ingest, rollups
 
 
@@ -76,3 +77,23 @@ def test_a_refresh_reads_the_touched_months_only(spark, tmp_path):
     assert [r.event_uuid for r in some.collect()] == ["a-1"]
     filters = [x.split("]", 1)[0] for x in some._jdf.queryExecution().toString().split("PartitionFilters: [")[1:]]
     assert any("month#" in x for x in filters)
+
+
+def test_one_session_with_its_subagents(spark, tmp_path):
+    folder = tmp_path / "-home-a b"
+    (folder / "s1" / "subagents").mkdir(parents=True)
+    usage_ = {"input_tokens": 3, "output_tokens": None, "cache_creation_input_tokens": 50, "cache_creation": {"ephemeral_5m_input_tokens": 7}}
+    say = lambda uuid, when, **more: json.dumps({"type": "assistant", "uuid": uuid, "sessionId": "s1", "timestamp": when, "message": {"role": "assistant", "content": [{"type": "text", "text": "x"}], "usage": usage_}} | more) + "\n"
+    snapshot = json.dumps({"type": "file-history-snapshot"}) + "\n"
+    (folder / "s1.jsonl").write_text(say("m2", "2025-11-17T09:00:02Z", message={"role": "user", "content": "hello"}) + say("m0", None) + snapshot + "not json\n" + say("m1", "2025-11-17T09:00:01Z") + json.dumps({"uuid": "typeless"}) + "\n")
+    (folder / "s1" / "subagents" / "agent-a-compact-53e7.jsonl").write_text(say("a1", "2025-11-17T09:00:02Z", isSidechain=True))
+    (folder / "s2.jsonl").write_text(say("other", "2025-11-17T09:00:00Z"))
+    (folder / "s1" / "deeper").mkdir()
+    (folder / "s1" / "deeper" / "x.jsonl").write_text(say("deeper", "2025-11-17T09:00:00Z"))
+    rows = transcripts.session_records(spark, str(tmp_path), "-home-a b", "s1").collect()
+    assert [r.event_uuid for r in rows] == ["m1", "m2", "a1", "m0"]
+    assert [(r.cache_creation_tokens, r.input_tokens, r.output_tokens) for r in rows] == [(7, 3, 0), (0, 0, 0), (7, 3, 0), (7, 3, 0)]
+    assert [r.agent_slug for r in rows] == [None, None, "a-compact", None] and rows[1].message_content == "hello" and json.loads(rows[0].message_content)[0]["text"] == "x"
+    assert [r.is_subagent_file for r in rows] == [False, False, True, False] and rows[2].is_sidechain
+    for project, session in (("-home-a b", "s9"), ("nobody", "s1")):
+        assert transcripts.session_records(spark, str(tmp_path), project, session).count() == 0

@@ -7,6 +7,7 @@ JSON objects are skipped, as are file-history snapshots.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -170,6 +171,49 @@ def project_paths(spark: SparkSession, root: str) -> DataFrame:
     return index.select(_path_columns(F.col("_metadata.file_path"), root)[0], F.col("entries")[0]["projectPath"].alias("project_path")).where(F.col("project_path").isNotNull())
 
 
+def session_records(spark: SparkSession, root: str, project_id: str, session_id: str) -> DataFrame:
+    """All records of one session, those of its main file and of its subagents' files, in time order, those without a time last.
+
+    This reader stands alone: blocks of one response are not merged, and ``cache_creation_tokens`` are those kept for five minutes.
+    Records without a type and file snapshots are left out; a session without files has no records.
+    """
+    name = F.element_at(F.split(F.url_decode("file_path"), "/"), -1)
+    below = F.url_decode("file_path")
+    main = (F.col("file_type") == "main_session") & (F.col("session_stem") == session_id)
+    sub = (F.col("file_type") == "subagent") & F.endswith(F.left(below, F.length(below) - F.length(name)), F.lit(f"/{project_id}/{session_id}/subagents/"))
+    try:
+        text = spark.read.text(f"{root.rstrip('/')}/{project_id}", wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.jsonl")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        text = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.jsonl").limit(0)
+    rows = lines_of(text, root).where((F.col("project_id") == project_id) & (main | sub)).where(F.coalesce(_get("$.type"), F.lit("")) != "").where(_get("$.type") != "file-history-snapshot")
+    content = F.try_variant_get("raw", "$.message.content", "variant")
+    is_sub = F.col("file_type") == "subagent"
+    slug = F.when(is_sub & F.startswith(name, F.lit("agent-")), F.regexp_replace(F.regexp_replace(name, r"^agent-|\.jsonl$", ""), "-[^-]*$", ""))
+    return rows.select(
+        _get("$.uuid").alias("event_uuid"),
+        _get("$.parentUuid").alias("parent_uuid"),
+        _get("$.type").alias("event_type"),
+        _get("$.timestamp").alias("timestamp_raw"),
+        F.try_to_timestamp(_get("$.timestamp")).alias("ts"),
+        _get("$.sessionId").alias("session_id"),
+        F.coalesce(_get("$.isSidechain", "boolean"), F.lit(False)).alias("is_sidechain"),
+        F.coalesce(_get("$.isMeta", "boolean"), F.lit(False)).alias("is_meta"),
+        slug.alias("agent_slug"),
+        _get("$.message.role").alias("role"),
+        F.when(F.startswith(F.schema_of_variant(content), F.lit("STRING")), _get("$.message.content")).otherwise(F.to_json(content)).alias("message_content"),
+        _get("$.message.model").alias("model_id"),
+        _count("input_tokens").alias("input_tokens"),
+        _count("output_tokens").alias("output_tokens"),
+        _count("cache_read_input_tokens").alias("cache_read_tokens"),
+        _count("cache_creation.ephemeral_5m_input_tokens").alias("cache_creation_tokens"),
+        "file_path",
+        "line_number",
+        is_sub.alias("is_subagent_file"),
+    ).orderBy(F.asc_nulls_last("ts"), "is_subagent_file", "file_path", "line_number")
+
+
 def raw_event(lines: DataFrame, events: DataFrame, project_id: str, session_id: str, event_uuid: str) -> DataFrame:
     """The raw line of one event, found by the file and line that the event comes from."""
     one = events.where((F.col("project_id") == project_id) & (F.col("session_id") == session_id) & (F.col("event_uuid") == event_uuid)).select("file_path", "line_number").orderBy("file_path", "line_number").limit(1)
