@@ -119,3 +119,19 @@ def test_a_search_reads_its_terms_buckets_only(spark, tmp_path):
     index.put(spark.createDataFrame([(1, "alpha beta"), (2, "gamma delta")], "doc long, body string"), "body")
     plan = index.bm25("alpha")._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
     assert "PartitionFilters" in plan and "bucket" in plan.split("PartitionFilters", 1)[1].split("PushedFilters", 1)[0]
+
+
+def test_excerpts_of_every_scope(spark):
+    from datetime import datetime
+
+    from tracelake.operators import claims
+
+    at = lambda day, hour: datetime(2025, 11, day, hour)
+    rows = [("p", "human", at(17, h), f"text {h}") for h in range(22)] + [("p", "human", at(24, 1), "next week"), ("p", "assistant_text", at(17, 23), "no"), ("p", "human", None, "no"), ("p", "human", at(17, 23), None), ("lost", "human", at(17, 23), "no"), ("q", "human", at(17, 21), "longer text 21")]
+    events = spark.createDataFrame(rows, "project_id string, msg_kind string, ts timestamp, message_content string")
+    scopes = spark.createDataFrame([("p", "a/b"), ("q", "a"), ("lost", None)], "project_id string, scope string")
+    got = {}
+    for r in claims.excerpts(claims.excerpt_candidates(events, scopes, "week")).orderBy("rank").collect():
+        got.setdefault((r.scope, r.bucket), []).append(r.text)
+    latest = [f"text {h}" for h in range(21, 0, -1)]
+    assert got == {("", "2025-11-17"): ["longer text 21", *latest][:20], ("a", "2025-11-17"): ["longer text 21", *latest][:20], ("a/b", "2025-11-17"): latest[:20], ("", "2025-11-24"): ["next week"], ("a", "2025-11-24"): ["next week"], ("a/b", "2025-11-24"): ["next week"]}

@@ -146,6 +146,16 @@ def lead_engine(text: str) -> str:
     return text[:400].rpartition(".")[0] + "." if "." in text[:400] else text[:400]
 
 
+def excerpt_candidates(events: DataFrame, scopes: DataFrame, grain: str) -> DataFrame:
+    """(scope, bucket, ts, text): what people said, for every scope that the project lies in and every bucket of a grain; projects without a scope and messages without a text or time are left out.
+
+    ``excerpts`` takes the first few of each group; Spark limits the groups before it shuffles them, so the root, which sees all, is no hot group.
+    """
+    said = events.where((F.col("msg_kind") == "human") & F.col("message_content").isNotNull() & F.col("ts").isNotNull())
+    placed = said.join(scopes.where(F.col("scope").isNotNull()).select("project_id", "scope"), "project_id")
+    return with_scopes(placed.select("scope", bucket(grain, F.col("ts")).alias("bucket"), "ts", F.col("message_content").alias("text")))
+
+
 def excerpts(candidates: DataFrame, most: int = EXCERPTS) -> DataFrame:
     """The latest, then longest, excerpts of each scope and bucket."""
     rank = F.row_number().over(W.partitionBy("scope", "bucket").orderBy(F.desc("ts"), F.desc(F.length("text")), F.desc("text")))

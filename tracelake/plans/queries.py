@@ -568,6 +568,14 @@ def session_models(spark, d):
     return e.where("msg_kind = 'human'").select("session_id", "model_id").unionByName(e.where("msg_kind = 'assistant_text'").select("session_id", "model_id")).distinct()
 
 
+@query("scope_excerpts", f"""WITH {_EV}, {_SCOPES}, c AS (SELECT scope, strftime(date_trunc('week', ev.ts), '%Y-%m-%d') AS bucket, ev.ts, events.props AS text FROM ev JOIN events ON event_id = event_key JOIN up USING (project_id) WHERE msg_kind = 'human')
+SELECT scope, bucket, text, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY scope, bucket ORDER BY ts DESC, length(text) DESC, text DESC) AS rank FROM c) WHERE rank <= 20""")
+def scope_excerpts(spark, d):
+    """The properties of the views as what people said, by scope and week."""
+    said = T.session_events(spark, d).join(T.table(spark, d, "events").select(F.col("event_id").alias("event_key"), F.col("props").alias("message_content")), "event_key")
+    return claims.excerpts(claims.excerpt_candidates(said, T.project_scopes(spark, d), "week")).select("scope", "bucket", "text", "rank")
+
+
 @query("scopes_touched", f"WITH {_EV}, {_SCOPES} SELECT DISTINCT project_id FROM up WHERE scope IN ('clients/g0', 'play')")
 def scopes_touched(spark, d):
     chain = T.project_scopes(spark, d).withColumn("chain", scalars.ancestors(F.col("scope")))

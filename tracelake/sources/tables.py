@@ -64,8 +64,8 @@ def event_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def project_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(project_id, scope): projects in a small hierarchy."""
-    ids = spark.range(10).select("id")
+    """(project_id, scope): the projects of the events in a small hierarchy."""
+    ids = table(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("id")).where("id IS NOT NULL").distinct()
     group = F.when(F.col("id") % 2 == 0, "clients").otherwise("play")
     return ids.select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("project_id"), F.concat_ws("/", group, F.concat(F.lit("g"), (F.col("id") % 3).cast("string")), F.concat(F.lit("p"), F.col("id").cast("string"))).alias("scope"))
 
