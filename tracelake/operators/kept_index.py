@@ -95,10 +95,13 @@ class KeptIndex:
         touched = rows.select(self.key) if removed is None else rows.select(self.key).unionByName(removed.select(F.col(self.key).cast(self.key_type).alias(self.key)))
         dead = self.docs().join(touched.distinct(), self.key, "left_semi")
         words = rows.select(self.key, "own", search.tokens(F.col("text")).alias("words"))
-        places = words.select(self.key, "own", F.size("words").alias("length"), F.explode("words").alias("term"))
+        # the empty term, which no query asks for, stands once for each text
+        terms = F.concat(F.coalesce("words", F.array().cast("array<string>")), F.array(F.lit("")))
+        places = words.select(self.key, "own", F.size("words").alias("length"), F.explode(terms).alias("term"))
         counts = places.groupBy(self.key, "own", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
         self._write(counts.select("term", self.key, "tf", "length"), segment)
-        lengths = rows.select(self.key, F.size(search.tokens(F.col("text"))).alias("length"))
+        written = self._read("postings", f"term string, {self.key} {self.key_type}, length int, segment int, bucket int")
+        lengths = written.where((F.col("segment") == segment) & (F.col("bucket") == _bucket_of("")) & (F.col("term") == ""))
         return self._commit(segment, lengths, dead, last, last.since if last else 0)
 
     def compact(self) -> int:
