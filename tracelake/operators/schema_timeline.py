@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,18 +12,23 @@ from tracelake.sources.scratch import settled
 
 
 def key_paths(records: DataFrame, raw: str = "raw") -> DataFrame:
-    """(…, path) of every object key of a variant column, however deep; array elements share their array's path with ``[]``."""
+    """(…, path) of the object keys of a variant column, however deep, once for each record; array elements share their array's path with ``[]``."""
     rest = [c for c in records.columns if c != raw]
-    level = records.select(*rest, F.lit("$").alias("path"), F.col(raw).alias("node"))
+    # the numbers of the records are written with them, so that they hold for every level
+    numbered = settled(records.withColumn("__record", F.monotonically_increasing_id()), "records")
+    kept = [*rest, "__record"]
+    level = numbered.select(*kept, F.lit("$").alias("path"), F.col(raw).alias("node"))
     found = None
     while True:
-        level.createOrReplaceTempView("__level")
-        step = level.sparkSession.sql(f"SELECT {', '.join(f't.{c}' for c in rest)}{',' if rest else ''} t.path AS above, e.key AS key, e.value AS node FROM __level t, LATERAL variant_explode(t.node) AS e")
-        level = settled(step.select(*rest, F.when(F.col("key").isNull(), F.concat("above", F.lit("[]"))).otherwise(F.concat_ws(".", "above", "key")).alias("path"), "node"), "paths")
-        keys = level.select(*rest, "path")
+        view = f"level_{uuid.uuid4().hex}"
+        level.createOrReplaceTempView(view)
+        step = level.sparkSession.sql(f"SELECT {', '.join(f't.`{c}`' for c in kept)}, t.path AS above, e.key AS key, e.value AS node FROM {view} t, LATERAL variant_explode(t.node) AS e")
+        level = settled(step.select(*kept, F.when(F.col("key").isNull(), F.concat("above", F.lit("[]"))).otherwise(F.concat_ws(".", "above", "key")).alias("path"), "node"), "paths")
+        level.sparkSession.catalog.dropTempView(view)
+        keys = level.select(*kept, "path")
         found = keys if found is None else found.unionByName(keys)
         if level.isEmpty():
-            return found.distinct() if "record" in rest else found
+            return found.distinct().select(*rest, "path")
 
 
 def schema_timeline(paths: DataFrame) -> DataFrame:
