@@ -1,4 +1,4 @@
-"""Parent links between events: descendants, breadth first, however deep."""
+"""Parent links between events: descendants, however deep, in few rounds."""
 
 from __future__ import annotations
 
@@ -9,16 +9,23 @@ from tracelake.sources.scratch import settled
 
 
 def descendants(links: DataFrame, roots: DataFrame) -> DataFrame:
-    """(root, node, depth) of all nodes below the roots in (parent, child) links; a node met before is not walked again, so cycles end."""
-    seen = front = roots.select(F.col("node").alias("root"), "node", F.lit(0).alias("depth"))
-    depth = 0
+    """(root, node, depth) of all nodes below the roots in (parent, child) links, by their shortest ways; cycles end.
+
+    Jumps over 1, 2, 4, ... links: a round joins what is reached with the jumps of its length and those with themselves, so a chain of n
+    links takes log n rounds. A round that reaches nothing new is the last, as each node's shortest way passes all depths before its own.
+    """
+    seen = settled(roots.select(F.col("node").alias("root"), "node", F.lit(0).alias("depth")).distinct(), "descendants")
+    jumps = settled(links.where("parent <> child").select("parent", "child").distinct(), "jumps")
+    length = 1
     while True:
-        depth += 1
-        step = front.join(links.select(F.col("parent").alias("node"), "child"), "node").select("root", F.col("child").alias("node"), F.lit(depth).alias("depth")).distinct()
-        front = settled(step.join(seen.select("root", "node"), ["root", "node"], "left_anti"), "descendants")
-        if front.isEmpty():
+        step = seen.join(jumps.withColumnRenamed("parent", "node"), "node").groupBy("root", F.col("child").alias("node")).agg((F.min("depth") + length).alias("depth"))
+        fresh = settled(step.join(seen.select("root", "node"), ["root", "node"], "left_anti"), "descendants")
+        if fresh.isEmpty():
             return seen
-        seen = seen.unionByName(front)
+        seen = seen.unionByName(fresh)
+        above, below = jumps.withColumnRenamed("child", "via"), jumps.withColumnRenamed("parent", "via")
+        jumps = settled(above.join(below, "via").select("parent", "child").distinct(), "jumps")
+        length *= 2
 
 
 def tree_below(spark, links_view: str, root: int) -> DataFrame:
