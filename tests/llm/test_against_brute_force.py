@@ -204,7 +204,7 @@ def test_mixing(spark, tmp_path):
 
 
 def test_mix_shards(spark, tmp_path, monkeypatch):
-    """Shards of equal size, source counts like multinomial draws, exact sums, the blocks' words, and what documents lose to them."""
+    """Shards of equal size, source counts like multinomial draws, sums near the targets, the blocks' words, and what documents lose to them."""
     monkeypatch.setattr(mixing, "SHARD_SLOTS", 100)
     monkeypatch.setattr(mixing, "BLOCK_WORDS", 4)
     monkeypatch.setattr(mixing, "GROUP", 3)
@@ -221,7 +221,8 @@ def test_mix_shards(spark, tmp_path, monkeypatch):
         by_shard.setdefault(r.shard, []).append(r.source)
     assert sorted(by_shard) == list(range(-(-total // 100)))
     assert all(len(v) == min(100, total - 100 * k) for k, v in by_shard.items())
-    assert {s: sum(v.count(s) for v in by_shard.values()) for s in n} == n
+    sums = {s: sum(v.count(s) for v in by_shard.values()) for s in n}
+    assert sum(sums.values()) == total and all(abs(sums[s] - n[s]) <= 0.01 * n[s] for s in n)
     full = [v for v in by_shard.values() if len(v) == 100]
     chi = sum((v.count(s) - 100 * n[s] / total) ** 2 / (100 * n[s] / total) for v in full for s in n)
     freedom = len(full) * (len(n) - 1)
@@ -241,6 +242,46 @@ def test_mix_shards(spark, tmp_path, monkeypatch):
     assert {r.doc_id: r.taken for r in mixing.mix_counts(df).collect()} == per_doc
 
 
+def test_draws_decide_the_mix(spark, monkeypatch):
+    """Another draw is another mix, whose sources still come near their targets; within the tolerance a source gets just what it was drawn."""
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 2)
+    rng = random.Random(14)
+    df = spark.createDataFrame([(i, sentence(rng, rng.randrange(1, 90)), rng.choice("aaabcd")) for i in range(900)], "doc_id long, text string, source string")
+    draw, taken = mixing.draw_counts, []
+    for seed in (1, 2):
+        monkeypatch.setattr(mixing, "draw_counts", lambda targets, seed=seed: draw(targets, seed))
+        rows = mixing.mix_counts(df).withColumnRenamed("size", "words").collect()
+        assert all(0 <= r.taken <= 2 * r.words for r in rows)
+        taken.append({r.doc_id: r.taken for r in rows})
+        by_target = {}
+        for r in rows:
+            by_target[r.target] = by_target.get(r.target, 0) + r.taken
+        assert all(abs(n - t) <= 0.012 * t + 2 for t, n in by_target.items())
+    assert taken[0].keys() == taken[1].keys() and sum(taken[0][i] != taken[1][i] for i in taken[0]) > 20
+
+
+def test_settled_draws(spark):
+    """Bounds hold, the sum stays, and draws within their bounds are left alone where all are."""
+    rng = random.Random(15)
+    for near in (0.0, 0.02, 0.5):
+        slots = [rng.randrange(0, 400) for _ in range(9)]
+        blocks = [max(-(-n // 2), rng.randrange(n // 2, n + 1)) for n in slots]
+        for spread in (0.01, 0.4):
+            drawn = [max(0, n + round(n * rng.uniform(-spread, spread))) for n in slots]
+            drawn[0] += sum(slots) - sum(drawn)
+            drawn[0], drawn[1] = max(0, drawn[0]), drawn[1] + min(0, drawn[0])
+            if drawn[1] < 0:
+                continue
+            sums = spark.createDataFrame([(k, *r) for k, r in enumerate(zip(slots, blocks, drawn, strict=True))], "sid long, slots long, blocks long, drawn long")
+            mixed = [r.mixed for r in mixing.settled_draws(sums, near).orderBy("sid").collect()]
+            low = [n - int(n * near) for n in slots]
+            high = [min(n + int(n * near), 2 * b) for n, b in zip(slots, blocks, strict=True)]
+            assert sum(mixed) == sum(drawn)
+            assert all(a <= m <= b for a, m, b in zip(low, mixed, high, strict=True))
+            if all(a <= d <= b for a, d, b in zip(low, drawn, high, strict=True)):
+                assert mixed == drawn
+
+
 def test_mix_of_repeated_and_missing_ids(spark):
     rows = [(1, "a b c", "s"), (1, "a b c", "s"), (1, "d e", "s"), (None, "f g h i", "s"), (None, None, None), (2, "", "t")] + [(10 + i, "u v w x y z", "t") for i in range(20)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")

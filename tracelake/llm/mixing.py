@@ -2,10 +2,11 @@
 
 Each source's documents are laid end to end in a pseudorandom order and cut into blocks of a fixed
 number of words. The mix is a row of output shards of ``SHARD_SLOTS`` block slots each. For every shard the
-counts of its sources are a multinomial draw: each slot draws a source by the targets' shares. Over all
-shards the draws miss the targets by about the root of the slots; what a source was drawn too often is taken
-from its draws at even distances and goes, in the same shards, to the sources drawn too rarely, so every
-source gets its number of slots exactly. Running sums over the shards then number a source's slots. Slot j of a source
+counts of its sources are a multinomial draw: each slot draws a source by the targets' shares. The draws of all
+shards decide how many slots a source gets, as long as that is within ``NEAR`` of its target and within two
+passes over it. Over all shards draws miss the targets by about the root of the slots, so sources of many slots
+keep theirs; what a small source was drawn too often beyond that is taken from its draws at even distances and goes, in
+the same shards, to the sources drawn too rarely. Running sums over the shards then number a source's slots. Slot j of a source
 takes the block that a pseudorandom permutation of the source's block numbers (one permutation for
 each pass over the source) maps it to; slots and blocks then join by block number. As no slot count
 exceeds two passes, no word is taken more than twice.
@@ -36,7 +37,9 @@ SHARE = 1.5
 REPEATS = 2
 BLOCK_WORDS = 128
 #: Blocks that a source is cut into at least, where it has the words.
-LEAST_BLOCKS = 64
+LEAST_BLOCKS = 1024
+#: Share of a source's slots by which the draws may miss its target.
+NEAR = 0.01
 SHARD_SLOTS = 4096
 #: Shards that one task draws and permutes, about.
 SHARDS_A_TASK = 8
@@ -84,7 +87,7 @@ def permuted(x: Column, n: Column, *key: Column, rounds: int = ROUNDS, seed: int
     return F.aggregate(F.array(*(F.lit(r) for r in range(rounds))), x, swap)
 
 
-def draw_counts(targets: DataFrame) -> DataFrame:
+def draw_counts(targets: DataFrame, seed: int = SEED) -> DataFrame:
     """(shard, sid, n): a multinomial draw of source counts for each output shard."""
     spark = targets.sparkSession
     total = targets.agg(F.sum("slots")).first()[0] or 0
@@ -96,7 +99,7 @@ def draw_counts(targets: DataFrame) -> DataFrame:
     bins = ranges.withColumn("bin", F.explode(F.sequence(part(F.col("low")), part(F.col("high") - 1))))
     runs = spark.range(0, shards, 1, max(1, min(8192, -(-shards // SHARDS_A_TASK)))).withColumnRenamed("id", "shard")
     slots = runs.withColumn("slot", F.explode(F.sequence(F.col("shard") * SHARD_SLOTS, F.least((F.col("shard") + 1) * SHARD_SLOTS, F.lit(total)) - 1)))
-    drawn = slots.select("shard", F.pmod(F.xxhash64(F.lit(SEED + 2), "slot"), F.lit(max(1, total))).alias("at"))
+    drawn = slots.select("shard", F.pmod(F.xxhash64(F.lit(seed + 2), "slot"), F.lit(max(1, total))).alias("at"))
     met = drawn.withColumn("bin", part(F.col("at"))).join(bins, "bin").where("at >= low and at < high")
     return met.groupBy("shard", "sid").agg(F.count(F.lit(1)).alias("n"))
 
@@ -111,13 +114,28 @@ def _numbered(counts: DataFrame) -> DataFrame:
     return local.join(offsets, ["sid", "group"]).select("shard", "sid", "n", (F.col("start") + F.col("offset")).alias("start"))
 
 
+def settled_draws(sums: DataFrame, near: float = NEAR) -> DataFrame:
+    """(sid, drawn, mixed) from (sid, slots, blocks, drawn): the slots that each source gets, as many in all as were drawn.
+
+    A source gets what it was drawn, but no more and no fewer than ``near`` of its slots allow, and no more than two passes; what
+    that leaves over or short is made up in order of the sources that have room.
+    """
+    order, whole = W.orderBy("sid").rowsBetween(W.unboundedPreceding, -1), W.partitionBy()
+    room = F.floor(F.col("slots") * near).cast("long")
+    bounds = sums.withColumn("low", F.col("slots") - room).withColumn("high", F.least(F.col("slots") + room, F.col("blocks") * REPEATS))
+    held = bounds.withColumn("held", F.greatest("low", F.least("high", "drawn"))).withColumn("up", F.col("high") - F.col("held")).withColumn("down", F.col("held") - F.col("low"))
+    short = held.withColumn("short", F.sum(F.col("drawn") - F.col("held")).over(whole)).withColumn("ups", F.coalesce(F.sum("up").over(order), F.lit(0))).withColumn("downs", F.coalesce(F.sum("down").over(order), F.lit(0)))
+    share = lambda amount, room, before: F.greatest(F.lit(0), F.least(F.col(room), amount - F.col(before)))
+    return short.select("sid", "drawn", (F.col("held") + share(F.col("short"), "up", "ups") - share(-F.col("short"), "down", "downs")).alias("mixed"))
+
+
 def shard_counts(targets: DataFrame) -> DataFrame:
-    """(shard, sid, n, start): the source counts of each output shard, each source's sum being its slots; ``start`` numbers them over the shards."""
+    """(shard, sid, n, start): the source counts of each output shard, drawn, each source's sum near its slots; ``start`` numbers them over the shards."""
     drawn = written(draw_counts(targets), "mix-drawn")
-    sums = targets.join(drawn.groupBy("sid").agg(F.sum("n").alias("drawn")), "sid", "left").select("sid", "slots", F.coalesce("drawn", F.lit(0)).alias("drawn"))
+    sums = targets.join(drawn.groupBy("sid").agg(F.sum("n").alias("drawn")), "sid", "left").select("sid", "slots", "blocks", F.coalesce("drawn", F.lit(0)).alias("drawn"))
     order = W.orderBy("sid").rowsBetween(W.unboundedPreceding, -1)
-    over, under = F.greatest(F.lit(0), F.col("drawn") - F.col("slots")), F.greatest(F.lit(0), F.col("slots") - F.col("drawn"))
-    plan = sums.withColumn("over", over).withColumn("under", under).withColumn("over_at", F.coalesce(F.sum("over").over(order), F.lit(0))).withColumn("under_at", F.coalesce(F.sum("under").over(order), F.lit(0)))
+    over, under = F.greatest(F.lit(0), F.col("drawn") - F.col("mixed")), F.greatest(F.lit(0), F.col("mixed") - F.col("drawn"))
+    plan = settled_draws(sums).withColumn("over", over).withColumn("under", under).withColumn("over_at", F.coalesce(F.sum("over").over(order), F.lit(0))).withColumn("under_at", F.coalesce(F.sum("under").over(order), F.lit(0)))
     plan = written(plan, "mix-fit")  # one row a source
     fitted = _numbered(drawn).join(plan.select("sid", "drawn", "over", "over_at"), "sid")
     gone = lambda x: F.floor(x * F.col("over") / F.col("drawn")).cast("long")
