@@ -15,7 +15,7 @@ from tracelake.operators.kept_index import KeptIndex
 from tracelake.sources import sinks
 from tracelake.sources import tables as T
 from tracelake.sources.scratch import scratch_path
-from tracelake.streaming import stages
+from tracelake.streaming import migrations, stages
 
 #: The moment that look-backs count from: the tables are of January 2024.
 NOW = datetime(2024, 1, 28, 12)
@@ -688,6 +688,45 @@ def staged_progress(spark, d):
     return store.progress().join(rows, "stage")
 
 
+#: Keys of the copies of events in a mirrored folder come after those of the first.
+_MIRROR = 10_000_000_000
+
+
+def _copied_lake(spark, d) -> dict[str, DataFrame]:
+    """The events, their edges, files and chunks, a third of them read again from a mirror; every eleventh event has no uuid."""
+    uuid = lambda key: F.when(F.col(key) % 11 != 0, F.concat(F.lit("u"), F.col(key).cast("string")))
+    first = T.session_events(spark, d).withColumn("event_uuid", uuid("event_key")).withColumn("source_file", F.concat_ws("/", "project_id", "session_id"))
+    again = first.where("user_id % 3 = 0").withColumn("event_key", F.col("event_key") + _MIRROR).withColumn("source_file", F.concat(F.lit("mirror/"), F.col("source_file")))
+    links = T.event_links(spark, d)
+    edge = first.join(links.select(F.col("child").alias("event_key"), "parent"), "event_key")
+    edges = edge.select(F.col("event_key").alias("edge_key"), "project_id", "session_id", "event_uuid", uuid("parent").alias("parent_uuid"), "source_file", "user_id")
+    copied = edges.where("user_id % 3 = 0").withColumn("edge_key", F.col("edge_key") + _MIRROR).withColumn("source_file", F.concat(F.lit("mirror/"), F.col("source_file")))
+    events = first.unionByName(again)
+    chunks = events.where("msg_kind = 'human'").select(F.col("event_key").alias("chunk_key"), "event_key")
+    return {"events": events, "chunks": chunks, "edges": edges.unionByName(copied).drop("user_id"), "files": events.select("source_file").distinct(), "chunk_logs": chunks.select("chunk_key")}
+
+
+@query("dedupe_migration", f"""WITH {_EV}, e AS (SELECT *, event_key % 11 <> 0 AS named, user_id % 3 = 0 AS twice FROM ev),
+l AS (SELECT project_id, session_id, twice, CASE WHEN event_key % 11 <> 0 THEN event_key END AS u, CASE WHEN (event_key - event_key % 16 + (event_key % 16 - 1) // 2) % 11 <> 0 THEN event_key - event_key % 16 + (event_key % 16 - 1) // 2 END AS p
+  FROM e WHERE event_key % 16 > 0 AND event_key - event_key % 16 + (event_key % 16 - 1) // 2 IS NOT NULL)
+SELECT 'events' AS "table", count(*) + count(*) FILTER (twice) AS rows_before, count(*) FILTER (twice AND named) AS rows_deleted FROM e
+UNION ALL SELECT 'cube events', count(*) + count(*) FILTER (twice), count(*) FILTER (twice AND named) FROM e
+UNION ALL SELECT t, count(*) + count(*) FILTER (twice), count(*) FILTER (twice AND named) FROM e, (VALUES ('chunks'), ('chunk_logs')) v(t) WHERE msg_kind = 'human' GROUP BY 1
+UNION ALL SELECT 'edges', count(*) + count(*) FILTER (twice), count(*) + count(*) FILTER (twice) - (SELECT count(*) FROM (SELECT DISTINCT project_id, session_id, u, p FROM l)) FROM l
+UNION ALL SELECT 'files', count(DISTINCT session_id) + count(DISTINCT session_id) FILTER (twice), count(DISTINCT session_id) FILTER (twice) - count(DISTINCT session_id) FILTER (twice AND NOT named) FROM e""")
+def dedupe_migration(spark, d):
+    """A lake with copies is pruned once; what the cube counts before and after shows that the roll-ups follow."""
+    root = scratch_path(spark, "lake")
+    tables = _copied_lake(spark, d)
+    migrations.save(tables, root)
+    counts = migrations.drop_repeats(spark, root, list(tables)).where(~F.col("table").isin("cube", "sessions"))
+    in_cube = lambda cube: cube.where("granularity = 'month'").agg(F.coalesce(F.sum("n_events"), F.lit(0)).cast("long").alias("n"))
+    before, after = in_cube(usage.cube(spark.read.parquet(f"{root}/{migrations.BASE}/events"))), in_cube(migrations.present(spark, root, "cube"))
+    # one row each
+    cube = before.withColumnRenamed("n", "rows_before").join(F.broadcast(after), how="cross").select(F.lit("cube events").alias("table"), "rows_before", (F.col("rows_before") - F.col("n")).alias("rows_deleted"))
+    return counts.unionByName(cube)
+
+
 @query(
     "claim_buckets",
     f"""WITH {_ROLLUP}
