@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import scalars
 from tracelake.functions.filters import filtered, of_project, since, sort_columns
-from tracelake.operators import calls, claim_clusters, claims, graph, incremental, kg_payload, neighbours, readers, schema_timeline, search, summaries, text_metrics, timing, trees, usage
+from tracelake.operators import calls, claim_clusters, claims, graph, grid, incremental, kg_payload, neighbours, readers, schema_timeline, search, summaries, text_metrics, timing, trees, usage
 from tracelake.operators.kept_index import KeptIndex
 from tracelake.sources import sinks
 from tracelake.sources import tables as T
@@ -635,6 +635,25 @@ def scope_summaries(spark, d):
     return summaries.roll_up(rows, "strict", claims.lead_engine).select("scope", "bucket", "child_count", "source_hash")
 
 
+def _brief(text: str) -> str:
+    """A second stand-in for a summary model: the first words."""
+    return " ".join(text.split(None, 40)[:40])
+
+
+@query("evaluation_grid")
+def evaluation_grid(spark, d):
+    """Two models by three strategies by two grains over all conversations, scored up to the projects' groups, ranked."""
+    events = _conversation_events(spark, d).withColumn("ts", F.timestamp_seconds(F.col("session_id").cast("long") % 60 * 86400 + F.unix_seconds("ts")))
+    # a scope for each hundred conversations, which bounds the texts below one
+    hundreds = F.concat(F.lit("c"), F.floor(F.col("session_id").cast("long") / 100).cast("string"))
+    events = events.withColumn("project_id", hundreds)
+    scopes = events.select("project_id").distinct().withColumn("scope", F.concat_ws("/", F.lit("talk"), "project_id"))
+    target = scratch_path(spark, "grid")
+    models = {"lead": grid.Model(2, claims.lead_engine), "brief": grid.Model(1, _brief)}
+    grid.run_grid(events, scopes, target, models, grains=("week", "month"), least_depth=2)
+    return grid.ranked(spark, target).select("permutation_id", "status", "n_failed", "rollup_rows", "n_sessions_scored", "n_rollups_scored", "source_sessions", "source_tokens", F.round("combined", 6).alias("combined"))
+
+
 def _conversation_events(spark, d):
     c = T.table(spark, d, "conversations")
     return c.select(F.concat(F.lit("p"), (F.col("conv_id") % 10).cast("string")).alias("project_id"), F.col("conv_id").cast("string").alias("session_id"), F.timestamp_seconds("turn").alias("ts"), F.col("turn").alias("event_key"), F.when(F.col("role") == "user", "human").otherwise("other").alias("msg_kind"), F.col("text").alias("message_content"))
