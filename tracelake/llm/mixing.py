@@ -87,17 +87,25 @@ def permuted(x: Column, n: Column, *key: Column, rounds: int = ROUNDS, seed: int
     return F.aggregate(F.array(*(F.lit(r) for r in range(rounds))), x, swap)
 
 
+def _slots_of(targets: DataFrame) -> int:
+    return targets.agg(F.sum("slots")).first()[0] or 0
+
+
+def _shard_tasks(shards: int) -> int:
+    return max(1, min(8192, -(-shards // SHARDS_A_TASK)))
+
+
 def draw_counts(targets: DataFrame, seed: int = SEED) -> DataFrame:
     """(shard, sid, n): a multinomial draw of source counts for each output shard."""
     spark = targets.sparkSession
-    total = targets.agg(F.sum("slots")).first()[0] or 0
+    total = _slots_of(targets)
     shards = -(-total // SHARD_SLOTS)
     before = F.coalesce(F.sum("slots").over(W.orderBy("sid").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     # the slots of all sources in a row are the interval that is drawn from; a source lies in some of its bins
     ranges = targets.where(F.col("slots") > 0).select("sid", before.alias("low"), (before + F.col("slots")).alias("high"))
     part = lambda x: F.floor(x * BINS / max(1, total)).cast("long")
     bins = ranges.withColumn("bin", F.explode(F.sequence(part(F.col("low")), part(F.col("high") - 1))))
-    runs = spark.range(0, shards, 1, max(1, min(8192, -(-shards // SHARDS_A_TASK)))).withColumnRenamed("id", "shard")
+    runs = spark.range(0, shards, 1, _shard_tasks(shards)).withColumnRenamed("id", "shard")
     slots = runs.withColumn("slot", F.explode(F.sequence(F.col("shard") * SHARD_SLOTS, F.least((F.col("shard") + 1) * SHARD_SLOTS, F.lit(total)) - 1)))
     drawn = slots.select("shard", F.pmod(F.xxhash64(F.lit(seed + 2), "slot"), F.lit(max(1, total))).alias("at"))
     met = drawn.withColumn("bin", part(F.col("at"))).join(bins, "bin").where("at >= low and at < high")
@@ -151,6 +159,8 @@ def shard_counts(targets: DataFrame) -> DataFrame:
 def draw_slots(targets: DataFrame) -> DataFrame:
     """All slots of the mix: (shard, sid, slot, block)."""
     counts = shard_counts(targets).join(targets.select("sid", "blocks"), "sid")
+    # a row of counts is few bytes but becomes thousands of slots, so rows are dealt by number, not by bytes
+    counts = counts.repartition(_shard_tasks(-(-_slots_of(targets) // SHARD_SLOTS)), "shard")
     slots = counts.withColumn("slot", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)))
     block = permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), F.col("sid"), F.floor(F.col("slot") / F.col("blocks")))
     return slots.select("shard", "sid", "slot", block.alias("block"))
