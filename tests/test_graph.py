@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 from collections import deque
 
 import numpy as np
@@ -60,6 +61,27 @@ def test_betweenness_of_random_graphs(spark, path_rows):
     assert {k: pytest.approx(v) for k, v in node.items()} == {k[0]: v for k, v in got.items() if k[1] is None}
 
 
+def test_betweenness_by_held_edges_and_by_joins(spark, monkeypatch):
+    """Both ways score a random graph, a long chain and a hub alike; tasks and batches of sources are cut small."""
+    monkeypatch.setattr(graph, "SOURCE_TASKS", 5)
+    monkeypatch.setattr(graph, "STATE", 200)
+    rng = random.Random(4)
+    pairs = [(f"n{rng.randrange(20):02d}", f"n{rng.randrange(20):02d}") for _ in range(40)] + [(f"x{k}", f"x{k + 1}") for k in range(5)] + [("hub", f"h{k}") for k in range(9)] + [("hub", "x3")]
+    edge, node = path_shares(pairs)
+    for held in (0, 1 << 20):
+        got = {(r.src, r.dst): r.score for r in graph.betweenness(frame(spark, pairs), held_edges=held).collect()}
+        assert {k: pytest.approx(v) for k, v in edge.items()} == {k: v for k, v in got.items() if k[1] is not None}
+        assert {k: pytest.approx(v) for k, v in node.items()} == {k[0]: v for k, v in got.items() if k[1] is None}
+
+
+def test_betweenness_of_a_thousand_customers_is_quick(spark):
+    """Nodes times edges, some ten million path steps, are no rows of Spark."""
+    pairs = [(f"c{k}", f"c{(k * 7 + j) % 1000}") for k in range(1000) for j in range(5)]
+    began = time.time()
+    got = graph.betweenness(frame(spark, pairs)).where("dst IS NULL").count()
+    assert got == 1000 and time.time() - began < 30
+
+
 def modularity(pairs, label):
     near = adjacency(pairs)
     mass = sum(map(len, near.values()))
