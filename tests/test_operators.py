@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import datetime
 import itertools
 import random
 
@@ -173,3 +174,20 @@ def test_replacement_and_latency(spark):
     calls = spark.createDataFrame([("e", float(k)) for k in range(1, 101)], "endpoint string, ms double")
     r = incremental.latency_table(calls, "endpoint", "ms").first()
     assert (r.p50, r.p95, r.p99, r.max_ms) == (51, 96, 100, 100)
+
+
+def test_refreshed_cube_shuffles_no_events_by_month(spark):
+    """Events of a month are not gathered by it: buckets of time go to the rows."""
+    from tracelake.operators import usage
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        rows = [(datetime.datetime(2025, 1 + k % 3, 1 + k % 28, k % 24), "p", f"s{k % 5}", "m", k, 1, 1, 1, 0.5) for k in range(300)]
+        events = spark.createDataFrame(rows, "ts timestamp, project_id string, session_id string, model_id string, input_tokens long, output_tokens long, cache_read_tokens long, cache_creation_tokens long, cost_usd double")
+        late = F.col("ts") >= "2025-03-05"
+        got = usage.refreshed_cube(usage.cube(events.where(~late)), events, events.where(late))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, usage.cube(events).collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
