@@ -191,3 +191,19 @@ def test_refreshed_cube_shuffles_no_events_by_month(spark):
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, usage.cube(events).collect()))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_embedder_gets_few_texts_at_once(spark):
+    """A batch of Arrow rows is not embedded at once."""
+    from tracelake.operators import search
+
+    texts = spark.range(3000).coalesce(1).select("id", F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+
+    def counting(batch):
+        assert len(batch) <= 256
+        return search.hashing_embedder(batch, 8)
+
+    got = {r.id: list(r.embedding) for r in search.embed(texts, "id", "text", counting).collect()}
+    want = search.hashing_embedder([f"text {k}" for k in range(3000)], 8)
+    assert len(got) == 3000 and all(got[k] == want[k].tolist() for k in range(3000))
+    assert search.embed(texts.limit(0), "id", "text").count() == 0

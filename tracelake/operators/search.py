@@ -14,6 +14,8 @@ from tracelake.functions.filters import clamp_limit
 CHUNK_MOST, CHUNK_LEAST = 1200, 100
 K1, B = 1.2, 0.75
 EMBED_CHARS, EMBED_SIZE = 1500, 768
+#: Texts that an embedder gets at once; their vectors stay numpy arrays.
+EMBED_ROWS = 256
 
 
 def tokens(text: Column) -> Column:
@@ -159,11 +161,15 @@ def letter_embedder(texts: list[str | None], size: int = 256) -> list[np.ndarray
 
 
 def embed(texts: DataFrame, key: str, text: str, embedder=hashing_embedder) -> DataFrame:
-    """(key, embedding) by a pluggable embedder, Arrow batch by batch."""
+    """(key, embedding) by a pluggable embedder, ``EMBED_ROWS`` texts at a time."""
     kind = texts.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.tolist() for v in embedder(batch.column(1).to_pylist())], pa.list_(pa.float32()))], [key, "embedding"])
+            for low in range(0, batch.num_rows, EMBED_ROWS):
+                part = batch.slice(low, EMBED_ROWS)
+                found = [np.asarray(v, np.float32) for v in embedder(part.column(1).to_pylist())]
+                ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))], [key, "embedding"])
 
     return texts.select(key, text).mapInArrow(run, f"{key} {kind}, embedding array<float>")
