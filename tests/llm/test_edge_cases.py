@@ -37,3 +37,26 @@ def test_reruns_agree(spark, mixed):
     for name in ("op6_source_mixing", "op4_language_id", "op5_toxicity"):
         one, two = (sorted(map(tuple, queries()[name](spark, folder).collect()), key=repr) for _ in range(2))
         assert one == two
+
+
+def test_components_of_few_and_of_many_links(spark, monkeypatch):
+    """Links that one task holds are joined there, in few jobs; more go on by stars, with the same result."""
+    import random
+
+    from tracelake.llm import neardup
+
+    rng = random.Random(2)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(140)] + [(k, k + 1) for k in range(1000, 1060)] + [(5, 5)]
+    root = {x: x for pair in links for x in pair if pair[0] != pair[1]}
+    for _ in range(len(root)):
+        for a, b in links:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    rows = spark.createDataFrame(links, "a long, b long")
+    kept = []
+    write = neardup.written
+    monkeypatch.setattr(neardup, "written", lambda df, name: kept.append(name) or write(df, name))
+    assert {r.node: r.component for r in neardup.connected_components(rows).collect()} == root
+    assert len(kept) == 1
+    monkeypatch.setattr(neardup, "JOINED", 50)
+    assert {r.node: r.component for r in neardup.connected_components(rows).collect()} == root and len(kept) > 3

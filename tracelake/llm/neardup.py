@@ -59,6 +59,8 @@ GATHERED = 1 << 16
 #: share of links among the last leaders' pairs than this, no other round of leaders is worth its while.
 FEW_PAIRS = 8
 LEAST_YIELD = 1 / 16
+#: Links that one task joins at once (16 bytes each); what more of them leave goes on by stars.
+JOINED = 1 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -202,10 +204,55 @@ def _intersected(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.mapInArrow(freeing(run), "a long, b long")
 
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For (a, b) links what connects the same, ``JOINED`` of them at a time: each node with the least one that it reaches among them."""
+    held, size = [], 0
+    for batch in batches:
+        for low in range(0, batch.num_rows, JOINED):
+            part = batch.slice(low, JOINED)
+            if size + part.num_rows > JOINED:
+                yield _stars(held)
+                held, size = [], 0
+            held.append(np.stack([part.column(0).to_numpy(), part.column(1).to_numpy()], axis=1))
+            size += part.num_rows
+    if size:
+        yield _stars(held)
+
+
+def _stars(held: list[np.ndarray]) -> pa.RecordBatch:
+    links = np.concatenate(held)
+    nodes, at = np.unique(links, return_inverse=True)
+    a, b = at.reshape(links.shape).T
+    least = np.arange(len(nodes))
+    while True:
+        # hook the roots of linked nodes to the lesser one, then halve paths until all point at roots
+        before = least.copy()
+        low = np.minimum(least[a], least[b])
+        np.minimum.at(least, least[a], low)
+        np.minimum.at(least, least[b], low)
+        while (least[least] != least).any():
+            least = least[least]
+        if (least == before).all():
+            break
+    moved = np.flatnonzero(least != np.arange(len(nodes)))
+    return pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[least[moved]])], ["u", "v"])
+
+
 def connected_components(links: DataFrame) -> DataFrame:
-    """(node, component) of every node with a link; the component is its least node. Stars are moved to smaller hubs until none moves."""
+    """(node, component) of every node with a link (a, b), which should be written rows; the component is its least node. Tasks join what
+    they hold; if one task doesn't hold all, stars are moved to smaller hubs until none moves."""
+    pairs = links.select("a", "b").where("a <> b")
+    tasks = -(-pairs.count() // JOINED)
+    edges = written(pairs.coalesce(max(1, tasks)).mapInArrow(freeing(_forest), "u long, v long"), "edges")
+    if tasks > 1:
+        edges = _by_stars(edges)
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def _by_stars(edges: DataFrame) -> DataFrame:
+    """(u, v) edges from each node to its component's least node, from edges with u > v that connect the same."""
     summed = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    edges = edges.distinct()
     now, before = summed(edges), None
     while now[0] and now != before:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -215,7 +262,7 @@ def connected_components(links: DataFrame) -> DataFrame:
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("hub").alias("v")), F.struct(F.col("v").alias("u"), F.col("hub").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         edges = written(small, "edges")
         before, now = now, summed(edges)
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    return edges
 
 
 def _leaders(members: DataFrame, round_: int) -> DataFrame:
@@ -374,7 +421,7 @@ def link_components(docs: DataFrame, sketched: DataFrame, *, percent: int = PERC
     side = lambda df, k, *cols: df.select(F.col("doc_id").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in cols))
 
     n_candidates, alike = candidates.count(), 1.0
-    components = connected_components(_torn(filled, classes))
+    components = connected_components(written(_torn(filled, classes), "torn"))
     for round_ in range(LEADER_ROUNDS + 1):
         across = 0
         if round_:
