@@ -114,6 +114,24 @@ def test_kept_index_equals_the_scan_after_edits(spark, tmp_path):
     assert [r.doc for r in hit] == [r.doc for r in index.bm25("w1 the", limit=3).collect()] and all("<mark>" in r.snippet for r in hit)
 
 
+def test_tasks_of_the_index_grow_with_the_texts(spark, tmp_path, monkeypatch):
+    """However few shuffle partitions are set, no task counts or sorts more than about so many words."""
+    from tracelake.operators import kept_index
+
+    monkeypatch.setattr(kept_index, "TASK_WORDS", 50, raising=False)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 1)
+    try:
+        texts = spark.createDataFrame([(k, f"alpha beta w{k % 7} " * 3) for k in range(100)], "doc long, body string")
+        index = KeptIndex(spark, str(tmp_path / "index"), "doc")
+        for segment in (index.put(texts, "body"), index.compact()):
+            files = list((tmp_path / "index" / "postings" / f"segment={segment}" / f"bucket={kept_index._bucket_of('')}").glob("*.parquet"))
+            assert len(files) > 3
+        assert index.bm25("alpha w3", limit=5).collect() == search.bm25(texts, "alpha w3", "doc", "body", limit=5).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_a_search_reads_its_terms_buckets_only(spark, tmp_path):
     index = KeptIndex(spark, str(tmp_path / "index"), "doc")
     index.put(spark.createDataFrame([(1, "alpha beta"), (2, "gamma delta")], "doc long, body string"), "body")

@@ -22,6 +22,8 @@ from tracelake.operators import search
 
 #: Buckets of terms, and parts into which the rows of one bucket are dealt when they are written.
 BUCKETS, PARTS = 64, 8
+#: Words that a task counts or sorts, about; tasks and parts grow with the texts, what one task holds does not.
+TASK_WORDS = 1 << 20
 _TOTALS = "n_texts long, n_lengths long, total_length long, since int"
 
 
@@ -33,6 +35,10 @@ def _bucket_of(term: str) -> int:
     return zlib.crc32(term.encode()) % BUCKETS
 
 
+def _tasks(n_words: int) -> int:
+    return max(1, -(-n_words // TASK_WORDS))
+
+
 class KeptIndex:
     """An index under one folder that driver and executors share, for keys of one type."""
 
@@ -66,9 +72,10 @@ class KeptIndex:
     def postings(self) -> DataFrame:
         return self._live("postings", f"term string, {self.key} {self.key_type}, tf long, length int, bucket int")
 
-    def _write(self, words: DataFrame, segment: int) -> None:
+    def _write(self, words: DataFrame, segment: int, tasks: int) -> None:
+        parts = max(PARTS, -(-tasks // BUCKETS))
         # what is the same in all rows of a text stands together, so that the shuffle packs it well
-        rows = words.select(self.key, "length", "tf", "term").repartition(_bucket(F.col("term")), F.pmod(F.xxhash64(self.key), F.lit(PARTS)))
+        rows = words.select(self.key, "length", "tf", "term").repartition(tasks, _bucket(F.col("term")), F.pmod(F.xxhash64(self.key), F.lit(parts)))
         dealt = rows.withColumn("bucket", _bucket(F.col("term")))
         dealt.sortWithinPartitions("bucket", "term").write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{self.root}/postings/segment={segment}")
 
@@ -91,7 +98,9 @@ class KeptIndex:
         rows = texts.select(F.col(self.key).cast(self.key_type).alias(self.key), F.col(text).alias("text"))
         # rows without a key are told apart; the counts below go by the same keys, so that texts are dealt once and words are not
         own = F.when(F.col(self.key).isNull(), F.monotonically_increasing_id()).alias("own")
-        rows = rows.withColumn("own", own).groupBy(self.key, "own").agg(F.min("text").alias("text"))
+        # a word and the gap behind it take some six characters
+        tasks = _tasks((texts.agg(F.sum(F.length(text))).first()[0] or 0) // 6)
+        rows = rows.withColumn("own", own).repartition(tasks, self.key, "own").groupBy(self.key, "own").agg(F.min("text").alias("text"))
         touched = rows.select(self.key) if removed is None else rows.select(self.key).unionByName(removed.select(F.col(self.key).cast(self.key_type).alias(self.key)))
         dead = self.docs().join(touched.distinct(), self.key, "left_semi")
         words = rows.select(self.key, "own", search.tokens(F.col("text")).alias("words"))
@@ -99,7 +108,7 @@ class KeptIndex:
         terms = F.concat(F.coalesce("words", F.array().cast("array<string>")), F.array(F.lit("")))
         places = words.select(self.key, "own", F.size("words").alias("length"), F.explode(terms).alias("term"))
         counts = places.groupBy(self.key, "own", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
-        self._write(counts.select("term", self.key, "tf", "length"), segment)
+        self._write(counts.select("term", self.key, "tf", "length"), segment, tasks)
         written = self._read("postings", f"term string, {self.key} {self.key_type}, length int, segment int, bucket int")
         lengths = written.where((F.col("segment") == segment) & (F.col("bucket") == _bucket_of("")) & (F.col("term") == ""))
         return self._commit(segment, lengths, dead, last, last.since if last else 0)
@@ -110,7 +119,7 @@ class KeptIndex:
         if last is None:
             return -1
         segment = last.segment + 1
-        self._write(self.postings().select("term", self.key, "tf", "length"), segment)
+        self._write(self.postings().select("term", self.key, "tf", "length"), segment, _tasks(last.total_length))
         none = self.docs().limit(0)
         return self._commit(segment, self.docs(), none, None, segment)
 
