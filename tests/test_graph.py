@@ -116,6 +116,32 @@ def test_communities_are_connected_and_no_worse_than_one_level(spark):
         assert reached == members
 
 
+def test_communities_by_blocks_and_by_joins(spark, monkeypatch):
+    """The labels and the modularity are the same, ties and lone pairs too; each block has a few edges."""
+    monkeypatch.setattr(graph, "BLOCK_EDGES", 30)
+    rng = random.Random(11)
+    pairs = [(f"v{rng.randrange(40)}", f"v{rng.randrange(40)}") for _ in range(70)] + [("x", "y"), ("hub", "v3"), *(("hub", f"h{k}") for k in range(9)), ("y", "x")]
+    got = []
+    for held in (0, 1 << 20):
+        monkeypatch.setattr(graph, "HELD_NODES", held)
+        labels, quality = graph._levelled(frame(spark, pairs), 1.0)
+        got.append((quality, {r.node: r.community for r in labels.collect()}))
+    assert got[0] == got[1] and len(got[0][1]) > 40
+
+
+def test_turns_are_those_of_the_hash(spark):
+    rows = spark.range(300).selectExpr("xxhash64(concat('c', id)) AS h", *(f"pmod(xxhash64(concat('c', id), {r}), 2) = 0 AS t{r}" for r in (0, 1, 77))).toPandas()
+    for r in (0, 1, 77):
+        assert graph._turns(rows["h"].to_numpy().view(np.uint64), r).tolist() == rows[f"t{r}"].tolist()
+
+
+def test_levels_of_two_thousand_customers_are_quick(spark):
+    """A round of moves is one stage that shuffles nothing."""
+    edges = frame(spark, [(f"c{k}", f"c{(k * 7 + j) % 2000}") for k in range(2000) for j in range(5)])
+    began = time.time()
+    assert graph.community_levels(edges).count() == 6000 and time.time() - began < 120
+
+
 @pytest.mark.parametrize("tile", [1024, 20])
 def test_neighbours_against_brute_force(spark, tile):
     rng = np.random.default_rng(5)
