@@ -60,3 +60,26 @@ def test_components_of_few_and_of_many_links(spark, monkeypatch):
     assert len(kept) == 1
     monkeypatch.setattr(neardup, "JOINED", 50)
     assert {r.node: r.component for r in neardup.connected_components(rows).collect()} == root and len(kept) > 3
+
+
+def test_cutting_holds_a_pass_of_texts(spark):
+    """A batch of 40 MB is cut in parts; what is kept, its order and its counts are those of the whole."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from tracelake.llm import decontam
+
+    clean = "plain words of no item " * 450
+    texts = [clean if i % 4 else clean + "the secret phrase stands here" for i in range(3996)] + ["the secret phrase", None, "", clean]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(4000)), "text": texts, "n_chars": [len(t or "") for t in texts]})
+    del texts
+    tracemalloc.start()
+    rows = {}
+    for out in decontam._cut(decontam.ItemAutomaton([("i", decontam.words_of("the secret phrase"))]), iter([batch]), 1, 2, 20):
+        for doc, text, n in zip(*(out.column(c).to_pylist() for c in ("doc_id", "text", "n_chars")), strict=True):
+            rows[doc] = (len(text or ""), n, "secret" in (text or ""))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert list(rows) == [i for i in range(4000) if i != 3996] and not any(s for _, _, s in rows.values())
+    assert all(a == n for a, n, _ in rows.values()) and rows[0][0] == len(clean) + len(" stands here") and peak < 20 << 20

@@ -87,7 +87,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def passes(batch: pa.RecordBatch, column: str, limit: int = PASS_BYTES) -> Iterator[pa.RecordBatch]:
+def passes(batch: pa.RecordBatch, column: str | int, limit: int = PASS_BYTES) -> Iterator[pa.RecordBatch]:
     """Row slices of a batch whose text stays near ``limit`` bytes, whole documents always."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends = np.cumsum(sizes)

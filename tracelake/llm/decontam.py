@@ -25,7 +25,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import freeing, sifted, table, written
+from tracelake.llm.common import freeing, passes, sifted, table, written
 
 WINDOW = 13
 #: Share of a document's words, as one over this number, from which the whole document goes.
@@ -183,7 +183,7 @@ def _scanned(texts: DataFrame, shared: Broadcast, key: str, every: bool) -> Data
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = shared.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in passes(whole, "text")):
             rows = [{"key": k, **_matched(automaton, text)} for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_pylist([r for r in rows if every or r["longest"]], pa.schema([pa.field("key", batch.schema.field(0).type), *_FOUND]))
 
@@ -257,6 +257,32 @@ def _removed_in_passes(docs: DataFrame, blocks: list[DataFrame], window: int, co
     return both.where("not maybe").select(*whole({})).unionByName(maybe.select(*whole(new)))
 
 
+def _cut(automaton: ItemAutomaton, batches: Iterator[pa.RecordBatch], text_at: int, count_at: int | None, coverage: int) -> Iterator[pa.RecordBatch]:
+    """The batches without contaminated documents and hit spans, a pass of texts at a time: a batch may hold a whole task's texts, and is not repeated as Python strings."""
+    for batch in (part for whole in batches for part in passes(whole, text_at)):
+        keep, texts, changed = [], batch.column(text_at).to_pylist(), {}
+        for i, text in enumerate(texts):
+            found = _matched(automaton, text)
+            spans = found["hits"]
+            n_hit = sum(h["end"] - h["start"] for h in spans)
+            if n_hit and coverage * n_hit >= found["n_words"]:
+                continue
+            keep.append(i)
+            if spans:
+                edges = [0, *(x for h in spans for x in (h["first"], h["last"])), len(text)]
+                changed[i] = "".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+        if changed:
+            columns = list(batch.columns)
+            columns[text_at] = pa.array([changed.get(i, text) for i, text in enumerate(texts)], columns[text_at].type)
+            if count_at is not None:
+                counts = columns[count_at].to_pylist()
+                for i, text in changed.items():
+                    counts[i] = len(text)
+                columns[count_at] = pa.array(counts, columns[count_at].type)
+            batch = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+        yield batch if len(keep) == batch.num_rows else batch.take(pa.array(keep, pa.int32()))
+
+
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, coverage: int = COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The documents without contaminated ones; what remains has its hit spans cut. Keeps all columns; ``n_chars`` follows the text."""
     blocks = blocks_of(benchmark, block_words)
@@ -267,32 +293,7 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, *, window: int =
     count_at = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = shared.value
-        for batch in batches:
-            keep, changed = [], {}
-            for i, text in enumerate(batch.column(text_at).to_pylist()):
-                found = _matched(automaton, text)
-                spans = found["hits"]
-                n_hit = sum(h["end"] - h["start"] for h in spans)
-                if n_hit and coverage * n_hit >= found["n_words"]:
-                    continue
-                keep.append(i)
-                if spans:
-                    edges = [0, *(x for h in spans for x in (h["first"], h["last"])), len(text)]
-                    changed[i] = "".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-            if changed:
-                columns = list(batch.columns)
-                texts = columns[text_at].to_pylist()
-                for i, text in changed.items():
-                    texts[i] = text
-                columns[text_at] = pa.array(texts, columns[text_at].type)
-                if count_at is not None:
-                    counts = columns[count_at].to_pylist()
-                    for i, text in changed.items():
-                        counts[i] = len(text)
-                    columns[count_at] = pa.array(counts, columns[count_at].type)
-                batch = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
-            yield batch.take(pa.array(keep, pa.int32()))
+        yield from _cut(shared.value, batches, text_at, count_at, coverage)
 
     return docs.mapInArrow(freeing(cut), docs.schema)
 
