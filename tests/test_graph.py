@@ -163,6 +163,29 @@ def test_neighbours_against_brute_force(spark, tile):
     assert vector_neighbours(table.limit(0), "name", "v").count() == 0
 
 
+def test_neighbours_of_many_copies(spark, monkeypatch):
+    """Copies meet as one vector: the ranks are those of brute force, and what is dealt to buckets are classes."""
+    from tracelake.operators import neighbours
+
+    kept = {}
+    real = neighbours.settled
+    monkeypatch.setattr(neighbours, "settled", lambda df, name="step": kept.setdefault(name, real(df, name)))
+    rng = np.random.default_rng(9)
+    distinct = np.vstack([rng.normal(size=(3, 5))[rng.integers(0, 3, 30)] + 0.1 * rng.normal(size=(30, 5)), np.zeros((1, 5)) + 1, np.zeros((1, 5)) + 2])
+    of = np.concatenate((np.zeros(60, int), rng.integers(1, 32, 160)))
+    ids = rng.permutation(len(of)).tolist()
+    got = {(r.a, r.b): (round(r.distance, 6), r.rank) for r in vector_neighbours(spark.createDataFrame([(i, distinct[c].tolist()) for i, c in zip(ids, of, strict=True)], "id long, v array<double>"), "id", "v", k=4, miss=1e-9, bucket_rows=8).collect()}
+    points = distinct[of]
+    unit = points / np.linalg.norm(points, axis=1)[:, None]
+    far = np.round(1 - unit @ unit.T, 6) + 0.0
+    want = {}
+    for i in range(len(of)):
+        near = sorted((far[i, j], ids[j]) for j in range(len(of)) if j != i and far[i, j] <= 0.15)[:4]
+        want |= {(ids[i], b): (d, r) for r, (d, b) in enumerate(near, 1)}
+    assert got.keys() == want.keys() and all(got[p][1] == want[p][1] and abs(got[p][0] - want[p][0]) < 2e-6 for p in want)
+    assert kept["classes"].count() == len(set(of.tolist())) and kept["classes"].selectExpr("max(size(ids))").first()[0] == 5
+
+
 def test_names_are_resolved_by_vectors(spark):
     from tracelake.operators import search
 

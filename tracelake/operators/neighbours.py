@@ -4,7 +4,10 @@ Each of several tables gives a vector a code: on which sides of its hyperplanes
 probability 1 - t / pi, so the number of tables follows from the bits and from the probability ``miss`` with which a pair at the
 greatest distance that counts may share no bucket; nearer pairs are missed less. Vectors of a bucket meet in blocks: a bucket
 beyond ``tile`` rows is cut into tiles, each pair of which is a block of its own, so no task gets a large bucket whole and no
-pair becomes a row unless it is among the ``k`` nearest of one of its ends there.
+pair becomes a row unless it is among the ``k`` nearest of one of its ends there, and then in the first table in which it meets.
+
+Equal vectors meet the others once, as a class under their least key. A class counts by its least key and tells its ``k + 1`` least ones:
+whatever stands behind them is behind ``k`` others for every key.
 
 Defined cases: null vectors, vectors with null or non-finite components and those of length 0 have no neighbours. Repeated keys count
 once, by their least vector. All vectors must have the same length.
@@ -37,8 +40,14 @@ def vector_neighbours(vectors: DataFrame, key: str, vector: str, *, k: int = 10,
     """(a, b, distance, rank): the ``k`` nearest others of every key within the cosine distance ``most``, ties to the lesser key."""
     v = F.col(vector)
     usable = F.coalesce(~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
-    base = settled(vectors.where(usable & F.col(key).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.min(v.cast("array<double>")).alias("v")), "neighbours")
-    kind = base.schema["id"].dataType.simpleString()
+    keyed = settled(vectors.where(usable & F.col(key).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.min(v.cast("array<double>")).alias("v")), "neighbours")
+    kind = keyed.schema["id"].dataType.simpleString()
+    # a class for all equal vectors, under its least key; no member has a neighbour in it beyond its k + 1 least keys
+    least = keyed
+    for by in (["v", F.pmod(F.xxhash64("id"), F.lit(64))], ["v"]):
+        least = least.withColumn("place", F.row_number().over(W.partitionBy(*by).orderBy("id"))).where(F.col("place") <= k + 1)
+    classes = settled(least.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")).select(F.get("ids", F.lit(0)).alias("id"), "v", "ids"), "classes")
+    base = classes.select("id", "v")
     n, size = base.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
     bits = max(2, math.ceil(math.log2(max(n, 1) / bucket_rows)))
     tables = table_count(bits, most, miss)
@@ -68,21 +77,38 @@ def vector_neighbours(vectors: DataFrame, key: str, vector: str, *, k: int = 10,
         unit = points / np.sqrt((points**2).sum(axis=1))[:, None]
         side = np.array(group.column("own").to_pylist())
         within = group.column("low")[0] == group.column("high")[0]
+        # a pair is told by the first table in which it meets: what is not among the best of that bucket is among no key's best
+        before = np.stack([((points @ planes[t].T) > 0) @ powers for t in range(group.column("tab")[0].as_py())] or [np.full(len(ids), -1)], axis=1)
         out: tuple[list, list, list] = ([], [], [])
         order = np.array(sorted(range(len(ids)), key=ids.__getitem__))
         for start in range(0, len(ids), 256):
             rows = order[start : start + 256]
-            far = np.round(1 - unit[rows] @ unit[order].T, 6)
+            far, pairs = np.round(1 - unit[rows] @ unit[order].T, 6) + 0.0, []
             for i, line in zip(rows, far, strict=True):
                 near = np.flatnonzero(line <= most)
                 near = near[(order[near] != i) & (within or side[order[near]] != side[i])]
                 best = near[np.argsort(line[near], kind="stable")[:k]]
-                out[0].extend([ids[i]] * len(best))
-                out[1].extend(ids[j] for j in order[best])
-                out[2].extend(line[best].tolist())
+                pairs.extend((i, j, d) for j, d in zip(order[best].tolist(), line[best].tolist(), strict=True))
+            ends = np.array([p[:2] for p in pairs], np.int64).reshape(-1, 2)
+            fresh = ~((before[ends[:, 0]] == before[ends[:, 1]]) & (before[ends[:, 0]] >= 0)).any(axis=1)
+            for (i, j, d), new in zip(pairs, fresh.tolist(), strict=True):
+                if new:
+                    out[0].append(ids[i])
+                    out[1].append(ids[j])
+                    out[2].append(d)
         return pa.table([pa.array(out[0], arrow), pa.array(out[1], arrow), pa.array(out[2], pa.float64())], ["a", "b", "distance"])
 
     wide = "string" if kind == "string" else "long"
     found = met.select("tab", "code", "low", "high", "own", F.col("id").cast(wide).alias("id"), "v").groupBy("tab", "code", "low", "high").applyInArrow(block, f"a {wide}, b {wide}, distance double").distinct()
     rank = F.row_number().over(W.partitionBy("a").orderBy("distance", "b"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+    near = found.withColumn("rank", rank).where(F.col("rank") <= k).select("a", "b", "distance")
+    # every class's best keys, its own ones among them
+    keys = classes.select(F.col("id").cast(wide).alias("b"), F.transform("ids", lambda x: x.cast(wide)).alias("ids"))
+    own_keys = keys.select(F.col("b").alias("a"), "b", F.lit(0.0).alias("distance"))
+    told = near.unionByName(own_keys).join(keys, "b").select("a", "distance", F.explode("ids").alias("b"))
+    best = told.withColumn("rank", rank).where(F.col("rank") <= k + 1).groupBy("a").agg(F.array_sort(F.collect_list(F.struct("distance", "b"))).alias("best"))
+    lists = settled(best.join(classes.select(F.col("id").cast(wide).alias("a"), "v"), "a").select("v", "best"), "nearest")
+    each = keyed.select(F.col("id").cast(wide).alias("a"), "v").join(lists, "v")
+    # a member is not its own neighbour
+    others = each.select("a", F.posexplode(F.slice(F.filter("best", lambda x: x["b"] != F.col("a")), 1, k)).alias("at", "one"))
+    return others.select("a", F.col("one.b").alias("b"), F.col("one.distance").alias("distance"), (F.col("at") + 1).alias("rank"))
