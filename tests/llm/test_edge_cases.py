@@ -83,3 +83,29 @@ def test_cutting_holds_a_pass_of_texts(spark):
     tracemalloc.stop()
     assert list(rows) == [i for i in range(4000) if i != 3996] and not any(s for _, _, s in rows.values())
     assert all(a == n for a, n, _ in rows.values()) and rows[0][0] == len(clean) + len(" stands here") and peak < 20 << 20
+
+
+def test_sketching_holds_few_numbers(spark):
+    """Texts of 8 MB are sketched in parts whose numbers stay below 64 MB; the sketches are those of each text alone."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from tracelake.llm import neardup
+
+    class Docs:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            return run
+
+    run = neardup.sketch_documents(Docs())
+    texts = [" ".join(f"w{i}x{k}" for k in range(1100)) for i in range(1000)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(1000)), "text": texts})
+    tracemalloc.start()
+    sizes = [n for out in run(iter([batch])) for n in out.column("n_shingles").to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sizes == [1096] * 1000 and peak < 64 << 20
+    assert next(run(iter([batch.slice(700, 1)]))).to_pylist() == [r for out in run(iter([batch])) for r in out.to_pylist() if r["doc_id"] == 700]

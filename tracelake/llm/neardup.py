@@ -59,6 +59,8 @@ GATHERED = 1 << 16
 #: share of links among the last leaders' pairs than this, no other round of leaders is worth its while.
 FEW_PAIRS = 8
 LEAST_YIELD = 1 / 16
+#: Bytes of text that are sketched in one go; each takes some 100 bytes of numbers on the way.
+SKETCH_BYTES = 1 << 19
 #: Links that one task joins at once (16 bytes each); what more of them leave goes on by stars.
 JOINED = 1 << 20
 
@@ -140,7 +142,7 @@ def sketch_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in passes(batch, "text", 2 << 20):
+            for part in passes(batch, "text", SKETCH_BYTES):
                 hashes, at = shingle_sets(part.column("text"))
                 n = len(at) - 1
                 table_ = sketches(hashes, at)
