@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tests.llm.conftest import BENCH, build, sentence
+from tests.llm.conftest import BENCH, WORDS, build, sentence
 from tracelake.llm import decontam, langid, mixing, neardup, pii, quality, secrets_scan, telephony, tokenbin, toxicity
 
 LOW = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t)
@@ -57,6 +57,10 @@ def test_decontamination_cuts_and_drops(spark, tmp_path, block_words):
     assert out[3].text == long_text
 
 
+def whole_ids(encoder, text):
+    return np.array(encoder.tokenizer.encode(text or "", add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_token_planes(spark, mixed):
     from tokenizers import Tokenizer
 
@@ -72,6 +76,39 @@ def test_token_planes(spark, mixed):
         start += len(ids)
 
 
+def test_token_pieces_share_words():
+    """A word costs the library one encoding, however it is written and whatever signs stand around it."""
+    encoder = tokenbin.PieceEncoder(tokenbin.vocabulary_path())
+    endings = [*".,;:!?", "...", "!!", "###", "%%%", *map(str, range(100))]
+    texts = [" ".join(form(w) + e for e in endings) for w in (*WORDS, "éñöß", "ÀÉÞù") for form in (str.lower, str.upper, str.title)]
+    assert encoder.encode(texts) == [whole_ids(encoder, t) for t in texts]
+    # ß is SS in capitals; 10 digits and 10 runs of signs
+    assert len(encoder.known) <= len(WORDS) + 3 + 10 + 10
+
+
+@pytest.mark.parametrize("limit", [5, 40, 1 << 20])
+@pytest.mark.parametrize("kept", [3, 1_000_000])
+def test_token_pieces_of_any_symbols(limit, kept):
+    encoder = tokenbin.PieceEncoder(tokenbin.vocabulary_path(), kept)
+    bits = ["'", "'s", "'LL", "'x", "don't", "L'ÉTÉ", "~", " ~ ", "<|", "|>", "<|endoftext|>", "<|ENDOFTEXT|>", "É", "ß", "ẞ", "ÿ", "×", "÷", "µ", "ª", "½", "́", "̇", "İ", "Œ", "ΑΣ", "K", "\t", "\x1c", "\x85", "\xa0", "\x00", "12", "٣", "中文", "한국", "각", "😀", "\u200d", "_", "--", "</w>", "Ġ", "Ã", "abc", "XYZ", "a1b2", "\n", "  ", "q" * 1200]
+    rng = random.Random(limit)
+    for _ in range(40):
+        texts = [None, "", *("".join(rng.choice(bits) + rng.choice(["", " ", "\n", ""]) for _ in range(rng.randrange(1, 30))) for _ in range(rng.randrange(5)))]
+        assert encoder.encode(texts, limit) == [whole_ids(encoder, t) for t in texts]
+        assert encoder.encode(texts[-1:], limit) == [whole_ids(encoder, texts[-1])]
+
+
+def test_token_pieces_of_another_vocabulary(tmp_path):
+    """A vocabulary whose rules are not the known ones is given whole pieces."""
+    encoder = tokenbin.PieceEncoder(tokenbin.vocabulary_path())
+    encoder.tokenizer.normalizer = None
+    encoder.tokenizer.save(str(tmp_path / "other.json"))
+    other = tokenbin.PieceEncoder(str(tmp_path / "other.json"))
+    texts = ["Ab12 ab, AB'S é É", "ab AB\nAb12", None]
+    assert other.encode(texts) == [whole_ids(other, t) for t in texts]
+    assert other.encode(texts) != encoder.encode(texts)
+
+
 @pytest.mark.parametrize("kind", [0, 1])
 @pytest.mark.parametrize("n", [0, 1, 63, 64, 1000])
 def test_plane_round_trip(kind, n):

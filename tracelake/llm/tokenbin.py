@@ -14,8 +14,11 @@ frame has its shard, its place in the shard, and its documents' ids and lengths;
 give every document its place in the whole stream.
 
 Tokenising. White space never joins the tokens on its sides in the vocabulary used here, so a text
-is cut at spaces and newlines and each distinct piece is encoded once per worker by the tokenizers
-library and kept in a bounded table.
+is cut into pieces at spaces and newlines. The vocabulary's own rules cut a piece of ASCII and
+Latin-1 letters further: into small runs of letters, single digits and runs of signs, which numpy
+finds in the bytes of many texts at once. Pieces with other symbols, contractions or "<|" stay
+whole, and so do all of a vocabulary with other rules. Each distinct word or piece is encoded once
+per worker by the tokenizers library and kept in a bounded table.
 
 Defined cases: a null or empty text is the end id alone. Repeated document rows are encoded each,
 in the order of their texts. An empty table gives no frames. Extra columns are ignored.
@@ -23,8 +26,11 @@ in the order of their texts. An empty table gives no frames. Extra columns are i
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,13 +40,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import freeing, passes, table, written
+from tracelake.llm.common import PASS_BYTES, freeing, passes, table, text_bytes, written
+from tracelake.llm.tokencount import byte_letters
 
 END_ID = 2
 BLOCK_IDS = 65_536
 #: Ids after which a frame is closed at the next document's end.
 FRAME_IDS = 1 << 20
-#: Pieces that a worker keeps encoded; the table starts anew beyond it.
+#: Words and pieces that a worker keeps encoded; the table starts anew beyond it.
 KEPT_PIECES = 1_000_000
 #: A symbol that is one token by itself, put between pieces that are encoded together.
 _MARK = "~"
@@ -56,52 +63,157 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: Kinds of bytes. Signs are all other printable ASCII; what a piece holds of unplain bytes makes it unplain as a whole.
+_SPACE, _LETTER, _DIGIT, _SIGN, _UNPLAIN = range(5)
+
+
+def _byte_kinds() -> np.ndarray:
+    kinds = np.full(256, _UNPLAIN, np.uint8)
+    kinds[33:127] = _SIGN
+    kinds[[*range(65, 91), *range(97, 123), 0xC3]] = _LETTER
+    kinds[48:58] = _DIGIT
+    kinds[[10, 32]] = _SPACE
+    return kinds
+
+
+_KINDS = _byte_kinds()
+#: Bytes that become small by adding 32 if they stand in a letter: A-Z, and the second bytes of the letters from U+00C0 to U+00DE.
+_CAPITAL = np.isin(np.arange(256), [*range(65, 91), *range(0x80, 0x9F)])
+#: Letters that may begin the end of a contraction ('s 't 're 've 'm 'll 'd).
+_CONTRACTED = np.isin(np.arange(256), list(b"strvmldSTRVMLD"))
+_CUT = re.compile(r"[ \n]")
+_PLAIN = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
+_PLAIN_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PLAIN_SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+_PLAIN_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
+
 class PieceEncoder:
-    """Encodes texts piece by piece; equal to encoding them whole."""
+    """Encodes texts by their distinct words; equal to encoding them whole."""
 
     def __init__(self, path: str, kept: int = KEPT_PIECES):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.kept, self.known, self.weight = Tokenizer.from_file(path), kept, {"": b""}, 0
+        self.tokenizer, self.kept = Tokenizer.from_file(path), kept
         mark = self._ids(_MARK)
         self.mark = mark[0] if len(mark) == 1 else None
+        spec = json.loads(self.tokenizer.to_str())
+        suffix = spec["model"].get("end_of_word_suffix")
+        self.plain = None
+        if spec["normalizer"] == _PLAIN_NORMALIZER and spec["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": [_PLAIN_SPLIT, _PLAIN_BYTES]} and suffix and all(re.fullmatch(r"<\|[a-z]+\|>", t["content"]) and not (t["normalized"] or t["lstrip"] or t["rstrip"]) for t in spec["added_tokens"]):
+            self.plain = Tokenizer(self.tokenizer.model)
+            self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+            self.closing = np.zeros(1 + max(spec["model"]["vocab"].values()), bool)
+            self.closing[[k for t, k in spec["model"]["vocab"].items() if t.endswith(suffix)]] = True
+            self.letters = {b: c for c, b in byte_letters().items() if b != 32}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids, self.ends, self.weight = array("I"), array("q", [0]), 0
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
+    def _keep(self, words: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        """Enter words whose ids stand one after the other."""
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
+        self.ends.frombytes((np.asarray(ends, np.int64) + len(self.ids)).tobytes())
+        self.ids.frombytes(np.asarray(ids, np.uint32).tobytes())
+
+    def _learn_plain(self, words: list[str]) -> None:
+        """Words of one kind of bytes, as the model alone encodes them; each ends at its one token with the suffix."""
+        for k in range(0, len(words), 5000):
+            some = words[k : k + 5000]
+            lines = [" ".join(some[j : j + 200]) for j in range(0, len(some), 200)]
+            lines = [t if t.isascii() else t.encode().decode("latin-1").translate(self.letters) for t in lines]
+            ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.plain.encode_batch_fast(lines, add_special_tokens=False)])
+            ends = np.flatnonzero(self.closing[ids]) + 1
+            if len(ends) == len(some):
+                self._keep(some, ids, ends)
+            else:
+                self._learn(some)
+
     def _learn(self, pieces: list[str]) -> None:
-        alone = [p for p in pieces if self.mark is None or _MARK in p or len(p) > 1000]
-        for p in alone:
-            self.known[p] = self._ids(p).tobytes()
-        together = [p for p in pieces if p not in self.known] if alone else pieces
+        """Pieces of any symbols, by the whole tokenizer."""
+        alone = {p for p in pieces if self.mark is None or _MARK in p or len(p) > 1000}
+        together = [p for p in pieces if p not in alone]
         for k in range(0, len(together), 200):
             some = together[k : k + 200]
             ids = self._ids(f" {_MARK} ".join(some))
-            cuts = np.flatnonzero(ids == self.mark) if self.mark is not None else np.zeros(0, np.int64)
-            if len(cuts) != len(some) - 1:
-                for p in some:
-                    self.known[p] = self._ids(p).tobytes()
-                continue
-            raw, begin = ids.tobytes(), 0
-            for p, end in zip(some, [*(4 * cuts).tolist(), len(raw)], strict=True):
-                self.known[p] = raw[begin:end]
-                begin = end + 4
-        self.weight += sum(1 + len(p) // 64 for p in pieces)
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian u32 bytes."""
-        cut = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        pieces = set().union(*cut)
-        new = [p for p in pieces if p not in self.known]
+            cuts = np.flatnonzero(ids == self.mark)
+            if len(cuts) == len(some) - 1:
+                self._keep(some, np.delete(ids, cuts), np.append(cuts - np.arange(len(cuts)), len(ids) - len(cuts)))
+            else:
+                alone.update(some)
+        for p in alone:
+            ids = self._ids(p)
+            self._keep([p], ids, np.array([len(ids)]))
+
+    def _words(self, raw: np.ndarray, at: np.ndarray) -> tuple[pa.LargeStringArray, np.ndarray]:
+        """The words of texts, which lie one after the other, in small letters, and where each text's words begin and end. Unplain pieces stay as they are."""
+        n, begins = len(raw), at[:-1][at[:-1] < at[1:]]
+        kinds = _KINDS[raw] if self.plain else np.where((raw == 10) | (raw == 32), np.uint8(_SPACE), np.uint8(_UNPLAIN))
+        if self.plain:
+            two = np.flatnonzero(raw == 0xC3)
+            sign = np.isin(raw[two + 1], (0x97, 0xB7))
+            kinds[two + 1] = np.where(sign, _UNPLAIN, _LETTER)
+            for first, second in ((0x27, _CONTRACTED), (0x3C, np.arange(256) == 0x7C)):
+                seen = np.flatnonzero(raw[:-1] == first)
+                kinds[seen[second[raw[seen + 1]]]] = _UNPLAIN
+        if kinds.max(initial=0) == _UNPLAIN:
+            cut = kinds == _SPACE
+            cut[begins] = True
+            cut = np.flatnonzero(cut)
+            unplain = np.maximum.reduceat(kinds, cut) == _UNPLAIN
+            kinds[np.repeat(unplain, np.diff(cut, append=n)) & (kinds != _SPACE)] = _UNPLAIN
+        first = np.ones(n, bool)
+        np.not_equal(kinds[1:], kinds[:-1], out=first[1:])
+        first |= kinds == _DIGIT
+        first[begins] = True
+        first = np.flatnonzero(first)
+        word = kinds[first] != _SPACE
+        offsets = np.zeros(1 + np.count_nonzero(word), np.int64)
+        np.cumsum(np.diff(first, append=n)[word], out=offsets[1:])
+        small = (raw + np.uint8(32) * (_CAPITAL[raw] & (kinds == _LETTER)))[kinds != _SPACE]
+        words = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(small))
+        return words, np.searchsorted(first[word], at)
+
+    def encode(self, texts: list[str | None], limit: int = PASS_BYTES) -> list[bytes]:
+        """The ids of each text as little-endian u32 bytes. A text of more than ``limit`` symbols goes part by part, cut at white space."""
+        if len(texts) == 1 and len(texts[0] or "") > limit:
+            text, cuts = texts[0], [0]
+            while (space := _CUT.search(text, cuts[-1] + limit)) is not None:
+                cuts.append(space.start())
+            return [b"".join(self._encode([text[a:b]])[0] for a, b in zip(cuts, [*cuts[1:], None], strict=True))]
+        return self._encode(texts)
+
+    def _encode(self, texts: list[str | None]) -> list[bytes]:
+        words, at = self._words(*text_bytes(pa.array(texts, pa.large_string())))
+        coded = words.dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        new = [w for w in distinct if w not in self.known]
         if self.weight + len(new) > self.kept:
-            self.known, self.weight = {"": b""}, 0
-            new = [p for p in pieces if p]
-        self._learn(new)
-        of = self.known.__getitem__
-        return [b"".join(map(of, c)) for c in cut]
+            self._forget()
+            new = distinct
+        plain = [w for w in new if self.plain and _PLAIN.fullmatch(w)]
+        if plain:
+            self._learn_plain(plain)
+        if len(plain) < len(new):
+            self._learn([w for w in new if w not in self.known])
+        self.weight += sum(1 + len(w) // 64 for w in new)
+        slots = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
+        ends, codes = np.frombuffer(self.ends, np.int64), coded.indices.to_numpy()
+        sizes = (ends[slots + 1] - ends[slots])[codes]
+        stops = np.zeros(1 + len(sizes), np.int64)
+        np.cumsum(sizes, out=stops[1:])
+        places = np.repeat(ends[slots][codes] - stops[:-1], sizes) + np.arange(stops[-1])
+        stream = np.frombuffer(self.ids, np.uint32)[places].astype("<u4", copy=False) if len(places) else np.zeros(0, "<u4")
+        raw, cuts = stream.tobytes(), (4 * stops[at]).tolist()
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 @lru_cache(maxsize=2)
