@@ -212,6 +212,47 @@ def test_neighbours_of_many_copies(spark, monkeypatch):
     assert kept["classes"].count() == len(set(of.tolist())) and kept["classes"].selectExpr("max(size(ids))").first()[0] == 5
 
 
+@pytest.mark.parametrize("tile", [1024, 40])
+def test_neighbours_of_short_vectors_are_exact_whatever_may_be_missed(spark, monkeypatch, tile):
+    """Vectors of few components go to the cells that can hold their nearest, not to tables; parallel ones fill a cell and tie."""
+    from tracelake.operators import neighbours
+
+    kept = {}
+    real = neighbours.settled
+    monkeypatch.setattr(neighbours, "settled", lambda df, name="step": kept.setdefault(name, real(df, name)))
+    rng = np.random.default_rng(3)
+    points = np.vstack([rng.normal(size=(1500, 4)), np.arange(1, 301)[:, None] * np.array([[2.0, -1.0, 0.5, 0.0]])])
+    ids = rng.permutation(len(points))
+    got = {(r.a, r.b): (round(r.distance, 6), r.rank) for r in vector_neighbours(spark.createDataFrame([(int(i), p.tolist()) for i, p in zip(ids, points, strict=True)], "id long, v array<double>"), "id", "v", k=4, most=0.05, miss=0.05, bucket_rows=2, tile=tile).collect()}
+    unit = points / np.linalg.norm(points, axis=1)[:, None]
+    far = np.round(1 - unit @ unit.T, 6) + 0.0
+    want = {}
+    for i in range(len(points)):
+        near = np.flatnonzero((far[i] <= 0.05) & (np.arange(len(points)) != i))
+        near = near[np.lexsort((ids[near], far[i, near]))][:4]
+        want |= {(int(ids[i]), int(ids[j])): (float(far[i, j]), r) for r, j in enumerate(near, 1)}
+    assert got == want and len(want) > 6000
+    goes = kept["met"].selectExpr("avg(cells)", "count(distinct rooms)").first()
+    assert goes[0] < 8 and (tile == 1024 or kept["rooms"].count() > 40)
+
+
+def test_neighbours_by_tables(spark, monkeypatch):
+    """Long vectors that lie anywhere would go to most cells, so they go by tables; the ranks are those of brute force."""
+    from tracelake.operators import neighbours
+
+    kept = {}
+    real = neighbours.settled
+    monkeypatch.setattr(neighbours, "settled", lambda df, name="step": kept.setdefault(name, real(df, name)))
+    rng = np.random.default_rng(6)
+    heart = rng.normal(size=(300, 40))
+    points = np.vstack([heart, heart + 0.3 * rng.normal(size=(300, 40))])
+    got = {(r.a, r.b) for r in vector_neighbours(spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id long, v array<double>"), "id", "v", k=3, miss=1e-9, bucket_rows=100, tile=8).collect()}
+    unit = points / np.linalg.norm(points, axis=1)[:, None]
+    far = np.round(1 - unit @ unit.T, 6)
+    want = {(i, int(j)) for i in range(600) for j in sorted(np.flatnonzero((far[i] <= 0.15) & (np.arange(600) != i)), key=lambda j: (far[i, j], j))[:3]}
+    assert got == want and len(want) > 500 and "buckets" in kept and "rooms" not in kept
+
+
 def test_names_are_resolved_by_vectors(spark):
     from tracelake.operators import search
 
