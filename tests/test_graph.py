@@ -155,6 +155,32 @@ def test_communities_by_blocks_and_by_joins(spark, monkeypatch):
     assert got[0] == got[1] and len(got[0][1]) > 40
 
 
+def test_rounds_of_communities_weigh_what_changed(spark, monkeypatch):
+    """Late rounds tell the offers of few nodes; labels and modularity are those of the joins, where weights differ too."""
+    rng = random.Random(5)
+    pairs = [(f"v{k:04d}", f"v{(k * 7 + j) % 80:04d}") for k in range(80) for j in range(3)]
+    edges = spark.createDataFrame([(a, b, float(rng.randrange(1, 9))) for a, b in pairs], "src string, dst string, weight double")
+    told = []
+    real = graph._by_block
+
+    def counted(rows, vectors, work, schema, finish):
+        out = real(rows, vectors, work, schema, finish)
+        if "community" in schema:
+            told.append((len(vectors[0]), sum(len(x.node) // 4 for x in out)))
+        return out
+
+    monkeypatch.setattr(graph, "_by_block", counted)
+    labels, quality = graph._levelled(edges, 1.0)
+    got = {r.node: r.community for r in labels.collect()}
+    first = [n for of, n in told if of == len(got)]
+    assert first[0] == len(got) and min(first) < len(got) // 2
+    both = graph._weighed(edges)
+    joined, by_joins = graph._levelled_by_joins(both, 1.0)
+    assert (got, quality) == ({r.node: r.community for r in joined.collect()}, by_joins)
+    # 6 GB of tables have 5.4 million customers
+    assert graph.HELD_NODES > 5_400_000
+
+
 def test_turns_are_those_of_the_hash(spark):
     rows = spark.range(300).selectExpr("xxhash64(concat('c', id)) AS h", *(f"pmod(xxhash64(concat('c', id), {r}), 2) = 0 AS t{r}" for r in (0, 1, 77))).toPandas()
     for r in (0, 1, 77):
