@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import threading
 import time
 from collections import deque
 
@@ -187,6 +188,21 @@ def test_turns_are_those_of_the_hash(spark):
         assert graph._turns(rows["h"].to_numpy().view(np.uint64), r).tolist() == rows[f"t{r}"].tolist()
 
 
+def test_levels_share_no_properties(spark, monkeypatch):
+    """Resolutions run side by side; what one thread sets for its jobs is not seen by the others."""
+    met, seen = threading.Barrier(3), {}
+
+    def levelled(blocks, mass, resolution):
+        spark.sparkContext.setLocalProperty("tracelake.test", str(resolution))
+        met.wait(60)
+        seen[resolution] = spark.sparkContext.getLocalProperty("tracelake.test")
+        return np.arange(len(blocks.k), dtype=np.int32), 0.0
+
+    monkeypatch.setattr(graph, "_levelled_blocks", levelled)
+    assert graph.community_levels(frame(spark, [("a", "b"), ("b", "c")])).count() == 9
+    assert seen == {one: str(one) for one in graph.RESOLUTIONS}
+
+
 def test_levels_of_two_thousand_customers_are_quick(spark):
     """A round of moves is one stage that shuffles nothing."""
     edges = frame(spark, [(f"c{k}", f"c{(k * 7 + j) % 2000}") for k in range(2000) for j in range(5)])
